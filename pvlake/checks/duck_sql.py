@@ -265,3 +265,195 @@ def chain(*parts: str) -> str:
 
 def features_chain(strategy: str = "default", fold: int = 0, k: int = 0) -> list[str]:
     return [PV_POINTS, labels_sql(strategy, fold, k), SCALAR_FEATURES, HISTORY]
+
+
+def sanitize(x: str) -> str:
+    return f"(CASE WHEN is_solar_available <= 0 OR solar_proxy <= 1e-8 THEN 0e0 ELSE greatest(coalesce({x}, 0e0), 0e0) END)"
+
+
+CANDIDATES = (
+    "pred_irradiance_baseline", "pred_raw_point", "pred_norm_point", "pred_daily_model_rescaled",
+    "pred_norm_calibrated", "pred_validated_blend", "pred_history_fallback", "pred_low_output_guard",
+    "pred_precision_low_output_guard", "pred_piecewise_low_output_guard", "pred_seen_new_branch",
+)
+EXPERIMENTS = (
+    "E00_irradiance_baseline", "E01_lgbm_raw_point", "E03_lgbm_norm_target", "E02_lgbm_daily_rescaled",
+    "E05_norm_plus_daily_calibration", "E07_validated_blend", "E08_history_dynamic_fallback",
+    "E09_low_output_guard", "E10_precision_low_output_guard", "E11_piecewise_low_output_guard",
+    "E06_seen_new_branch",
+)
+
+
+def _blend(a: str) -> str:
+    return sanitize(f"{a} * pred_norm_calibrated + (1 - {a}) * pred_daily_model_rescaled")
+
+
+EXPERIMENT = f"""
+bl_train_daily AS (
+  SELECT deviceSn, date, coalesce(sum(pvGenTotal), 0e0) AS s FROM points
+  WHERE eval_split = 'train' AND date IS NOT NULL GROUP BY deviceSn, date),
+bl_dev AS (SELECT deviceSn, avg(s) AS dev_total FROM bl_train_daily GROUP BY deviceSn),
+bl_nn AS (SELECT deviceSn, median(nn_3_daily_mean) AS nn_total FROM points GROUP BY deviceSn),
+bl AS (
+  SELECT p.*, coalesce(d.dev_total, n.nn_total, (SELECT avg(s) FROM bl_train_daily)) AS bl_total,
+    sum(p.solar_proxy) OVER (PARTITION BY p.deviceSn, p.date) AS bl_sw,
+    sum(p.elevation_weight) OVER (PARTITION BY p.deviceSn, p.date) AS bl_ew,
+    count(*) OVER (PARTITION BY p.deviceSn, p.date) AS bl_n
+  FROM points p LEFT JOIN bl_dev d ON p.deviceSn = d.deviceSn LEFT JOIN bl_nn n ON p.deviceSn = n.deviceSn),
+base AS (
+  SELECT *,
+    {sanitize("CASE WHEN bl_sw > 0 THEN bl_total * solar_proxy / bl_sw WHEN bl_ew > 0 THEN bl_total * elevation_weight / bl_ew ELSE bl_total / bl_n END")} AS pred_irradiance_baseline,
+    {sanitize("global_slot_mean")} AS pred_raw_point,
+    {sanitize("device_slot_mean")} AS pred_norm_point
+  FROM bl),
+dpred AS (
+  SELECT split, deviceSn, date, greatest(coalesce(device_daily_mean, 0e0), 0e0) AS pred_daily_model,
+    greatest(coalesce(device_daily_p90, 0e0), 0e0) AS pred_day_calibrated FROM daily),
+resc AS (
+  SELECT b.*, d.pred_daily_model, d.pred_day_calibrated,
+    sum(b.pred_norm_point) OVER (PARTITION BY b.split, b.deviceSn, b.date) AS raw_sum
+  FROM base b LEFT JOIN dpred d ON b.split = d.split AND b.deviceSn = d.deviceSn AND b.date = d.date),
+resc2 AS (
+  SELECT *,
+    {sanitize("pred_norm_point * (pred_daily_model / greatest(raw_sum, 1e-9))")} AS pred_daily_model_rescaled,
+    {sanitize("pred_norm_point * (pred_day_calibrated / greatest(raw_sum, 1e-9))")} AS pred_norm_calibrated
+  FROM resc),
+alphas AS (SELECT i / 10e0 AS a FROM range(0, 11) t(i)),
+blend_day AS (
+  SELECT a.a, r.eval_split, r.deviceSn, r.date, coalesce(sum(r.pvGenTotal), 0e0) AS y,
+    sum({_blend("a.a")}) AS p
+  FROM resc2 r, alphas a WHERE r.eval_split IN ('valid_seen', 'valid_unseen') GROUP BY ALL),
+blend_split AS (
+  SELECT a, eval_split, avg(abs(y - p) / greatest(abs(y), 1e-9)) AS dm FROM blend_day GROUP BY ALL),
+blend_scores AS (
+  SELECT a AS alpha, 0.5 * max(dm) FILTER (WHERE eval_split = 'valid_seen')
+    + 0.5 * max(dm) FILTER (WHERE eval_split = 'valid_unseen') AS combined
+  FROM blend_split GROUP BY a),
+best_alpha AS (SELECT alpha FROM blend_scores WHERE isfinite(combined) ORDER BY combined, alpha LIMIT 1),
+seen_devs AS (SELECT DISTINCT deviceSn FROM points WHERE split = 'train' AND eval_split = 'train'),
+pol AS (
+  SELECT r.*, (SELECT alpha FROM best_alpha) AS blend_alpha,
+    least(greatest(coalesce(device_history_days, 0e0) / 14e0, 0e0), 1e0) AS cold_start_alpha,
+    r.deviceSn IN (SELECT deviceSn FROM seen_devs) AS seen_device
+  FROM resc2 r),
+pol2 AS (SELECT *, {_blend("blend_alpha")} AS pred_validated_blend FROM pol),
+pol3 AS (
+  SELECT *, {sanitize("cold_start_alpha * pred_validated_blend + (1 - cold_start_alpha) * pred_daily_model_rescaled")} AS pred_history_fallback
+  FROM pol2),
+pol4 AS (
+  SELECT *, sum(pred_history_fallback) OVER (PARTITION BY split, eval_split, deviceSn, date) AS fb_day FROM pol3),
+pol5 AS (
+  SELECT *,
+    cold_start_alpha <= 1e-6 AND fb_day <= 0.15 AS hit_broad,
+    cold_start_alpha <= 1e-6 AND fb_day <= 0.06 AS hit_precision,
+    cold_start_alpha <= 1e-6 AND fb_day <= 0.04 AS hit_low,
+    cold_start_alpha <= 1e-6 AND fb_day > 0.04 AND fb_day <= 0.06 AS hit_mid
+  FROM pol4),
+pol6 AS (
+  SELECT *,
+    {sanitize("CASE WHEN hit_broad THEN pred_history_fallback * 0.7 ELSE pred_history_fallback END")} AS pred_low_output_guard,
+    {sanitize("CASE WHEN hit_precision THEN pred_history_fallback * 0.4 ELSE pred_history_fallback END")} AS pred_precision_low_output_guard,
+    {sanitize("CASE WHEN hit_low THEN pred_history_fallback * 0.5 WHEN hit_mid THEN pred_history_fallback * 0.55 ELSE pred_history_fallback END")} AS pred_piecewise_low_output_guard,
+    {sanitize("CASE WHEN seen_device THEN pred_norm_calibrated ELSE pred_daily_model_rescaled END")} AS pred_seen_new_branch
+  FROM pol5),
+cand_long AS (
+  UNPIVOT (SELECT split, eval_split, deviceSn, date, pvGenTotal, {", ".join(CANDIDATES)} FROM pol6)
+  ON {", ".join(CANDIDATES)} INTO NAME candidate VALUE pred),
+cand_point AS (
+  SELECT candidate, eval_split, avg(abs(pvGenTotal - pred)) AS mae, sqrt(avg((pvGenTotal - pred) ^ 2)) AS rmse,
+    avg(abs(pvGenTotal - pred) / greatest(abs(pvGenTotal), 1e-9)) AS mape
+  FROM cand_long GROUP BY candidate, eval_split),
+cand_day AS (
+  SELECT candidate, eval_split, deviceSn, date, coalesce(sum(pvGenTotal), 0e0) AS y, coalesce(sum(pred), 0e0) AS p
+  FROM cand_long WHERE date IS NOT NULL GROUP BY ALL),
+cand_daily AS (
+  SELECT candidate, eval_split, count(*) AS n_days, avg(abs(y - p)) AS daily_mae, sqrt(avg((y - p) ^ 2)) AS daily_rmse,
+    avg(abs(y - p) / greatest(abs(y), 1e-9)) AS daily_mape
+  FROM cand_day GROUP BY candidate, eval_split),
+cand_names AS (
+  SELECT * FROM (VALUES {", ".join(f"('{c}', {i}, '{e}')" for i, (c, e) in enumerate(zip(CANDIDATES, EXPERIMENTS)))})
+  t(candidate, ordinal, experiment)),
+cand_metrics AS (
+  SELECT n.experiment, p.candidate, p.eval_split, p.mae, p.rmse, p.mape, d.daily_mae, d.daily_rmse, d.daily_mape, d.n_days
+  FROM cand_point p JOIN cand_daily d ON p.candidate = d.candidate AND p.eval_split = d.eval_split
+  JOIN cand_names n ON p.candidate = n.candidate),
+cand_scores AS (
+  SELECT n.candidate, n.ordinal,
+    0.5 * max(daily_mape) FILTER (WHERE eval_split = 'valid_seen')
+    + 0.5 * max(daily_mape) FILTER (WHERE eval_split = 'valid_unseen') AS combined
+  FROM cand_metrics m JOIN cand_names n ON m.candidate = n.candidate GROUP BY n.candidate, n.ordinal),
+best_cand AS (SELECT candidate FROM cand_scores WHERE isfinite(combined) ORDER BY combined, ordinal LIMIT 1),
+final_points AS (
+  SELECT *, CASE (SELECT candidate FROM best_cand)
+    {" ".join(f"WHEN '{c}' THEN {c}" for c in CANDIDATES)} END AS final_prediction,
+    pred_precision_low_output_guard AS deployment_prediction
+  FROM pol6)"""
+
+GUARDS = """
+guard_out AS (
+  SELECT guard, eval_split, sum(CASE WHEN hit THEN 1 ELSE 0 END) AS guarded_point_rows,
+    count(DISTINCT CASE WHEN hit THEN split || '|' || deviceSn || '|' || date END) AS guarded_days
+  FROM (UNPIVOT (SELECT split, eval_split, deviceSn, date, hit_broad AS broad, hit_precision AS precision,
+                   hit_low AS piecewise_low, hit_mid AS piecewise_mid, (hit_low OR hit_mid) AS piecewise_all FROM pol5)
+        ON broad, precision, piecewise_low, piecewise_mid, piecewise_all INTO NAME guard VALUE hit)
+  GROUP BY guard, eval_split)"""
+
+METRICS_OUT = """
+metrics_out AS (
+  SELECT experiment, candidate, eval_split, mae, rmse, mape, daily_mae, daily_rmse, daily_mape, n_days FROM cand_metrics
+  UNION ALL
+  SELECT n.experiment, s.candidate, 'combined_validation', NULL, NULL, NULL, NULL, NULL, s.combined, NULL
+  FROM cand_scores s JOIN cand_names n ON s.candidate = n.candidate WHERE s.combined IS NOT NULL)"""
+
+DAILY_SINK = """
+daily_sink AS (
+  SELECT split, eval_split, deviceSn, date, coalesce(sum(pvGenTotal), 0e0) AS actual_daily,
+    sum(final_prediction) AS final_pred_daily, sum(pred_irradiance_baseline) AS baseline_daily,
+    sum(pred_raw_point) AS raw_point_daily, sum(pred_norm_point) AS norm_point_daily,
+    sum(pred_norm_calibrated) AS calibrated_daily, sum(pred_validated_blend) AS validated_blend_daily,
+    sum(pred_history_fallback) AS history_fallback_daily, sum(pred_low_output_guard) AS low_output_guard_daily,
+    sum(pred_precision_low_output_guard) AS precision_low_output_guard_daily,
+    sum(pred_piecewise_low_output_guard) AS piecewise_low_output_guard_daily,
+    sum(pred_seen_new_branch) AS seen_new_branch_daily, sum(deployment_prediction) AS deployment_daily
+  FROM final_points WHERE date IS NOT NULL GROUP BY split, eval_split, deviceSn, date)"""
+
+BLEND_REPORT = """
+r1_pts AS (
+  SELECT a.a AS alpha_norm_calibrated, f.eval_split, f.deviceSn, f.date, f.pvGenTotal,
+    greatest(a.a * f.pred_norm_calibrated + (1 - a.a) * f.pred_daily_model_rescaled, 0e0) AS p
+  FROM final_points f, alphas a WHERE f.eval_split IN ('valid_seen', 'valid_unseen', 'test1', 'test2')),
+r1_point AS (
+  SELECT alpha_norm_calibrated, eval_split, avg(abs(pvGenTotal - p)) AS mae, sqrt(avg((pvGenTotal - p) ^ 2)) AS rmse,
+    avg(abs(pvGenTotal - p) / greatest(abs(pvGenTotal), 1e-9)) AS mape
+  FROM r1_pts GROUP BY ALL),
+r1_day AS (
+  SELECT alpha_norm_calibrated, eval_split, deviceSn, date, coalesce(sum(pvGenTotal), 0e0) AS y, coalesce(sum(p), 0e0) AS p
+  FROM r1_pts WHERE date IS NOT NULL GROUP BY ALL),
+r1_daily AS (
+  SELECT alpha_norm_calibrated, eval_split, avg(abs(y - p)) AS daily_mae, sqrt(avg((y - p) ^ 2)) AS daily_rmse,
+    avg(abs(y - p) / greatest(abs(y), 1e-9)) AS daily_mape
+  FROM r1_day GROUP BY ALL),
+r1 AS (
+  SELECT p.*, d.daily_mae, d.daily_rmse, d.daily_mape
+  FROM r1_point p JOIN r1_daily d ON p.alpha_norm_calibrated = d.alpha_norm_calibrated AND p.eval_split = d.eval_split),
+r2a AS (
+  SELECT alpha_norm_calibrated,
+    max(daily_mape) FILTER (WHERE eval_split = 'test1') AS test1,
+    max(daily_mape) FILTER (WHERE eval_split = 'test2') AS test2,
+    max(daily_mape) FILTER (WHERE eval_split = 'valid_seen') AS valid_seen,
+    max(daily_mape) FILTER (WHERE eval_split = 'valid_unseen') AS valid_unseen
+  FROM r1 GROUP BY alpha_norm_calibrated),
+r2 AS (SELECT *, 0.5 * (valid_seen + valid_unseen) AS combined_valid, 0.5 * (test1 + test2) AS combined_test FROM r2a),
+r3 AS (
+  (SELECT alpha_norm_calibrated, combined_valid AS score, 'validation' AS selected_on FROM r2
+   ORDER BY combined_valid, alpha_norm_calibrated LIMIT 1)
+  UNION ALL
+  (SELECT alpha_norm_calibrated, combined_test AS score, 'test' AS selected_on FROM r2
+   ORDER BY combined_test, alpha_norm_calibrated LIMIT 1)),
+r4 AS (
+  UNPIVOT (SELECT alpha_norm_calibrated, combined_valid, combined_test, test1, test2 FROM r2)
+  ON combined_valid, combined_test, test1, test2 INTO NAME metric_group VALUE daily_mape)"""
+
+
+def experiment_chain(*extra: str) -> str:
+    return chain(*features_chain(), DAILY, EXPERIMENT, *extra)

@@ -21,6 +21,7 @@ from pvlake.operators.history import enrich
 from pvlake.operators.neighbours import nearest_neighbour_stats
 from pvlake.operators.splits import train_mask
 from pvlake.plans.features import label, scalar_features, target_features
+from pvlake.session import materialize
 from pvlake.sources.fixture import pv_points, supplier_points
 
 _CACHE: dict[tuple, "RunContext"] = {}
@@ -62,7 +63,7 @@ class RunContext:
     @cached_property
     def scalar(self) -> DataFrame:
         """Labels + row-local features: the base every later step reads."""
-        return _keep(scalar_features(self.labelled, self.settings))
+        return materialize(scalar_features(self.labelled, self.settings), "points")
 
     @cached_property
     def train_rows(self) -> DataFrame:
@@ -70,22 +71,20 @@ class RunContext:
 
     @cached_property
     def neighbours(self) -> DataFrame:
-        return _keep(nearest_neighbour_stats(self.train_rows, self.scalar, self.settings.approx_quantiles))
+        return materialize(nearest_neighbour_stats(self.train_rows, self.scalar, self.settings.approx_quantiles),
+                           "neighbours")
 
     @cached_property
     def features(self) -> DataFrame:
         s = self.settings
         enriched = enrich(self.scalar, self.train_rows, self.neighbours, s.approx_quantiles)
-        return _keep(target_features(enriched, s))
+        return materialize(target_features(enriched, s), "features")
 
     @cached_property
     def daily(self) -> DataFrame:
-        return _keep(make_daily_frame(self.features, self.settings.approx_quantiles))
+        return materialize(make_daily_frame(self.features, self.settings.approx_quantiles), "daily")
 
     def release(self) -> None:
-        for name in ("scalar", "neighbours", "features", "daily"):
-            if name in self.__dict__:
-                self.__dict__[name].unpersist()
         _CACHE.pop((id(self.spark), self.sf_dir, self.settings, self.source), None)
 
 

@@ -211,3 +211,143 @@ DRIFT_SPEC = "metric:s, " + doubles("train", "valid_seen", "valid_unseen", "test
 def _drift(spark, sf):
     c = ctx(spark, sf)
     return drift_table(split_summary(c.features, c.daily))
+
+
+# ------------------------------------------------------- prediction & policy
+_EXPERIMENTS: dict = {}
+
+
+def experiment(spark: SparkSession, sf: str, predictors: str = "standin", **kw):
+    from pvlake.models.standin import StandInPredictors
+    from pvlake.plans.experiment import Experiment
+
+    key = (id(spark), sf, predictors, tuple(sorted(kw.items())))
+    if key not in _EXPERIMENTS:
+        if predictors == "standin":
+            model = StandInPredictors()
+        else:
+            from pvlake.models.gbt import GbtPredictors
+            model = GbtPredictors()
+        _EXPERIMENTS[key] = Experiment(ctx(spark, sf, **kw), model)
+    return _EXPERIMENTS[key]
+
+
+CAND = ("pred_irradiance_baseline", "pred_raw_point", "pred_norm_point", "pred_daily_model_rescaled",
+        "pred_norm_calibrated", "pred_validated_blend", "pred_history_fallback", "pred_low_output_guard",
+        "pred_precision_low_output_guard", "pred_piecewise_low_output_guard", "pred_seen_new_branch")
+SIX = ("mae", "rmse", "mape", "daily_mae", "daily_rmse", "daily_mape")
+
+
+@register("irradiance_baseline", "row_id:l, eval_split:s, pred_irradiance_baseline:d",
+          Q.experiment_chain() + "\nSELECT * FROM base", "M4 + M13 irradiance baseline, sanitized")
+def _baseline(spark, sf):
+    return experiment(spark, sf).base_points
+
+
+@register("rescaled_predictions", "row_id:l, pred_daily_model_rescaled:d, pred_norm_calibrated:d",
+          Q.experiment_chain() + "\nSELECT * FROM final_points", "M8 top-down daily reconciliation")
+def _rescaled(spark, sf):
+    return experiment(spark, sf).points
+
+
+@register("blend_scan", "alpha:d, combined:d", Q.experiment_chain() + "\nSELECT * FROM blend_scores "
+          "WHERE isfinite(combined)", "M16 validation blend-weight scan")
+def _blend_scan(spark, sf):
+    return experiment(spark, sf).blend_scores
+
+
+@register("policy_predictions",
+          "row_id:l, split:s, eval_split:s, deviceSn:s, date:s, us_timestamp:t, pvGenTotal:d, "
+          + doubles(*CAND, "final_prediction", "deployment_prediction"),
+          Q.experiment_chain() + "\nSELECT * FROM final_points",
+          "K1 + M13, M15, M17-M20, M22-M24 point predictions of every candidate")
+def _policy(spark, sf):
+    return experiment(spark, sf).points
+
+
+@register("guard_summary", "guard:s, eval_split:s, guarded_point_rows:l, guarded_days:l",
+          Q.experiment_chain(Q.GUARDS) + "\nSELECT * FROM guard_out", "M21 guard trigger counts")
+def _guards(spark, sf):
+    return experiment(spark, sf).guard_summary
+
+
+@register("candidate_scores", "candidate:s, ordinal:l, combined:d",
+          Q.experiment_chain() + "\nSELECT * FROM cand_scores WHERE isfinite(combined)",
+          "M23 combined validation score of each candidate")
+def _cand_scores(spark, sf):
+    return experiment(spark, sf).candidate_scores
+
+
+@register("selected_candidate", "final_candidate:s, deployment_candidate:s, blend_alpha:d",
+          Q.experiment_chain() + "\nSELECT (SELECT candidate FROM best_cand) AS final_candidate, "
+          "'pred_precision_low_output_guard' AS deployment_candidate, (SELECT alpha FROM best_alpha) AS blend_alpha",
+          "M23, M24, chosen alpha")
+def _selected(spark, sf):
+    e = experiment(spark, sf)
+    return e.candidate_scores.limit(1).select(
+        e.best_candidate.alias("final_candidate"),
+        F.lit("pred_precision_low_output_guard").alias("deployment_candidate"),
+        e.alpha.alias("blend_alpha"))
+
+
+@register("experiment_metrics", "experiment:s, candidate:s, eval_split:s, n_days:d, " + doubles(*SIX),
+          Q.experiment_chain(Q.METRICS_OUT) + "\nSELECT * FROM metrics_out",
+          "E1-E5 metrics of every candidate by split, with combined validation rows")
+def _exp_metrics(spark, sf):
+    return experiment(spark, sf).metrics_long
+
+
+@register("final_metrics_by_split", "eval_split:s, n_days:l, " + doubles(*SIX),
+          Q.experiment_chain() + "\nSELECT * FROM cand_metrics WHERE candidate = (SELECT candidate FROM best_cand)",
+          "E6 / K4 metrics of the selected candidate")
+def _final_metrics(spark, sf):
+    return experiment(spark, sf).final_by_split
+
+
+@register("deployment_metrics_by_split", "eval_split:s, n_days:l, " + doubles(*SIX),
+          Q.experiment_chain() + "\nSELECT * FROM cand_metrics WHERE candidate = 'pred_precision_low_output_guard'",
+          "K4 metrics of the deployment column")
+def _deploy_metrics(spark, sf):
+    return experiment(spark, sf).deployment_by_split
+
+
+@register("daily_predictions", "split:s, eval_split:s, deviceSn:s, date:s, " + doubles(
+    "actual_daily", "final_pred_daily", "baseline_daily", "raw_point_daily", "norm_point_daily",
+    "calibrated_daily", "validated_blend_daily", "history_fallback_daily", "low_output_guard_daily",
+    "precision_low_output_guard_daily", "piecewise_low_output_guard_daily", "seen_new_branch_daily",
+    "deployment_daily"), Q.experiment_chain(Q.DAILY_SINK) + "\nSELECT * FROM daily_sink", "K2 daily sink")
+def _daily_sink(spark, sf):
+    return experiment(spark, sf).daily_predictions
+
+
+@register("blend_weight_scan", "alpha_norm_calibrated:d, eval_split:s, " + doubles(*SIX),
+          Q.experiment_chain(Q.BLEND_REPORT) + "\nSELECT * FROM r1", "R1 post-hoc blend scan")
+def _r1(spark, sf):
+    from pvlake.plans.experiment import blend_weight_scan
+    e = experiment(spark, sf)
+    return blend_weight_scan(e.points, e.policy_days)
+
+
+@register("blend_weight_summary", "alpha_norm_calibrated:d, " + doubles(
+    "test1", "test2", "valid_seen", "valid_unseen", "combined_valid", "combined_test"),
+    Q.experiment_chain(Q.BLEND_REPORT) + "\nSELECT * FROM r2", "R2 pivot of the scan")
+def _r2(spark, sf):
+    from pvlake.plans.experiment import blend_summary, blend_weight_scan
+    e = experiment(spark, sf)
+    return blend_summary(blend_weight_scan(e.points, e.policy_days))
+
+
+@register("blend_argmin", "alpha_norm_calibrated:d, score:d, selected_on:s",
+          Q.experiment_chain(Q.BLEND_REPORT) + "\nSELECT * FROM r3", "R3 best alpha on validation / test")
+def _r3(spark, sf):
+    from pvlake.plans.experiment import blend_argmin, blend_summary, blend_weight_scan
+    e = experiment(spark, sf)
+    return blend_argmin(blend_summary(blend_weight_scan(e.points, e.policy_days)))
+
+
+@register("blend_long", "alpha_norm_calibrated:d, metric_group:s, daily_mape:d",
+          Q.experiment_chain(Q.BLEND_REPORT) + "\nSELECT * FROM r4", "R4 melt")
+def _r4(spark, sf):
+    from pvlake.plans.experiment import blend_long, blend_summary, blend_weight_scan
+    e = experiment(spark, sf)
+    return blend_long(blend_summary(blend_weight_scan(e.points, e.policy_days)))
