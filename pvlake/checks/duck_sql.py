@@ -329,7 +329,7 @@ blend_scores AS (
   SELECT a AS alpha, 0.5 * max(dm) FILTER (WHERE eval_split = 'valid_seen')
     + 0.5 * max(dm) FILTER (WHERE eval_split = 'valid_unseen') AS combined
   FROM blend_split GROUP BY a),
-best_alpha AS (SELECT alpha FROM blend_scores WHERE isfinite(combined) ORDER BY combined, alpha LIMIT 1),
+best_alpha AS (SELECT alpha FROM blend_scores WHERE isfinite(combined) ORDER BY round(combined, 9), alpha LIMIT 1),
 seen_devs AS (SELECT DISTINCT deviceSn FROM points WHERE split = 'train' AND eval_split = 'train'),
 pol AS (
   SELECT r.*, (SELECT alpha FROM best_alpha) AS blend_alpha,
@@ -382,7 +382,7 @@ cand_scores AS (
     0.5 * max(daily_mape) FILTER (WHERE eval_split = 'valid_seen')
     + 0.5 * max(daily_mape) FILTER (WHERE eval_split = 'valid_unseen') AS combined
   FROM cand_metrics m JOIN cand_names n ON m.candidate = n.candidate GROUP BY n.candidate, n.ordinal),
-best_cand AS (SELECT candidate FROM cand_scores WHERE isfinite(combined) ORDER BY combined, ordinal LIMIT 1),
+best_cand AS (SELECT candidate FROM cand_scores WHERE isfinite(combined) ORDER BY round(combined, 9), ordinal LIMIT 1),
 final_points AS (
   SELECT *, CASE (SELECT candidate FROM best_cand)
     {" ".join(f"WHEN '{c}' THEN {c}" for c in CANDIDATES)} END AS final_prediction,
@@ -457,3 +457,97 @@ r4 AS (
 
 def experiment_chain(*extra: str) -> str:
     return chain(*features_chain(), DAILY, EXPERIMENT, *extra)
+
+REPORTS = """
+sd_sums AS (
+  SELECT split, deviceSn, date, coalesce(sum(pvGenTotal), 0e0) AS daily_sum FROM points
+  WHERE date IS NOT NULL GROUP BY split, deviceSn, date),
+hist_range AS (SELECT min(daily_sum) AS lo, max(daily_sum) AS hi FROM sd_sums),
+hist AS (
+  SELECT split, bin, count(*) AS days,
+    (SELECT lo FROM hist_range) + (bin - 1) * ((SELECT hi - lo FROM hist_range) / 32) AS bin_lo,
+    (SELECT lo FROM hist_range) + bin * ((SELECT hi - lo FROM hist_range) / 32) AS bin_hi
+  FROM (SELECT split, CASE WHEN r.hi > r.lo THEN least(floor((daily_sum - r.lo) / (r.hi - r.lo) * 32) + 1, 32)
+                           ELSE 1 END AS bin
+        FROM sd_sums, hist_range r) GROUP BY split, bin),
+loc_table AS (
+  SELECT split, deviceSn, median(latitude) AS latitude, median(longitude) AS longitude FROM points GROUP BY split, deviceSn),
+scatter0 AS (
+  SELECT eval_split, deviceSn, date, coalesce(sum(pvGenTotal), 0e0) AS y_true_day, coalesce(sum(final_prediction), 0e0) AS y_pred_day
+  FROM final_points WHERE date IS NOT NULL GROUP BY eval_split, deviceSn, date),
+scatter AS (SELECT *, greatest((SELECT max(y_true_day) FROM scatter0), (SELECT max(y_pred_day) FROM scatter0)) * 1.05 AS axis_limit FROM scatter0),
+final_by_split AS (SELECT * FROM cand_metrics WHERE candidate = (SELECT candidate FROM best_cand)),
+deploy_by_split AS (SELECT * FROM cand_metrics WHERE candidate = 'pred_precision_low_output_guard'),
+mape_rank AS (SELECT eval_split, daily_mape, row_number() OVER (ORDER BY daily_mape, eval_split) AS rank FROM final_by_split),
+curve_days AS (
+  SELECT eval_split, deviceSn, date, coalesce(sum(pvGenTotal), 0e0) AS total,
+    CASE WHEN eval_split IN ('test1', 'test2', 'valid_seen', 'valid_unseen') THEN 0 ELSE 1 END AS pref
+  FROM final_points WHERE date IS NOT NULL GROUP BY eval_split, deviceSn, date),
+curve_pick AS (SELECT * FROM curve_days ORDER BY pref, total DESC, eval_split, deviceSn, date LIMIT 1),
+curve AS (
+  SELECT c.eval_split AS chosen_eval_split, f.deviceSn, f.date, f.us_timestamp, f.pvGenTotal, f.final_prediction AS prediction
+  FROM final_points f JOIN curve_pick c ON f.deviceSn = c.deviceSn AND f.date = c.date),
+cand_rank AS (
+  SELECT candidate, combined, row_number() OVER (ORDER BY round(combined, 9), ordinal) AS rank FROM cand_scores WHERE isfinite(combined)),
+cold_evidence AS (
+  SELECT experiment, max(daily_mape) FILTER (WHERE eval_split = 'valid_unseen') AS valid_unseen,
+    max(daily_mape) FILTER (WHERE eval_split = 'test2') AS test2
+  FROM cand_metrics WHERE experiment IN ('E05_norm_plus_daily_calibration', 'E07_validated_blend',
+    'E08_history_dynamic_fallback', 'E09_low_output_guard', 'E10_precision_low_output_guard',
+    'E11_piecewise_low_output_guard', 'E02_lgbm_daily_rescaled') GROUP BY experiment),
+deploy_cmp AS (
+  SELECT f.eval_split, f.daily_mape AS final_daily_mape, d.daily_mape AS deployment_daily_mape
+  FROM final_by_split f JOIN deploy_by_split d ON f.eval_split = d.eval_split
+  WHERE f.eval_split IN ('valid_seen', 'valid_unseen', 'test1', 'test2')),
+top5 AS (SELECT candidate, combined FROM cand_scores WHERE isfinite(combined) ORDER BY round(combined, 9), ordinal LIMIT 5),
+worst AS (
+  SELECT * FROM (
+    SELECT eval_split, deviceSn, date, y_true_day, y_pred_day,
+      abs(y_true_day - y_pred_day) / greatest(abs(y_true_day), 1e-9) AS ape,
+      row_number() OVER (PARTITION BY eval_split ORDER BY abs(y_true_day - y_pred_day) / greatest(abs(y_true_day), 1e-9) DESC, deviceSn, date) AS rank
+    FROM scatter0) WHERE rank <= 10),
+gates AS (
+  SELECT f.eval_split, f.daily_mape, g.max_daily_mape, f.daily_mape <= g.max_daily_mape AS passed
+  FROM final_by_split f JOIN (VALUES ('valid_seen', 0.09), ('valid_unseen', 0.18), ('test1', 0.10)) g(eval_split, max_daily_mape)
+  ON f.eval_split = g.eval_split),
+keep_revert AS (
+  SELECT candidate, combined, b AS baseline_combined, (b - combined) / b AS relative_gain,
+    combined < b AS keep, (b - combined) / b >= 0.01 AS preferred
+  FROM (SELECT *, (SELECT combined FROM cand_scores WHERE candidate = 'pred_irradiance_baseline') AS b
+        FROM cand_scores WHERE isfinite(combined))),
+leak AS (
+  SELECT count(*) AS history_devices_outside_training FROM (
+    SELECT DISTINCT deviceSn FROM dev_stats EXCEPT SELECT DISTINCT deviceSn FROM points
+    WHERE split = 'train' AND eval_split = 'train')),
+prof AS (
+  SELECT s.deviceSn, s.slot_id, s.m / (x.mx + 1e-9) AS profile FROM
+    (SELECT deviceSn, slot_id, avg(solar_proxy) AS m FROM points WHERE slot_id IS NOT NULL GROUP BY deviceSn, slot_id) s
+    JOIN (SELECT deviceSn, max(m) AS mx FROM (SELECT deviceSn, slot_id, avg(solar_proxy) AS m FROM points
+          WHERE slot_id IS NOT NULL GROUP BY deviceSn, slot_id) GROUP BY deviceSn) x ON s.deviceSn = x.deviceSn),
+prof_norm AS (SELECT deviceSn, sqrt(sum(profile * profile)) AS nrm FROM prof GROUP BY deviceSn),
+pair_cos AS (
+  SELECT a.deviceSn AS d1, b.deviceSn AS d2, sum(a.profile * b.profile) AS dot
+  FROM prof a JOIN prof b ON a.slot_id = b.slot_id AND a.deviceSn <> b.deviceSn GROUP BY a.deviceSn, b.deviceSn),
+similarity AS (
+  SELECT n1.deviceSn, coalesce(sum(CASE WHEN n1.nrm > 0 AND n2.nrm > 0 THEN p.dot / (n1.nrm * n2.nrm) ELSE 0e0 END), 0e0)
+    / greatest((SELECT count(*) FROM prof_norm) - 1, 1) AS radiation_similarity_mean
+  FROM prof_norm n1 LEFT JOIN pair_cos p ON p.d1 = n1.deviceSn LEFT JOIN prof_norm n2 ON p.d2 = n2.deviceSn
+  GROUP BY n1.deviceSn),
+wdays AS (
+  SELECT deviceSn, date, avg(solar_proxy) AS solar_mean, max(solar_proxy) AS solar_max, avg(temperature_2m) AS temperature_2m,
+    CASE WHEN max(solar_proxy) > 700 THEN 2 WHEN max(solar_proxy) > 300 AND max(solar_proxy) <= 700 THEN 1 ELSE 0 END AS weather_bin
+  FROM points WHERE date IS NOT NULL GROUP BY deviceSn, date),
+wrows AS (
+  SELECT p.row_id, coalesce(w.weather_bin, 0) AS weather_bin FROM points p
+  LEFT JOIN wdays w ON p.deviceSn = w.deviceSn AND p.date = w.date),
+region_cap AS (
+  SELECT c.deviceSn, c.region_lat_5, c.region_lon_5, r.region_daily_mean, r.region_train_devices FROM
+    (SELECT deviceSn, floor(median(latitude) / 5e0) * 5 AS region_lat_5, floor(median(longitude) / 5e0) * 5 AS region_lon_5
+     FROM points GROUP BY deviceSn) c
+  LEFT JOIN (
+    SELECT c2.region_lat_5, c2.region_lon_5, avg(d.m) AS region_daily_mean, count(*) AS region_train_devices
+    FROM (SELECT deviceSn, floor(median(latitude) / 5e0) * 5 AS region_lat_5, floor(median(longitude) / 5e0) * 5 AS region_lon_5
+          FROM points GROUP BY deviceSn) c2
+    JOIN (SELECT deviceSn, avg(daily_sum) AS m FROM tr_daily GROUP BY deviceSn) d ON c2.deviceSn = d.deviceSn
+    GROUP BY c2.region_lat_5, c2.region_lon_5) r
+  ON c.region_lat_5 = r.region_lat_5 AND c.region_lon_5 = r.region_lon_5)"""

@@ -100,9 +100,15 @@ def blend_scan(sd: DataFrame) -> DataFrame:
         & (F.abs(F.col("combined")) != float("inf")))
 
 
+def tie_key(score: Column) -> Column:
+    """Scores equal to 1e-9 count as ties (the list order decides), so float noise
+    from summation order cannot reorder equal candidates."""
+    return F.round(score, 9)
+
+
 def best_alpha(scan: DataFrame) -> Column:
     """Minimum score, ties to the lowest alpha (scalar subquery)."""
-    return scan.agg(F.min_by("alpha", F.struct("combined", "alpha"))).scalar()
+    return scan.agg(F.min_by("alpha", F.struct(tie_key(F.col("combined")), F.col("alpha")))).scalar()
 
 
 def _guard(alpha_h: Column, day_pred: Column, threshold: float, multiplier: float) -> Column:
@@ -171,7 +177,7 @@ def select_candidate(daily_scores: DataFrame) -> tuple[DataFrame, Column]:
     """Candidate with the lowest combined validation daily MAPE, first in list order on ties."""
     comb = combined_validation(daily_scores, ["candidate", "ordinal"]).filter(
         F.col("combined").isNotNull() & ~F.isnan("combined") & (F.abs(F.col("combined")) != float("inf")))
-    best = comb.agg(F.min_by("candidate", F.struct("combined", "ordinal"))).scalar()
+    best = comb.agg(F.min_by("candidate", F.struct(tie_key(F.col("combined")), F.col("ordinal")))).scalar()
     return comb, best
 
 

@@ -351,3 +351,127 @@ def _r4(spark, sf):
     from pvlake.plans.experiment import blend_long, blend_summary, blend_weight_scan
     e = experiment(spark, sf)
     return blend_long(blend_summary(blend_weight_scan(e.points, e.policy_days)))
+
+
+# ------------------------------------------------------------ reports (R, B)
+def _rep():
+    from pvlake.operators import reports as R
+    return R
+
+
+@register("daily_energy_histogram", "split:s, bin:l, days:l, bin_lo:d, bin_hi:d",
+          Q.experiment_chain(Q.REPORTS) + "\nSELECT * FROM hist", "R12 32-bin histogram of device-day sums")
+def _r12(spark, sf):
+    return _rep().daily_energy_histogram(ctx(spark, sf).features)
+
+
+@register("device_location_table", "split:s, deviceSn:s, latitude:d, longitude:d",
+          Q.experiment_chain(Q.REPORTS) + "\nSELECT * FROM loc_table", "R13")
+def _r13(spark, sf):
+    return _rep().device_location_table(ctx(spark, sf).features)
+
+
+@register("daily_scatter", "eval_split:s, deviceSn:s, date:s, y_true_day:d, y_pred_day:d, axis_limit:d",
+          Q.experiment_chain(Q.REPORTS) + "\nSELECT * FROM scatter", "R14 / E3 daily actual vs final prediction")
+def _r14(spark, sf):
+    return _rep().daily_scatter(experiment(spark, sf).points, "final_prediction")
+
+
+@register("mape_ranking", "eval_split:s, daily_mape:d, rank:l",
+          Q.experiment_chain(Q.REPORTS) + "\nSELECT * FROM mape_rank", "R15")
+def _r15(spark, sf):
+    return _rep().mape_ranking(experiment(spark, sf).final_by_split)
+
+
+@register("example_curve", "chosen_eval_split:s, deviceSn:s, date:s, us_timestamp:t, pvGenTotal:d, prediction:d",
+          Q.experiment_chain(Q.REPORTS) + "\nSELECT * FROM curve", "R16 largest evaluation day, its points")
+def _r16(spark, sf):
+    return _rep().example_curve(experiment(spark, sf).points, "final_prediction")
+
+
+@register("candidate_ranking", "candidate:s, combined:d, rank:l",
+          Q.experiment_chain(Q.REPORTS) + "\nSELECT * FROM cand_rank", "R17")
+def _r17(spark, sf):
+    return _rep().candidate_ranking(experiment(spark, sf).candidate_scores)
+
+
+@register("cold_start_evidence", "experiment:s, valid_unseen:d, test2:d",
+          Q.experiment_chain(Q.REPORTS) + "\nSELECT * FROM cold_evidence", "R18 cold-start table")
+def _r18a(spark, sf):
+    return _rep().cold_start_evidence(experiment(spark, sf).metrics_long)
+
+
+@register("deployment_comparison", "eval_split:s, final_daily_mape:d, deployment_daily_mape:d",
+          Q.experiment_chain(Q.REPORTS) + "\nSELECT * FROM deploy_cmp", "R18 final vs deployment")
+def _r18b(spark, sf):
+    e = experiment(spark, sf)
+    return _rep().deployment_comparison(e.final_by_split, e.deployment_by_split)
+
+
+@register("top_candidates", "candidate:s, combined:d",
+          Q.experiment_chain(Q.REPORTS) + "\nSELECT * FROM top5", "R19 top-5 report")
+def _r19(spark, sf):
+    return _rep().top_candidates(experiment(spark, sf).candidate_scores)
+
+
+@register("worst_days", "eval_split:s, deviceSn:s, date:s, y_true_day:d, y_pred_day:d, ape:d, rank:l",
+          Q.experiment_chain(Q.REPORTS) + "\nSELECT * FROM worst", "B2 top-10 APE days per split")
+def _b2(spark, sf):
+    return _rep().worst_days(experiment(spark, sf).points, "final_prediction")
+
+
+@register("acceptance_gates", "eval_split:s, daily_mape:d, max_daily_mape:d, passed:s",
+          Q.experiment_chain(Q.REPORTS) + "\nSELECT * FROM gates", "B8 metric gates")
+def _b8(spark, sf):
+    return _rep().acceptance_gates(experiment(spark, sf).final_by_split)
+
+
+@register("keep_or_revert", "candidate:s, combined:d, baseline_combined:d, relative_gain:d, keep:s, preferred:s",
+          Q.experiment_chain(Q.REPORTS) + "\nSELECT * FROM keep_revert", "B9 keep/revert rule")
+def _b9(spark, sf):
+    return _rep().keep_or_revert(experiment(spark, sf).candidate_scores)
+
+
+@register("leakage_audit", "history_devices_outside_training:l",
+          Q.experiment_chain(Q.REPORTS) + "\nSELECT * FROM leak", "B10 history keys only from training rows")
+def _b10(spark, sf):
+    from pvlake.plans.features import daily_feature_columns
+    c = ctx(spark, sf)
+    return _rep().leakage_audit(c.features, device_history(c.train_rows), daily_feature_columns(c.daily))
+
+
+# ---------------------------------------------------------- profiles (A12-14)
+@register("radiation_profile", "deviceSn:s, slot_id:d, profile:d",
+          Q.experiment_chain(Q.REPORTS) + "\nSELECT * FROM prof", "A12 normalised slot profile")
+def _a12(spark, sf):
+    from pvlake.operators.profiles import radiation_profile
+    return radiation_profile(ctx(spark, sf).features)
+
+
+@register("radiation_similarity", "deviceSn:s, radiation_similarity_mean:d",
+          Q.experiment_chain(Q.REPORTS) + "\nSELECT * FROM similarity",
+          "A13 mean cosine similarity (closed form vs SQL pair join)")
+def _a13(spark, sf):
+    from pvlake.operators.profiles import radiation_similarity
+    return radiation_similarity(ctx(spark, sf).features)
+
+
+@register("weather_days", "deviceSn:s, date:s, solar_mean:d, solar_max:d, temperature_2m:d, weather_bin:l",
+          Q.experiment_chain(Q.REPORTS) + "\nSELECT * FROM wdays", "A14 day weather bins")
+def _a14(spark, sf):
+    from pvlake.operators.profiles import weather_days
+    return weather_days(ctx(spark, sf).features)
+
+
+@register("weather_bin_rows", "row_id:l, weather_bin:l",
+          Q.experiment_chain(Q.REPORTS) + "\nSELECT * FROM wrows", "A14 bins mapped to rows")
+def _a14b(spark, sf):
+    from pvlake.operators.profiles import add_weather_bins
+    return add_weather_bins(ctx(spark, sf).features)
+
+
+@register("region_capacity", "deviceSn:s, region_lat_5:d, region_lon_5:d, region_daily_mean:d, region_train_devices:d",
+          Q.experiment_chain(Q.REPORTS) + "\nSELECT * FROM region_cap", "B3 region capacity proxy")
+def _b3(spark, sf):
+    from pvlake.operators.profiles import region_capacity
+    return region_capacity(ctx(spark, sf).features)
