@@ -455,8 +455,8 @@ r4 AS (
   ON combined_valid, combined_test, test1, test2 INTO NAME metric_group VALUE daily_mape)"""
 
 
-def experiment_chain(*extra: str) -> str:
-    return chain(*features_chain(), DAILY, EXPERIMENT, *extra)
+def experiment_chain(*extra: str, strategy: str = "default") -> str:
+    return chain(*features_chain(strategy), DAILY, EXPERIMENT, *extra)
 
 REPORTS = """
 sd_sums AS (
@@ -551,3 +551,58 @@ region_cap AS (
     JOIN (SELECT deviceSn, avg(daily_sum) AS m FROM tr_daily GROUP BY deviceSn) d ON c2.deviceSn = d.deviceSn
     GROUP BY c2.region_lat_5, c2.region_lon_5) r
   ON c.region_lat_5 = r.region_lat_5 AND c.region_lon_5 = r.region_lon_5)"""
+
+
+CANDIDATE_TABLE = """
+cand_table AS (
+  SELECT m.candidate,
+    max(m.daily_mape) FILTER (WHERE m.eval_split = 'valid_seen') AS valid_seen_daily_mape,
+    max(m.daily_mape) FILTER (WHERE m.eval_split = 'valid_unseen') AS valid_unseen_daily_mape,
+    max(m.daily_mape) FILTER (WHERE m.eval_split = 'test1') AS test1_daily_mape,
+    max(m.daily_mape) FILTER (WHERE m.eval_split = 'test2') AS test2_daily_mape,
+    max(s.combined) AS combined_validation_daily_mape
+  FROM cand_metrics m LEFT JOIN (SELECT * FROM cand_scores WHERE isfinite(combined)) s ON m.candidate = s.candidate
+  GROUP BY m.candidate)"""
+
+DIAGNOSTICS = """
+adaptive AS (
+  SELECT eval_split, avg(abs(y - p) / greatest(abs(y), 1e-9)) AS daily_mape,
+    count(*) FILTER (WHERE hit) AS guarded_days, max(thr) AS threshold
+  FROM (
+    SELECT eval_split, y, thr, hit, CASE WHEN hit THEN fb * 0.7 ELSE fb END AS p FROM (
+      SELECT *, coalesce(h <= 1e-6 AND fb <= thr, false) AS hit FROM (
+        SELECT split, eval_split, deviceSn, date, coalesce(sum(pvGenTotal), 0e0) AS y,
+          coalesce(sum(pred_history_fallback), 0e0) AS fb, max(cold_start_alpha) AS h,
+          (SELECT quantile_cont(daily_target, 0.15) FROM daily WHERE eval_split = 'train') AS thr
+        FROM pol3 WHERE date IS NOT NULL GROUP BY split, eval_split, deviceSn, date)))
+  GROUP BY eval_split),
+b4_cells AS (
+  SELECT deviceSn, floor(median(latitude) / 5e0) * 5 AS cell_lat, floor(median(longitude) / 5e0) * 5 AS cell_lon
+  FROM points GROUP BY deviceSn),
+b4_days AS (
+  SELECT d.*, c.cell_lat, c.cell_lon FROM (
+    SELECT split, eval_split, deviceSn, date, coalesce(sum(pvGenTotal), 0e0) AS y,
+      coalesce(sum(pred_validated_blend), 0e0) AS p
+    FROM pol2 WHERE date IS NOT NULL GROUP BY split, eval_split, deviceSn, date) d
+  LEFT JOIN b4_cells c ON d.deviceSn = c.deviceSn),
+b4_ratio AS (
+  SELECT cell_lat, cell_lon, CASE WHEN sum(p) > 0 THEN sum(y) / sum(p) END AS f
+  FROM b4_days WHERE eval_split IN ('valid_seen', 'valid_unseen') GROUP BY cell_lat, cell_lon),
+grouped_cal AS (
+  SELECT d.eval_split, avg(abs(d.y - d.p) / greatest(abs(d.y), 1e-9)) AS daily_mape_before,
+    avg(abs(d.y - d.p * coalesce(r.f, 1e0)) / greatest(abs(d.y), 1e-9)) AS daily_mape_after
+  FROM b4_days d LEFT JOIN b4_ratio r ON d.cell_lat IS NOT DISTINCT FROM r.cell_lat AND d.cell_lon IS NOT DISTINCT FROM r.cell_lon
+  GROUP BY d.eval_split),
+b6_off AS (
+  SELECT slot_id, quantile_cont(pvGenTotal - final_prediction, 0.1) AS r_lo,
+    quantile_cont(pvGenTotal - final_prediction, 0.9) AS r_hi
+  FROM final_points WHERE eval_split IN ('valid_seen', 'valid_unseen') AND slot_id IS NOT NULL GROUP BY slot_id),
+intervals AS (
+  SELECT eval_split,
+    avg(CASE WHEN pvGenTotal >= final_prediction + o.r_lo - 1e-12 AND pvGenTotal <= final_prediction + o.r_hi + 1e-12 THEN 1e0 ELSE 0e0 END) AS coverage,
+    avg(o.r_hi - o.r_lo) AS mean_width
+  FROM final_points f LEFT JOIN b6_off o ON f.slot_id = o.slot_id GROUP BY eval_split),
+resid_buckets AS (
+  SELECT region_lat_5, region_lon_5, floor(cloud_cover_H / 20e0) * 20 AS cloud_band, count(*) AS rows,
+    avg(pvGenTotal - final_prediction) AS mean_residual, avg(abs(pvGenTotal - final_prediction)) AS mean_abs_residual
+  FROM final_points GROUP BY ALL)"""

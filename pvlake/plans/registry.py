@@ -475,3 +475,160 @@ def _a14b(spark, sf):
 def _b3(spark, sf):
     from pvlake.operators.profiles import region_capacity
     return region_capacity(ctx(spark, sf).features)
+
+
+# ----------------------------------------------------- evaluation & diagnostics
+CAND_TABLE_SPEC = "candidate:s, " + doubles("combined_validation_daily_mape", "valid_seen_daily_mape",
+                                           "valid_unseen_daily_mape", "test1_daily_mape", "test2_daily_mape")
+
+
+@register("cold_start_stress", CAND_TABLE_SPEC,
+          Q.experiment_chain(Q.CANDIDATE_TABLE, strategy="low_capacity") + """
+SELECT * FROM cand_table WHERE candidate IN ('pred_norm_calibrated', 'pred_validated_blend', 'pred_history_fallback',
+  'pred_low_output_guard', 'pred_precision_low_output_guard', 'pred_piecewise_low_output_guard',
+  'pred_daily_model_rescaled', 'pred_seen_new_branch')""", "R10 low-capacity stress run")
+def _r10(spark, sf):
+    from pvlake.plans.evaluation import cold_start_stress
+    return cold_start_stress(experiment(spark, sf, unseen_strategy="low_capacity"))
+
+
+@register("model_comparison", "experiment:s, eval_split:s, " + doubles(*SIX),
+          Q.experiment_chain(Q.METRICS_OUT) + "\nSELECT * FROM metrics_out", "R11 flat comparison table")
+def _r11(spark, sf):
+    from pvlake.plans.evaluation import model_comparison
+    return model_comparison(experiment(spark, sf))
+
+
+@register("unseen_cv_folds", "fold:l, candidate:s, metric:s, value:d, best_prediction_column:s, best_blend_alpha:d",
+          None, "R7 three unseen-device folds in one application (rows-only)")
+def _r7(spark, sf):
+    from pvlake.plans.evaluation import unseen_cv
+    return unseen_cv(spark, sf, 3)
+
+
+@register("unseen_cv_aggregate", "metric:s, mean:d, std:d, min:d, max:d", None, "R8 fold aggregate (rows-only)")
+def _r8(spark, sf):
+    from pvlake.plans.evaluation import cv_aggregate, unseen_cv
+    return cv_aggregate(unseen_cv(spark, sf, 3))
+
+
+@register("unseen_cv_candidates", "candidate:s, metric:s, mean:d, std:d, min:d, max:d", None,
+          "R9 candidate stability over folds (rows-only)")
+def _r9(spark, sf):
+    from pvlake.plans.evaluation import cv_candidate_summary, unseen_cv
+    return cv_candidate_summary(unseen_cv(spark, sf, 3))
+
+
+@register("adaptive_guard", "eval_split:s, daily_mape:d, guarded_days:l, threshold:d",
+          Q.experiment_chain(Q.DIAGNOSTICS) + "\nSELECT * FROM adaptive", "M27 quantile-threshold guard")
+def _m27(spark, sf):
+    from pvlake.operators.diagnostics import adaptive_guard
+    e = experiment(spark, sf)
+    return adaptive_guard(e.policy_days, e.ctx.daily)
+
+
+@register("grouped_calibration", "eval_split:s, daily_mape_before:d, daily_mape_after:d",
+          Q.experiment_chain(Q.DIAGNOSTICS) + "\nSELECT * FROM grouped_cal", "B4 regional validation calibration")
+def _b4(spark, sf):
+    from pvlake.operators.diagnostics import grouped_calibration
+    e = experiment(spark, sf)
+    return grouped_calibration(e.policy_days, e.ctx.features)
+
+
+@register("prediction_intervals", "eval_split:s, coverage:d, mean_width:d",
+          Q.experiment_chain(Q.DIAGNOSTICS) + "\nSELECT * FROM intervals", "B6 residual-quantile intervals")
+def _b6(spark, sf):
+    from pvlake.operators.diagnostics import residual_intervals
+    return residual_intervals(experiment(spark, sf).points)
+
+
+@register("residual_buckets", "region_lat_5:d, region_lon_5:d, cloud_band:d, rows:l, mean_residual:d, "
+          "mean_abs_residual:d", Q.experiment_chain(Q.DIAGNOSTICS) + "\nSELECT * FROM resid_buckets",
+          "B7 residuals by location and cloud cover")
+def _b7(spark, sf):
+    from pvlake.operators.diagnostics import residual_buckets
+    return residual_buckets(experiment(spark, sf).points)
+
+
+# ------------------------------------------------------------ models (rows-only)
+@register("gbt_point_predictions", "row_id:l, eval_split:s, pred_raw_point:d, pred_norm_point:d", None,
+          "M1, M3, M5, M6 MLlib GBT point models (rows-only)")
+def _m5(spark, sf):
+    return experiment(spark, sf, predictors="gbt").base_points
+
+
+@register("gbt_experiment_metrics", "experiment:s, candidate:s, eval_split:s, n_days:d, " + doubles(*SIX), None,
+          "M2, M7, M9 daily model and calibrator through the full policy chain (rows-only)")
+def _m7(spark, sf):
+    return experiment(spark, sf, predictors="gbt").metrics_long
+
+
+@register("feature_importance", "feature:s, importance:d", None, "M25 top-25 importances (rows-only)")
+def _m25(spark, sf):
+    e = experiment(spark, sf, predictors="gbt")
+    e.base_points  # fits the models
+    return e.predictors.importances()
+
+
+@register("weighted_calibration", "split:s, deviceSn:s, date:s, pred_daily_model:d, pred_day_calibrated:d", None,
+          "M10 calibrator with 3x weight on low-output training days (rows-only)")
+def _m10(spark, sf):
+    e = experiment(spark, sf, predictors="gbt")
+    return e.predictors.daily(e.ctx.daily, e.device_days, weighted=True)
+
+
+def _boosted(spark, sf, loss):
+    from pvlake.models.boosting import boost
+    from pvlake.models.gbt import impute, non_empty, train_medians
+    from pvlake.plans.features import point_feature_columns
+    feat = ctx(spark, sf).features
+    train = feat.filter(train_mask())
+    cols = non_empty(train, point_feature_columns(feat))
+    every, icols = impute(feat, cols, train_medians(train, cols))
+    return boost(every.filter(train_mask()), every, icols, "pvGenTotal", f"pred_{loss}_point", loss=loss)
+
+
+@register("huber_point_predictions", "row_id:l, pred_huber_point:d", None, "M11 Huber-loss boosting (rows-only)")
+def _m11(spark, sf):
+    return _boosted(spark, sf, "huber")
+
+
+@register("fair_point_predictions", "row_id:l, pred_fair_point:d", None, "M12 Fair-loss boosting (rows-only)")
+def _m12(spark, sf):
+    return _boosted(spark, sf, "fair")
+
+
+STACK_COLS = ("baseline_daily", "raw_point_daily", "norm_point_daily", "calibrated_daily", "validated_blend_daily",
+              "history_fallback_daily", "low_output_guard_daily", "precision_low_output_guard_daily",
+              "piecewise_low_output_guard_daily", "seen_new_branch_daily")
+
+
+@register("stacked_daily", "split:s, eval_split:s, deviceSn:s, date:s, actual_daily:d, stacked_daily_pred:d", None,
+          "M14 non-negative ridge stacking on training days (rows-only)")
+def _m14(spark, sf):
+    from pvlake.models.stacking import fit_stacking
+    dp = experiment(spark, sf).daily_predictions
+    return fit_stacking(dp, list(STACK_COLS), "actual_daily", F.col("eval_split") == "train")[1]
+
+
+@register("validation_stacked_daily", "split:s, eval_split:s, deviceSn:s, date:s, actual_daily:d, "
+          "stacked_daily_pred:d", None, "B5 non-negative blend fitted on validation days (rows-only)")
+def _b5(spark, sf):
+    from pvlake.models.stacking import fit_stacking
+    dp = experiment(spark, sf).daily_predictions
+    return fit_stacking(dp, list(STACK_COLS), "actual_daily",
+                        F.col("eval_split").isin("valid_seen", "valid_unseen"))[1]
+
+
+@register("random_forest_predictions", "row_id:l, pred_random_forest:d", None,
+          "M26 random forest with the published 200 trees, depth 18, min leaf 5 (rows-only)")
+def _m26(spark, sf):
+    from pvlake.models.gbt import fit_predict, impute, non_empty, random_forest, train_medians
+    from pvlake.plans.features import point_feature_columns
+    feat = ctx(spark, sf).features
+    train = feat.filter(train_mask())
+    cols = non_empty(train, point_feature_columns(feat))
+    every, icols = impute(feat, cols, train_medians(train, cols))
+    _, out = fit_predict(every.filter(train_mask()), every, icols, "pvGenTotal", "pred_random_forest",
+                         random_forest(pred="pred_random_forest"))
+    return out
