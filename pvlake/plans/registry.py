@@ -632,3 +632,60 @@ def _m26(spark, sf):
     _, out = fit_predict(every.filter(train_mask()), every, icols, "pvGenTotal", "pred_random_forest",
                          random_forest(pred="pred_random_forest"))
     return out
+
+
+# ----------------------------------------------------------- sources & sinks
+def _scratch(spark: SparkSession, name: str) -> str:
+    import uuid
+    from pvlake.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
+CSV_COLS = ("pvGenTotal", "latitude", "longitude", "altitude", "is_day", "global_tilted_irradiance_instant",
+            "shortwave_radiation", "cloud_cover_H", "temperature_2m", "rain")
+
+
+@register("csv_roundtrip", "row_id:l, us_timestamp:t, date:s, deviceSn:s, split:s, " + doubles(*CSV_COLS),
+          Q.chain(Q.PV_POINTS) + """
+SELECT row_id, us_timestamp, date, deviceSn, split, pvGenTotal, latitude, longitude, altitude, is_day,
+  global_tilted_irradiance_instant, shortwave_radiation, cloud_cover_H,
+  CASE WHEN row_id % 2 = 0 THEN NULL ELSE temperature_2m END AS temperature_2m, rain FROM pv_points""",
+          "S1-S4 partitioned CSV written in two header layouts, read back by header group and unioned by name")
+def _csv_roundtrip(spark, sf):
+    from pvlake.sources.fixture import pv_points
+    from pvlake.sources.telemetry_csv import load_point_data
+    pts = pv_points(spark, sf).drop("empty_weather")
+    root = _scratch(spark, "csv")
+    even = F.col("row_id") % 2 == 0
+    drift = [c for c in reversed(pts.columns) if c != "temperature_2m"]  # other order, one column fewer
+    full = {"header": True, "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}  # keep microseconds
+    pts.filter(even).select(*drift).write.partitionBy("split", "deviceSn").options(**full).csv(root)
+    pts.filter(~even).write.mode("append").partitionBy("split", "deviceSn").options(**full).csv(root)
+    return load_point_data(spark, root)
+
+
+@register("sampled_device_days", "split:s, deviceSn:s, date:s, rows:l", None,
+          "S5 hash sampling of whole device-days, fraction 0.5 (rows-only: the hash is Spark's)")
+def _sample(spark, sf):
+    from pvlake.sources.telemetry_csv import sample_device_days
+    return sample_device_days(ctx(spark, sf).points, 0.5).groupBy("split", "deviceSn", "date").agg(
+        F.count(F.lit(1)).alias("rows"))
+
+
+@register("prediction_roundtrip",
+          "split:s, eval_split:s, deviceSn:s, date:s, us_timestamp:t, pvGenTotal:d, "
+          + doubles(*CAND, "final_prediction", "deployment_prediction"),
+          Q.experiment_chain() + "\nSELECT * FROM final_points", "K1 sink partitioned by eval_split, read back (S6)")
+def _pred_roundtrip(spark, sf):
+    from pvlake.sources.sinks import write_point_predictions
+    from pvlake.sources.telemetry_csv import read_predictions
+    path = _scratch(spark, "predictions")
+    write_point_predictions(experiment(spark, sf), path)
+    return read_predictions(spark, path)
+
+
+@register("metrics_document", "experiment:s, metrics_json:s", None, "K3 nested metrics JSON (rows-only)")
+def _k3(spark, sf):
+    from pvlake.sources.sinks import metrics_document
+    return metrics_document(experiment(spark, sf).metrics_long)
