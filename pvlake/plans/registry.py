@@ -499,24 +499,36 @@ def _r11(spark, sf):
     return model_comparison(experiment(spark, sf))
 
 
+_FOLDS: dict = {}
+
+
+def fold_table(spark: SparkSession, sf: str, folds: int = 3) -> DataFrame:
+    """R7 fold rows, written once per input and reused by R8 / R9."""
+    from pvlake.plans.evaluation import unseen_cv
+    from pvlake.session import materialize
+    key = (id(spark), sf, folds)
+    if key not in _FOLDS:
+        _FOLDS[key] = materialize(unseen_cv(spark, sf, folds), "unseen_cv")
+    return _FOLDS[key]
+
+
 @register("unseen_cv_folds", "fold:l, candidate:s, metric:s, value:d, best_prediction_column:s, best_blend_alpha:d",
           None, "R7 three unseen-device folds in one application (rows-only)")
 def _r7(spark, sf):
-    from pvlake.plans.evaluation import unseen_cv
-    return unseen_cv(spark, sf, 3)
+    return fold_table(spark, sf)
 
 
 @register("unseen_cv_aggregate", "metric:s, mean:d, std:d, min:d, max:d", None, "R8 fold aggregate (rows-only)")
 def _r8(spark, sf):
-    from pvlake.plans.evaluation import cv_aggregate, unseen_cv
-    return cv_aggregate(unseen_cv(spark, sf, 3))
+    from pvlake.plans.evaluation import cv_aggregate
+    return cv_aggregate(fold_table(spark, sf))
 
 
 @register("unseen_cv_candidates", "candidate:s, metric:s, mean:d, std:d, min:d, max:d", None,
           "R9 candidate stability over folds (rows-only)")
 def _r9(spark, sf):
-    from pvlake.plans.evaluation import cv_candidate_summary, unseen_cv
-    return cv_candidate_summary(unseen_cv(spark, sf, 3))
+    from pvlake.plans.evaluation import cv_candidate_summary
+    return cv_candidate_summary(fold_table(spark, sf))
 
 
 @register("adaptive_guard", "eval_split:s, daily_mape:d, guarded_days:l, threshold:d",
