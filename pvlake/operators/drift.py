@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pvlake import config as C
 from pvlake.functions.columns import quantile
+from pvlake.operators.quantiles import exact_quantiles
 
 DRIFT_METRICS = (
     "daily_target_mean",
@@ -38,23 +39,30 @@ def split_summary(point: DataFrame, daily: DataFrame, approx: bool = False) -> D
         F.count(F.lit(1)).alias("devices"),
         (F.count("_is_train_dev") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("train_device_overlap_ratio"),
     )
+    continuous = {  # day sums: many distinct values per split, so hot-group-safe when exact
+        "daily_target": {"daily_target_median": 0.5, "daily_target_p10": 0.10, "daily_target_p90": 0.90},
+        "solar_proxy_sum": {"solar_proxy_sum_median": 0.5},
+        "radiation_proxy_sum": {"radiation_proxy_sum_median": 0.5},
+    }
+    approx_q = [quantile(c, p, True).alias(n) for c, qs in continuous.items() for n, p in qs.items()] \
+        if approx else []
     per_day = daily.groupBy("eval_split").agg(
         F.count(F.lit(1)).alias("days"),
         F.min("date").alias("date_min"),
         F.max("date").alias("date_max"),
         F.avg(y).alias("daily_target_mean"),
-        quantile(y, 0.5, approx).alias("daily_target_median"),
         F.stddev_samp(y).alias("daily_target_std"),
-        quantile(y, 0.10, approx).alias("daily_target_p10"),
-        quantile(y, 0.90, approx).alias("daily_target_p90"),
         F.avg(F.when(y < lo, 1.0).otherwise(0.0)).alias("low_load_share_lt_0_05"),
         F.avg(F.when(y < hi, 1.0).otherwise(0.0)).alias("low_load_share_lt_0_10"),
-        quantile("solar_proxy_sum", 0.5, approx).alias("solar_proxy_sum_median"),
-        quantile("radiation_proxy_sum", 0.5, approx).alias("radiation_proxy_sum_median"),
+        # device-level columns: few distinct values, plain exact percentile
         quantile("latitude", 0.5, approx).alias("latitude_median"),
         quantile("longitude", 0.5, approx).alias("longitude_median"),
         F.countDistinct(_null_safe_key("region_lat_5", "region_lon_5")).alias("region5_count"),
+        *approx_q,
     )
+    if not approx:
+        for c, qs in continuous.items():
+            per_day = per_day.join(exact_quantiles(daily, ["eval_split"], c, qs), "eval_split", "left")
     per_point = point.groupBy("eval_split").agg(
         F.avg(F.when(F.col("pvGenTotal") > 0, 1.0).otherwise(0.0)).alias("nonzero_row_ratio"))
     return per_day.join(devices, "eval_split").join(per_point, "eval_split", "left")

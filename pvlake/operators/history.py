@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pvlake.functions.columns import quantile
+from pvlake.operators.quantiles import exact_quantiles
 from pvlake.operators.splits import daily_sums
 
 DEVICE_FILLED = ("device_daily_mean", "device_daily_median", "device_daily_p90", "device_daily_max")
@@ -31,20 +32,26 @@ def device_history(train_rows: DataFrame, approx: bool = False) -> DataFrame:
     )
 
 
+def _mean_and_p90(rows: DataFrame, keys: list[str], mean_name: str, p90_name: str, approx: bool) -> DataFrame:
+    """Mean and p90 of the label per key. A device (and so its slots) may hold a large
+    share of all rows, so the exact p90 uses the hot-group-safe quantile."""
+    rows = rows.dropna(subset=keys)
+    if approx:
+        return rows.groupBy(*keys).agg(F.avg("pvGenTotal").alias(mean_name),
+                                       quantile("pvGenTotal", 0.9, True).alias(p90_name))
+    means = rows.groupBy(*keys).agg(F.avg("pvGenTotal").alias(mean_name))
+    p90 = exact_quantiles(rows, keys, "pvGenTotal", {p90_name: 0.9})
+    return means.join(p90, keys, "left")
+
+
 def device_slot_history(train_rows: DataFrame, approx: bool = False) -> DataFrame:
     """A3: per (device, slot) mean and p90 of the label."""
-    return train_rows.dropna(subset=["deviceSn", "slot_id"]).groupBy("deviceSn", "slot_id").agg(
-        F.avg("pvGenTotal").alias("device_slot_mean"),
-        quantile("pvGenTotal", 0.9, approx).alias("device_slot_p90"),
-    )
+    return _mean_and_p90(train_rows, ["deviceSn", "slot_id"], "device_slot_mean", "device_slot_p90", approx)
 
 
 def global_slot_history(train_rows: DataFrame, approx: bool = False) -> DataFrame:
     """A4: per slot mean and p90 (at most 96 rows, safe to broadcast)."""
-    return train_rows.dropna(subset=["slot_id"]).groupBy("slot_id").agg(
-        F.avg("pvGenTotal").alias("global_slot_mean"),
-        quantile("pvGenTotal", 0.9, approx).alias("global_slot_p90"),
-    )
+    return _mean_and_p90(train_rows, ["slot_id"], "global_slot_mean", "global_slot_p90", approx)
 
 
 def enrich(points: DataFrame, train_rows: DataFrame, nn_stats: DataFrame,

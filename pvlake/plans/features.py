@@ -18,6 +18,7 @@ from pvlake.config import Settings
 from pvlake.functions.columns import physics_features, quantile, spatial_features, time_features, to_number
 from pvlake.operators.history import enrich
 from pvlake.operators.neighbours import nearest_neighbour_stats
+from pvlake.operators.quantiles import exact_quantile_scalar
 from pvlake.operators.splits import assign_eval_split, train_mask
 
 
@@ -52,7 +53,10 @@ def target_features(df: DataFrame, s: Settings = Settings()) -> DataFrame:
     """F16-F17."""
     df = df.withColumn("y_norm", F.col("pvGenTotal") / (F.col("solar_proxy") + C.FEATURE_EPS))
     cap_rows = df.filter(F.col("split") == "train") if s.cap_rows == "split_train" else df.filter(train_mask())
-    cap = cap_rows.agg(quantile("y_norm", C.Y_NORM_CAP_QUANTILE, s.approx_quantiles)).scalar()
+    if s.approx_quantiles:
+        cap = cap_rows.agg(quantile("y_norm", C.Y_NORM_CAP_QUANTILE, True)).scalar()
+    else:  # y_norm is continuous over all training rows: exact without holding every value
+        cap = exact_quantile_scalar(cap_rows, "y_norm", C.Y_NORM_CAP_QUANTILE)
     return df.withColumn("y_norm_clipped", F.least(F.greatest(F.col("y_norm"), F.lit(0.0)), cap))
 
 
