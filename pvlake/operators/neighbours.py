@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,14 +100,18 @@ def _summarise(ranked: DataFrame) -> DataFrame:
 
 
 def nearest_neighbour_stats(train_rows: DataFrame, points: DataFrame, approx: bool = False) -> DataFrame:
-    train = cut_lineage(train_device_table(train_rows, approx))
+    # device dimensions (one row per device) are reused by every level: keep them in memory;
+    # the per-level state below is checkpointed so lineage does not grow with the levels
+    train = train_device_table(train_rows, approx).persist(StorageLevel.MEMORY_AND_DISK)
     queries = device_locations(points, approx)
     is_train = train.select(F.col("t_dev").alias("deviceSn"), F.lit(1).alias("_is_train"))
-    queries = cut_lineage(queries.join(is_train, "deviceSn", "left").fillna({"_is_train": 0}))
+    queries = queries.join(is_train, "deviceSn", "left").fillna({"_is_train": 0}).persist(
+        StorageLevel.MEMORY_AND_DISK)
 
     located = train.filter(F.col("t_lat").isNotNull() & F.col("t_lon").isNotNull())
-    n_located = located.count()
-    n_train = train.count()
+    counts = train.agg(F.count(F.lit(1)).alias("n"),
+                       F.count(F.when(F.col("t_lat").isNotNull() & F.col("t_lon").isNotNull(), 1)).alias("m")).first()
+    n_train, n_located = counts["n"], counts["m"]
     pending = queries.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     pending = pending.withColumn("_avail", F.lit(n_located) - F.col("_is_train"))
     done: list[DataFrame] = []

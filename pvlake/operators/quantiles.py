@@ -40,12 +40,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column | str, probs:
     sizes = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"),
                                  F.max("_v").alias("_max"))
     names = list(probs)
-    small_keys = sizes.filter(F.col("_n") <= small).select(*keys)
-    small_part = v.join(small_keys, keys, "left_semi").groupBy(*keys).agg(
-        *[F.percentile("_v", F.lit(p)).alias(n) for n, p in probs.items()])
+    exact = [F.percentile("_v", F.lit(p)).alias(n) for n, p in probs.items()]
     hot = sizes.filter(F.col("_n") > small)
-    if hot.isEmpty():
-        return _finish(small_part, global_, names)
+    if hot.isEmpty():  # the common case: one plain aggregate
+        return _finish(v.groupBy(*keys).agg(*exact), global_, names)
+    small_part = v.join(sizes.filter(F.col("_n") <= small).select(*keys), keys, "left_semi").groupBy(
+        *keys).agg(*exact)
 
     # one target per (group, quantile, lower/upper order statistic)
     tgt = hot.select(*keys, "_n", "_min", "_max", F.explode(F.array(*[
