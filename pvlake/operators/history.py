@@ -63,9 +63,16 @@ def enrich(points: DataFrame, train_rows: DataFrame, nn_stats: DataFrame,
         .join(F.broadcast(global_slot_history(train_rows, approx)), "slot_id", "left")
         .join(nn_stats, "deviceSn", "left")
     )
-    # row-weighted medians of the unfilled columns: one aggregate row
+    # row-weighted medians of the unfilled columns, all six in one pass: the columns are
+    # stacked long (name, value) and each name is one (hot) group of the exact quantile
     cols = DEVICE_FILLED + SLOT_FILLED
-    medians = joined.agg(F.struct(*[quantile(c, 0.5, approx).alias(c) for c in cols]).alias("m")).scalar()
+    if approx:
+        medians = joined.agg(F.struct(*[quantile(c, 0.5, True).alias(c) for c in cols]).alias("m")).scalar()
+    else:
+        long = joined.select(*cols).unpivot([], list(cols), "name", "value")
+        per_name = exact_quantiles(long, ["name"], "value", {"m": 0.5})
+        medians = per_name.groupBy().pivot("name", list(cols)).agg(F.first("m")).select(
+            F.struct(*cols).alias("m")).scalar()
     med = {c: medians.getField(c) for c in cols}
     fills = {c: F.coalesce(F.col(c), F.col("nn_3_daily_mean"), med[c]) for c in DEVICE_FILLED}
     fills.update({c: F.coalesce(F.col(c), F.col("global_slot_mean"), med[c]) for c in SLOT_FILLED})

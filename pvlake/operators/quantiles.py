@@ -28,10 +28,17 @@ def _interpolate(pos: Column, v_lo: Column, v_hi: Column) -> Column:
     return F.when((lo == hi) | (v_lo == v_hi), v_lo).otherwise((hi - pos) * v_lo + (pos - lo) * v_hi)
 
 
+# groups above this many values take the refinement path (tests lower it to force that path)
+HOT_GROUP_ROWS = 200_000
+COLLECT_LIMIT = 100_000
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: Column | str, probs: dict[str, float],
-                    small: int = 200_000, buckets: int = 4096, collect_limit: int = 100_000,
-                    max_rounds: int = 16) -> DataFrame:
+                    small: int | None = None, buckets: int = 4096, collect_limit: int | None = None,
+                    max_rounds: int = 64) -> DataFrame:
     """keys + one column per ``probs`` name (NULLs ignored; groups without values are absent)."""
+    small = HOT_GROUP_ROWS if small is None else small
+    collect_limit = COLLECT_LIMIT if collect_limit is None else collect_limit
     global_ = not keys
     if global_:  # one group: a constant key (the target table it meets has at most 2 rows per quantile)
         df, keys = df.withColumn("_g", F.lit(0)), ["_g"]
@@ -49,58 +56,59 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column | str, probs:
 
     # one target per (group, quantile, lower/upper order statistic)
     tgt = hot.select(*keys, "_n", "_min", "_max", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("name"), F.lit(p).alias("p")) for n, p in probs.items()])).alias("q"))
-    tgt = tgt.select(*keys, "_min", "_max", F.col("q.name").alias("name"),
-                     ((F.col("_n") - 1) * F.col("q.p")).alias("pos"))
+        F.struct(F.lit(n).alias("_q_name"), F.lit(p).alias("p")) for n, p in probs.items()])).alias("q"))
+    tgt = tgt.select(*keys, "_min", "_max", F.col("q._q_name").alias("_q_name"),
+                     ((F.col("_n") - 1) * F.col("q.p")).alias("_q_pos"))
     tgt = tgt.select("*", F.explode(F.array(
-        F.struct(F.lit("lo").alias("which"), F.floor("pos").alias("rank")),
-        F.struct(F.lit("hi").alias("which"), F.ceil("pos").alias("rank")))).alias("t"))
-    state = cut_lineage(tgt.select(*keys, "name", "pos", F.col("t.which").alias("which"),
-                                   F.col("t.rank").alias("rank"), F.col("_min").alias("lo_v"),
-                                   F.col("_max").alias("hi_v"), F.lit(0).cast("bigint").alias("below"),
-                                   F.lit(None).cast("double").alias("answer")))
-    tkeys = [*keys, "name", "which"]
+        F.struct(F.lit("lo").alias("_q_which"), F.floor("_q_pos").alias("_q_rank")),
+        F.struct(F.lit("hi").alias("_q_which"), F.ceil("_q_pos").alias("_q_rank")))).alias("t"))
+    state = cut_lineage(tgt.select(*keys, "_q_name", "_q_pos", F.col("t._q_which").alias("_q_which"),
+                                   F.col("t._q_rank").alias("_q_rank"), F.col("_min").alias("_q_lo_v"),
+                                   F.col("_max").alias("_q_hi_v"), F.lit(0).cast("bigint").alias("_q_below"),
+                                   F.lit(None).cast("double").alias("_q_answer")))
+    tkeys = [*keys, "_q_name", "_q_which"]
     for _ in range(max_rounds):
-        open_ = state.filter(F.col("answer").isNull())
+        open_ = state.filter(F.col("_q_answer").isNull())
         if open_.isEmpty():
             break
-        rows = v.join(open_.select(*tkeys, "rank", "lo_v", "hi_v", "below"), keys).filter(
-            F.col("_v").between(F.col("lo_v"), F.col("hi_v")))
-        width = F.col("hi_v") - F.col("lo_v")
-        b = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("lo_v")) / width * buckets),
+        rows = v.join(open_.select(*tkeys, "_q_rank", "_q_lo_v", "_q_hi_v", "_q_below"), keys).filter(
+            F.col("_v").between(F.col("_q_lo_v"), F.col("_q_hi_v")))
+        width = F.col("_q_hi_v") - F.col("_q_lo_v")
+        b = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_q_lo_v")) / width * buckets),
                                       F.lit(buckets - 1))).otherwise(0)
-        hist = rows.groupBy(*tkeys, b.alias("b")).agg(
-            F.count(F.lit(1)).alias("c"), F.min("_v").alias("bmin"), F.max("_v").alias("bmax"),
-            F.first("rank").alias("rank"), F.first("below").alias("below"))
-        w = Window.partitionBy(*tkeys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-        hist = hist.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
-        local = F.col("rank") - F.col("below")
-        chosen = hist.filter((local >= F.col("before")) & (local < F.col("before") + F.col("c"))).select(
-            *tkeys, F.col("bmin").alias("lo_v"), F.col("bmax").alias("hi_v"),
-            (F.col("below") + F.col("before")).alias("below"), F.col("c"))
+        hist = rows.groupBy(*tkeys, b.alias("_q_b")).agg(
+            F.count(F.lit(1)).alias("_q_c"), F.min("_v").alias("_q_bmin"), F.max("_v").alias("_q_bmax"),
+            F.first("_q_rank").alias("_q_rank"), F.first("_q_below").alias("_q_below"))
+        w = Window.partitionBy(*tkeys).orderBy("_q_b").rowsBetween(Window.unboundedPreceding, -1)
+        hist = hist.withColumn("_q_before", F.coalesce(F.sum("_q_c").over(w), F.lit(0)))
+        local = F.col("_q_rank") - F.col("_q_below")
+        chosen = hist.filter((local >= F.col("_q_before")) & (local < F.col("_q_before") + F.col("_q_c"))).select(
+            *tkeys, F.col("_q_bmin").alias("_q_lo_v"), F.col("_q_bmax").alias("_q_hi_v"),
+            (F.col("_q_below") + F.col("_q_before")).alias("_q_below"), F.col("_q_c"))
         chosen = cut_lineage(chosen)
-        single = chosen.filter(F.col("lo_v") == F.col("hi_v")).select(*tkeys, F.col("lo_v").alias("_ans"))
-        few = chosen.filter((F.col("lo_v") < F.col("hi_v")) & (F.col("c") <= collect_limit))
-        picked = v.join(few.join(open_.select(*tkeys, "rank"), tkeys), keys).filter(
-            F.col("_v").between(F.col("lo_v"), F.col("hi_v")))
-        picked = picked.withColumn("_r", F.row_number().over(
+        single = chosen.filter(F.col("_q_lo_v") == F.col("_q_hi_v")).select(*tkeys, F.col("_q_lo_v").alias("_q_ans"))
+        few = chosen.filter((F.col("_q_lo_v") < F.col("_q_hi_v")) & (F.col("_q_c") <= collect_limit))
+        picked = v.join(few.join(open_.select(*tkeys, "_q_rank"), tkeys), keys).filter(
+            F.col("_v").between(F.col("_q_lo_v"), F.col("_q_hi_v")))
+        picked = picked.withColumn("_q_r", F.row_number().over(
             Window.partitionBy(*tkeys).orderBy("_v")) - 1).filter(
-            F.col("_r") == F.col("rank") - F.col("below")).select(*tkeys, F.col("_v").alias("_ans"))
+            F.col("_q_r") == F.col("_q_rank") - F.col("_q_below")).select(*tkeys, F.col("_v").alias("_q_ans"))
         answers = single.unionByName(picked)
-        narrowed = chosen.filter((F.col("lo_v") < F.col("hi_v")) & (F.col("c") > collect_limit)).select(
-            *tkeys, F.col("lo_v").alias("_lo"), F.col("hi_v").alias("_hi"), F.col("below").alias("_below"))
+        narrowed = chosen.filter((F.col("_q_lo_v") < F.col("_q_hi_v")) & (F.col("_q_c") > collect_limit)).select(
+            *tkeys, F.col("_q_lo_v").alias("_q_nlo"), F.col("_q_hi_v").alias("_q_nhi"),
+            F.col("_q_below").alias("_q_nbelow"))
         state = cut_lineage(
             state.join(answers, tkeys, "left").join(narrowed, tkeys, "left").select(
-                *tkeys, "pos", "rank",
-                F.coalesce("_lo", "lo_v").alias("lo_v"), F.coalesce("_hi", "hi_v").alias("hi_v"),
-                F.coalesce("_below", "below").alias("below"),
-                F.coalesce("answer", "_ans").alias("answer")))
-    both = state.groupBy(*keys, "name").agg(
-        F.first("pos").alias("pos"),
-        F.max(F.when(F.col("which") == "lo", F.col("answer"))).alias("v_lo"),
-        F.max(F.when(F.col("which") == "hi", F.col("answer"))).alias("v_hi"))
-    hot_part = both.select(*keys, "name", _interpolate(F.col("pos"), F.col("v_lo"), F.col("v_hi")).alias("q"))
-    hot_part = hot_part.groupBy(*keys).pivot("name", names).agg(F.first("q"))
+                *tkeys, "_q_pos", "_q_rank",
+                F.coalesce("_q_nlo", "_q_lo_v").alias("_q_lo_v"), F.coalesce("_q_nhi", "_q_hi_v").alias("_q_hi_v"),
+                F.coalesce("_q_nbelow", "_q_below").alias("_q_below"),
+                F.coalesce("_q_answer", "_q_ans").alias("_q_answer")))
+    both = state.groupBy(*keys, "_q_name").agg(
+        F.first("_q_pos").alias("_q_pos"),
+        F.max(F.when(F.col("_q_which") == "lo", F.col("_q_answer"))).alias("v_lo"),
+        F.max(F.when(F.col("_q_which") == "hi", F.col("_q_answer"))).alias("v_hi"))
+    hot_part = both.select(*keys, "_q_name", _interpolate(F.col("_q_pos"), F.col("v_lo"), F.col("v_hi")).alias("q"))
+    hot_part = hot_part.groupBy(*keys).pivot("_q_name", names).agg(F.first("q"))
     return _finish(small_part.unionByName(hot_part), global_, names)
 
 

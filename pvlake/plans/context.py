@@ -63,7 +63,7 @@ class RunContext:
     @cached_property
     def scalar(self) -> DataFrame:
         """Labels + row-local features: the base every later step reads."""
-        return materialize(scalar_features(self.labelled, self.settings), "points")
+        return materialize(scalar_features(self.labelled, self.settings), "points", ["split"])
 
     @cached_property
     def train_rows(self) -> DataFrame:
@@ -78,7 +78,7 @@ class RunContext:
     def features(self) -> DataFrame:
         s = self.settings
         enriched = enrich(self.scalar, self.train_rows, self.neighbours, s.approx_quantiles)
-        return materialize(target_features(enriched, s), "features")
+        return materialize(target_features(enriched, s), "features", ["split"])
 
     @cached_property
     def daily(self) -> DataFrame:

@@ -53,7 +53,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
     Used for tables that many later stages read: the plan is cut (short
@@ -64,5 +64,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     base = spark.sparkContext.getCheckpointDir()
     path = f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    writer = df.write.mode("overwrite")
+    if partition_by:  # folder pruning for later filters on these columns
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    out = spark.read.parquet(path)
+    return out.select(*df.columns) if partition_by else out

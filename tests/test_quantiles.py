@@ -27,3 +27,25 @@ def test_global_quantile_hot_path(spark):
     got = exact_quantiles(df, [], "x", {"q": 0.995}, small=100, buckets=8, collect_limit=20).first()["q"]
     want = df.agg(F.percentile("x", F.lit(0.995))).first()[0]
     assert got == pytest.approx(want, rel=1e-12)
+
+
+def test_hot_path_end_to_end(spark, monkeypatch):
+    """Features and drift summary are identical when every group takes the refinement path."""
+    import pvlake.operators.quantiles as Qm
+    from pvlake.config import Settings
+    from pvlake.operators.drift import split_summary
+    from pvlake.plans.context import RunContext
+
+    sf = "/root/testdata/sf0.001"
+    base = RunContext.get(spark, sf)
+    want_f = {r["row_id"]: r for r in base.features.select(
+        "row_id", "device_slot_p90", "global_slot_p90", "device_daily_mean", "device_slot_mean",
+        "y_norm_clipped").collect()}
+    want_s = {r["eval_split"]: r.asDict() for r in split_summary(base.features, base.daily).collect()}
+    monkeypatch.setattr(Qm, "HOT_GROUP_ROWS", 3)
+    monkeypatch.setattr(Qm, "COLLECT_LIMIT", 5)
+    hot = RunContext(spark, sf, Settings())
+    got_f = {r["row_id"]: r for r in hot.features.select(*next(iter(want_f.values())).asDict()).collect()}
+    assert got_f == want_f
+    got_s = {r["eval_split"]: r.asDict() for r in split_summary(hot.features, hot.daily).collect()}
+    assert got_s == want_s
