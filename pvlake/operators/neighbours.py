@@ -30,6 +30,17 @@ from pvlake.session import cut_lineage
 
 K_MAX = 5
 KM_PER_DEG = math.pi / 180.0 * C.EARTH_RADIUS_KM
+TARGET_CANDIDATES = 64
+MIN_WIDTH = 1e-3  # degrees, about 100 m
+
+
+def _final_grid(ncols: int, nrows: int) -> bool:
+    return ncols <= 3 and nrows <= 3
+
+
+def _final(width_raw: float) -> bool:
+    _, ncols, nrows = _grid(width_raw)
+    return _final_grid(ncols, nrows)
 
 
 def device_locations(points: DataFrame, approx: bool = False) -> DataFrame:
@@ -60,23 +71,28 @@ def _grid(width_raw: float) -> tuple[float, int, int]:
     return width, ncols, nrows
 
 
-def _cells(lat: Column, lon: Column, width: float, nrows: int, ncols: int) -> tuple[Column, Column]:
-    row = F.least(F.floor((lat + 90.0) / width), F.lit(nrows - 1))
-    col = F.pmod(F.floor((lon + 180.0) / width), F.lit(ncols))
+def _cells(lat: Column, lon: Column, width: Column, nrows: Column, ncols: Column) -> tuple[Column, Column]:
+    row = F.least(F.floor((lat + 90.0) / width), nrows - 1)
+    col = F.pmod(F.floor((lon + 180.0) / width), ncols)
     return row.cast("int"), col.cast("int")
 
 
-def _guaranteed_km(lat: Column, lon: Column, row: Column, col: Column, width: float, ncols: int) -> Column:
+def _guaranteed_km(lat: Column, lon: Column, row: Column, col: Column, width: Column, ncols: Column) -> Column:
+    """Distance below which no device outside the 3x3 block can lie."""
     lo = F.greatest((row - 1) * width - 90.0, F.lit(-90.0))
     hi = F.least((row + 2) * width - 90.0, F.lit(90.0))
     d_lat = F.least(lat - lo, hi - lat) * KM_PER_DEG
-    if ncols <= 3:
-        return d_lat
     west = (col - 1) * width - 180.0
     east = (col + 2) * width - 180.0
     dlon = F.least(F.least(lon - west, east - lon), F.lit(90.0))
     d_lon = C.EARTH_RADIUS_KM * F.asin(F.least(F.cos(F.radians(lat)) * F.sin(F.radians(dlon)), F.lit(1.0)))
-    return F.least(d_lat, d_lon)
+    return F.when(ncols <= 3, d_lat).otherwise(F.least(d_lat, d_lon))
+
+
+def _block(row: Column, col: Column, ncols: Column) -> Column:
+    offsets = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    return F.array_distinct(F.flatten(F.transform(offsets, lambda dr: F.transform(
+        offsets, lambda dc: F.struct((row + dr).alias("cr"), F.pmod(col + dc, ncols).alias("cc"))))))
 
 
 def _start_width(train: DataFrame, n_train: int) -> float:
@@ -116,24 +132,48 @@ def nearest_neighbour_stats(train_rows: DataFrame, points: DataFrame, approx: bo
     pending = pending.withColumn("_avail", F.lit(n_located) - F.col("_is_train"))
     done: list[DataFrame] = []
 
-    width_raw = _start_width(located, n_located) if n_located else 360.0
-    while True:
-        width, ncols, nrows = _grid(width_raw)
-        final = ncols <= 3 and nrows <= 3
-        q_row, q_col = _cells(F.col("latitude"), F.col("longitude"), width, nrows, ncols)
-        q = pending.withColumns({"_row": q_row, "_col": q_col})
-        q = q.withColumn("_guar", _guaranteed_km(F.col("latitude"), F.col("longitude"),
-                                                 F.col("_row"), F.col("_col"), width, ncols))
-        offsets = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-        block = F.array_distinct(F.flatten(F.transform(offsets, lambda dr: F.transform(
-            offsets, lambda dc: F.struct(
-                (F.col("_row") + dr).alias("cr"), F.pmod(F.col("_col") + dc, F.lit(ncols)).alias("cc"))))))
-        q = q.withColumn("_cell", F.explode(block)).filter(
-            (F.col("_cell.cr") >= 0) & (F.col("_cell.cr") < nrows))
+    base = _start_width(located, n_located) if n_located else 360.0
+    top = 0  # the coarsest level: 3x3 cells cover the globe
+    while not _final(base * 2.0 ** top):
+        top += 1
+    bottom = -max(0, math.ceil(math.log2(base / MIN_WIDTH)))
+    grid = {lvl: _grid(base * 2.0 ** lvl) for lvl in range(bottom, top + 1)}
+    spark = train.sparkSession
+    levels = F.broadcast(spark.createDataFrame(  # one row per level (<= ~30)
+        [(lvl, w, nc, nr, _final_grid(nc, nr)) for lvl, (w, nc, nr) in grid.items()],
+        "_lvl int, _w double, _nc int, _nr int, _final boolean"))
+
+    # start level per device: devices in a dense neighbourhood start on finer
+    # cells (each level quarters the expected candidates), so no device meets
+    # more than about TARGET_CANDIDATES candidates on its first try
+    w0, nc0, nr0 = grid[0]
+    t_row, t_col = _cells(F.col("t_lat"), F.col("t_lon"), F.lit(w0), F.lit(nr0), F.lit(nc0))
+    density = located.groupBy(t_row.alias("cr"), t_col.alias("cc")).agg(F.count(F.lit(1)).alias("_c"))
+    q_row, q_col = _cells(F.col("latitude"), F.col("longitude"), F.lit(w0), F.lit(nr0), F.lit(nc0))
+    near = pending.select("deviceSn", F.explode(_block(q_row, q_col, F.lit(nc0))).alias("_cell")).select(
+        "deviceSn", F.col("_cell.cr").alias("cr"), F.col("_cell.cc").alias("cc"))
+    crowd = near.join(density, ["cr", "cc"]).groupBy("deviceSn").agg(F.sum("_c").alias("_crowd"))
+    finer = F.ceil(F.log(4.0, F.greatest(F.col("_crowd") / TARGET_CANDIDATES, F.lit(1.0))))
+    pending = pending.join(crowd, "deviceSn", "left").withColumn(
+        "_lvl", F.greatest(F.lit(bottom), -F.coalesce(finer, F.lit(0))).cast("int")).drop("_crowd")
+    pending = cut_lineage(pending)
+
+    done: list[DataFrame] = []
+    while not pending.isEmpty():
+        present = [r[0] for r in pending.select("_lvl").distinct().collect()]  # a few level numbers
+        q = pending.join(levels, "_lvl")
+        q_row, q_col = _cells(F.col("latitude"), F.col("longitude"), F.col("_w"), F.col("_nr"), F.col("_nc"))
+        q = q.withColumns({"_row": q_row, "_col": q_col})
+        q = q.withColumn("_guar", _guaranteed_km(F.col("latitude"), F.col("longitude"), F.col("_row"),
+                                                 F.col("_col"), F.col("_w"), F.col("_nc")))
+        q = q.withColumn("_cell", F.explode(_block(F.col("_row"), F.col("_col"), F.col("_nc")))).filter(
+            (F.col("_cell.cr") >= 0) & (F.col("_cell.cr") < F.col("_nr")))
         q = q.select("*", F.col("_cell.cr").alias("cr"), F.col("_cell.cc").alias("cc")).drop("_cell")
-        t_row, t_col = _cells(F.col("t_lat"), F.col("t_lon"), width, nrows, ncols)
-        t = located.withColumns({"cr": t_row, "cc": t_col})
-        pairs = q.join(t, ["cr", "cc"]).filter(F.col("t_dev") != F.col("deviceSn"))
+        # training devices bucketed on every level in use (a generator over a short list)
+        t = located.withColumn("_lvl", F.explode(F.array(*[F.lit(lvl) for lvl in present]))).join(levels, "_lvl")
+        t_row, t_col = _cells(F.col("t_lat"), F.col("t_lon"), F.col("_w"), F.col("_nr"), F.col("_nc"))
+        t = t.select("_lvl", t_row.alias("cr"), t_col.alias("cc"), "t_dev", "t_lat", "t_lon", "t_mean", "t_p90")
+        pairs = q.join(t, ["_lvl", "cr", "cc"]).filter(F.col("t_dev") != F.col("deviceSn"))
         pairs = pairs.withColumn("distance", haversine_km(
             F.col("latitude"), F.col("longitude"), F.col("t_lat"), F.col("t_lon")))
         w = Window.partitionBy("deviceSn").orderBy(F.col("distance"), F.col("t_dev"))
@@ -143,18 +183,17 @@ def nearest_neighbour_stats(train_rows: DataFrame, points: DataFrame, approx: bo
         }).filter(F.col("_rank") <= K_MAX)
         status = ranked.groupBy("deviceSn").agg(
             F.max("distance").alias("_kth"), F.first("_found").alias("_found"),
-            F.first("_guar").alias("_guar"), F.first("_avail").alias("_avail"))
-        ok = F.lit(True) if final else (
-            (F.col("_found") >= F.col("_avail"))
-            | ((F.col("_found") >= K_MAX) & (F.col("_kth") < F.col("_guar"))))
+            F.first("_guar").alias("_guar"), F.first("_avail").alias("_avail"), F.first("_final").alias("_final"))
+        ok = F.col("_final") | (F.col("_found") >= F.col("_avail")) | (
+            (F.col("_found") >= K_MAX) & (F.col("_kth") < F.col("_guar")))
         accepted = cut_lineage(status.filter(ok).select("deviceSn"))
         done.append(_summarise(ranked.join(accepted, "deviceSn", "left_semi")))
-        pending = cut_lineage(pending.join(accepted, "deviceSn", "left_anti"))
-        if final or pending.isEmpty():
-            break
-        width_raw = width * 2.0
+        # unresolved devices move one level coarser; past the top level nothing is left to find
+        rest = pending.join(accepted, "deviceSn", "left_anti").withColumn("_lvl", F.col("_lvl") + 1)
+        pending = cut_lineage(rest.filter(F.col("_lvl") <= top))
 
-    result = done[0]
+    result = done[0] if done else _summarise(
+        spark.createDataFrame([], "deviceSn string, distance double, t_mean double, t_p90 double, _rank int"))
     for part in done[1:]:
         result = result.unionByName(part)
     # devices without any other located training device: the only training

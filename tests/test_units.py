@@ -59,14 +59,16 @@ def test_haversine(spark):
 
 
 @pytest.mark.parametrize("seed,n_train,n_query,spread", [(1, 40, 60, 30.0), (2, 1, 3, 5.0), (3, 4, 6, 170.0),
-                                                          (4, 200, 50, 1.0)])
+                                                          (4, 200, 50, 1.0), (5, 400, 400, 0.02)])
 def test_grid_knn_matches_brute_force(spark, seed, n_train, n_query, spread):
     rnd = random.Random(seed)
     devs = [f"D{i:04d}" for i in range(max(n_train, n_query))]
     rows, loc = [], {}
     for i, d in enumerate(devs[:n_query]):
         loc[d] = (max(-89.0, min(89.0, rnd.uniform(-spread, spread) / 2)), rnd.uniform(-spread, spread))
-    for d in devs[:n_train]:
+    for i, d in enumerate(devs[:n_train]):
+        if spread < 0.1 and i % 10 == 0:  # a dense cluster plus a few devices spread worldwide
+            loc[d] = (rnd.uniform(-60, 60), rnd.uniform(-180, 180))
         loc.setdefault(d, (rnd.uniform(-60, 60), rnd.uniform(-180, 180)))
         for day in range(3):
             rows.append((d, f"2024-01-0{day + 1}", rnd.random(), loc[d][0], loc[d][1]))
