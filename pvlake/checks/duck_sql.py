@@ -606,3 +606,31 @@ resid_buckets AS (
   SELECT region_lat_5, region_lon_5, floor(cloud_cover_H / 20e0) * 20 AS cloud_band, count(*) AS rows,
     avg(pvGenTotal - final_prediction) AS mean_residual, avg(abs(pvGenTotal - final_prediction)) AS mean_abs_residual
   FROM final_points GROUP BY ALL)"""
+
+
+SUPPLIER_POINTS = r"""
+li AS (
+  SELECT *, CAST(l_shipdate AS TIMESTAMP) + to_hours(CAST(l_orderkey % 24 AS INTEGER))
+    + to_minutes(CAST(l_linenumber * 15 % 60 AS INTEGER)) AS ts
+  FROM lineitem),
+pv_points AS (
+  SELECT l_orderkey * 8 + l_linenumber AS row_id, ts AS us_timestamp, strftime(ts, '%Y-%m-%d') AS date,
+    'EP' || lpad(CAST(l_suppkey % 1000 AS VARCHAR), 7, '0') || 'S' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS deviceSn,
+    CASE WHEN l_returnflag = 'R' THEN 'test1' WHEN l_suppkey % 10 = 9 THEN 'test2' ELSE 'train' END AS split,
+    l_quantity / 50e0 AS pvGenTotal,
+    20e0 + (l_suppkey * 37 % 3000) / 100e0 AS latitude,
+    -70e0 - (l_suppkey * 53 % 5000) / 100e0 AS longitude,
+    CAST(60 - 6 * abs(hour(ts) + minute(ts) / 60e0 - 12) AS DOUBLE) AS altitude,
+    CAST(90 - (60 - 6 * abs(hour(ts) + minute(ts) / 60e0 - 12)) AS DOUBLE) AS zenith_angle,
+    15e0 * hour(ts) AS azimuth,
+    CASE WHEN hour(ts) BETWEEN 3 AND 20 THEN 1e0 ELSE 0e0 END AS is_day,
+    CAST(l_orderkey * 7 % 900 AS DOUBLE) AS global_tilted_irradiance_instant,
+    CAST(NULL AS DOUBLE) AS shortwave_radiation,
+    CAST(l_orderkey * 13 % 130 - 10 AS DOUBLE) AS cloud_cover_H,
+    l_orderkey % 25 + 5e-1 AS temperature_2m,
+    CAST(NULL AS DOUBLE) AS rain
+  FROM li)"""
+
+
+def supplier_chain(*extra: str) -> str:
+    return chain(SUPPLIER_POINTS, labels_sql(), SCALAR_FEATURES, HISTORY, DAILY, *extra)

@@ -95,11 +95,8 @@ def _block(row: Column, col: Column, ncols: Column) -> Column:
         offsets, lambda dc: F.struct((row + dr).alias("cr"), F.pmod(col + dc, ncols).alias("cc"))))))
 
 
-def _start_width(train: DataFrame, n_train: int) -> float:
-    box = train.agg(
-        F.min("t_lat"), F.max("t_lat"), F.min("t_lon"), F.max("t_lon")).first()
-    if box[0] is None:
-        return 120.0
+def _start_width(box: tuple, n_train: int) -> float:
+    """Cell width holding about K_MAX devices at the average density of the bounding box."""
     area = max((box[1] - box[0]) * (box[3] - box[2]), 1e-4)
     return float(min(max(math.sqrt(area * K_MAX / max(n_train, 1)), 0.01), 120.0))
 
@@ -125,14 +122,19 @@ def nearest_neighbour_stats(train_rows: DataFrame, points: DataFrame, approx: bo
         StorageLevel.MEMORY_AND_DISK)
 
     located = train.filter(F.col("t_lat").isNotNull() & F.col("t_lon").isNotNull())
-    counts = train.agg(F.count(F.lit(1)).alias("n"),
-                       F.count(F.when(F.col("t_lat").isNotNull() & F.col("t_lon").isNotNull(), 1)).alias("m")).first()
-    n_train, n_located = counts["n"], counts["m"]
+    has_loc = F.col("t_lat").isNotNull() & F.col("t_lon").isNotNull()
+    stats = train.agg(  # one small aggregate: counts and the bounding box of located devices
+        F.count(F.lit(1)).alias("n"), F.count(F.when(has_loc, 1)).alias("m"),
+        F.min(F.when(has_loc, F.col("t_lat"))).alias("lat0"), F.max(F.when(has_loc, F.col("t_lat"))).alias("lat1"),
+        F.min(F.when(has_loc, F.col("t_lon"))).alias("lon0"), F.max(F.when(has_loc, F.col("t_lon"))).alias("lon1"),
+    ).first()
+    n_train, n_located = stats["n"], stats["m"]
     pending = queries.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     pending = pending.withColumn("_avail", F.lit(n_located) - F.col("_is_train"))
     done: list[DataFrame] = []
 
-    base = _start_width(located, n_located) if n_located else 360.0
+    base = _start_width((stats["lat0"], stats["lat1"], stats["lon0"], stats["lon1"]), n_located) \
+        if n_located else 360.0
     top = 0  # the coarsest level: 3x3 cells cover the globe
     while not _final(base * 2.0 ** top):
         top += 1
@@ -159,8 +161,10 @@ def nearest_neighbour_stats(train_rows: DataFrame, points: DataFrame, approx: bo
     pending = cut_lineage(pending)
 
     done: list[DataFrame] = []
-    while not pending.isEmpty():
+    while True:
         present = [r[0] for r in pending.select("_lvl").distinct().collect()]  # a few level numbers
+        if not present:
+            break
         q = pending.join(levels, "_lvl")
         q_row, q_col = _cells(F.col("latitude"), F.col("longitude"), F.col("_w"), F.col("_nr"), F.col("_nc"))
         q = q.withColumns({"_row": q_row, "_col": q_col})

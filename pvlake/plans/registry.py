@@ -701,3 +701,28 @@ def _pred_roundtrip(spark, sf):
 def _k3(spark, sf):
     from pvlake.sources.sinks import metrics_document
     return metrics_document(experiment(spark, sf).metrics_long)
+
+
+
+# ------------------------------------------- second, larger shape: lineitem
+def sctx(spark: SparkSession, sf: str) -> RunContext:
+    return RunContext.get(spark, sf, Settings(), source="lineitem")
+
+
+SUPPLIER_DAILY_SPEC = ("split:s, deviceSn:s, date:s, eval_split:s, rows_in_day:l, " + doubles(
+    "daily_target", "solar_proxy_sum", "solar_proxy_max", "radiation_proxy_sum", "is_solar_available_mean",
+    "device_daily_mean", "device_daily_p90", "device_history_days", "nn_3_daily_mean", "nn_5_daily_mean",
+    "nn_1_distance_km", "temperature_2m_mean", "cloud_cover_H_max", "target_per_solar"))
+
+
+@register("supplier_daily_frame", SUPPLIER_DAILY_SPEC, Q.supplier_chain() + "\nSELECT * FROM daily",
+          "A1-A10 + J1/J2 + A6 on the lineitem telemetry shape (supplier-days)")
+def _s_daily(spark, sf):
+    return sctx(spark, sf).daily
+
+
+@register("supplier_split_summary", SUMMARY_SPEC, Q.supplier_chain(Q.SPLIT_SUMMARY) + "\nSELECT * FROM summary",
+          "R5 on the lineitem telemetry shape")
+def _s_summary(spark, sf):
+    c = sctx(spark, sf)
+    return split_summary(c.features, c.daily)

@@ -86,4 +86,5 @@ def supplier_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((h >= 3) & (h <= 20), 1.0).otherwise(0.0).alias("is_day"),
         (F.col("l_orderkey") * 7 % 900).cast("double").alias("global_tilted_irradiance_instant"),
         (F.col("l_orderkey") * 13 % 130 - 10).cast("double").alias("cloud_cover_H"),
+        (F.col("l_orderkey") % 25 + 0.5).alias("temperature_2m"),
     )
