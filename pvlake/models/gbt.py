@@ -166,5 +166,8 @@ class GbtPredictors:
 def random_forest(cfg_trees: int = 200, depth: int = 18, min_leaf: int = 5, seed: int = 42,
                   label: str = "pvGenTotal", pred: str = "prediction") -> RandomForestRegressor:
     """The published random-forest comparison settings."""
+    # execution knobs only: more nodes split per data pass, node ids cached between
+    # levels (checkpointed every 10 iterations) - the model settings are the published ones
     return RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol=pred, numTrees=cfg_trees,
-                                 maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed, subsamplingRate=1.0)
+                                 maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed, subsamplingRate=1.0,
+                                 maxMemoryInMB=2048, cacheNodeIds=True, checkpointInterval=10)
