@@ -726,3 +726,24 @@ def _s_daily(spark, sf):
 def _s_summary(spark, sf):
     c = sctx(spark, sf)
     return split_summary(c.features, c.daily)
+
+
+@register("daily_sink_roundtrip", "split:s, eval_split:s, deviceSn:s, date:s, " + doubles(
+    "actual_daily", "final_pred_daily", "baseline_daily", "calibrated_daily", "history_fallback_daily",
+    "deployment_daily"), Q.experiment_chain(Q.DAILY_SINK) + "\nSELECT * FROM daily_sink",
+    "K2 writer (parquet partitioned by eval_split), read back")
+def _k2_roundtrip(spark, sf):
+    from pvlake.sources.sinks import write_daily_predictions
+    path = _scratch(spark, "daily_predictions")
+    write_daily_predictions(experiment(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+@register("split_metrics_roundtrip", "eval_split:s, n_days:l, " + doubles(*SIX),
+          Q.experiment_chain() + "\nSELECT * FROM cand_metrics WHERE candidate = (SELECT candidate FROM best_cand)",
+          "K4 writer (one CSV row per eval_split), read back")
+def _k4_roundtrip(spark, sf):
+    from pvlake.sources.sinks import write_split_metrics
+    path = _scratch(spark, "final_metrics_by_split")
+    write_split_metrics(experiment(spark, sf).final_by_split, path)
+    return spark.read.option("header", True).option("inferSchema", False).csv(path)
