@@ -4,7 +4,7 @@ checks (B2, B8, B9, B10). Only the data is produced; drawing is out of scope.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pvlake import config as C

@@ -1,19 +1,18 @@
 """A run context: the shared, persisted intermediate tables of one input.
 
-The labelled point table, the feature table and the device-day table are
-each reused by many operators, so they are computed once and persisted
-(MEMORY_AND_DISK; recomputed from lineage if an executor is lost). Contexts
-are memoised per (session, input, settings) so several reports over the same
-input share them.
+The labelled point table, the neighbour table, the feature table and the
+device-day table are each reused by many operators, so they are computed once
+and written as parquet into the shared checkpoint folder (short lineage,
+nothing recomputed after an executor loss, pruned scans for later stages).
+Contexts are memoised per (session, input, settings) so several reports over
+the same input share them.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pvlake.config import Settings
 from pvlake.operators.daily import make_daily_frame
@@ -28,10 +27,6 @@ _CACHE: dict[tuple, "RunContext"] = {}
 SOURCES = {"events": pv_points, "lineitem": supplier_points}
 
 
-def _keep(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 class RunContext:
     def __init__(self, spark: SparkSession, sf_dir: str, settings: Settings = Settings(),
                  source: str = "events", points: DataFrame | None = None):
@@ -92,4 +87,3 @@ def train_devices(df: DataFrame) -> DataFrame:
     return df.filter(train_mask()).select("deviceSn").distinct()
 
 
-__all__ = ["RunContext", "train_devices", "F"]

@@ -13,7 +13,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pvlake import config as C
 from pvlake.config import Settings
 from pvlake.plans.context import RunContext
 from pvlake.plans.experiment import Experiment
@@ -88,5 +87,3 @@ def model_comparison(e: Experiment) -> DataFrame:
     return e.metrics_long.select("experiment", "eval_split", "mae", "rmse", "mape",
                                  "daily_mae", "daily_rmse", "daily_mape")
 
-
-__all__ = ["unseen_cv", "cv_aggregate", "cv_candidate_summary", "cold_start_stress", "model_comparison", "C"]
