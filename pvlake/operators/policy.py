@@ -199,6 +199,12 @@ def guard_summary(sd: DataFrame) -> DataFrame:
     )
 
 
+def choose(candidate: Column, values: list[Column]) -> Column:
+    """The value of the named candidate; the (scalar-subquery) name is referenced once."""
+    names = F.array(*[F.lit(c) for c in CANDIDATE_NAMES])
+    return F.try_element_at(F.array(*values), F.array_position(names, candidate).cast("int"))
+
+
 def attach_candidates(points: DataFrame, sd: DataFrame, final: Column | None = None) -> DataFrame:
     """Point-level candidate columns: n times the device-day factor (one join on the day key)."""
     factors = [v for v in FACTOR.values() if v]
@@ -208,8 +214,5 @@ def attach_candidates(points: DataFrame, sd: DataFrame, final: Column | None = N
             for cand, k in FACTOR.items() if k and cand != NORM}
     out = joined.withColumns(cols).drop(*factors)
     if final is not None:
-        chooser = F.lit(None).cast("double")
-        for cand in CANDIDATE_NAMES:
-            chooser = F.when(final == cand, F.col(cand)).otherwise(chooser)
-        out = out.withColumn("final_prediction", chooser)
+        out = out.withColumn("final_prediction", choose(final, [F.col(c) for c in CANDIDATE_NAMES]))
     return out.withColumn("deployment_prediction", F.col(C.DEPLOYMENT_CANDIDATE))

@@ -145,9 +145,7 @@ class Experiment:
     def daily_predictions(self) -> DataFrame:
         """K2: SED sums of the label and 12 prediction columns, from the device-day table."""
         sd = self.policy_days
-        final_sum = F.lit(None).cast("double")
-        for cand in P.CANDIDATE_NAMES:
-            final_sum = F.when(self.best_candidate == cand, P.day_sum(cand)).otherwise(final_sum)
+        final_sum = P.choose(self.best_candidate, [P.day_sum(c) for c in P.CANDIDATE_NAMES])
         cols = {"actual_daily": F.col("y_true_day"), "final_pred_daily": final_sum,
                 "deployment_daily": P.day_sum(C.DEPLOYMENT_CANDIDATE)}
         for out, cand in DAILY_SINK:
