@@ -10,19 +10,20 @@ of devices instead of its square.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pvlake import config as C
+from pvlake.session import materialize
 
 
 def radiation_profile(points: DataFrame) -> DataFrame:
     """Per (device, slot) mean solar_proxy divided by the device maximum + 1e-9 (long form)."""
     slot_mean = points.dropna(subset=["deviceSn", "slot_id"]).groupBy("deviceSn", "slot_id").agg(
         F.avg("solar_proxy").alias("slot_mean"))
-    dev_max = slot_mean.groupBy("deviceSn").agg(F.max("slot_mean").alias("_max"))
-    return slot_mean.join(dev_max, "deviceSn").select(
-        "deviceSn", "slot_id", (F.col("slot_mean") / (F.col("_max") + 1e-9)).alias("profile"))
+    # a device has at most 96 slot rows here, so a device window is bounded (not a point window)
+    dev_max = F.max("slot_mean").over(Window.partitionBy("deviceSn"))
+    return slot_mean.select("deviceSn", "slot_id", (F.col("slot_mean") / (dev_max + 1e-9)).alias("profile"))
 
 
 def profile_arrays(profile: DataFrame) -> DataFrame:
@@ -35,10 +36,9 @@ def profile_arrays(profile: DataFrame) -> DataFrame:
 def radiation_similarity(points: DataFrame) -> DataFrame:
     """Mean cosine similarity of each device profile to all other devices."""
     prof = radiation_profile(points)
-    norms = prof.groupBy("deviceSn").agg(F.sqrt(F.sum(F.col("profile") ** 2)).alias("_norm"))
-    unit = prof.join(norms, "deviceSn").select(
-        "deviceSn", "slot_id",
-        F.when(F.col("_norm") > 0, F.col("profile") / F.col("_norm")).otherwise(0.0).alias("u"))
+    norm = F.sqrt(F.sum(F.col("profile") ** 2).over(Window.partitionBy("deviceSn")))
+    unit = materialize(prof.select(  # read twice below: written once
+        "deviceSn", "slot_id", F.when(norm > 0, F.col("profile") / norm).otherwise(0.0).alias("u")), "unit_profiles")
     slot_total = unit.groupBy("slot_id").agg(F.sum("u").alias("_s"))  # <= 96 rows
     n_dev = unit.select("deviceSn").distinct().agg(F.count(F.lit(1))).scalar()
     sims = unit.join(F.broadcast(slot_total), "slot_id").groupBy("deviceSn").agg(
