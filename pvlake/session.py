@@ -35,18 +35,37 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared spark.checkpoint.dir; only set one when unset (local runs)."""
+    """Use the cluster's shared ``spark.checkpoint.dir``.
+
+    Only a local-mode session (tests, single machine) without one gets a
+    temporary folder; on a cluster a machine-local folder would not survive an
+    executor loss, so a missing setting is an error there.
+    """
     sc = spark.sparkContext
     configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS / object store) for cluster runs")
     local = tempfile.mkdtemp(prefix="pvlake-ckpt-")
     sc.setCheckpointDir(local)
     return local
 
 
+def drop_materialized(spark: SparkSession) -> None:
+    """Delete the tables this application wrote under the checkpoint folder (call when done)."""
+    base = spark.sparkContext.getCheckpointDir()
+    if not base:
+        return
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{base}/tables")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        fs.delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
