@@ -28,7 +28,8 @@ def _null_safe_key(*cols: str):
     return F.concat_ws("_", *[F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in cols])
 
 
-def split_summary(point: DataFrame, daily: DataFrame, approx: bool = False) -> DataFrame:
+def split_summary(point: DataFrame, daily: DataFrame, approx: bool = False,
+                  group_bound: int | None = None) -> DataFrame:
     """18 statistics per eval_split (daily table + point table, joined on eval_split)."""
     train_devices = point.filter(F.col("eval_split") == "train").select("deviceSn").distinct().withColumn(
         "_is_train_dev", F.lit(1))
@@ -62,7 +63,8 @@ def split_summary(point: DataFrame, daily: DataFrame, approx: bool = False) -> D
     )
     if not approx:
         for c, qs in continuous.items():
-            per_day = per_day.join(exact_quantiles(daily, ["eval_split"], c, qs), "eval_split", "left")
+            per_day = per_day.join(exact_quantiles(daily, ["eval_split"], c, qs, group_bound=group_bound),
+                                   "eval_split", "left")
     per_point = point.groupBy("eval_split").agg(
         F.avg(F.when(F.col("pvGenTotal") > 0, 1.0).otherwise(0.0)).alias("nonzero_row_ratio"))
     return per_day.join(devices, "eval_split").join(per_point, "eval_split", "left")

@@ -32,7 +32,8 @@ def device_history(train_rows: DataFrame, approx: bool = False) -> DataFrame:
     )
 
 
-def _mean_and_p90(rows: DataFrame, keys: list[str], mean_name: str, p90_name: str, approx: bool) -> DataFrame:
+def _mean_and_p90(rows: DataFrame, keys: list[str], mean_name: str, p90_name: str, approx: bool,
+                  group_bound: int | None = None) -> DataFrame:
     """Mean and p90 of the label per key. A device (and so its slots) may hold a large
     share of all rows, so the exact p90 uses the hot-group-safe quantile."""
     rows = rows.dropna(subset=keys)
@@ -40,27 +41,28 @@ def _mean_and_p90(rows: DataFrame, keys: list[str], mean_name: str, p90_name: st
         return rows.groupBy(*keys).agg(F.avg("pvGenTotal").alias(mean_name),
                                        quantile("pvGenTotal", 0.9, True).alias(p90_name))
     means = rows.groupBy(*keys).agg(F.avg("pvGenTotal").alias(mean_name))
-    p90 = exact_quantiles(rows, keys, "pvGenTotal", {p90_name: 0.9})
+    p90 = exact_quantiles(rows, keys, "pvGenTotal", {p90_name: 0.9}, group_bound=group_bound)
     return means.join(p90, keys, "left")
 
 
-def device_slot_history(train_rows: DataFrame, approx: bool = False) -> DataFrame:
+def device_slot_history(train_rows: DataFrame, approx: bool = False, group_bound: int | None = None) -> DataFrame:
     """A3: per (device, slot) mean and p90 of the label."""
-    return _mean_and_p90(train_rows, ["deviceSn", "slot_id"], "device_slot_mean", "device_slot_p90", approx)
+    return _mean_and_p90(train_rows, ["deviceSn", "slot_id"], "device_slot_mean", "device_slot_p90", approx,
+                         group_bound)
 
 
-def global_slot_history(train_rows: DataFrame, approx: bool = False) -> DataFrame:
+def global_slot_history(train_rows: DataFrame, approx: bool = False, group_bound: int | None = None) -> DataFrame:
     """A4: per slot mean and p90 (at most 96 rows, safe to broadcast)."""
-    return _mean_and_p90(train_rows, ["slot_id"], "global_slot_mean", "global_slot_p90", approx)
+    return _mean_and_p90(train_rows, ["slot_id"], "global_slot_mean", "global_slot_p90", approx, group_bound)
 
 
 def enrich(points: DataFrame, train_rows: DataFrame, nn_stats: DataFrame,
-           approx: bool = False) -> DataFrame:
-    """J1 joins + J2 fill cascade."""
+           approx: bool = False, group_bound: int | None = None) -> DataFrame:
+    """J1 joins + J2 fill cascade. ``group_bound``: rows of the point table (see exact_quantiles)."""
     joined = (
         points.join(device_history(train_rows, approx), "deviceSn", "left")
-        .join(device_slot_history(train_rows, approx), ["deviceSn", "slot_id"], "left")
-        .join(F.broadcast(global_slot_history(train_rows, approx)), "slot_id", "left")
+        .join(device_slot_history(train_rows, approx, group_bound), ["deviceSn", "slot_id"], "left")
+        .join(F.broadcast(global_slot_history(train_rows, approx, group_bound)), "slot_id", "left")
         .join(nn_stats, "deviceSn", "left")
     )
     # row-weighted medians of the unfilled columns, all six in one pass: the columns are
@@ -70,7 +72,7 @@ def enrich(points: DataFrame, train_rows: DataFrame, nn_stats: DataFrame,
         medians = joined.agg(F.struct(*[quantile(c, 0.5, True).alias(c) for c in cols]).alias("m")).scalar()
     else:
         long = joined.select(*cols).unpivot([], list(cols), "name", "value")
-        per_name = exact_quantiles(long, ["name"], "value", {"m": 0.5})
+        per_name = exact_quantiles(long, ["name"], "value", {"m": 0.5}, group_bound=group_bound)
         medians = per_name.groupBy().pivot("name", list(cols)).agg(F.first("m")).select(
             F.struct(*cols).alias("m")).scalar()
     med = {c: medians.getField(c) for c in cols}

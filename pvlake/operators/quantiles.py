@@ -35,8 +35,13 @@ COLLECT_LIMIT = 100_000
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: Column | str, probs: dict[str, float],
                     small: int | None = None, buckets: int = 4096, collect_limit: int | None = None,
-                    max_rounds: int = 64) -> DataFrame:
-    """keys + one column per ``probs`` name (NULLs ignored; groups without values are absent)."""
+                    max_rounds: int = 64, group_bound: int | None = None) -> DataFrame:
+    """keys + one column per ``probs`` name (NULLs ignored; groups without values are absent).
+
+    ``group_bound``: a known upper bound on the values per group (e.g. the row
+    count of the table everything derives from); when it is at most ``small``
+    the plain aggregate is planned without any check job.
+    """
     small = HOT_GROUP_ROWS if small is None else small
     collect_limit = COLLECT_LIMIT if collect_limit is None else collect_limit
     global_ = not keys
@@ -44,10 +49,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column | str, probs:
         df, keys = df.withColumn("_g", F.lit(0)), ["_g"]
     v = df.select(*keys, (F.col(value) if isinstance(value, str) else value).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
-    sizes = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"),
-                                 F.max("_v").alias("_max"))
     names = list(probs)
     exact = [F.percentile("_v", F.lit(p)).alias(n) for n, p in probs.items()]
+    if group_bound is not None and group_bound <= small:
+        return _finish(v.groupBy(*keys).agg(*exact), global_, names)
+    sizes = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"),
+                                 F.max("_v").alias("_max"))
     hot = sizes.filter(F.col("_n") > small)
     if hot.isEmpty():  # the common case: one plain aggregate
         return _finish(v.groupBy(*keys).agg(*exact), global_, names)

@@ -60,6 +60,11 @@ class RunContext:
         """Labels + row-local features: the base every later step reads."""
         return materialize(scalar_features(self.labelled, self.settings), "points", ["split"])
 
+    @cached_property
+    def row_bound(self) -> int:
+        """Rows of the point table: an upper bound on any group derived from it."""
+        return self.scalar.count()
+
     @cached_property
     def train_rows(self) -> DataFrame:
         return self.scalar.filter(train_mask())
@@ -72,8 +77,8 @@ class RunContext:
     @cached_property
     def features(self) -> DataFrame:
         s = self.settings
-        enriched = enrich(self.scalar, self.train_rows, self.neighbours, s.approx_quantiles)
-        return materialize(target_features(enriched, s), "features", ["split"])
+        enriched = enrich(self.scalar, self.train_rows, self.neighbours, s.approx_quantiles, self.row_bound)
+        return materialize(target_features(enriched, s, self.row_bound), "features", ["split"])
 
     @cached_property
     def daily(self) -> DataFrame:

@@ -49,14 +49,14 @@ def history_features(df: DataFrame, s: Settings = Settings()) -> DataFrame:
     return enrich(df, train_rows, nn, s.approx_quantiles)
 
 
-def target_features(df: DataFrame, s: Settings = Settings()) -> DataFrame:
+def target_features(df: DataFrame, s: Settings = Settings(), group_bound: int | None = None) -> DataFrame:
     """F16-F17."""
     df = df.withColumn("y_norm", F.col("pvGenTotal") / (F.col("solar_proxy") + C.FEATURE_EPS))
     cap_rows = df.filter(F.col("split") == "train") if s.cap_rows == "split_train" else df.filter(train_mask())
     if s.approx_quantiles:
         cap = cap_rows.agg(quantile("y_norm", C.Y_NORM_CAP_QUANTILE, True)).scalar()
     else:  # y_norm is continuous over all training rows: exact without holding every value
-        cap = exact_quantile_scalar(cap_rows, "y_norm", C.Y_NORM_CAP_QUANTILE)
+        cap = exact_quantile_scalar(cap_rows, "y_norm", C.Y_NORM_CAP_QUANTILE, group_bound=group_bound)
     return df.withColumn("y_norm_clipped", F.least(F.greatest(F.col("y_norm"), F.lit(0.0)), cap))
 
 

@@ -118,13 +118,15 @@ def _dev_hist(spark, sf):
 @register("device_slot_history", "deviceSn:s, slot_id:d, device_slot_mean:d, device_slot_p90:d",
           Q.chain(*Q.features_chain()) + "\nSELECT * FROM slot_stats", "A3")
 def _slot_hist(spark, sf):
-    return device_slot_history(ctx(spark, sf).train_rows)
+    c = ctx(spark, sf)
+    return device_slot_history(c.train_rows, group_bound=c.row_bound)
 
 
 @register("global_slot_history", "slot_id:d, global_slot_mean:d, global_slot_p90:d",
           Q.chain(*Q.features_chain()) + "\nSELECT * FROM gslot", "A4")
 def _gslot(spark, sf):
-    return global_slot_history(ctx(spark, sf).train_rows)
+    c = ctx(spark, sf)
+    return global_slot_history(c.train_rows, group_bound=c.row_bound)
 
 
 @register("device_locations", "deviceSn:s, latitude:d, longitude:d",
@@ -198,7 +200,7 @@ SUMMARY_SPEC = ("eval_split:s, devices:l, days:l, date_min:s, date_max:s, region
           "R5 distribution-shift summary by eval_split")
 def _summary(spark, sf):
     c = ctx(spark, sf)
-    return split_summary(c.features, c.daily)
+    return split_summary(c.features, c.daily, group_bound=c.row_bound)
 
 
 DRIFT_SPEC = "metric:s, " + doubles("train", "valid_seen", "valid_unseen", "test1", "test2", *[
@@ -210,7 +212,7 @@ DRIFT_SPEC = "metric:s, " + doubles("train", "valid_seen", "valid_unseen", "test
           "R6 drift of each split relative to train")
 def _drift(spark, sf):
     c = ctx(spark, sf)
-    return drift_table(split_summary(c.features, c.daily))
+    return drift_table(split_summary(c.features, c.daily, group_bound=c.row_bound))
 
 
 # ------------------------------------------------------- prediction & policy
@@ -725,7 +727,7 @@ def _s_daily(spark, sf):
           "R5 on the lineitem telemetry shape")
 def _s_summary(spark, sf):
     c = sctx(spark, sf)
-    return split_summary(c.features, c.daily)
+    return split_summary(c.features, c.daily, group_bound=c.row_bound)
 
 
 @register("daily_sink_roundtrip", "split:s, eval_split:s, deviceSn:s, date:s, " + doubles(
