@@ -48,4 +48,9 @@ def test_hot_path_end_to_end(spark, monkeypatch):
     got_f = {r["row_id"]: r for r in hot.features.select(*next(iter(want_f.values())).asDict()).collect()}
     assert got_f == want_f
     got_s = {r["eval_split"]: r.asDict() for r in split_summary(hot.features, hot.daily).collect()}
-    assert got_s == want_s
+    # the two runs sum device-day labels in different row orders, so day sums may differ
+    # in the last bit; quantiles of them are compared to 1e-12 relative
+    assert got_s.keys() == want_s.keys()
+    for k, row in want_s.items():
+        for f, v in row.items():
+            assert got_s[k][f] == (pytest.approx(v, rel=1e-12) if isinstance(v, float) else v), (k, f)
