@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from pvlake import config as C
 from pvlake.functions.columns import haversine_km, quantile
+from pvlake.operators.ranking import first_n
 from pvlake.operators.splits import daily_sums
 from pvlake.session import cut_lineage
 
@@ -191,23 +192,40 @@ def nearest_neighbour_stats(train_rows: DataFrame, points: DataFrame, approx: bo
         ok = F.col("_final") | (F.col("_found") >= F.col("_avail")) | (
             (F.col("_found") >= K_MAX) & (F.col("_kth") < F.col("_guar")))
         accepted = cut_lineage(status.filter(ok).select("deviceSn"))
-        done.append(_summarise(ranked.join(accepted, "deviceSn", "left_semi")))
+        done.append(ranked.join(accepted, "deviceSn", "left_semi").select(
+            "deviceSn", "_rank", "distance", "t_dev", "t_mean", "t_p90"))
         # unresolved devices move one level coarser; past the top level nothing is left to find
         rest = pending.join(accepted, "deviceSn", "left_anti").withColumn("_lvl", F.col("_lvl") + 1)
         pending = cut_lineage(rest.filter(F.col("_lvl") <= top))
 
-    result = done[0] if done else _summarise(
-        spark.createDataFrame([], "deviceSn string, distance double, t_mean double, t_p90 double, _rank int"))
-    for part in done[1:]:
-        result = result.unionByName(part)
-    # devices without any other located training device: the only training
-    # device falls back to itself; devices without coordinates keep NULL
-    if n_train >= 1:
+    cols = "deviceSn string, _rank int, distance double, t_dev string, t_mean double, t_p90 double"
+    near = spark.createDataFrame([], cols)
+    for part in done:
+        near = near.unionByName(part)
+    # training devices without coordinates have no distance: like NaN in a sort they come
+    # after every located candidate, in name order. A device without coordinates sees
+    # every training device that way. Either tail needs at most K_MAX + 1 names (bounded).
+    found = near.groupBy("deviceSn").agg(F.count(F.lit(1)).alias("_f"))
+    short = queries.join(found, "deviceSn", "left").fillna({"_f": 0}).filter(F.col("_f") < K_MAX)
+    short = short.withColumn("_located", F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    tails = []
+    for located_query, pool in ((True, train.filter(~has_loc)), (False, train)):
+        names = first_n(pool, [F.col("t_dev")], K_MAX + 1, "_pos").select(
+            "t_dev", "t_mean", "t_p90", "_pos", F.lit(located_query).alias("_located"))
+        tail = short.filter(F.col("_located") == located_query).join(F.broadcast(names), "_located")
+        tail = tail.filter(F.col("t_dev") != F.col("deviceSn"))
+        tail = tail.withColumn("_rank", (F.col("_f") + F.row_number().over(
+            Window.partitionBy("deviceSn").orderBy("_pos"))).cast("int"))
+        tails.append(tail.select("deviceSn", "_rank", F.lit(None).cast("double").alias("distance"),
+                                 "t_dev", "t_mean", "t_p90"))
+    near = near.unionByName(tails[0]).unionByName(tails[1]).filter(F.col("_rank") <= K_MAX)
+    result = _summarise(near)
+    # the only training device has no other candidate: it falls back to itself
+    if n_train == 1:
         self_stats = queries.join(result, "deviceSn", "left_anti").join(
-            train.withColumnRenamed("t_dev", "deviceSn"), "deviceSn", "inner")
-        self_stats = self_stats.filter(F.lit(n_located) <= 1).select(
+            train.withColumnRenamed("t_dev", "deviceSn"), "deviceSn", "inner").select(
             "deviceSn",
-            F.when(F.col("t_lat").isNotNull(), F.lit(0.0)).alias("nn_1_distance_km"),
+            F.when(F.col("t_lat").isNotNull() & F.col("t_lon").isNotNull(), F.lit(0.0)).alias("nn_1_distance_km"),
             F.col("t_mean").alias("nn_3_daily_mean"), F.col("t_p90").alias("nn_3_daily_p90"),
             F.col("t_mean").alias("nn_5_daily_mean"), F.col("t_p90").alias("nn_5_daily_p90"))
         result = result.unionByName(self_stats)

@@ -117,3 +117,40 @@ def test_blend_endpoints_and_guards(spark):
         F.col("pred_norm_calibrated") * sd.agg(F.first("blend_alpha")).scalar()
         + F.col("pred_daily_model_rescaled") * (1 - sd.agg(F.first("blend_alpha")).scalar()))))).first()[0]
     assert a0 < 1e-12
+
+
+def test_knn_devices_without_coordinates(spark):
+    """Missing coordinates sort last, in name order (NaN distance), as in the reference."""
+    rnd = random.Random(7)
+    loc = {}
+    for i in range(12):
+        d = f"T{i:02d}"
+        loc[d] = (None, None) if i in (2, 5, 9) else (rnd.uniform(0, 2), rnd.uniform(0, 2))
+    rows = [(d, f"2024-01-0{k + 1}", rnd.random(), la, lo) for d, (la, lo) in loc.items() for k in range(2)]
+    schema = "deviceSn string, date string, pvGenTotal double, latitude double, longitude double"
+    train = spark.createDataFrame(rows, schema)
+    queries = [("Q0", "2024-01-01", 0.0, None, None), ("Q1", "2024-01-01", 0.0, 1.0, 1.0)]
+    points = spark.createDataFrame(queries, schema).unionByName(train)
+    got = {r["deviceSn"]: r for r in nearest_neighbour_stats(train, points).collect()}
+
+    pdf = pd.DataFrame(rows, columns=["deviceSn", "date", "y", "lat", "lon"])
+    daily = pdf.groupby(["deviceSn", "date"])["y"].sum().groupby("deviceSn")
+    mean = daily.mean()
+    qloc = {**{d: v for d, v in loc.items()}, "Q0": (None, None), "Q1": (1.0, 1.0)}
+    for q in qloc:
+        def key(t):
+            la, lo = qloc[q]
+            tl = loc[t]
+            if la is None or tl[0] is None:
+                return (1, 0.0, t)
+            return (0, _haversine(la, lo, tl[0], tl[1]), t)
+        order = sorted((t for t in mean.index if t != q), key=key)
+        top3, top5 = order[:3], order[:5]
+        r = got[q]
+        first = key(top3[0])
+        if first[0] == 1:
+            assert r["nn_1_distance_km"] is None, q
+        else:
+            assert r["nn_1_distance_km"] == pytest.approx(first[1], abs=1e-6), q
+        assert r["nn_3_daily_mean"] == pytest.approx(sum(mean[t] for t in top3) / 3), q
+        assert r["nn_5_daily_mean"] == pytest.approx(sum(mean[t] for t in top5) / 5), q
