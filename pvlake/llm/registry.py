@@ -13,3 +13,12 @@ SQL = {
     "op1_quality_rules": quality_rules.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
 }
+
+
+def queries() -> dict:
+    """Every query of the subpackage."""
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
