@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +15,22 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]+"
 
 
+def on_workers(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package where the driver has it (a cluster may ship it with ``--py-files`` instead)."""
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    return spark
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return on_workers(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only the two columns that operators read, so no other column's name can clash."""
+    on_workers(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pvlake.llm import exact_dedup, quality_rules
+from pvlake.llm import exact_dedup, line_dedup, packing, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op4_exact_dedup": exact_dedup.query,
+    "op8_packing": packing.query,
+    "op10_line_dedup": line_dedup.query,
 }
 
 SQL = {
     "op1_quality_rules": quality_rules.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
+    "op10_line_dedup": line_dedup.SQL,
 }
 
 
