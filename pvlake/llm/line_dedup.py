@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pvlake.llm.common import documents, id_and_text, whole_text
+from pvlake.llm.common import documents, id_and_text, store, whole_text
 from pvlake.session import materialize
 
 MIN_LINES = 3
@@ -64,24 +64,22 @@ def repeated_lines(rows: DataFrame, min_lines: int, min_words: int) -> DataFrame
 
 def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of ``docs`` (text without later copies) and ``__n_lines``, ``__n_removed``, ``__n_runs``."""
-    held = materialize(docs.withColumns({
-        "__rid": F.monotonically_increasing_id(),
-        "__text": F.coalesce(docs["text"].cast("string"), F.lit(""))}), "llm-line-docs")
-    rows = held.select(F.col("__rid").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__text").alias("text"))
+    held = store(docs.withColumns({"__rid": F.monotonically_increasing_id(), "text": docs["text"].cast("string")}), "llm-line-docs")
+    rows = held.select(F.col("__rid").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     deleted = repeated_lines(rows, min_lines, min_words).groupBy("rid").agg(
         F.collect_list("line").alias("__gone"), F.collect_list("seq").alias("__seq")).withColumnRenamed("rid", "__rid")
     none = F.array().cast("array<int>")
     joined = held.join(deleted, "__rid", "left").withColumns({
-        "__lines": F.split("__text", "\n"),
+        "__lines": F.split(whole_text(), "\n"),
         "__gone": F.coalesce("__gone", none), "__seq": F.coalesce("__seq", none)})
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    kept_text = F.when(F.size("__gone") == 0, F.col("__text")).otherwise(
+    kept_text = F.when(F.size("__gone") == 0, F.col("text")).otherwise(
         F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n"))
     return joined.withColumns({
         "__n_lines": F.size("__lines").cast("long"), "__n_removed": F.size("__gone").cast("long"),
         "__n_runs": F.size(F.array_except("__seq", F.transform("__seq", lambda p: p + 1))).cast("long"),
         "text": F.when(F.col("text").isNull(), F.lit(None)).otherwise(kept_text),
-    }).drop("__rid", "__text", "__gone", "__seq", "__lines")
+    }).drop("__rid", "__gone", "__seq", "__lines")
 
 
 def line_dedup_stage(docs: DataFrame) -> DataFrame:
