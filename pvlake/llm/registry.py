@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pvlake.llm import exact_dedup, line_dedup, packing, quality_rules
+from pvlake.llm import bpe_transducer, exact_dedup, line_dedup, packing, pii, quality_rules, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op4_exact_dedup": exact_dedup.query,
+    "op5_toxicity": toxicity.query,
+    "op7_bpe_transducer": bpe_transducer.query,
     "op8_packing": packing.query,
+    "op9_personal_data": pii.query,
     "op10_line_dedup": line_dedup.query,
 }
 
