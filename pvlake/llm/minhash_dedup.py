@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pvlake.llm.common import documents, id_and_text, mix, sliced, text_buffers, whole_text
@@ -46,7 +46,7 @@ COUNT = 2 * HALVES * PER_HALF
 LEAST_COMMON = 53
 BLOCK = 1024
 #: First rounds, and the holders that a class is compared with in each.
-ROUNDS, HOLDERS = 2, 6
+ROUNDS, HOLDERS = 1, 6
 LEAST_HALVES = 4
 SLICE = 4 << 20
 #: Class ids up to this count (16 bytes each) are broadcast to find their texts; beyond it the join shuffles.
@@ -256,9 +256,9 @@ class NearDuplicates:
         able, sets = self.able(self.mixed(halves, roots, ROUNDS))
         mixed = self.mixed(halves.join(able.select("cid"), "cid"), roots, ROUNDS)
         keys = self.keys(mixed)
-        leaders = materialize(keys.groupBy("key").agg(F.min("cid").alias("b"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(
-            "lo != hi").select("key", "b"), "llm-near-lead")
-        groups = components(keys.join(leaders, "key").select(F.col("cid").alias("a"), "b").distinct(), "llm-near-g")
+        bucket = Window.partitionBy("key")
+        led = keys.select("cid", F.min("cid").over(bucket).alias("b"), F.min("root").over(bucket).alias("lo"), F.max("root").over(bucket).alias("hi"))
+        groups = components(led.where("lo != hi").select(F.col("cid").alias("a"), "b").distinct(), "llm-near-g")
         size = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
         roots = mixed.select("cid", F.col("root").alias("own")).distinct()
         rows = materialize(groups.withColumnRenamed("root", "g").join(size.withColumnRenamed("root", "g"), "g").select(

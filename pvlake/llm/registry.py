@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pvlake.llm import bpe_transducer, exact_dedup, line_dedup, minhash_dedup, packing, pii, quality_rules, toxicity
+from pvlake.llm import bpe_transducer, exact_dedup, line_dedup, minhash_dedup, packing, pii, quality_rules, repeat_index, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_minhash_dedup": minhash_dedup.query,
+    "op3_repeat_index": repeat_index.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_toxicity": toxicity.query,
     "op7_bpe_transducer": bpe_transducer.query,
