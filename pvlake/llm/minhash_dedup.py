@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pvlake.llm.common import documents, id_and_text, mix, sliced, text_buffers, whole_text
+from pvlake.llm.common import documents, id_and_text, mix, sliced, store, text_buffers, whole_text
 from pvlake.llm.components import components
 from pvlake.llm.shingles import minhashes, shingle_sets
 from pvlake.session import materialize
@@ -45,6 +45,8 @@ COUNT = 2 * HALVES * PER_HALF
 #: Least number of common minhashes of a pair to be confirmed; at similarity 0.8 fewer are common with probability 1e-4.
 LEAST_COMMON = 53
 BLOCK = 1024
+#: A column of this name, where ``docs`` has it, numbers the rows.
+RID = "__llm_rid"
 #: First rounds, and the holders that a class is compared with in each.
 ROUNDS, HOLDERS = 1, 6
 LEAST_HALVES = 4
@@ -168,8 +170,10 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, size: int, percent: int):
         self.percent, self.size = percent, size
         self.docs = id_and_text(docs)
-        self.rows = materialize(self.docs.select(
-            F.monotonically_increasing_id().alias("rid"), "doc_id", whole_text().alias("text")).mapInArrow(_signatures(size), _SIGNATURES), "llm-near")
+        rid = docs[RID].alias("rid") if RID in docs.columns else F.monotonically_increasing_id().alias("rid")
+        self.rows = materialize(docs.select(
+            rid, docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).select(
+            "rid", "doc_id", whole_text().alias("text")).mapInArrow(_signatures(size), _SIGNATURES), "llm-near")
         place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
         # the class id keeps document order, so the smallest class of a component holds its first document
         self.members = materialize(self.rows.where("n > 0").groupBy("n", "fa", "fb").agg(F.min(place).alias("first")), "llm-near-first")
@@ -299,6 +303,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return NearDuplicates(docs, size, percent).run()
 
 
+def near_duplicate_stage(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """Pipeline form: the rows of ``docs`` but for all but the first of each component."""
+    held = store(docs.withColumn(RID, F.monotonically_increasing_id()), "llm-near-docs")
+    gone = materialize(near_duplicates(held, size, percent).where(~F.col("first")).select(F.col("rid").alias(RID)), "llm-near-gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return held.join(gone, RID, "left_anti").select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), size=4).select(
         "doc_id", "n_shingles", "component_id", F.col("first").alias("kept"))

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pvlake.llm.common import WS, documents, id_and_text, whole_text
+from pvlake.llm.common import WS, documents, whole_text
 
 #: Frequent function words of the corpus' languages, lower case, in the order of the languages.
 STOP_WORDS = (
@@ -49,8 +49,9 @@ RULES = (
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the counts that rules read, all over whole texts."""
-    base = id_and_text(docs).select("doc_id", whole_text().alias("text"))
+    """doc_id, text and the counts that rules read, all over whole texts; ``row`` is the whole row."""
+    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"),
+                       F.struct(*[docs[c] for c in docs.columns]).alias("row")).withColumn("text", whole_text())
     split = base.select(
         "*", F.array_remove(F.split("text", WS), "").alias("words"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
@@ -61,7 +62,9 @@ def measures(docs: DataFrame) -> DataFrame:
             lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(WINDOW)]))).otherwise(
                 F.array().cast("array<bigint>")).alias("windows"))
     return counted.select(
-        "doc_id", "text", "n_words",
+        "doc_id", "text", "row", "n_words",
+        # a filter on the verdict must not be pushed below this projection, where it would repeat its work per word
+        F.monotonically_increasing_id().alias("at"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         _matches(r"[#*$%&|<>]").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -125,10 +128,18 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in broken.items()]))
     return measures(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed().alias("base_failed"), (~base_failed() & ~any_broken).alias("kept"),
+        base_failed().alias("base_failed"), ((F.col("at") >= 0) & ~base_failed() & ~any_broken).alias("kept"),
         F.array_join(names, ",").alias("broken_rules"))
 
 
+def quality_stage(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Pipeline form: the rows of ``docs`` that are kept, unchanged."""
+    any_broken = F.lit(False)
+    for c in compile_rules(rules).values():
+        any_broken = any_broken | c
+    return measures(docs).where((F.col("at") >= 0) & ~base_failed() & ~any_broken).select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 

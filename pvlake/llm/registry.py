@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pvlake.llm import bpe_transducer, exact_dedup, line_dedup, minhash_dedup, packing, pii, quality_rules, repeat_index, toxicity
+import corpus_pipeline
+from pvlake.llm import bpe_transducer, edit_counts, exact_dedup, line_dedup, minhash_dedup, packing, pii, quality_rules, repeat_index, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -10,10 +11,12 @@ QUERIES = {
     "op3_repeat_index": repeat_index.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_toxicity": toxicity.query,
+    "op6_edit_counts": edit_counts.query,
     "op7_bpe_transducer": bpe_transducer.query,
     "op8_packing": packing.query,
     "op9_personal_data": pii.query,
     "op10_line_dedup": line_dedup.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
