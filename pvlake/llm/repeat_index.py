@@ -1,7 +1,7 @@
 """Operator 3, suffix-array dedup with a run-length index.
 
 Texts are held as UTF-8 in compressed blocks of about ``BLOCK`` bytes, so every later step reads the
-same rows. A window of ``LENGTH`` bytes is named by its minimizer, the least hash of its 16-byte
+same rows. A window of ``LENGTH`` bytes is named by its minimizer, the least hash of its 24-byte
 strings; equal windows have equal minimizers. A segment is a run of windows with one minimizer.
 
 1. Blocks send the minimizers they hold; a bucket tells them which occur in two blocks or more.
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pvlake.llm.common import documents, id_and_text, mix, sliced, text_buffers
 from pvlake.session import materialize
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 BLOCK = 4 << 20
 #: Most windows of a segment; with LENGTH - 1 bytes more it stays under 112 symbols, 4 doublings of 7.
 MOST = 62
