@@ -4,25 +4,26 @@ Layout ``root/{train,test1,test2}/<deviceSn>/<YYYY-MM-DD>.csv``: split, device
 and date come from the path (``_metadata.file_path``), not from Hive-style
 ``key=value`` folders, so there is no partition discovery. Files may carry
 different column sets (header drift): Spark's CSV reader maps a given schema
-by position, so files are grouped by their header line and each group gets
-its own reader; the groups are unioned by name with missing columns as NULL.
-All values are read as text and coerced (bad numbers / timestamps -> NULL).
+by position, so each file's first line is held as a (path, header) table, lines
+are tagged with it by a join on the path and written once per distinct header,
+and every header parses its own lines. Only the distinct headers reach the
+driver. The date in a file's name always wins over a ``date`` column; a file
+without ``us_timestamp`` keeps its rows with a missing timestamp. All values are
+read as text and coerced (bad numbers / timestamps -> NULL).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from pvlake import config as C
 from pvlake.functions.columns import to_number
+from pvlake.session import materialize
 
 TEXT_COLUMNS = {"deviceSn", "date_H", "split", "date"}
-HEADER_TOKEN = "us_timestamp"  # a required column: every header line names it, no data line does
-
 
 def _fs_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -41,12 +42,18 @@ def list_csv_globs(spark: SparkSession, root: str) -> list[str]:
     return out
 
 
-def header_groups(spark: SparkSession, globs: list[str]) -> dict[str, list[str]]:
-    """Header line -> files having it (one distributed scan; few distinct headers)."""
-    text = spark.read.text(globs).select("value", F.col("_metadata.file_path").alias("path"))
-    heads = text.filter(F.col("value").contains(HEADER_TOKEN)).groupBy("value").agg(
-        F.sort_array(F.collect_set("path")).alias("paths"))
-    return {r["value"]: list(r["paths"]) for r in heads.collect()}
+def text_lines(reader, paths) -> DataFrame:
+    """Lines of text files with their file and a number that grows within it."""
+    return reader.load(paths).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+
+
+def tag_headers(lines: DataFrame) -> DataFrame:
+    """(header, path, value) of every data line; a file's header is its first line."""
+    lines = lines.withColumn("at", F.monotonically_increasing_id())
+    heads = materialize(lines.where("start = 0").groupBy("path").agg(F.min_by("value", "at").alias("header")), "csv-heads")
+    tagged = lines.join(heads, "path").where((F.col("value") != F.col("header")) & (F.trim("value") != ""))
+    return materialize(tagged.select("header", "path", "value", F.xxhash64("header").alias("header_key")), "csv-lines", ["header_key"])
 
 
 def _coerce(df: DataFrame) -> DataFrame:
@@ -59,43 +66,49 @@ def _coerce(df: DataFrame) -> DataFrame:
     return df.withColumns(cols)
 
 
-def read_one_group(spark: SparkSession, header: str, paths: list[str]) -> DataFrame:
-    """Read files sharing one header; add split, date and (when absent) deviceSn from the path."""
+def parse_group(tagged: DataFrame, header: str, key: int) -> DataFrame:
+    """Lines of the files sharing one header; split, date and (when absent) deviceSn come from the path."""
     names = [h.strip().strip('"') for h in header.split(",")]
-    schema = StructType([StructField(n, StringType()) for n in names])
-    df = spark.read.schema(schema).option("header", True).csv(paths)
-    parts = F.split(F.col("_metadata.file_path"), "/")
+    parts = F.split(F.col("path"), "/")
     stem = F.regexp_replace(F.element_at(parts, -1), r"\.csv$", "")
-    day = F.col("date") if "date" in names else F.col("_stem")
+    df = tagged.where((F.col("header_key") == key) & (F.col("header") == header)).select(
+        F.from_csv("value", _ddl(names)).alias("_row"), "path")
+    day = F.expr("try_to_date(_stem)")
+    if "date" in names:  # only where the file's name is no date
+        day = F.coalesce(day, F.expr("try_to_date(_row.`date`)"))
     extra = {
         "split": F.regexp_replace(F.element_at(parts, -3), "^split=", ""),
-        "date": F.date_format(F.expr("try_to_date(_day)"), "yyyy-MM-dd"),
+        "date": F.date_format(day, "yyyy-MM-dd"),
     }
     if "deviceSn" not in names:
         extra["deviceSn"] = F.regexp_replace(F.element_at(parts, -2), "^deviceSn=", "")
-    df = df.withColumn("_stem", stem).withColumn("_day", day).withColumns(extra).drop("_stem", "_day")
-    return _coerce(df)
+    keep = [F.col("_row")[n].alias(n) for n in names if n not in extra]
+    return _coerce(df.withColumn("_stem", stem).select(*keep, *[c.alias(n) for n, c in extra.items()]))
+
+
+def _ddl(names: list[str]) -> str:
+    return ", ".join(f"`{n}` STRING" for n in names)
+
+
+def parse_lines(lines: DataFrame) -> DataFrame | None:
+    """Every header's lines, unioned by name; None without a data line."""
+    tagged = tag_headers(lines)
+    heads = sorted(tuple(r) for r in tagged.select("header", "header_key").distinct().collect())
+    if not heads:
+        return None
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [parse_group(tagged, h, k) for h, k in heads])
+    if "us_timestamp" not in rows.columns:
+        rows = rows.withColumn("us_timestamp", F.lit(None).cast("timestamp_ntz"))
+    return rows
 
 
 def load_point_data(spark: SparkSession, root: str) -> DataFrame:
     """S3: every CSV of the existing splits, unioned by name; error when there is none."""
     globs = list_csv_globs(spark, root)
-    if not globs:
-        raise FileNotFoundError(f"No csv files found under {root}")
-    groups = header_groups(spark, globs)
-    if not groups:
+    rows = parse_lines(text_lines(spark.read.format("text"), globs)) if globs else None
+    if rows is None:
         raise FileNotFoundError(f"No csv files found under {root}")
-    frames = [read_one_group(spark, h, p) for h, p in sorted(groups.items())]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
-def load_hive_layout(spark: SparkSession, root: str, fmt: str = "csv") -> DataFrame:
-    """Same data written by Spark with ``partitionBy('split', 'deviceSn')`` (``key=value`` folders)."""
-    df = spark.read.option("header", True).option("basePath", root).format(fmt).load(root)
-    if fmt == "csv":
-        df = df.withColumns({"split": F.col("split").cast("string"), "deviceSn": F.col("deviceSn").cast("string")})
-        df = _coerce(df)
-    return df
+    return rows
 
 
 def sample_device_days(points: DataFrame, fraction: float, seed: int = 42,
@@ -112,6 +125,3 @@ def read_predictions(spark: SparkSession, path: str, fmt: str = "parquet") -> Da
         return _coerce(df)
     return spark.read.parquet(path)
 
-
-def path_column() -> Column:
-    return F.col("_metadata.file_path")

@@ -1,45 +1,32 @@
 """Incremental ingest of telemetry CSV files with Structured Streaming.
 
 A text file-source stream notices new ``<split>/<device>/<date>.csv`` files;
-``foreachBatch`` re-reads just the files of the micro-batch with the same
-header-grouped batch reader (so header drift is handled exactly as in batch
-mode) and appends them to a parquet table partitioned by split. Progress lives
-in the checkpoint folder, so a restarted or recomputed batch does not ingest a
-file twice; ``availableNow`` processes whatever has landed and stops.
+``foreachBatch`` parses the micro-batch's lines like the batch reader (so header
+drift is handled exactly as in batch mode) and overwrites the folder of its batch
+id in a parquet table. A batch that runs again replaces its own rows, so replay
+does not ingest a file twice; ``availableNow`` processes whatever has landed and
+stops.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from pvlake.sources.telemetry_csv import HEADER_TOKEN, read_one_group
+from pvlake.sources.telemetry_csv import parse_lines, text_lines
 
 
-def _append_batch(out_path: str):
+def _write_batch(out_path: str):
     def run(batch: DataFrame, batch_id: int) -> None:
-        heads = batch.filter(F.col("value").contains(HEADER_TOKEN)).groupBy("value").agg(
-            F.sort_array(F.collect_set("path")).alias("paths")).collect()
-        if not heads:
-            return
-        spark = batch.sparkSession
-        frames = [read_one_group(spark, r["value"], list(r["paths"])) for r in heads]
-        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-        rows.withColumn("ingest_batch", F.lit(batch_id)).write.mode("append").option(
-            "mergeSchema", "true").partitionBy("split").parquet(out_path)
+        rows = parse_lines(batch)
+        if rows is not None:
+            rows.write.mode("overwrite").partitionBy("split").parquet(f"{out_path}/ingest_batch={batch_id}")
     return run
 
 
 def start_ingest(spark: SparkSession, root: str, out_path: str, checkpoint: str,
                  max_files_per_trigger: int = 10_000, available_now: bool = True):
-    lines = (
-        spark.readStream.format("text")
-        .option("maxFilesPerTrigger", max_files_per_trigger)
-        .load(f"{root.rstrip('/')}/*/*/*.csv")
-        .select("value", F.col("_metadata.file_path").alias("path"))
-    )
-    writer = lines.writeStream.foreachBatch(_append_batch(out_path)).option("checkpointLocation", checkpoint)
+    reader = spark.readStream.format("text").option("maxFilesPerTrigger", max_files_per_trigger)
+    lines = text_lines(reader, f"{root.rstrip('/')}/*/*/*.csv")
+    writer = lines.writeStream.foreachBatch(_write_batch(out_path)).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

@@ -98,3 +98,30 @@ def test_cv_summaries_match_pandas(spark):
         assert agg[metric]["mean"] == pytest.approx(e["mean"]) and agg[metric]["std"] == pytest.approx(e["std"])
     cand = cv_candidate_summary(table).filter(F.col("candidate") == "pred_a").count()
     assert cand == 2
+
+
+def test_published_layout_keeps_every_file(spark, tmp_path):
+    """The date in a file's name wins, and a file without us_timestamp keeps its rows."""
+    files = {
+        "train/EP1/2024-01-02.csv": "us_timestamp,pvGenTotal,date\n2024-01-02 00:00:00,1.5,1999-12-31\n",
+        "train/EP2/2024-01-03.csv": "pvGenTotal,latitude\n2.5,30\n3.5,31\n",
+        "test1/EP1/2024-01-04.csv": "us_timestamp,deviceSn,pvGenTotal\n2024-01-04 00:15:00,EP9,bad\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    rows = sorted((r.split, r.deviceSn, r.date, r.us_timestamp is None, r.pvGenTotal) for r in load_point_data(spark, str(tmp_path)).collect())
+    assert rows == [("test1", "EP9", "2024-01-04", False, None), ("train", "EP1", "2024-01-02", False, 1.5),
+                    ("train", "EP2", "2024-01-03", True, 2.5), ("train", "EP2", "2024-01-03", True, 3.5)]
+
+
+def test_ingest_replay_replaces_its_batch(spark, tmp_path):
+    from pvlake.sources.telemetry_csv import text_lines
+    from pvlake.streaming.ingest import _write_batch
+
+    (tmp_path / "in/train/EP1").mkdir(parents=True)
+    (tmp_path / "in/train/EP1/2024-01-02.csv").write_text("us_timestamp,pvGenTotal\n2024-01-02 00:00:00,1\n2024-01-02 00:15:00,2\n")
+    lines = text_lines(spark.read.format("text"), f"{tmp_path}/in/*/*/*.csv")
+    for _ in range(2):
+        _write_batch(f"{tmp_path}/out")(lines, 3)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
