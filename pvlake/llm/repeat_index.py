@@ -1,7 +1,7 @@
 """Operator 3, suffix-array dedup with a run-length index.
 
 Texts are held as UTF-8 in compressed blocks of about ``BLOCK`` bytes, so every later step reads the
-same rows. A window of ``LENGTH`` bytes is named by its minimizer, the least hash of its 24-byte
+same rows. A window of ``LENGTH`` bytes is named by its minimizer, the least hash of its 20-byte
 strings; equal windows have equal minimizers. A segment is a run of windows with one minimizer.
 
 1. Blocks send the minimizers they hold; a bucket tells them which occur in two blocks or more.
@@ -12,7 +12,7 @@ strings; equal windows have equal minimizers. A segment is a run of windows with
    of suffix intervals of ``LENGTH`` common bytes the smallest document is sampled. The suffix array
    is dropped, and all segments stream through the runs from their ends backwards, which gives each
    window's interval and whether its match reaches a document before its own.
-3. Blocks get (segment, first document, covered windows) back and cut the covered bytes.
+3. Blocks get the covered windows of their segments back and cut the covered bytes.
 
 Only blocks, minimizers and distinct segments move; a passage of a third of all documents is one
 entry per block. No text is compared with all others.
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pvlake.llm.common import documents, id_and_text, mix, sliced, text_buffers
 from pvlake.session import materialize
 
-LENGTH, GRAM = 50, 24
+LENGTH, GRAM = 50, 20
 BLOCK = 4 << 20
 #: Most windows of a segment; with LENGTH - 1 bytes more it stays under 112 symbols, 4 doublings of 7.
 MOST = 62
@@ -48,6 +48,8 @@ LAST = np.iinfo(np.int64).max
 _P = 0x9E3779B97F4A7C15
 _VALUE = mix(np.arange(256, dtype=np.uint64), 41)
 _powers: dict[int, np.ndarray] = {}
+_CHUNK = 1 << 15
+_WHOLE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BLOCKS = "block long, ids binary, offsets binary, data binary"
 
 
@@ -94,9 +96,6 @@ class Segments:
         self.offsets = np.frombuffer(offsets, np.int64)
         self.raw = np.frombuffer(_unzip(data), np.uint8)
         n = len(self.raw)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUE[self.raw] * _power(_P, n), out=sums[1:])
-        back = _power(pow(_P, -1, 1 << 64), max(n, 1))
         sizes = np.diff(self.offsets)
         row = np.repeat(np.arange(len(sizes)), sizes)
         valid = np.zeros(n, bool)
@@ -107,13 +106,8 @@ class Segments:
         if not valid.any():
             self.row = self.doc = self.start
             return
-        least = mix((sums[GRAM:] - sums[:-GRAM]) * back[:n - GRAM + 1])
-        width = 1
-        while 2 * width <= LENGTH - GRAM + 1:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
-        rest = LENGTH - GRAM + 1 - width
-        least = np.minimum(least[:len(least) - rest], least[rest:]) if rest else least
+        grams = self._grams()
+        least = self._least(grams)
         at = np.flatnonzero(valid[:len(least)])
         value = least[at]
         new = np.ones(len(at), bool)
@@ -125,12 +119,49 @@ class Segments:
             k = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             first, length = np.repeat(first, pieces) + MOST * k, np.minimum(MOST, np.repeat(length, pieces) - MOST * k)
         self.start, self.windows, self.minimizer = at[first], length, value[first]
-        end = self.start + self.windows + LENGTH - 1
-        self.content = mix((sums[end] - sums[self.start]) * back[self.start] + self.windows.astype(np.uint64), 7)
+        # a segment's bytes are named by enough of its strings to cover them
+        end = self.start + self.windows + LENGTH - 1 - GRAM
+        self.content = self.windows.astype(np.uint64)
+        for k in range(-(-(MOST + LENGTH - 1) // GRAM)):
+            self.content = mix(self.content * np.uint64(_P) + grams[np.minimum(self.start + k * GRAM, end)], 7)
         self.row = row[self.start]
         self.doc = self.ids[self.row]
 
 
+    def _grams(self) -> np.ndarray:
+        """Hash of the GRAM bytes from each place, in chunks that fit a processor's cache."""
+        n = len(self.raw) - GRAM + 1
+        out = np.empty(n, np.uint64)
+        power, back = _power(_P, _CHUNK + GRAM), _power(pow(_P, -1, 1 << 64), _CHUNK)
+        for c in range(0, n, _CHUNK):
+            part = self.raw[c:c + _CHUNK + GRAM - 1]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_VALUE[part] * power[:len(part)], out=sums[1:])
+            x = sums[GRAM:] - sums[:-GRAM]
+            x *= back[:len(x)]
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(29)
+            out[c:c + len(x)] = x
+        return out
+
+    @staticmethod
+    def _least(grams: np.ndarray) -> np.ndarray:
+        """The least of the strings in each window."""
+        span = LENGTH - GRAM + 1
+        n = len(grams) - span + 1
+        out = np.empty(n, np.uint64)
+        for c in range(0, n, _CHUNK):
+            x, width = grams[c:c + _CHUNK + span - 1], 1
+            while 2 * width <= span:
+                x = np.minimum(x[:-width], x[width:])
+                width *= 2
+            rest = span - width
+            x = np.minimum(x[:len(x) - rest], x[rest:]) if rest else x
+            out[c:c + len(x)] = x
+        return out
+
+
 def _buckets(total: int) -> int:
     return int(min(max(total // BUCKET, 8), BUCKETS))
 
@@ -154,9 +185,14 @@ def _send_minimizers(buckets: int):
 def _shared(table: pa.Table) -> pa.Table:
     """For each block, those of its minimizers that another block holds."""
     held = [np.frombuffer(x, np.uint32) for x in table.column("held").to_pylist()]
-    every = np.sort(np.concatenate(held))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    found = [h[np.isin(h, twice)] for h in held]
+    every = np.concatenate(held)
+    order = np.argsort(every, kind="stable")
+    ranked = every[order]
+    twice = np.zeros(len(every), bool)
+    same = ranked[1:] == ranked[:-1]
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    found = [h[t] for h, t in zip(held, np.split(twice, np.cumsum([len(h) for h in held])[:-1]), strict=True)]
     some = [i for i, f in enumerate(found) if len(f)]
     return pa.table({"bucket": table.column("bucket").take(pa.array(some, pa.int64())).cast(pa.int32()),
                      "block": table.column("block").take(pa.array(some, pa.int64())).cast(pa.int64()),
@@ -188,7 +224,7 @@ def _send_segments(buckets: int):
                     p = pick[k:c]
                     size = s.windows[p] + LENGTH - 1
                     text = s.raw[np.repeat(s.start[p] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-                    payload = _zip(b"".join([s.minimizer[p].tobytes(), s.content[p].tobytes(), s.doc[p].tobytes(),
+                    payload = _zip(b"".join([(s.minimizer[p] >> np.uint64(32)).astype(np.uint32).tobytes(), s.content[p].tobytes(), s.doc[p].tobytes(),
                                              s.windows[p].astype(np.uint8).tobytes(), text.tobytes()]))
                     yield pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]])], pa.int32()), pa.array([block], pa.int64()),
                                                       pa.array([c - k], pa.int32()), pa.array([payload], pa.binary())],
@@ -274,8 +310,8 @@ def _index_bucket(table: pa.Table) -> pa.Table:
     parts = []
     for n, payload in zip(counts, table.column("payload").to_pylist(), strict=True):
         raw = _unzip(payload)
-        parts.append((np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.uint64, n, 8 * n), np.frombuffer(raw, np.int64, n, 16 * n),
-                      np.frombuffer(raw, np.uint8, n, 24 * n).astype(np.int64), np.frombuffer(raw, np.uint8, offset=25 * n)))
+        parts.append((np.frombuffer(raw, np.uint32, n), np.frombuffer(raw, np.uint64, n, 4 * n), np.frombuffer(raw, np.int64, n, 12 * n),
+                      np.frombuffer(raw, np.uint8, n, 20 * n).astype(np.int64), np.frombuffer(raw, np.uint8, offset=21 * n)))
     minimizer, content, doc, windows = (np.concatenate([p[k] for p in parts]) for k in range(4))
     raw = np.concatenate([p[4] for p in parts])
     size = windows + LENGTH - 1
@@ -307,12 +343,15 @@ def _index_bucket(table: pa.Table) -> pa.Table:
             rows[inside] = raw[np.repeat(start[one[chosen]] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())].astype(np.int16) + 1
             docs = doc[one[chosen]]
             mask[chosen] = RunIndex(rows, lengths, docs).covered(lengths, docs)
-    out, at = [], 0
+    # a block hears of segments that an earlier document holds whole, or in part
+    answer = np.where(doc[one[which]] < doc, _WHOLE, mask[which])
+    out, kept, at = [], [], 0
     for n in counts:
-        w = which[at:at + n]
-        out.append(content[one[w]].tobytes() + doc[one[w]].tobytes() + mask[w].tobytes())
+        some = at + np.flatnonzero(answer[at:at + n])
+        out.append(_zip(content[some].tobytes() + answer[some].tobytes()))
+        kept.append(len(some))
         at += n
-    return pa.table({"block": pa.array(blocks, pa.int64()), "n": pa.array(counts, pa.int32()), "answer": pa.array(out, pa.binary())})
+    return pa.table({"block": pa.array(blocks, pa.int64()), "n": pa.array(kept, pa.int32()), "answer": pa.array(out, pa.binary())})
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,22 +359,30 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, offsets, data, answers in zip(*[batch.column(i).to_pylist() for i in range(1, 5)], strict=True):
             s = Segments(ids, offsets, data)
             step = np.zeros(len(s.raw) + 1, np.int32)
+            # within the block, the smallest document with a segment covers the others
+            order = np.lexsort((s.doc, s.content))
+            ranked = s.content[order]
+            new = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(order) else order
+            least = np.empty(len(order), np.int64)
+            least[order] = np.repeat(s.doc[order][new], np.diff(np.append(new, len(order))))
+            mask = np.where(s.doc > least, _WHOLE, np.uint64(0))
             if answers:
-                parts = [(np.frombuffer(a["answer"], np.uint64, a["n"]), np.frombuffer(a["answer"], np.int64, a["n"], 8 * a["n"]),
-                          np.frombuffer(a["answer"], np.uint64, a["n"], 16 * a["n"])) for a in answers]
-                content, doc, mask = (np.concatenate([p[k] for p in parts]) for k in range(3))
-                order = np.argsort(content)
-                content, doc, mask = content[order], doc[order], mask[order]
-                at = np.minimum(np.searchsorted(content, s.content), len(content) - 1)
-                known = content[at] == s.content
-                later = known & (s.doc > doc[at])
-                np.add.at(step, s.start[later], 1)
-                np.add.at(step, s.start[later] + s.windows[later] + LENGTH - 1, -1)
-                some = np.flatnonzero(known & (s.doc == doc[at]) & (mask[at] != 0))
-                for w in range(MOST):
-                    hit = some[((mask[at[some]] >> np.uint64(w)) & np.uint64(1)).astype(bool) & (s.windows[some] > w)]
-                    np.add.at(step, s.start[hit] + w, 1)
-                    np.add.at(step, s.start[hit] + w + LENGTH, -1)
+                parts = [(np.frombuffer(r, np.uint64, a["n"]), np.frombuffer(r, np.uint64, a["n"], 8 * a["n"]))
+                         for a in answers if a["n"] for r in [_unzip(a["answer"])]]
+                if parts:
+                    content, told = (np.concatenate([p[k] for p in parts]) for k in range(2))
+                    order = np.argsort(content)
+                    content, told = content[order], told[order]
+                    at = np.minimum(np.searchsorted(content, s.content), len(content) - 1)
+                    mask |= np.where(content[at] == s.content, told[at], np.uint64(0))
+            whole = mask == _WHOLE
+            np.add.at(step, s.start[whole], 1)
+            np.add.at(step, s.start[whole] + s.windows[whole] + LENGTH - 1, -1)
+            some = np.flatnonzero(~whole & (mask != 0))
+            for w in range(MOST):
+                hit = some[((mask[some] >> np.uint64(w)) & np.uint64(1)).astype(bool)]
+                np.add.at(step, s.start[hit] + w, 1)
+                np.add.at(step, s.start[hit] + w + LENGTH, -1)
             gone = np.cumsum(step[:-1]) > 0
             rows = []
             for k, (a, b) in enumerate(zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist(), strict=True)):
