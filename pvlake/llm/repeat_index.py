@@ -37,13 +37,13 @@ from pvlake.llm.common import documents, id_and_text, mix, sliced, text_buffers
 from pvlake.session import materialize
 
 LENGTH, GRAM = 50, 20
-BLOCK = 4 << 20
+BLOCK = 3 << 20
 #: Most windows of a segment; with LENGTH - 1 bytes more it stays under 112 symbols, 4 doublings of 7.
 MOST = 62
 #: Text bytes per bucket, and most buckets.
 BUCKET, BUCKETS = 2 << 20, 1 << 16
 #: Texts that one run index takes, but for a minimizer with more.
-PART = 20_000
+PART = 8_000
 LAST = np.iinfo(np.int64).max
 _P = 0x9E3779B97F4A7C15
 _VALUE = mix(np.arange(256, dtype=np.uint64), 41)
