@@ -176,9 +176,13 @@ enriched AS (
     coalesce(device_slot_p90, global_slot_mean, (SELECT m6 FROM meds)) AS device_slot_p90)
   FROM joined),
 ynorm AS (SELECT *, pvGenTotal / (solar_proxy + 1e-6) AS y_norm FROM enriched),
+leak_safe_target AS (
+  SELECT row_id, y_norm, least(greatest(y_norm, 0e0),
+    (SELECT quantile_cont(y_norm, 0.995) FROM ynorm WHERE split = 'train' AND eval_split = 'train')) AS y_norm_clipped
+  FROM ynorm),
 points AS (
   SELECT *, least(greatest(y_norm, 0e0),
-    (SELECT quantile_cont(y_norm, 0.995) FROM ynorm WHERE split = 'train' AND eval_split = 'train')) AS y_norm_clipped
+    (SELECT quantile_cont(y_norm, 0.995) FROM ynorm WHERE split = 'train')) AS y_norm_clipped
   FROM ynorm)"""
 
 DAILY = r"""
@@ -515,10 +519,22 @@ keep_revert AS (
     combined < b AS keep, (b - combined) / b >= 0.01 AS preferred
   FROM (SELECT *, (SELECT combined FROM cand_scores WHERE candidate = 'pred_irradiance_baseline') AS b
         FROM cand_scores WHERE isfinite(combined))),
+leak_devices AS (
+  SELECT p.deviceSn, p.told, coalesce(t.days, 0) AS days
+  FROM (SELECT deviceSn, max(device_history_days) AS told FROM points GROUP BY deviceSn) p
+  LEFT JOIN (SELECT deviceSn, count(DISTINCT date) AS days FROM points
+             WHERE split = 'train' AND eval_split = 'train' AND date IS NOT NULL GROUP BY deviceSn) t ON p.deviceSn = t.deviceSn),
+leak_slots AS (
+  SELECT p.told, t.own FROM
+    (SELECT deviceSn, slot_id, max(device_slot_mean) AS told FROM points WHERE slot_id IS NOT NULL GROUP BY deviceSn, slot_id) p
+    JOIN (SELECT deviceSn, slot_id, avg(pvGenTotal) AS own FROM points WHERE split = 'train' AND eval_split = 'train'
+          AND slot_id IS NOT NULL GROUP BY deviceSn, slot_id) t ON p.deviceSn = t.deviceSn AND p.slot_id = t.slot_id),
 leak AS (
-  SELECT count(*) AS history_devices_outside_training FROM (
-    SELECT DISTINCT deviceSn FROM dev_stats EXCEPT SELECT DISTINCT deviceSn FROM points
-    WHERE split = 'train' AND eval_split = 'train')),
+  SELECT count(*) FILTER (WHERE told <> days) AS devices_with_other_days,
+    count(*) FILTER (WHERE told > 0 AND days = 0) AS history_devices_outside_training,
+    (SELECT count(*) FROM leak_slots WHERE abs(told - own) > 1e-9 * greatest(abs(own), 1)) AS slots_with_other_rows,
+    '' AS label_columns_in_features
+  FROM leak_devices),
 prof AS (
   SELECT s.deviceSn, s.slot_id, s.m / (x.mx + 1e-9) AS profile FROM
     (SELECT deviceSn, slot_id, avg(solar_proxy) AS m FROM points WHERE slot_id IS NOT NULL GROUP BY deviceSn, slot_id) s

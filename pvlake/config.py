@@ -6,7 +6,7 @@ match, so they are kept together here as plain data.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # --- fixed values -----------------------------------------------------------
 FEATURE_EPS = 1e-6
@@ -78,6 +78,8 @@ CATEGORICAL = ("deviceSn", "lat_lon_bin")
 DAILY_EXCLUDED = ("deviceSn", "date", "split", "eval_split", "daily_target", "daily_target_log1p")
 # label-derived daily columns kept out of model inputs unless reproducing the leak
 LABEL_DERIVED_DAILY = ("target_per_solar",)
+# label and label-derived columns; none may be a model input
+LABEL_COLUMNS = ("pvGenTotal", "y_norm", "y_norm_clipped", "daily_target", "daily_target_log1p", "target_per_solar")
 # acceptance gates on daily MAPE
 ACCEPTANCE_GATES = (("valid_seen", 0.09), ("valid_unseen", 0.18), ("test1", 0.10))
 # prediction candidates in selection order, with their experiment names
@@ -95,6 +97,18 @@ CANDIDATES = (
     ("pred_seen_new_branch", "E06_seen_new_branch"),
 )
 DEPLOYMENT_CANDIDATE = "pred_precision_low_output_guard"
+COLD_START_EXPERIMENTS = (
+    "E05_norm_plus_daily_calibration", "E07_validated_blend", "E08_history_dynamic_fallback",
+    "E09_low_output_guard", "E10_precision_low_output_guard", "E11_piecewise_low_output_guard",
+    "E02_lgbm_daily_rescaled",
+)
+FOLD_METRICS = ("combined_validation_daily_mape", "valid_seen_daily_mape", "valid_unseen_daily_mape",
+                "test1_daily_mape", "test2_daily_mape")
+STRESS_CANDIDATES = (
+    "pred_norm_calibrated", "pred_validated_blend", "pred_history_fallback", "pred_low_output_guard",
+    "pred_precision_low_output_guard", "pred_piecewise_low_output_guard", "pred_daily_model_rescaled",
+    "pred_seen_new_branch",
+)
 # ---------------------------------------------------------------------------
 
 
@@ -108,10 +122,6 @@ class Settings:
     unseen_strategy: str = "default"
     # y_norm cap rows: "split_train" (every split=train row, as published) or
     # "train_mask" (only rows that stay in training after labelling)
-    cap_rows: str = "train_mask"
+    cap_rows: str = "split_train"
     # exact percentiles (pandas parity) or percentile_approx for very large groups
     approx_quantiles: bool = False
-    approx_accuracy: int = 100_000
-    # keep label-derived daily columns in the model inputs (reproduces a leak)
-    reproduce_leak: bool = False
-    knn_k: tuple[int, ...] = field(default=(1, 3, 5))

@@ -8,11 +8,15 @@ into the shared checkpoint folder every few rounds so lineage stays short.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
+import random
+
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pvlake.operators.quantiles import exact_quantiles
 from pvlake.session import cut_lineage
 
 
@@ -27,21 +31,29 @@ def negative_gradient(loss: str, r: Column, delta: float = 0.9, c: float = 1.0)
 
 
 def boost(train: DataFrame, every: DataFrame, cols: list[str], label: str, out: str, loss: str = "huber",
-          rounds: int = 20, learning_rate: float = 0.1, depth: int = 5, delta: float = 0.9, c: float = 1.0,
-          min_instances: int = 30, seed: int = 42, checkpoint_every: int = 5) -> DataFrame:
-    """Returns ``every`` with the boosted prediction in ``out``."""
+          rounds: int = 700, learning_rate: float = 0.035, depth: int = 6, delta: float = 0.9, c: float = 1.0,
+          min_instances: int = 30, row_share: float = 0.85, column_share: float = 0.85, seed: int = 42,
+          checkpoint_every: int = 5) -> DataFrame:
+    """Returns ``every`` with the boosted prediction in ``out``. Defaults are the published sizes; each
+    round's tree sees a seeded sample of rows and columns."""
     assembler = VectorAssembler(inputCols=cols, outputCol="_x", handleInvalid="keep")
     tr = assembler.transform(train.filter(F.col(label).isNotNull()))
     ev = assembler.transform(every)
-    init = tr.agg(F.percentile_approx(label, 0.5, 10_000) if loss == "huber" else F.avg(label)).first()[0] or 0.0
+    median = exact_quantiles(tr, [], label, {"q": 0.5}) if loss == "huber" else tr.agg(F.avg(label))
+    init = median.first()[0] or 0.0
+    rnd = random.Random(seed)
     tr = tr.withColumn("_score", F.lit(float(init)))
     ev = ev.withColumn("_score", F.lit(float(init)))
     for m in range(rounds):
         grad = tr.withColumn("_g", negative_gradient(loss, F.col(label) - F.col("_score"), delta, c))
-        tree = DecisionTreeRegressor(featuresCol="_x", labelCol="_g", predictionCol="_step", maxDepth=depth,
-                                     minInstancesPerNode=min_instances, seed=seed + m).fit(grad)
-        tr = tree.transform(tr).withColumn("_score", F.col("_score") + learning_rate * F.col("_step")).drop("_step")
-        ev = tree.transform(ev).withColumn("_score", F.col("_score") + learning_rate * F.col("_step")).drop("_step")
+        some = sorted(rnd.sample(range(len(cols)), max(1, round(column_share * len(cols)))))
+        tree = Pipeline(stages=[
+            VectorSlicer(inputCol="_x", outputCol="_some", indices=some),
+            DecisionTreeRegressor(featuresCol="_some", labelCol="_g", predictionCol="_step", maxDepth=depth,
+                                  minInstancesPerNode=min_instances, seed=seed + m),
+        ]).fit(grad.sample(row_share, seed + m) if row_share < 1 else grad)
+        score = F.col("_score") + learning_rate * F.col("_step")
+        tr, ev = (tree.transform(x).withColumn("_score", score).drop("_step", "_some") for x in (tr, ev))
         if (m + 1) % checkpoint_every == 0:
             tr, ev = cut_lineage(tr), cut_lineage(ev)
     return ev.withColumnRenamed("_score", out).drop("_x")

@@ -4,13 +4,13 @@ Gradient-boosted trees stand in for the published boosting library; fits are
 distributed MLlib jobs (histogram splits per partition, tree levels per job).
 Inputs are median-imputed from training rows (exact median per column would
 need a sort, so the sketch is used; an all-empty column is dropped first
-because imputation has nothing to learn from it). Tree counts default to
-values that keep a local run short; ``GbtConfig`` carries the published ones.
+because imputation has nothing to learn from it). Defaults are the published
+sizes; ``SHORT`` is a smaller one that a caller passes itself.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from pvlake import config as C
 from pvlake.functions.columns import sanitize
+from pvlake.operators.quantiles import exact_quantile_scalar
 from pvlake.operators.splits import train_mask
 from pvlake.plans.features import daily_feature_columns, point_feature_columns
 
@@ -28,9 +29,13 @@ SD = ["split", "deviceSn", "date"]
 
 @dataclass(frozen=True)
 class GbtConfig:
-    max_iter: int = 20
-    max_depth: int = 5
-    step_size: float = 0.1
+    """The published sizes and rates; 48 leaves are nearest to depth 6."""
+
+    point_trees: int = 700
+    daily_trees: int = 500
+    point_step: float = 0.035
+    daily_step: float = 0.04
+    max_depth: int = 6
     subsampling_rate: float = 0.9
     feature_subset: str = "0.85"
     min_instances: int = 30
@@ -38,9 +43,10 @@ class GbtConfig:
     seed: int = 42
     checkpoint_interval: int = 10
     reproduce_leak: bool = False
-    # the published settings: 700 / 500 trees, learning rate .035 / .04
-    published: dict = field(default_factory=lambda: {"point_trees": 700, "daily_trees": 500,
-                                                     "point_lr": 0.035, "daily_lr": 0.04})
+
+
+#: A short fit for tests and registered queries: the same models with far fewer trees.
+SHORT = GbtConfig(point_trees=20, daily_trees=20, point_step=0.1, daily_step=0.1, max_depth=5)
 
 
 def non_empty(df: DataFrame, cols: list[str]) -> list[str]:
@@ -67,10 +73,13 @@ def nan_safe(c):
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
 
 
-def gbt(cfg: GbtConfig, label: str, pred: str, min_instances: int, weight: str | None = None) -> GBTRegressor:
-    kw = dict(featuresCol="features", labelCol=label, predictionCol=pred, maxIter=cfg.max_iter,
-              maxDepth=cfg.max_depth, stepSize=cfg.step_size, subsamplingRate=cfg.subsampling_rate,
-              featureSubsetStrategy=cfg.feature_subset, minInstancesPerNode=min_instances, seed=cfg.seed,
+def gbt(cfg: GbtConfig, label: str, pred: str, daily: bool = False, weight: str | None = None) -> GBTRegressor:
+    """M1, or M2 with ``daily``."""
+    trees, step, leaf = (cfg.daily_trees, cfg.daily_step, cfg.daily_min_instances) if daily else (
+        cfg.point_trees, cfg.point_step, cfg.min_instances)
+    kw = dict(featuresCol="features", labelCol=label, predictionCol=pred, maxIter=trees,
+              maxDepth=cfg.max_depth, stepSize=step, subsamplingRate=cfg.subsampling_rate,
+              featureSubsetStrategy=cfg.feature_subset, minInstancesPerNode=leaf, seed=cfg.seed,
               checkpointInterval=cfg.checkpoint_interval, cacheNodeIds=True)
     if weight:
         kw["weightCol"] = weight
@@ -85,6 +94,12 @@ def fit_predict(train: DataFrame, every: DataFrame, cols: list[str], label: str,
     return model, model.transform(every).drop("features")
 
 
+def calibration_weights(daily: DataFrame, low_output_weight: float = 3.0) -> DataFrame:
+    """M10 weights: training days below the exact 25 % quantile of training day sums weigh more."""
+    q25 = exact_quantile_scalar(daily.filter(F.col("eval_split") == "train"), "daily_target", 0.25)
+    return daily.withColumn("weight", F.when(F.col("daily_target") < q25, low_output_weight).otherwise(1.0))
+
+
 class GbtPredictors:
     """Point and daily model predictions for the experiment plan."""
 
@@ -105,12 +120,12 @@ class GbtPredictors:
         fit_rows = every.filter(train_mask())
         # M5: raw target
         self.models["raw"], every = fit_predict(
-            fit_rows, every, icols, "pvGenTotal", "_raw", gbt(cfg, "pvGenTotal", "_raw", cfg.min_instances))
+            fit_rows, every, icols, "pvGenTotal", "_raw", gbt(cfg, "pvGenTotal", "_raw"))
         # M6: normalised target on rows with sun, prediction scaled back by solar_proxy
         norm_rows = fit_rows.filter(F.col("solar_proxy") > C.NORM_TRAIN_CUT)
         self.models["norm"], every = fit_predict(
             norm_rows, every, icols, "y_norm_clipped", "_norm",
-            gbt(cfg, "y_norm_clipped", "_norm", cfg.min_instances))
+            gbt(cfg, "y_norm_clipped", "_norm"))
         return every.withColumns({
             "pred_raw_point": sanitize(F.col("_raw")),
             "pred_norm_point": sanitize(F.col("_norm") * F.col("solar_proxy")),
@@ -125,31 +140,29 @@ class GbtPredictors:
         every, icols = impute(joined, cols + ["pred_norm_point_sum"], med)
         return every, icols
 
-    def daily(self, daily: DataFrame, sd: DataFrame, weighted: bool = False) -> DataFrame:
-        cfg = self.cfg
+    def daily(self, daily: DataFrame, sd: DataFrame) -> DataFrame:
+        """M7 and M9: the daily model on log1p target, and the calibrator with the day's raw point sum as an extra input."""
         every, cols = self._daily_inputs(daily, sd)
         every = every.withColumn("_log_target", F.log1p("daily_target"))
-        train = every.filter(F.col("eval_split") == "train")
-        # M7: daily model on log1p target
-        self.models["daily"], every = fit_predict(
-            train, every, cols[:-1], "_log_target", "_daily",
-            gbt(cfg, "_log_target", "_daily", cfg.daily_min_instances))
-        # Calibrator with the day's raw point sum as an extra input
-        weight = None
-        if weighted:
-            q25 = train.agg(F.percentile_approx("daily_target", 0.25, 10_000)).first()[0]
-            every = every.withColumn("_w", F.when(F.col("daily_target") < q25, 3.0).otherwise(1.0))
-            weight = "_w"
-        train = every.filter(F.col("eval_split") == "train")
-        self.models["calibrator"], every = fit_predict(
-            train, every, cols, "_log_target", "_cal",
-            gbt(cfg, "_log_target", "_cal", cfg.daily_min_instances, weight))
+        for name, inputs, out in (("daily", cols[:-1], "_daily"), ("calibrator", cols, "_cal")):
+            train = every.filter(F.col("eval_split") == "train")
+            self.models[name], every = fit_predict(train, every, inputs, "_log_target", out,
+                                                   gbt(self.cfg, "_log_target", out, daily=True))
         return every.select(
             *SD,
             F.greatest(F.expm1("_daily"), F.lit(0.0)).alias("pred_daily_model"),
             F.greatest(F.expm1("_cal"), F.lit(0.0)).alias("pred_day_calibrated"),
         )
 
+    def weighted_calibration(self, daily: DataFrame, sd: DataFrame) -> DataFrame:
+        """The calibrator with three times the weight on low-output training days. Fits its own model only."""
+        every, cols = self._daily_inputs(daily, sd)
+        every = calibration_weights(every).withColumn("_log_target", F.log1p("daily_target"))
+        train = every.filter(F.col("eval_split") == "train")
+        self.models["weighted_calibrator"], every = fit_predict(
+            train, every, cols, "_log_target", "_cal", gbt(self.cfg, "_log_target", "_cal", daily=True, weight="weight"))
+        return every.select(*SD, "weight", F.greatest(F.expm1("_cal"), F.lit(0.0)).alias("pred_day_calibrated"))
+
     def importances(self, top: int = 25) -> DataFrame | None:
         """Top feature importances of the normalised point model."""
         model = self.models.get("norm")

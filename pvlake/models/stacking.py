@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pvlake.operators.quantiles import exact_quantiles
+
 
 def nonneg_ridge(gram: np.ndarray, xty: np.ndarray, alpha: float, iters: int = 10_000,
                  tol: float = 1e-14) -> np.ndarray:
@@ -35,7 +37,9 @@ def nonneg_ridge(gram: np.ndarray, xty: np.ndarray, alpha: float, iters: int = 1
 def fit_stacking(days: DataFrame, pred_cols: list[str], target: str, train_rows: Column,
                  alpha: float = 0.1, out: str = "stacked_daily_pred") -> tuple[dict, DataFrame]:
     train = days.filter(train_rows)
-    med = train.agg(*[F.median(c).alias(c) for c in pred_cols]).first().asDict()
+    long = train.select(*pred_cols).unpivot([], list(pred_cols), "name", "value")
+    med = {c: 0.0 for c in pred_cols} | {  # one row per prediction column
+        r["name"]: r["m"] for r in exact_quantiles(long, ["name"], "value", {"m": 0.5}).collect()}
     filled = {c: F.coalesce(F.col(c), F.lit(float(med[c] or 0.0))) for c in pred_cols}
     stats = train.select(*[v.alias(k) for k, v in filled.items()], F.col(target)).agg(
         *[F.avg(c).alias(f"m_{c}") for c in pred_cols],

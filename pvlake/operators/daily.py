@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pvlake import config as C
 from pvlake.functions.columns import quantile
+from pvlake.operators.quantiles import exact_quantiles
 
 SD = ["split", "deviceSn", "date"]
 
@@ -93,8 +94,9 @@ def describe_dataset(point_df: DataFrame, approx: bool = False) -> DataFrame:
     per_day = day.groupBy("split").agg(
         F.count(F.lit(1)).alias("files"),
         F.avg("s").alias("daily_sum_mean"),
-        quantile("s", 0.5, approx).alias("daily_sum_median"),
         F.min("s").alias("daily_sum_min"),
         F.max("s").alias("daily_sum_max"),
     )
-    return per_point.join(per_day, "split", "left")
+    median = day.groupBy("split").agg(quantile("s", 0.5, True).alias("daily_sum_median")) if approx \
+        else exact_quantiles(day, ["split"], "s", {"daily_sum_median": 0.5})
+    return per_point.join(per_day, "split", "left").join(median, "split", "left")

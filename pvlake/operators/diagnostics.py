@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pvlake import config as C
 from pvlake.functions.columns import quantile
 from pvlake.operators.metrics import ape
+from pvlake.operators.quantiles import exact_quantile_scalar, exact_quantiles
 
 ADAPTIVE_QUANTILE = 0.15
 ADAPTIVE_MULTIPLIER = 0.7  # not published; the broad guard's multiplier is used
@@ -20,8 +21,9 @@ ADAPTIVE_MULTIPLIER = 0.7  # not published; the broad guard's multiplier is used
 
 def adaptive_guard(policy_days: DataFrame, daily: DataFrame, approx: bool = False) -> DataFrame:
     """The broad guard with its threshold at the 15 % quantile of training daily sums."""
-    thr = daily.filter(F.col("eval_split") == "train").agg(
-        quantile("daily_target", ADAPTIVE_QUANTILE, approx)).scalar()
+    train = daily.filter(F.col("eval_split") == "train")
+    thr = train.agg(quantile("daily_target", ADAPTIVE_QUANTILE, True)).scalar() if approx \
+        else exact_quantile_scalar(train, "daily_target", ADAPTIVE_QUANTILE)
     h = F.col("cold_start_alpha")
     fb_day = F.col("s_norm") * F.col("k_fallback")
     hit = F.coalesce((h <= C.COLD_ALPHA_CUT) & (fb_day <= thr), F.lit(False))
@@ -57,9 +59,11 @@ def residual_intervals(points: DataFrame, pred: str = "final_prediction", lo: fl
     every prediction; report interval coverage and mean width by split."""
     resid = (F.col("pvGenTotal") - F.col(pred))
     val = points.filter(F.col("eval_split").isin("valid_seen", "valid_unseen") & F.col("slot_id").isNotNull())
-    offsets = val.groupBy("slot_id").agg(quantile(resid, lo, approx).alias("r_lo"),
-                                         quantile(resid, hi, approx).alias("r_hi"))  # <= 96 rows
-    scored = points.join(F.broadcast(offsets), "slot_id", "left").select(
+    if approx:
+        offsets = val.groupBy("slot_id").agg(quantile(resid, lo, True).alias("r_lo"), quantile(resid, hi, True).alias("r_hi"))
+    else:
+        offsets = exact_quantiles(val, ["slot_id"], resid, {"r_lo": lo, "r_hi": hi})
+    scored = points.join(F.broadcast(offsets), "slot_id", "left").select(  # <= 96 rows
         "eval_split", "pvGenTotal", (F.col(pred) + F.col("r_lo")).alias("lower"),
         (F.col(pred) + F.col("r_hi")).alias("upper"))
     # a quantile is itself a residual, so the boundary is met exactly; 1e-12 keeps

@@ -1,10 +1,11 @@
 """History enrichment.
 
 History comes only from rows that stay in training (P9). Device, slot and
-neighbour statistics are small keyed tables joined back to the points
-(left joins). Missing values fall back along the cascade
-device stat -> neighbour / global-slot stat -> row-weighted median of the
-unfilled column; the medians are one-row aggregates used as scalar subqueries.
+neighbour statistics are joined once, at the grain of the (device, slot) pairs
+that occur in the points; missing values are filled there, and one join brings
+the result to the points. The cascade is device stat -> neighbour / global-slot
+stat -> row-weighted median of the unfilled column; the medians come from the
+same pair table, each pair counting as often as it has points.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pvlake.functions.columns import quantile
 from pvlake.operators.quantiles import exact_quantiles
 from pvlake.operators.splits import daily_sums
+from pvlake.session import materialize
 
 DEVICE_FILLED = ("device_daily_mean", "device_daily_median", "device_daily_p90", "device_daily_max")
 SLOT_FILLED = ("device_slot_mean", "device_slot_p90")
@@ -56,27 +58,35 @@ def global_slot_history(train_rows: DataFrame, approx: bool = False, group_bound
     return _mean_and_p90(train_rows, ["slot_id"], "global_slot_mean", "global_slot_p90", approx, group_bound)
 
 
-def enrich(points: DataFrame, train_rows: DataFrame, nn_stats: DataFrame,
-           approx: bool = False, group_bound: int | None = None) -> DataFrame:
-    """J1 joins + J2 fill cascade. ``group_bound``: rows of the point table (see exact_quantiles)."""
-    joined = (
-        points.join(device_history(train_rows, approx), "deviceSn", "left")
+def pair_history(points: DataFrame, train_rows: DataFrame, nn_stats: DataFrame,
+                 approx: bool = False, group_bound: int | None = None) -> DataFrame:
+    """J1 + J2 for each (device, slot) pair of the points, with its number of points as ``_rows``.
+
+    A pair without training rows keeps its device, slot and neighbour values; a missing slot is a pair too.
+    """
+    pairs = materialize(
+        points.groupBy("deviceSn", "slot_id").agg(F.count(F.lit(1)).alias("_rows"))
+        .join(device_history(train_rows, approx), "deviceSn", "left")
         .join(device_slot_history(train_rows, approx, group_bound), ["deviceSn", "slot_id"], "left")
         .join(F.broadcast(global_slot_history(train_rows, approx, group_bound)), "slot_id", "left")
-        .join(nn_stats, "deviceSn", "left")
-    )
+        .join(nn_stats, "deviceSn", "left"), "pair_history")
     # row-weighted medians of the unfilled columns, all six in one pass: the columns are
     # stacked long (name, value) and each name is one (hot) group of the exact quantile
     cols = DEVICE_FILLED + SLOT_FILLED
-    if approx:
-        medians = joined.agg(F.struct(*[quantile(c, 0.5, True).alias(c) for c in cols]).alias("m")).scalar()
-    else:
-        long = joined.select(*cols).unpivot([], list(cols), "name", "value")
-        per_name = exact_quantiles(long, ["name"], "value", {"m": 0.5}, group_bound=group_bound)
-        medians = per_name.groupBy().pivot("name", list(cols)).agg(F.first("m")).select(
-            F.struct(*cols).alias("m")).scalar()
+    long = pairs.select("_rows", *cols).unpivot(["_rows"], list(cols), "name", "value")
+    per_name = exact_quantiles(long, ["name"], "value", {"m": 0.5}, group_bound=pairs.count(), weight="_rows")
+    medians = per_name.groupBy().pivot("name", list(cols)).agg(F.first("m")).select(F.struct(*cols).alias("m")).scalar()
     med = {c: medians.getField(c) for c in cols}
     fills = {c: F.coalesce(F.col(c), F.col("nn_3_daily_mean"), med[c]) for c in DEVICE_FILLED}
     fills.update({c: F.coalesce(F.col(c), F.col("global_slot_mean"), med[c]) for c in SLOT_FILLED})
     fills["device_history_days"] = F.coalesce(F.col("device_history_days"), F.lit(0.0))
-    return joined.withColumns(fills)
+    return pairs.withColumns(fills)
+
+
+def enrich(points: DataFrame, train_rows: DataFrame, nn_stats: DataFrame,
+           approx: bool = False, group_bound: int | None = None) -> DataFrame:
+    """Points with their pair's history: one join. ``group_bound``: rows of the point table (see exact_quantiles)."""
+    pairs = pair_history(points, train_rows, nn_stats, approx, group_bound).drop("_rows")
+    pairs = pairs.withColumnsRenamed({"deviceSn": "_device", "slot_id": "_slot"})
+    return points.join(pairs, points["deviceSn"].eqNullSafe(pairs["_device"])
+                       & points["slot_id"].eqNullSafe(pairs["_slot"]), "left").drop("_device", "_slot")

@@ -9,6 +9,7 @@ the block already holds every other training device. Unresolved devices move
 to a grid with cells twice as wide. The last level covers the globe, so the
 result is exact for every device. The starting cell width follows the
 training-device density, so a typical device is resolved on the first level.
+Of the training devices at one location only the first names are candidates.
 
 Semantics kept from the workflow: the device itself is excluded, and a device
 that is the only training device falls back to itself; ties in distance are
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,11 +27,11 @@ from pvlake import config as C
 from pvlake.functions.columns import haversine_km, quantile
 from pvlake.operators.ranking import first_n
 from pvlake.operators.splits import daily_sums
-from pvlake.session import cut_lineage
+from pvlake.session import cut_lineage, materialize
 
 K_MAX = 5
 KM_PER_DEG = math.pi / 180.0 * C.EARTH_RADIUS_KM
-TARGET_CANDIDATES = 64
+TARGET_CANDIDATES = 64  # aimed at, not a limit
 MIN_WIDTH = 1e-3  # degrees, about 100 m
 
 
@@ -113,26 +113,31 @@ def _summarise(ranked: DataFrame) -> DataFrame:
     )
 
 
+def candidates(located: DataFrame) -> DataFrame:
+    """The training devices that can be chosen at all: devices at one location have one distance and
+    ties go by name, so beyond the first ``K_MAX`` + 1 names (one may be the asking device) none is.
+    Spark keeps that many per location in each task before the shuffle, and a site with any
+    number of devices is a few candidates."""
+    place = Window.partitionBy("t_lat", "t_lon").orderBy("t_dev")
+    return located.withColumn("_at", F.row_number().over(place)).filter(F.col("_at") <= K_MAX + 1).drop("_at")
+
+
 def nearest_neighbour_stats(train_rows: DataFrame, points: DataFrame, approx: bool = False) -> DataFrame:
-    # device dimensions (one row per device) are reused by every level: keep them in memory;
+    # device dimensions (one row per device) are reused by every level: written once;
     # the per-level state below is checkpointed so lineage does not grow with the levels
-    train = train_device_table(train_rows, approx).persist(StorageLevel.MEMORY_AND_DISK)
-    queries = device_locations(points, approx)
-    is_train = train.select(F.col("t_dev").alias("deviceSn"), F.lit(1).alias("_is_train"))
-    queries = queries.join(is_train, "deviceSn", "left").fillna({"_is_train": 0}).persist(
-        StorageLevel.MEMORY_AND_DISK)
-
-    located = train.filter(F.col("t_lat").isNotNull() & F.col("t_lon").isNotNull())
+    train = materialize(train_device_table(train_rows, approx), "knn_train")
     has_loc = F.col("t_lat").isNotNull() & F.col("t_lon").isNotNull()
-    stats = train.agg(  # one small aggregate: counts and the bounding box of located devices
-        F.count(F.lit(1)).alias("n"), F.count(F.when(has_loc, 1)).alias("m"),
-        F.min(F.when(has_loc, F.col("t_lat"))).alias("lat0"), F.max(F.when(has_loc, F.col("t_lat"))).alias("lat1"),
-        F.min(F.when(has_loc, F.col("t_lon"))).alias("lon0"), F.max(F.when(has_loc, F.col("t_lon"))).alias("lon1"),
-    ).first()
-    n_train, n_located = stats["n"], stats["m"]
+    located = materialize(candidates(train.filter(has_loc)), "knn_candidates")
+    is_candidate = located.select(F.col("t_dev").alias("deviceSn"), F.lit(1).alias("_is_candidate"))
+    queries = materialize(device_locations(points, approx).join(is_candidate, "deviceSn", "left").fillna(
+        {"_is_candidate": 0}), "knn_queries")
+
+    stats = located.agg(  # one small aggregate: count and bounding box of the candidates
+        F.count(F.lit(1)).alias("m"), F.min("t_lat").alias("lat0"), F.max("t_lat").alias("lat1"),
+        F.min("t_lon").alias("lon0"), F.max("t_lon").alias("lon1")).first()
+    n_train, n_located = train.count(), stats["m"]
     pending = queries.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    pending = pending.withColumn("_avail", F.lit(n_located) - F.col("_is_train"))
-    done: list[DataFrame] = []
+    pending = pending.withColumn("_avail", F.lit(n_located) - F.col("_is_candidate"))
 
     base = _start_width((stats["lat0"], stats["lat1"], stats["lon0"], stats["lon1"]), n_located) \
         if n_located else 360.0
@@ -186,12 +191,13 @@ def nearest_neighbour_stats(train_rows: DataFrame, points: DataFrame, approx: bo
             "_rank": F.row_number().over(w),
             "_found": F.count(F.lit(1)).over(Window.partitionBy("deviceSn")),
         }).filter(F.col("_rank") <= K_MAX)
+        ranked = cut_lineage(ranked)
         status = ranked.groupBy("deviceSn").agg(
             F.max("distance").alias("_kth"), F.first("_found").alias("_found"),
             F.first("_guar").alias("_guar"), F.first("_avail").alias("_avail"), F.first("_final").alias("_final"))
         ok = F.col("_final") | (F.col("_found") >= F.col("_avail")) | (
             (F.col("_found") >= K_MAX) & (F.col("_kth") < F.col("_guar")))
-        accepted = cut_lineage(status.filter(ok).select("deviceSn"))
+        accepted = status.filter(ok).select("deviceSn")
         done.append(ranked.join(accepted, "deviceSn", "left_semi").select(
             "deviceSn", "_rank", "distance", "t_dev", "t_mean", "t_p90"))
         # unresolved devices move one level coarser; past the top level nothing is left to find

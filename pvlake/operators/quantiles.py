@@ -2,14 +2,21 @@
 
 ``percentile`` (exact, linear interpolation as pandas) keeps every distinct
 value of a group, which fails when one key holds a large share of all rows.
-Here groups with at most ``small`` values use ``percentile`` directly; for the
+Here groups with at most ``small`` rows use ``percentile`` directly; for the
 larger (hot) groups each needed order statistic is found by histogram
 refinement: count the values of the current range in ``buckets`` equal-width
-buckets per (group, target), keep the bucket that contains the target rank
-(its actual min/max become the new range) and repeat, then read the value by
-rank once the bucket is small or holds one distinct value. Each round is a
-partial aggregate over the hot groups' rows only; no task ever holds more
-than ``small`` values of one group.
+buckets per (group, target), with both ends of the range in buckets of their
+own, keep the bucket that contains the target rank (its actual min/max become
+the new range) and repeat, then read the value by rank once the bucket is small
+or holds one distinct value. Each round is a partial aggregate over the hot
+groups' rows only; no task ever holds more than ``small`` values of one group.
+Both ways give the same numbers.
+
+A round divides the range by ``buckets``, and infinities leave it in the first,
+so the span of all doubles (under 2 ** 2100 of the least difference) bounds the
+rounds. A target still open after that is an error, never a NULL.
+
+``weight`` names a column of row counts: each value then counts that often.
 
 The result equals Spark's / pandas' linear interpolation:
 ``(hi - pos) * v[lo] + (pos - lo) * v[hi]`` with ``pos = (n - 1) * p``.
@@ -17,6 +24,8 @@ The result equals Spark's / pandas' linear interpolation:
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,14 +40,28 @@ def _interpolate(pos: Column, v_lo: Column, v_hi: Column) -> Column:
 # groups above this many values take the refinement path (tests lower it to force that path)
 HOT_GROUP_ROWS = 200_000
 COLLECT_LIMIT = 100_000
+# tables of groups or targets are broadcast up to this many (counted) rows
+BROADCAST_ROWS = 100_000
+
+
+def _bounded(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _bucket(v: Column, lo: Column, hi: Column, buckets: int) -> Column:
+    """Monotone bucket of ``v``: -1 and ``buckets`` for the ends. Halves keep the width finite."""
+    width = hi / 2 - lo / 2
+    inside = F.when((width > 0) & (width < float("inf")),
+                    F.least(F.floor((v / 2 - lo / 2) / width * buckets), F.lit(buckets - 1))).otherwise(0)
+    return F.when(v == lo, -1).when(v == hi, buckets).otherwise(inside)
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: Column | str, probs: dict[str, float],
                     small: int | None = None, buckets: int = 4096, collect_limit: int | None = None,
-                    max_rounds: int = 64, group_bound: int | None = None) -> DataFrame:
+                    group_bound: int | None = None, weight: str | None = None) -> DataFrame:
     """keys + one column per ``probs`` name (NULLs ignored; groups without values are absent).
 
-    ``group_bound``: a known upper bound on the values per group (e.g. the row
+    ``group_bound``: a known upper bound on the rows per group (e.g. the row
     count of the table everything derives from); when it is at most ``small``
     the plain aggregate is planned without any check job.
     """
@@ -47,19 +70,22 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column | str, probs:
     global_ = not keys
     if global_:  # one group: a constant key (the target table it meets has at most 2 rows per quantile)
         df, keys = df.withColumn("_g", F.lit(0)), ["_g"]
-    v = df.select(*keys, (F.col(value) if isinstance(value, str) else value).cast("double").alias("_v")).filter(
-        F.col("_v").isNotNull() & ~F.isnan("_v"))
+    times = F.lit(1) if weight is None else F.col(weight)
+    v = df.select(*keys, (F.col(value) if isinstance(value, str) else value).cast("double").alias("_v"),
+                  times.cast("bigint").alias("_t")).filter(
+        F.col("_v").isNotNull() & ~F.isnan("_v") & (F.col("_t") > 0))
     names = list(probs)
-    exact = [F.percentile("_v", F.lit(p)).alias(n) for n, p in probs.items()]
+    exact = [(F.percentile("_v", F.lit(p)) if weight is None else F.percentile("_v", F.lit(p), F.col("_t"))).alias(n)
+             for n, p in probs.items()]
     if group_bound is not None and group_bound <= small:
         return _finish(v.groupBy(*keys).agg(*exact), global_, names)
-    sizes = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"),
-                                 F.max("_v").alias("_max"))
-    hot = sizes.filter(F.col("_n") > small)
+    sizes = cut_lineage(v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.sum("_t").alias("_n"),
+                                             F.min("_v").alias("_min"), F.max("_v").alias("_max")))
+    hot = sizes.filter(F.col("_rows") > small)
     if hot.isEmpty():  # the common case: one plain aggregate
         return _finish(v.groupBy(*keys).agg(*exact), global_, names)
-    small_part = v.join(sizes.filter(F.col("_n") <= small).select(*keys), keys, "left_semi").groupBy(
-        *keys).agg(*exact)
+    cold = sizes.filter(F.col("_rows") <= small).select(*keys)
+    small_part = v.join(_bounded(cold, cold.count()), keys, "left_semi").groupBy(*keys).agg(*exact)
 
     # one target per (group, quantile, lower/upper order statistic)
     tgt = hot.select(*keys, "_n", "_min", "_max", F.explode(F.array(*[
@@ -73,35 +99,36 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column | str, probs:
                                    F.col("t._q_rank").alias("_q_rank"), F.col("_min").alias("_q_lo_v"),
                                    F.col("_max").alias("_q_hi_v"), F.lit(0).cast("bigint").alias("_q_below"),
                                    F.lit(None).cast("double").alias("_q_answer")))
+    targets = state.count()
     tkeys = [*keys, "_q_name", "_q_which"]
-    for _ in range(max_rounds):
+    for _ in range(math.ceil(2100 / math.log2(buckets)) + 4):
         open_ = state.filter(F.col("_q_answer").isNull())
         if open_.isEmpty():
             break
-        rows = v.join(open_.select(*tkeys, "_q_rank", "_q_lo_v", "_q_hi_v", "_q_below"), keys).filter(
+        rows = v.join(_bounded(open_.select(*tkeys, "_q_rank", "_q_lo_v", "_q_hi_v", "_q_below"), targets), keys).filter(
             F.col("_v").between(F.col("_q_lo_v"), F.col("_q_hi_v")))
-        width = F.col("_q_hi_v") - F.col("_q_lo_v")
-        b = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_q_lo_v")) / width * buckets),
-                                      F.lit(buckets - 1))).otherwise(0)
+        b = _bucket(F.col("_v"), F.col("_q_lo_v"), F.col("_q_hi_v"), buckets)
         hist = rows.groupBy(*tkeys, b.alias("_q_b")).agg(
-            F.count(F.lit(1)).alias("_q_c"), F.min("_v").alias("_q_bmin"), F.max("_v").alias("_q_bmax"),
+            F.sum("_t").alias("_q_c"), F.count(F.lit(1)).alias("_q_rows"),
+            F.min("_v").alias("_q_bmin"), F.max("_v").alias("_q_bmax"),
             F.first("_q_rank").alias("_q_rank"), F.first("_q_below").alias("_q_below"))
         w = Window.partitionBy(*tkeys).orderBy("_q_b").rowsBetween(Window.unboundedPreceding, -1)
         hist = hist.withColumn("_q_before", F.coalesce(F.sum("_q_c").over(w), F.lit(0)))
         local = F.col("_q_rank") - F.col("_q_below")
         chosen = hist.filter((local >= F.col("_q_before")) & (local < F.col("_q_before") + F.col("_q_c"))).select(
             *tkeys, F.col("_q_bmin").alias("_q_lo_v"), F.col("_q_bmax").alias("_q_hi_v"),
-            (F.col("_q_below") + F.col("_q_before")).alias("_q_below"), F.col("_q_c"))
+            (F.col("_q_below") + F.col("_q_before")).alias("_q_below"), F.col("_q_rows"))
         chosen = cut_lineage(chosen)
         single = chosen.filter(F.col("_q_lo_v") == F.col("_q_hi_v")).select(*tkeys, F.col("_q_lo_v").alias("_q_ans"))
-        few = chosen.filter((F.col("_q_lo_v") < F.col("_q_hi_v")) & (F.col("_q_c") <= collect_limit))
-        picked = v.join(few.join(open_.select(*tkeys, "_q_rank"), tkeys), keys).filter(
+        few = chosen.filter((F.col("_q_lo_v") < F.col("_q_hi_v")) & (F.col("_q_rows") <= collect_limit))
+        picked = v.join(_bounded(few.join(open_.select(*tkeys, "_q_rank"), tkeys), targets), keys).filter(
             F.col("_v").between(F.col("_q_lo_v"), F.col("_q_hi_v")))
-        picked = picked.withColumn("_q_r", F.row_number().over(
-            Window.partitionBy(*tkeys).orderBy("_v")) - 1).filter(
-            F.col("_q_r") == F.col("_q_rank") - F.col("_q_below")).select(*tkeys, F.col("_v").alias("_q_ans"))
+        upto = F.sum("_t").over(Window.partitionBy(*tkeys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+        at = F.col("_q_rank") - F.col("_q_below")
+        picked = picked.withColumn("_q_upto", upto).filter(
+            (at < F.col("_q_upto")) & (at >= F.col("_q_upto") - F.col("_t"))).select(*tkeys, F.col("_v").alias("_q_ans"))
         answers = single.unionByName(picked)
-        narrowed = chosen.filter((F.col("_q_lo_v") < F.col("_q_hi_v")) & (F.col("_q_c") > collect_limit)).select(
+        narrowed = chosen.filter((F.col("_q_lo_v") < F.col("_q_hi_v")) & (F.col("_q_rows") > collect_limit)).select(
             *tkeys, F.col("_q_lo_v").alias("_q_nlo"), F.col("_q_hi_v").alias("_q_nhi"),
             F.col("_q_below").alias("_q_nbelow"))
         state = cut_lineage(
@@ -110,6 +137,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column | str, probs:
                 F.coalesce("_q_nlo", "_q_lo_v").alias("_q_lo_v"), F.coalesce("_q_nhi", "_q_hi_v").alias("_q_hi_v"),
                 F.coalesce("_q_nbelow", "_q_below").alias("_q_below"),
                 F.coalesce("_q_answer", "_q_ans").alias("_q_answer")))
+    if not state.filter(F.col("_q_answer").isNull()).isEmpty():
+        raise RuntimeError(f"quantiles of {names} stayed open")
     both = state.groupBy(*keys, "_q_name").agg(
         F.first("_q_pos").alias("_q_pos"),
         F.max(F.when(F.col("_q_which") == "lo", F.col("_q_answer"))).alias("v_lo"),

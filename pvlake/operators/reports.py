@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 from pvlake import config as C
 from pvlake.functions.columns import quantile
 from pvlake.operators.metrics import ape
+from pvlake.operators.splits import train_mask
 
 SD = ["split", "deviceSn", "date"]
 BINS = 32
 
 
-def daily_energy_histogram(points: DataFrame, bins: int = BINS) -> DataFrame:
-    """Device-day sums by split in ``bins`` equal-width bins shared by all splits."""
-    day = points.dropna(subset=SD).groupBy(*SD).agg(F.coalesce(F.sum("pvGenTotal"), F.lit(0.0)).alias("daily_sum"))
-    lo = day.agg(F.min("daily_sum")).scalar()
-    hi = day.agg(F.max("daily_sum")).scalar()
+def daily_energy_histogram(daily: DataFrame, bins: int = BINS) -> DataFrame:
+    """Device-day sums (``daily_target``) by split in ``bins`` equal-width bins shared by all splits."""
+    day = daily.select("split", F.col("daily_target").alias("daily_sum"))
+    span = day.agg(F.struct(F.min("daily_sum").alias("lo"), F.max("daily_sum").alias("hi")).alias("r")).scalar()
+    lo, hi = span.getField("lo"), span.getField("hi")
     width = (hi - lo) / bins
     b = F.when(hi > lo, F.least(F.floor((F.col("daily_sum") - lo) / (hi - lo) * bins) + 1, F.lit(bins))).otherwise(1)
     counts = day.groupBy("split", b.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("days"))
@@ -35,11 +36,16 @@ def device_location_table(points: DataFrame, approx: bool = False) -> DataFrame:
         quantile("latitude", 0.5, approx).alias("latitude"), quantile("longitude", 0.5, approx).alias("longitude"))
 
 
-def daily_scatter(points: DataFrame, pred: str) -> DataFrame:
-    """Actual vs predicted per (eval_split, device, date) and the shared axis limit."""
-    day = points.dropna(subset=["eval_split", "deviceSn", "date"]).groupBy("eval_split", "deviceSn", "date").agg(
-        F.coalesce(F.sum("pvGenTotal"), F.lit(0.0)).alias("y_true_day"),
+def device_day_pairs(daily_predictions: DataFrame, pred: str) -> DataFrame:
+    """Actual and predicted sum per (eval_split, device, date), from the daily sink's rows."""
+    return daily_predictions.groupBy("eval_split", "deviceSn", "date").agg(
+        F.coalesce(F.sum("actual_daily"), F.lit(0.0)).alias("y_true_day"),
         F.coalesce(F.sum(pred), F.lit(0.0)).alias("y_pred_day"))
+
+
+def daily_scatter(daily_predictions: DataFrame, pred: str) -> DataFrame:
+    """Actual vs predicted per (eval_split, device, date) and the shared axis limit."""
+    day = device_day_pairs(daily_predictions, pred)
     lim = day.agg(F.greatest(F.max("y_true_day"), F.max("y_pred_day")) * 1.05).scalar()
     return day.withColumn("axis_limit", lim)
 
@@ -68,16 +74,9 @@ def candidate_ranking(candidate_scores: DataFrame) -> DataFrame:
     return candidate_scores.select("candidate", "combined", F.row_number().over(w).alias("rank"))
 
 
-COLD_START_EXPERIMENTS = (
-    "E05_norm_plus_daily_calibration", "E07_validated_blend", "E08_history_dynamic_fallback",
-    "E09_low_output_guard", "E10_precision_low_output_guard", "E11_piecewise_low_output_guard",
-    "E02_lgbm_daily_rescaled",
-)
-
-
 def cold_start_evidence(metrics_long: DataFrame) -> DataFrame:
     """Daily MAPE on valid_unseen and test2 for the cold-start experiments."""
-    sub = metrics_long.filter(F.col("experiment").isin(*COLD_START_EXPERIMENTS)
+    sub = metrics_long.filter(F.col("experiment").isin(*C.COLD_START_EXPERIMENTS)
                               & F.col("eval_split").isin("valid_unseen", "test2"))
     return sub.groupBy("experiment").pivot("eval_split", ["valid_unseen", "test2"]).agg(F.first("daily_mape"))
 
@@ -95,13 +94,10 @@ def top_candidates(candidate_scores: DataFrame, n: int = 5) -> DataFrame:
     return candidate_scores.orderBy(F.round("combined", 9), "ordinal").limit(n).select("candidate", "combined")
 
 
-def worst_days(points: DataFrame, pred: str, k: int = 10) -> DataFrame:
+def worst_days(daily_predictions: DataFrame, pred: str, k: int = 10) -> DataFrame:
     """B2: the k highest-APE device-days per eval_split. The rank filter lets Spark
     keep only k rows per split in each task before the shuffle (WindowGroupLimit)."""
-    keys = ["eval_split", "deviceSn", "date"]
-    day = points.dropna(subset=keys).groupBy(*keys).agg(
-        F.coalesce(F.sum("pvGenTotal"), F.lit(0.0)).alias("y_true_day"),
-        F.coalesce(F.sum(pred), F.lit(0.0)).alias("y_pred_day"))
+    day = device_day_pairs(daily_predictions, pred)
     day = day.withColumn("ape", ape(F.col("y_true_day"), F.col("y_pred_day")))
     w = Window.partitionBy("eval_split").orderBy(F.col("ape").desc(), "deviceSn", "date")
     return day.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -126,14 +122,21 @@ def keep_or_revert(candidate_scores: DataFrame, baseline: str = "pred_irradiance
         (F.col("combined") < F.col("_b")).alias("keep"), (gain >= min_gain).alias("preferred"))
 
 
-def leakage_audit(features: DataFrame, history_keys: DataFrame, daily_feature_names: list[str]) -> DataFrame:
-    """History rows of devices outside the training rows (must be 0) and label-derived
-    columns among the daily model inputs (must be empty)."""
-    from pvlake.operators.splits import train_mask
-
-    trained = features.filter(train_mask()).select("deviceSn").distinct()
-    outside = history_keys.select("deviceSn").distinct().join(trained, "deviceSn", "left_anti")
-    leaked = [c for c in daily_feature_names if c in C.LABEL_DERIVED_DAILY or c in ("daily_target",
-                                                                                       "daily_target_log1p")]
-    return outside.agg(F.count(F.lit(1)).alias("history_devices_outside_training")).withColumn(
-        "label_columns_in_features", F.lit(",".join(leaked)))
+def leakage_audit(features: DataFrame, model_columns: list[str]) -> DataFrame:
+    """One row about a feature table as it stands. Devices whose history counts other days than their
+    training days, devices with history but no training day, (device, slot) pairs whose mean is not that of
+    their training rows, and label columns among the model inputs. All must be 0 or empty."""
+    trained = features.filter(train_mask())
+    days = trained.dropna(subset=["date"]).groupBy("deviceSn").agg(F.countDistinct("date").alias("_days"))
+    told = features.groupBy("deviceSn").agg(F.max("device_history_days").alias("_told"))
+    own = F.coalesce(F.col("_days"), F.lit(0))
+    devices = told.join(days, "deviceSn", "left").agg(
+        F.count(F.when(F.col("_told") != own, 1)).alias("devices_with_other_days"),
+        F.count(F.when((F.col("_told") > 0) & (own == 0), 1)).alias("history_devices_outside_training"))
+    pair = ["deviceSn", "slot_id"]
+    means = trained.dropna(subset=pair).groupBy(*pair).agg(F.avg("pvGenTotal").alias("_own"))
+    told = features.dropna(subset=pair).groupBy(*pair).agg(F.max("device_slot_mean").alias("_told"))
+    off = F.abs(F.col("_told") - F.col("_own")) > 1e-9 * F.greatest(F.abs(F.col("_own")), F.lit(1.0))
+    slots = told.join(means, pair).agg(F.count(F.when(off, 1)).alias("n")).scalar()
+    leaked = sorted(set(model_columns) & set(C.LABEL_COLUMNS))
+    return devices.withColumns({"slots_with_other_rows": slots, "label_columns_in_features": F.lit(",".join(leaked))})

@@ -4,7 +4,7 @@ The labelled point table, the neighbour table, the feature table and the
 device-day table are each reused by many operators, so they are computed once
 and written as parquet into the shared checkpoint folder (short lineage,
 nothing recomputed after an executor loss, pruned scans for later stages).
-Contexts are memoised per (session, input, settings) so several reports over
+Contexts are memoised per (application, input, settings) so several reports over
 the same input share them.
 """
 
@@ -39,7 +39,7 @@ class RunContext:
     @classmethod
     def get(cls, spark: SparkSession, sf_dir: str, settings: Settings = Settings(),
             source: str = "events") -> "RunContext":
-        key = (id(spark), sf_dir, settings, source)
+        key = (spark.sparkContext.applicationId, sf_dir, settings, source)
         ctx = _CACHE.get(key)
         if ctx is None:
             ctx = _CACHE[key] = cls(spark, sf_dir, settings, source)
@@ -58,7 +58,7 @@ class RunContext:
     @cached_property
     def scalar(self) -> DataFrame:
         """Labels + row-local features: the base every later step reads."""
-        return materialize(scalar_features(self.labelled, self.settings), "points", ["split"])
+        return materialize(scalar_features(self.labelled, self.settings, self.points), "points", ["split"])
 
     @cached_property
     def row_bound(self) -> int:
@@ -78,17 +78,13 @@ class RunContext:
     def features(self) -> DataFrame:
         s = self.settings
         enriched = enrich(self.scalar, self.train_rows, self.neighbours, s.approx_quantiles, self.row_bound)
-        return materialize(target_features(enriched, s, self.row_bound), "features", ["split"])
+        return materialize(target_features(enriched, s, self.row_bound, self.scalar), "features", ["split"])
 
     @cached_property
     def daily(self) -> DataFrame:
         return materialize(make_daily_frame(self.features, self.settings.approx_quantiles), "daily")
 
     def release(self) -> None:
-        _CACHE.pop((id(self.spark), self.sf_dir, self.settings, self.source), None)
-
-
-def train_devices(df: DataFrame) -> DataFrame:
-    return df.filter(train_mask()).select("deviceSn").distinct()
+        _CACHE.pop((self.spark.sparkContext.applicationId, self.sf_dir, self.settings, self.source), None)
 
 

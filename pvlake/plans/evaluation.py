@@ -13,18 +13,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pvlake.config import Settings
+from pvlake.config import FOLD_METRICS, STRESS_CANDIDATES, Settings
 from pvlake.plans.context import RunContext
 from pvlake.plans.experiment import Experiment
 
-FOLD_METRICS = ("combined_validation_daily_mape", "valid_seen_daily_mape", "valid_unseen_daily_mape",
-                "test1_daily_mape", "test2_daily_mape")
-STRESS_CANDIDATES = (
-    "pred_norm_calibrated", "pred_validated_blend", "pred_history_fallback", "pred_low_output_guard",
-    "pred_precision_low_output_guard", "pred_piecewise_low_output_guard", "pred_daily_model_rescaled",
-    "pred_seen_new_branch",
-)
-
 
 def candidate_split_table(e: Experiment) -> DataFrame:
     """One row per candidate: combined validation and per-split daily MAPE."""
@@ -69,17 +61,18 @@ def cv_aggregate(fold_table: DataFrame) -> DataFrame:
 
 
 def cv_candidate_summary(fold_table: DataFrame) -> DataFrame:
-    """Stability of each candidate over folds (combined and valid_unseen scores)."""
+    """Stability of each candidate over folds (combined and valid_unseen scores), best first."""
     keep = F.col("metric").isin("combined_validation_daily_mape", "valid_unseen_daily_mape")
     rows = fold_table.filter((F.col("candidate") != "selected") & keep & F.col("value").isNotNull())
     return rows.groupBy("candidate", "metric").agg(
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
+        F.min("value").alias("min"), F.max("value").alias("max")).orderBy("metric", "mean", "candidate")
 
 
 def cold_start_stress(e: Experiment) -> DataFrame:
     """The cold-start candidates under the low-capacity unseen split, best first."""
-    return candidate_split_table(e).filter(F.col("candidate").isin(*STRESS_CANDIDATES))
+    return candidate_split_table(e).filter(F.col("candidate").isin(*STRESS_CANDIDATES)).orderBy(
+        "combined_validation_daily_mape", "candidate")
 
 
 def model_comparison(e: Experiment) -> DataFrame:

@@ -94,7 +94,7 @@ class Experiment:
     @cached_property
     def points(self) -> DataFrame:
         """K1 source: every point with all candidate columns, final and deployment prediction."""
-        return P.attach_candidates(self.base_points, self.policy_days, self.best_candidate)
+        return materialize(P.attach_candidates(self.base_points, self.policy_days, self.best_candidate), "policy_points", ["eval_split"])
 
     @cached_property
     def point_scores(self) -> DataFrame:
@@ -121,7 +121,7 @@ class Experiment:
         comb = self.candidate_scores.select(
             exp[F.col("candidate")].alias("experiment"), "candidate", "ordinal",
             F.lit("combined_validation").alias("eval_split"), F.col("combined").alias("daily_mape"))
-        return both.unionByName(comb, allowMissingColumns=True)
+        return materialize(both.unionByName(comb, allowMissingColumns=True), "metrics_long")
 
     def by_split(self, candidate: Column) -> DataFrame:
         """E6 for one candidate (final or deployment), one row per eval_split."""

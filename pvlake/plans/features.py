@@ -7,8 +7,6 @@ optimizer prunes columns a caller does not select.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -16,55 +14,42 @@ from pyspark.sql.types import NumericType
 from pvlake import config as C
 from pvlake.config import Settings
 from pvlake.functions.columns import physics_features, quantile, spatial_features, time_features, to_number
-from pvlake.operators.history import enrich
-from pvlake.operators.neighbours import nearest_neighbour_stats
 from pvlake.operators.quantiles import exact_quantile_scalar
 from pvlake.operators.splits import assign_eval_split, train_mask
 
 
-@dataclass(frozen=True)
-class FeatureSets:
-    point_features: list[str]
-    daily_features: list[str]
-    categorical_features: list[str]
-
-
 def label(points: DataFrame, s: Settings = Settings()) -> DataFrame:
     return assign_eval_split(points, s.holdout_days, s.unseen_fold, s.n_unseen_folds, s.unseen_strategy)
 
 
-def scalar_features(points: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """F1-F14 (row-local apart from the global cloud median)."""
+def scalar_features(points: DataFrame, s: Settings = Settings(), raw: DataFrame | None = None) -> DataFrame:
+    """F1-F14 (row-local apart from the global cloud median). ``raw``: the same rows before labelling,
+    so the median needs one column of the source and no labels."""
     df = time_features(points)
     cloud_median = None
     if "cloud_cover_H" in df.columns:
-        cloud_median = df.agg(quantile(to_number(F.col("cloud_cover_H")), 0.5, s.approx_quantiles)).scalar()
+        cloud = to_number(F.col("cloud_cover_H"))
+        source = df if raw is None else raw
+        if s.approx_quantiles:
+            cloud_median = source.agg(quantile(cloud, 0.5, True)).scalar()
+        else:
+            cloud_median = exact_quantile_scalar(source, cloud, 0.5)
     df = physics_features(df, cloud_median)
     return spatial_features(df)
 
 
-def history_features(df: DataFrame, s: Settings = Settings()) -> DataFrame:
-    train_rows = df.filter(train_mask()) if "eval_split" in df.columns else df.filter(F.col("split") == "train")
-    nn = nearest_neighbour_stats(train_rows, df, s.approx_quantiles)
-    return enrich(df, train_rows, nn, s.approx_quantiles)
-
-
-def target_features(df: DataFrame, s: Settings = Settings(), group_bound: int | None = None) -> DataFrame:
-    """F16-F17."""
-    df = df.withColumn("y_norm", F.col("pvGenTotal") / (F.col("solar_proxy") + C.FEATURE_EPS))
-    cap_rows = df.filter(F.col("split") == "train") if s.cap_rows == "split_train" else df.filter(train_mask())
+def target_features(df: DataFrame, s: Settings = Settings(), group_bound: int | None = None,
+                    cap_source: DataFrame | None = None) -> DataFrame:
+    """F16-F17. ``cap_source``: a written table with the same rows that the cap is taken from."""
+    y_norm = F.col("pvGenTotal") / (F.col("solar_proxy") + C.FEATURE_EPS)
+    source = df if cap_source is None else cap_source
+    cap_rows = source.filter(F.col("split") == "train") if s.cap_rows == "split_train" else source.filter(train_mask())
     if s.approx_quantiles:
-        cap = cap_rows.agg(quantile("y_norm", C.Y_NORM_CAP_QUANTILE, True)).scalar()
+        cap = cap_rows.agg(quantile(y_norm, C.Y_NORM_CAP_QUANTILE, True)).scalar()
     else:  # y_norm is continuous over all training rows: exact without holding every value
-        cap = exact_quantile_scalar(cap_rows, "y_norm", C.Y_NORM_CAP_QUANTILE, group_bound=group_bound)
-    return df.withColumn("y_norm_clipped", F.least(F.greatest(F.col("y_norm"), F.lit(0.0)), cap))
-
-
-def build_features(points: DataFrame, s: Settings = Settings(), labelled: bool = False) -> DataFrame:
-    df = points if labelled else label(points, s)
-    df = scalar_features(df, s)
-    df = history_features(df, s)
-    return target_features(df, s)
+        cap = exact_quantile_scalar(cap_rows, y_norm, C.Y_NORM_CAP_QUANTILE, group_bound=group_bound)
+    return df.withColumn("y_norm", y_norm).withColumn(
+        "y_norm_clipped", F.least(F.greatest(F.col("y_norm"), F.lit(0.0)), cap))
 
 
 def point_feature_columns(df: DataFrame) -> list[str]:
@@ -78,8 +63,3 @@ def daily_feature_columns(daily: DataFrame, reproduce_leak: bool = False) -> lis
     if not reproduce_leak:
         skip |= set(C.LABEL_DERIVED_DAILY)
     return [f.name for f in daily.schema.fields if f.name not in skip and isinstance(f.dataType, NumericType)]
-
-
-def feature_sets(points_feat: DataFrame, daily: DataFrame, reproduce_leak: bool = False) -> FeatureSets:
-    return FeatureSets(point_feature_columns(points_feat), daily_feature_columns(daily, reproduce_leak),
-                       list(C.CATEGORICAL))

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pvlake import config as C
 from pvlake.checks import duck_sql as Q
 from pvlake.checks.spec import doubles, spark_project, sql_project
 from pvlake.config import Settings
@@ -223,20 +224,18 @@ def experiment(spark: SparkSession, sf: str, predictors: str = "standin", **kw):
     from pvlake.models.standin import StandInPredictors
     from pvlake.plans.experiment import Experiment
 
-    key = (id(spark), sf, predictors, tuple(sorted(kw.items())))
+    key = (spark.sparkContext.applicationId, sf, predictors, tuple(sorted(kw.items())))
     if key not in _EXPERIMENTS:
         if predictors == "standin":
             model = StandInPredictors()
         else:
-            from pvlake.models.gbt import GbtPredictors
-            model = GbtPredictors()
+            from pvlake.models.gbt import SHORT, GbtPredictors
+            model = GbtPredictors(SHORT)
         _EXPERIMENTS[key] = Experiment(ctx(spark, sf, **kw), model)
     return _EXPERIMENTS[key]
 
 
-CAND = ("pred_irradiance_baseline", "pred_raw_point", "pred_norm_point", "pred_daily_model_rescaled",
-        "pred_norm_calibrated", "pred_validated_blend", "pred_history_fallback", "pred_low_output_guard",
-        "pred_precision_low_output_guard", "pred_piecewise_low_output_guard", "pred_seen_new_branch")
+CAND = tuple(name for name, _ in C.CANDIDATES)
 SIX = ("mae", "rmse", "mape", "daily_mae", "daily_rmse", "daily_mape")
 
 
@@ -364,7 +363,7 @@ def _rep():
 @register("daily_energy_histogram", "split:s, bin:l, days:l, bin_lo:d, bin_hi:d",
           Q.experiment_chain(Q.REPORTS) + "\nSELECT * FROM hist", "R12 32-bin histogram of device-day sums")
 def _r12(spark, sf):
-    return _rep().daily_energy_histogram(ctx(spark, sf).features)
+    return _rep().daily_energy_histogram(ctx(spark, sf).daily)
 
 
 @register("device_location_table", "split:s, deviceSn:s, latitude:d, longitude:d",
@@ -376,7 +375,7 @@ def _r13(spark, sf):
 @register("daily_scatter", "eval_split:s, deviceSn:s, date:s, y_true_day:d, y_pred_day:d, axis_limit:d",
           Q.experiment_chain(Q.REPORTS) + "\nSELECT * FROM scatter", "R14 / E3 daily actual vs final prediction")
 def _r14(spark, sf):
-    return _rep().daily_scatter(experiment(spark, sf).points, "final_prediction")
+    return _rep().daily_scatter(experiment(spark, sf).daily_predictions, "final_pred_daily")
 
 
 @register("mape_ranking", "eval_split:s, daily_mape:d, rank:l",
@@ -419,7 +418,7 @@ def _r19(spark, sf):
 @register("worst_days", "eval_split:s, deviceSn:s, date:s, y_true_day:d, y_pred_day:d, ape:d, rank:l",
           Q.experiment_chain(Q.REPORTS) + "\nSELECT * FROM worst", "B2 top-10 APE days per split")
 def _b2(spark, sf):
-    return _rep().worst_days(experiment(spark, sf).points, "final_prediction")
+    return _rep().worst_days(experiment(spark, sf).daily_predictions, "final_pred_daily")
 
 
 @register("acceptance_gates", "eval_split:s, daily_mape:d, max_daily_mape:d, passed:s",
@@ -434,12 +433,31 @@ def _b9(spark, sf):
     return _rep().keep_or_revert(experiment(spark, sf).candidate_scores)
 
 
-@register("leakage_audit", "history_devices_outside_training:l",
-          Q.experiment_chain(Q.REPORTS) + "\nSELECT * FROM leak", "B10 history keys only from training rows")
+@register("leakage_audit", "devices_with_other_days:l, history_devices_outside_training:l, slots_with_other_rows:l, "
+          "label_columns_in_features:s",
+          Q.experiment_chain(Q.REPORTS) + "\nSELECT * FROM leak", "B10 audit of the written feature table and the model inputs")
 def _b10(spark, sf):
-    from pvlake.plans.features import daily_feature_columns
+    from pvlake.plans.features import daily_feature_columns, point_feature_columns
     c = ctx(spark, sf)
-    return _rep().leakage_audit(c.features, device_history(c.train_rows), daily_feature_columns(c.daily))
+    return _rep().leakage_audit(c.features, point_feature_columns(c.features) + daily_feature_columns(c.daily))
+
+
+@register("leak_safe_target", "row_id:l, y_norm:d, y_norm_clipped:d",
+          Q.chain(*Q.features_chain()) + "\nSELECT * FROM leak_safe_target",
+          "F17 with the cap from rows that stay in training")
+def _f17_safe(spark, sf):
+    from pvlake.plans.features import target_features
+    return target_features(ctx(spark, sf).scalar, Settings(cap_rows="train_mask"))
+
+
+@register("calibration_weights", "split:s, deviceSn:s, date:s, weight:d",
+          Q.chain(*Q.features_chain(), Q.DAILY) + """
+SELECT split, deviceSn, date, CASE WHEN daily_target < (
+  SELECT quantile_cont(daily_target, 0.25) FROM daily WHERE eval_split = 'train') THEN 3e0 ELSE 1e0 END AS weight FROM daily""",
+          "M10 weights of the calibrator's days")
+def _m10_weights(spark, sf):
+    from pvlake.models.gbt import calibration_weights
+    return calibration_weights(ctx(spark, sf).daily)
 
 
 # ---------------------------------------------------------- profiles (A12-14)
@@ -508,7 +526,7 @@ def fold_table(spark: SparkSession, sf: str, folds: int = 3) -> DataFrame:
     """R7 fold rows, written once per input and reused by R8 / R9."""
     from pvlake.plans.evaluation import unseen_cv
     from pvlake.session import materialize
-    key = (id(spark), sf, folds)
+    key = (spark.sparkContext.applicationId, sf, folds)
     if key not in _FOLDS:
         _FOLDS[key] = materialize(unseen_cv(spark, sf, folds), "unseen_cv")
     return _FOLDS[key]
@@ -584,11 +602,11 @@ def _m25(spark, sf):
     return e.predictors.importances()
 
 
-@register("weighted_calibration", "split:s, deviceSn:s, date:s, pred_daily_model:d, pred_day_calibrated:d", None,
+@register("weighted_calibration", "split:s, deviceSn:s, date:s, weight:d, pred_day_calibrated:d", None,
           "M10 calibrator with 3x weight on low-output training days (rows-only)")
 def _m10(spark, sf):
     e = experiment(spark, sf, predictors="gbt")
-    return e.predictors.daily(e.ctx.daily, e.device_days, weighted=True)
+    return e.predictors.weighted_calibration(e.ctx.daily, e.device_days)
 
 
 def _boosted(spark, sf, loss):
@@ -599,7 +617,9 @@ def _boosted(spark, sf, loss):
     train = feat.filter(train_mask())
     cols = non_empty(train, point_feature_columns(feat))
     every, icols = impute(feat, cols, train_medians(train, cols))
-    return boost(every.filter(train_mask()), every, icols, "pvGenTotal", f"pred_{loss}_point", loss=loss)
+    # a short fit: 20 rounds instead of the default 700
+    return boost(every.filter(train_mask()), every, icols, "pvGenTotal", f"pred_{loss}_point", loss=loss,
+                 rounds=20, learning_rate=0.1, depth=5)
 
 
 @register("huber_point_predictions", "row_id:l, pred_huber_point:d", None, "M11 Huber-loss boosting (rows-only)")

@@ -54,3 +54,23 @@ def test_hot_path_end_to_end(spark, monkeypatch):
     for k, row in want_s.items():
         for f, v in row.items():
             assert got_s[k][f] == (pytest.approx(v, rel=1e-12) if isinstance(v, float) else v), (k, f)
+
+
+@pytest.mark.parametrize("buckets", [4, 4096])
+def test_wide_ranges_end(spark, buckets):
+    """Values near both ends of the doubles, infinities and neighbours one step apart."""
+    values = [1.5e308, -1.5e308, 5e-324, 0.0, -5e-324, 1.0, 1.0 + 2.0 ** -52, 1e-300, float("inf"), float("-inf")] * 4
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    got = exact_quantiles(df, [], "x", {"lo": 0.2, "mid": 0.5, "hi": 0.8}, small=3, buckets=buckets, collect_limit=1).first()
+    want = df.agg(*[F.percentile("x", F.lit(p)) for p in (0.2, 0.5, 0.8)]).first()
+    assert tuple(got) == tuple(want)
+
+
+@pytest.mark.parametrize("small", [5, 1_000_000])
+def test_weights_count_as_repeated_values(spark, small):
+    df = spark.range(0, 400).select((F.col("id") % 2).alias("k"), F.sin("id").alias("x"), (F.col("id") % 5).alias("w"))
+    got = {r["k"]: r["q"] for r in exact_quantiles(df, ["k"], "x", {"q": 0.3}, small=small, buckets=8, collect_limit=10,
+                                                   weight="w").collect()}
+    each = df.filter("w > 0").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))))
+    want = {r["k"]: r["q"] for r in each.groupBy("k").agg(F.percentile("x", F.lit(0.3)).alias("q")).collect()}
+    assert got == pytest.approx(want, rel=1e-12)

@@ -154,3 +154,66 @@ def test_knn_devices_without_coordinates(spark):
             assert r["nn_1_distance_km"] == pytest.approx(first[1], abs=1e-6), q
         assert r["nn_3_daily_mean"] == pytest.approx(sum(mean[t] for t in top3) / 3), q
         assert r["nn_5_daily_mean"] == pytest.approx(sum(mean[t] for t in top5) / 5), q
+
+
+def test_knn_candidates_of_one_site_stay_few(spark):
+    """6,000 devices at one point: six candidates, and every device has the first other names."""
+    from pvlake.operators.neighbours import K_MAX, candidates
+
+    n = 6000
+    train = spark.range(n).select(
+        F.format_string("D%05d", F.col("id")).alias("deviceSn"), F.lit("2024-01-01").alias("date"),
+        F.col("id").cast("double").alias("pvGenTotal"), F.lit(10.0).alias("latitude"), F.lit(20.0).alias("longitude"))
+    site = train.select(F.col("deviceSn").alias("t_dev"), F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lon"))
+    assert candidates(site).count() == K_MAX + 1
+    got = nearest_neighbour_stats(train, train)
+    rows = {r["deviceSn"]: r for r in got.filter(F.col("deviceSn").isin("D00000", "D00003", "D05999")).collect()}
+    assert got.count() == n
+    for name, i in (("D00000", 0), ("D00003", 3), ("D05999", 5999)):
+        first = [j for j in range(7) if j != i][:5]
+        assert rows[name]["nn_1_distance_km"] == 0.0
+        assert rows[name]["nn_3_daily_mean"] == pytest.approx(sum(first[:3]) / 3)
+        assert rows[name]["nn_5_daily_mean"] == pytest.approx(sum(first) / 5)
+
+
+def test_knn_sites_match_brute_force(spark):
+    """Several sites of many devices, some devices only asking."""
+    rnd = random.Random(11)
+    sites = [(rnd.uniform(-2, 2), rnd.uniform(-2, 2)) for _ in range(5)]
+    loc = {f"D{i:03d}": sites[rnd.randrange(5)] for i in range(80)}
+    schema = "deviceSn string, date string, pvGenTotal double, latitude double, longitude double"
+    train = spark.createDataFrame([(d, "2024-01-01", rnd.random(), *loc[d]) for d in list(loc)[:60]], schema)
+    asking = spark.createDataFrame([(d, "2024-01-01", 0.0, *loc[d]) for d in list(loc)[60:]], schema)
+    got = {r["deviceSn"]: r for r in nearest_neighbour_stats(train, train.unionByName(asking)).collect()}
+    mean = {r["deviceSn"]: r["pvGenTotal"] for r in train.collect()}
+    for d, at in loc.items():
+        near = sorted((round(_haversine(*at, *loc[t]), 9), t) for t in mean if t != d)[:5]
+        assert got[d]["nn_5_daily_mean"] == pytest.approx(sum(mean[t] for _, t in near) / 5), d
+
+
+def test_leakage_audit_reports_a_poisoned_table(spark):
+    from pvlake.operators.reports import leakage_audit
+    from pvlake.plans.context import RunContext
+    from pvlake.plans.features import point_feature_columns
+
+    ctx = RunContext.get(spark, "/root/testdata/sf0.001")
+    names = point_feature_columns(ctx.features)
+    assert tuple(leakage_audit(ctx.features, names).first()) == (0, 0, 0, "")
+    poisoned = ctx.features.withColumns({
+        "device_history_days": F.col("device_history_days") + 1, "device_slot_mean": F.col("device_slot_mean") + 0.5})
+    row = leakage_audit(poisoned, [*names, "daily_target"]).first()
+    assert row["devices_with_other_days"] > 0 and row["slots_with_other_rows"] > 0
+    assert row["history_devices_outside_training"] > 0 and row["label_columns_in_features"] == "daily_target"
+
+
+def test_models_default_to_published_sizes(spark):
+    import inspect
+
+    from pvlake.models.boosting import boost
+    from pvlake.models.gbt import GbtConfig, gbt
+
+    point, daily = gbt(GbtConfig(), "y", "p"), gbt(GbtConfig(), "y", "p", daily=True)
+    assert (point.getMaxIter(), point.getStepSize(), point.getMinInstancesPerNode()) == (700, 0.035, 30)
+    assert (daily.getMaxIter(), daily.getStepSize(), daily.getMinInstancesPerNode()) == (500, 0.04, 15)
+    default = {k: v.default for k, v in inspect.signature(boost).parameters.items()}
+    assert (default["rounds"], default["learning_rate"], default["row_share"], default["column_share"]) == (700, 0.035, 0.85, 0.85)
