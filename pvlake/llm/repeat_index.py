@@ -40,8 +40,8 @@ LENGTH, GRAM = 50, 20
 BLOCK = 3 << 20
 #: Most windows of a segment; with LENGTH - 1 bytes more it stays under 112 symbols, 4 doublings of 7.
 MOST = 62
-#: Text bytes per bucket, and most buckets.
-BUCKET, BUCKETS = 2 << 20, 1 << 16
+#: Text bytes per bucket; the number of buckets grows with the corpus.
+BUCKET = 2 << 20
 #: Texts that one run index takes, but for a minimizer with more.
 PART = 8_000
 LAST = np.iinfo(np.int64).max
@@ -163,7 +163,7 @@ class Segments:
 
 
 def _buckets(total: int) -> int:
-    return int(min(max(total // BUCKET, 8), BUCKETS))
+    return int(max(total // BUCKET, 8))
 
 
 def _send_minimizers(buckets: int):
@@ -173,12 +173,13 @@ def _send_minimizers(buckets: int):
                 held = np.unique(Segments(ids, offsets, data).minimizer)
                 bucket = held % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+                bucket = bucket[order]
+                cuts = [*np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[:len(bucket)]).tolist(), len(bucket)]
                 short = (held >> np.uint64(32)).astype(np.uint32)[order]
-                full = np.flatnonzero(np.diff(cuts)).tolist()
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()),
-                    pa.array([short[cuts[b]:cuts[b + 1]].tobytes() for b in full], pa.binary())], names=["bucket", "block", "held"])
+                    pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array([block] * (len(cuts) - 1), pa.int64()),
+                    pa.array([short[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())],
+                    names=["bucket", "block", "held"])
     return run
 
 
@@ -220,15 +221,17 @@ def _send_segments(buckets: int):
                 same = (s.content[pick][1:] == s.content[pick][:-1]) & (bucket[pick][1:] == bucket[pick][:-1])
                 pick = pick[np.append(True, ~same)]  # the smallest document of each distinct segment
                 cuts = np.flatnonzero(np.append(True, np.diff(bucket[pick]) != 0))
+                rows = []
                 for k, c in zip(cuts.tolist(), [*cuts[1:].tolist(), len(pick)], strict=True):
                     p = pick[k:c]
                     size = s.windows[p] + LENGTH - 1
                     text = s.raw[np.repeat(s.start[p] - np.cumsum(size) + size, size) + np.arange(size.sum())]
                     payload = _zip(b"".join([(s.minimizer[p] >> np.uint64(32)).astype(np.uint32).tobytes(), s.content[p].tobytes(), s.doc[p].tobytes(),
                                              s.windows[p].astype(np.uint8).tobytes(), text.tobytes()]))
-                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]])], pa.int32()), pa.array([block], pa.int64()),
-                                                      pa.array([c - k], pa.int32()), pa.array([payload], pa.binary())],
-                                                     names=["bucket", "block", "n", "payload"])
+                    rows.append((int(bucket[p[0]]), block, c - k, payload))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)],
+                    names=["bucket", "block", "n", "payload"])
     return run
 
 
