@@ -9,6 +9,8 @@ Fractional literals are written as doubles (``1e-6``, ``60e0``).
 
 from __future__ import annotations
 
+from pvlake.config import FOLD_METRICS
+
 PV_POINTS = r"""
 pv_points AS (
   SELECT event_id AS row_id, ts AS us_timestamp, strftime(ts, '%Y-%m-%d') AS date,
@@ -459,8 +461,20 @@ r4 AS (
   ON combined_valid, combined_test, test1, test2 INTO NAME metric_group VALUE daily_mape)"""
 
 
-def experiment_chain(*extra: str, strategy: str = "default") -> str:
-    return chain(*features_chain(strategy), DAILY, EXPERIMENT, *extra)
+def experiment_chain(*extra: str, strategy: str = "default", fold: int = 0, k: int = 0) -> str:
+    return chain(*features_chain(strategy, fold, k), DAILY, EXPERIMENT, *extra)
+
+
+def folds_chain(k: int) -> str:
+    """The long rows of every fold, as CTE ``folds``; each fold is the whole chain with its own labels."""
+    metrics = ", ".join(FOLD_METRICS)
+    one = """SELECT * FROM ({chain}
+SELECT {fold} AS fold, candidate, metric, value, (SELECT candidate FROM best_cand) AS best_prediction_column,
+  (SELECT alpha FROM best_alpha) AS best_blend_alpha
+FROM (SELECT 'selected' AS candidate, {metrics} FROM cand_table WHERE candidate = (SELECT candidate FROM best_cand)
+      UNION ALL SELECT candidate, {metrics} FROM cand_table) UNPIVOT INCLUDE NULLS (value FOR metric IN ({metrics})))"""
+    parts = [one.format(chain=experiment_chain(CANDIDATE_TABLE, fold=i, k=k), fold=i, metrics=metrics) for i in range(k)]
+    return "WITH folds AS (" + "\nUNION ALL\n".join(parts) + ")"
 
 REPORTS = """
 sd_sums AS (

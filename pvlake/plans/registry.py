@@ -533,19 +533,24 @@ def fold_table(spark: SparkSession, sf: str, folds: int = 3) -> DataFrame:
 
 
 @register("unseen_cv_folds", "fold:l, candidate:s, metric:s, value:d, best_prediction_column:s, best_blend_alpha:d",
-          None, "R7 three unseen-device folds in one application (rows-only)")
+          Q.folds_chain(3) + "\nSELECT * FROM folds", "R7 three unseen-device folds in one application")
 def _r7(spark, sf):
     return fold_table(spark, sf)
 
 
-@register("unseen_cv_aggregate", "metric:s, mean:d, std:d, min:d, max:d", None, "R8 fold aggregate (rows-only)")
+@register("unseen_cv_aggregate", "metric:s, mean:d, std:d, min:d, max:d", Q.folds_chain(3) + """
+SELECT metric, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, max(value) AS max
+FROM folds WHERE candidate = 'selected' GROUP BY metric""", "R8 fold aggregate")
 def _r8(spark, sf):
     from pvlake.plans.evaluation import cv_aggregate
     return cv_aggregate(fold_table(spark, sf))
 
 
-@register("unseen_cv_candidates", "candidate:s, metric:s, mean:d, std:d, min:d, max:d", None,
-          "R9 candidate stability over folds (rows-only)")
+@register("unseen_cv_candidates", "candidate:s, metric:s, mean:d, std:d, min:d, max:d", Q.folds_chain(3) + """
+SELECT candidate, metric, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, max(value) AS max
+FROM folds WHERE candidate <> 'selected' AND value IS NOT NULL
+  AND metric IN ('combined_validation_daily_mape', 'valid_unseen_daily_mape') GROUP BY candidate, metric""",
+          "R9 candidate stability over folds, best first")
 def _r9(spark, sf):
     from pvlake.plans.evaluation import cv_candidate_summary
     return cv_candidate_summary(fold_table(spark, sf))
