@@ -4,7 +4,9 @@ Texts are held as UTF-8 in compressed blocks of about ``BLOCK`` bytes, so every
 same rows. A window of ``LENGTH`` bytes is named by its minimizer, the least hash of its 20-byte
 strings; equal windows have equal minimizers. A segment is a run of windows with one minimizer.
 
-1. Blocks send the minimizers they hold; a bucket tells them which occur in two blocks or more.
+1. Blocks send the minimizers they hold; a bucket tells them which occur in two blocks or more, and
+   which have more than ``PART`` segments in all ("hot", as at the ends of a passage that very many
+   documents share: there, each document's own text makes a segment of its own).
 2. Blocks send each distinct segment with such a minimizer once, with its smallest document. A bucket
    so has all texts around its minimizers. Where a minimizer stands in one segment only, its first
    document is the answer. The others form the repetitive text that the bucket indexes: suffixes are
@@ -12,10 +14,14 @@ strings; equal windows have equal minimizers. A segment is a run of windows with
    of suffix intervals of ``LENGTH`` common bytes the smallest document is sampled. The suffix array
    is dropped, and all segments stream through the runs from their ends backwards, which gives each
    window's interval and whether its match reaches a document before its own.
+   Segments of a hot minimizer are not indexed: each of their windows is keyed anew by a hash of its
+   ``LENGTH`` bytes, and a block sends each distinct one once, with its smallest document. These go
+   to buckets by that key, so that one minimizer is dealt over all buckets.
 3. Blocks get the covered windows of their segments back and cut the covered bytes.
 
-Only blocks, minimizers and distinct segments move; a passage of a third of all documents is one
-entry per block. No text is compared with all others.
+Only blocks, minimizers, distinct segments and distinct windows of hot minimizers move. One window is
+at most one entry per block, however many documents hold it; so is one segment. No text is compared
+with all others.
 
 Defined results: null and empty texts have no bytes; rows that repeat a doc_id are judged one by
 one, and do not cover each other; rows without doc_id come after all others; an empty table gives
@@ -42,7 +48,7 @@ BLOCK = 3 << 20
 MOST = 62
 #: Text bytes per bucket; the number of buckets grows with the corpus.
 BUCKET = 2 << 20
-#: Texts that one run index takes, but for a minimizer with more.
+#: Texts that one run index takes: minimizers are put together up to it, and one with more is hot.
 PART = 8_000
 LAST = np.iinfo(np.int64).max
 _P = 0x9E3779B97F4A7C15
@@ -102,11 +108,11 @@ class Segments:
         if n >= LENGTH:
             valid[:n - LENGTH + 1] = row[:n - LENGTH + 1] == row[LENGTH - 1:]
         self.start = self.windows = np.zeros(0, np.int64)
-        self.minimizer = self.content = np.zeros(0, np.uint64)
+        self.minimizer = self.content = self.grams = np.zeros(0, np.uint64)
         if not valid.any():
             self.row = self.doc = self.start
             return
-        grams = self._grams()
+        grams = self.grams = self._grams()
         least = self._least(grams)
         at = np.flatnonzero(valid[:len(least)])
         value = least[at]
@@ -127,6 +133,19 @@ class Segments:
         self.row = row[self.start]
         self.doc = self.ids[self.row]
 
+    def names(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket of each segment, and a name that joins it and the short minimizer; both fit 64 bits."""
+        bucket = (self.minimizer % np.uint64(buckets)).astype(np.int64)
+        return bucket, (bucket << 32) | (self.minimizer >> np.uint64(32)).astype(np.int64)
+
+    def each_window(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First byte, content hash and document of each window of the segments ``pick``."""
+        size = self.windows[pick]
+        place = np.repeat(self.start[pick] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        content = np.full(len(place), LENGTH, np.uint64)
+        for k in range(-(-LENGTH // GRAM)):
+            content = mix(content * np.uint64(_P) + self.grams[place + min(k * GRAM, LENGTH - GRAM)], 8)
+        return place, content, np.repeat(self.doc[pick], size)
 
     def _grams(self) -> np.ndarray:
         """Hash of the GRAM bytes from each place, in chunks that fit a processor's cache."""
@@ -166,38 +185,82 @@ def _buckets(total: int) -> int:
     return int(max(total // BUCKET, 8))
 
 
+def _more(count: np.ndarray) -> bytes:
+    """Places and values of the counts over one, which are few."""
+    at = np.flatnonzero(count > 1)
+    return at.astype(np.uint32).tobytes() + count[at].tobytes()
+
+
+def _counts(n: int, more: bytes) -> np.ndarray:
+    count = np.ones(n, np.int64)
+    at, value = np.frombuffer(more, np.uint32).reshape(2, -1)
+    count[at] = value
+    return count
+
+
 def _send_minimizers(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, ids, offsets, data in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-                held = np.unique(Segments(ids, offsets, data).minimizer)
+                s = Segments(ids, offsets, data)
+                order = np.lexsort((s.content, s.minimizer))
+                m, c = s.minimizer[order], s.content[order]
+                distinct = np.append(True, (m[1:] != m[:-1]) | (c[1:] != c[:-1]))[:len(m)]
+                held, count = np.unique(m[distinct], return_counts=True)
                 bucket = held % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 bucket = bucket[order]
                 cuts = [*np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[:len(bucket)]).tolist(), len(bucket)]
                 short = (held >> np.uint64(32)).astype(np.uint32)[order]
+                count = count[order].astype(np.uint32)
+                pieces = list(zip(cuts[:-1], cuts[1:], strict=True))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array([block] * (len(cuts) - 1), pa.int64()),
-                    pa.array([short[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())],
-                    names=["bucket", "block", "held"])
+                    pa.array([short[a:b].tobytes() for a, b in pieces], pa.binary()),
+                    pa.array([_more(count[a:b]) for a, b in pieces], pa.binary())],
+                    names=["bucket", "block", "held", "more"])
     return run
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """For each block, those of its minimizers that another block holds."""
+    """For each block, those of its minimizers that another block holds, and the hot ones."""
     held = [np.frombuffer(x, np.uint32) for x in table.column("held").to_pylist()]
+    count = np.concatenate([_counts(len(h), m) for h, m in zip(held, table.column("more").to_pylist(), strict=True)])
     every = np.concatenate(held)
     order = np.argsort(every, kind="stable")
     ranked = every[order]
-    twice = np.zeros(len(every), bool)
-    same = ranked[1:] == ranked[:-1]
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    found = [h[t] for h, t in zip(held, np.split(twice, np.cumsum([len(h) for h in held])[:-1]), strict=True)]
-    some = [i for i, f in enumerate(found) if len(f)]
+    begin = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    size = np.diff(np.append(begin, len(ranked)))
+    hot, told = np.zeros(len(every), bool), np.zeros(len(every), bool)
+    hot[order] = np.repeat(np.add.reduceat(count[order], begin) > PART, size)
+    told[order] = np.repeat(size > 1, size)
+    told |= hot
+    ends = np.cumsum([len(h) for h in held])[:-1]
+    found = [(h[t], h[x]) for h, t, x in zip(held, np.split(told, ends), np.split(hot, ends), strict=True)]
+    some = [i for i, f in enumerate(found) if len(f[0])]
     return pa.table({"bucket": table.column("bucket").take(pa.array(some, pa.int64())).cast(pa.int32()),
                      "block": table.column("block").take(pa.array(some, pa.int64())).cast(pa.int64()),
-                     "held": pa.array([found[i].tobytes() for i in some], pa.binary())})
+                     "held": pa.array([found[i][0].tobytes() for i in some], pa.binary()),
+                     "hot": pa.array([found[i][1].tobytes() for i in some], pa.binary())})
+
+
+def _told(got: list[dict] | None, column: str) -> np.ndarray:
+    parts = [np.frombuffer(g[column], np.uint32).astype(np.int64) | (g["bucket"] << 32) for g in got or []]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def _send_windows(s: Segments, pick: np.ndarray, hot: np.ndarray, buckets: int, block: int) -> list[tuple]:
+    """Rows with each distinct window of the segments ``pick`` and its smallest document; their buckets are
+    the numbers under zero. The first row also holds the names ``hot`` of the minimizers, for ``_cut``."""
+    _, content, doc = s.each_window(pick)
+    bucket = (content % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((doc, content, bucket))
+    content, doc, bucket = content[order], doc[order], bucket[order]
+    new = np.append(True, content[1:] != content[:-1])
+    content, doc, bucket = content[new], doc[new], bucket[new]
+    cuts = np.flatnonzero(np.append(True, np.diff(bucket) != 0))
+    return [(-1 - int(bucket[k]), block, c - k, _zip(content[k:c].tobytes() + doc[k:c].tobytes() + (b"" if k else hot.tobytes())))
+            for k, c in zip(cuts.tolist(), [*cuts[1:].tolist(), len(content)], strict=True)]
 
 
 def _send_segments(buckets: int):
@@ -205,23 +268,22 @@ def _send_segments(buckets: int):
         for batch in batches:
             for block, ids, offsets, data, got in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
                 s = Segments(ids, offsets, data)
-                bucket = (s.minimizer % np.uint64(buckets)).astype(np.int64)
-                # a name joins bucket and short minimizer; both fit 64 bits
-                name = (bucket << 32) | (s.minimizer >> np.uint64(32)).astype(np.int64)
-                told = [np.frombuffer(g["held"], np.uint32).astype(np.int64) | (g["bucket"] << 32) for g in got or []]
-                wanted = np.isin(name, np.concatenate(told)) if told else np.zeros(len(name), bool)
+                bucket, name = s.names(buckets)
+                wanted = np.isin(name, _told(got, "held"))
                 # and minimizers of two documents of this block
                 order = np.lexsort((s.doc, name))
                 a, b = order[:-1], order[1:]
                 wanted |= np.isin(name, name[a][(name[a] == name[b]) & (s.doc[a] != s.doc[b])])
-                pick = np.flatnonzero(wanted)
+                hot = _told(got, "hot")
+                windowed = np.isin(name, hot)
+                rows = _send_windows(s, np.flatnonzero(windowed), hot, buckets, block) if windowed.any() else []
+                pick = np.flatnonzero(wanted & ~windowed)
                 pick = pick[np.lexsort((s.doc[pick], s.content[pick], bucket[pick]))]
-                if not len(pick):
+                if not len(pick) and not rows:
                     continue
                 same = (s.content[pick][1:] == s.content[pick][:-1]) & (bucket[pick][1:] == bucket[pick][:-1])
-                pick = pick[np.append(True, ~same)]  # the smallest document of each distinct segment
-                cuts = np.flatnonzero(np.append(True, np.diff(bucket[pick]) != 0))
-                rows = []
+                pick = pick[np.append(True, ~same)[:len(pick)]]  # the smallest document of each distinct segment
+                cuts = np.flatnonzero(np.append(True, np.diff(bucket[pick]) != 0)[:len(pick)])
                 for k, c in zip(cuts.tolist(), [*cuts[1:].tolist(), len(pick)], strict=True):
                     p = pick[k:c]
                     size = s.windows[p] + LENGTH - 1
@@ -307,6 +369,44 @@ class RunIndex:
         return out
 
 
+_ANSWERS = "bucket int, block long, n int, answer binary"
+
+
+def _answers(bucket: int, blocks: list[int], kept: list[int], answer: list[bytes]) -> pa.Table:
+    return pa.table({"bucket": pa.array([bucket] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.int64()),
+                     "n": pa.array(kept, pa.int32()), "answer": pa.array(answer, pa.binary())})
+
+
+def _match_windows(table: pa.Table) -> pa.Table:
+    """For each block: its windows that a smaller document of another block holds, and the names it sent with them."""
+    blocks, counts = table.column("block").to_pylist(), table.column("n").to_pylist()
+    raws = [_unzip(x) for x in table.column("payload").to_pylist()]
+    content = np.concatenate([np.frombuffer(r, np.uint64, n) for r, n in zip(raws, counts, strict=True)])
+    doc = np.concatenate([np.frombuffer(r, np.int64, n, 8 * n) for r, n in zip(raws, counts, strict=True)])
+    hit = doc > _least_by(content, doc)
+    out, kept, at = [], [], 0
+    for n, raw in zip(counts, raws, strict=True):
+        some = at + np.flatnonzero(hit[at:at + n])
+        out.append(_zip(content[some].tobytes() + raw[16 * n:]))
+        kept.append(len(some))
+        at += n
+    return _answers(table.column("bucket")[0].as_py(), blocks, kept, out)
+
+
+def _least_by(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The smallest document of each key's rows, at every row."""
+    order = np.lexsort((doc, key))
+    ranked = key[order]
+    new = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(order) else order
+    least = np.empty(len(order), np.int64)
+    least[order] = np.repeat(doc[order][new], np.diff(np.append(new, len(order))))
+    return least
+
+
+def _match(table: pa.Table) -> pa.Table:
+    return (_match_windows if table.column("bucket")[0].as_py() < 0 else _index_bucket)(table)
+
+
 def _index_bucket(table: pa.Table) -> pa.Table:
     """For each block: its segments' content, first document and covered windows."""
     blocks, counts = table.column("block").to_pylist(), table.column("n").to_pylist()
@@ -333,7 +433,7 @@ def _index_bucket(table: pa.Table) -> pa.Table:
     several[:-1] |= several[1:]
     text = by[several]
     if len(text):
-        # groups of one minimizer stay together; the index takes about PART texts at a time
+        # groups of one minimizer stay together, none has more than PART; so the index takes under twice PART
         group = np.cumsum(np.append(True, m[several][1:] != m[several][:-1]))
         sizes = np.bincount(group)[1:]
         part = (np.cumsum(sizes) - sizes) // PART
@@ -354,24 +454,39 @@ def _index_bucket(table: pa.Table) -> pa.Table:
         out.append(_zip(content[some].tobytes() + answer[some].tobytes()))
         kept.append(len(some))
         at += n
-    return pa.table({"block": pa.array(blocks, pa.int64()), "n": pa.array(kept, pa.int32()), "answer": pa.array(out, pa.binary())})
+    return _answers(table.column("bucket")[0].as_py(), blocks, kept, out)
+
+
+def _covered_windows(s: Segments, answers: list[dict], buckets: int) -> np.ndarray:
+    """First bytes of the windows with a hot minimizer that a smaller document also holds."""
+    raws = [(a["n"], _unzip(a["answer"])) for a in answers if a["bucket"] < 0]
+    if not raws:
+        return np.zeros(0, np.int64)
+    hot = np.concatenate([np.frombuffer(r, np.int64, offset=8 * n) if len(r) > 8 * n else np.zeros(0, np.int64) for n, r in raws])
+    place, content, doc = s.each_window(np.flatnonzero(np.isin(s.names(buckets)[1], hot)))
+    told = np.concatenate([np.frombuffer(r, np.uint64, n) if n else np.zeros(0, np.uint64) for n, r in raws])
+    return place[(doc > _least_by(content, doc)) | np.isin(content, told)]
+
+
+def _cut(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _cut_batches(batches, buckets)
+    return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for ids, offsets, data, answers in zip(*[batch.column(i).to_pylist() for i in range(1, 5)], strict=True):
             s = Segments(ids, offsets, data)
             step = np.zeros(len(s.raw) + 1, np.int32)
             # within the block, the smallest document with a segment covers the others
-            order = np.lexsort((s.doc, s.content))
-            ranked = s.content[order]
-            new = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(order) else order
-            least = np.empty(len(order), np.int64)
-            least[order] = np.repeat(s.doc[order][new], np.diff(np.append(new, len(order))))
-            mask = np.where(s.doc > least, _WHOLE, np.uint64(0))
+            mask = np.where(s.doc > _least_by(s.content, s.doc), _WHOLE, np.uint64(0))
             if answers:
+                at = _covered_windows(s, answers, buckets)
+                np.add.at(step, at, 1)
+                np.add.at(step, at + LENGTH, -1)
                 parts = [(np.frombuffer(r, np.uint64, a["n"]), np.frombuffer(r, np.uint64, a["n"], 8 * a["n"]))
-                         for a in answers if a["n"] for r in [_unzip(a["answer"])]]
+                         for a in answers if a["n"] and a["bucket"] >= 0 for r in [_unzip(a["answer"])]]
                 if parts:
                     content, told = (np.concatenate([p[k] for p in parts]) for k in range(2))
                     order = np.argsort(content)
@@ -404,15 +519,15 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     blocks = materialize(id_and_text(docs).mapInArrow(_to_blocks, _BLOCKS), "llm-repeat-blocks")
     total = blocks.agg(F.count("*")).first()[0] * BLOCK
     buckets = _buckets(total)
-    held = blocks.mapInArrow(_send_minimizers(buckets), "bucket int, block long, held binary")
-    shared = held.groupBy("bucket").applyInArrow(_shared, "bucket int, block long, held binary")
-    told = shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "held")).alias("got"))
+    held = blocks.mapInArrow(_send_minimizers(buckets), "bucket int, block long, held binary, more binary")
+    shared = held.groupBy("bucket").applyInArrow(_shared, "bucket int, block long, held binary, hot binary")
+    told = shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "held", "hot")).alias("got"))
     segments = blocks.join(told, "block", "left").select("block", "ids", "offsets", "data", "got").mapInArrow(
         _send_segments(buckets), "bucket int, block long, n int, payload binary")
-    answers = materialize(segments.groupBy("bucket").applyInArrow(_index_bucket, "block long, n int, answer binary"), "llm-repeat-answers")
-    gathered = answers.groupBy("block").agg(F.collect_list(F.struct("n", "answer")).alias("answers"))
+    answers = materialize(segments.groupBy("bucket").applyInArrow(_match, _ANSWERS), "llm-repeat-answers")
+    gathered = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "answer")).alias("answers"))
     return blocks.join(gathered, "block", "left").select("block", "ids", "offsets", "data", "answers").mapInArrow(
-        _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        _cut(buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

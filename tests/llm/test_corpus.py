@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +151,61 @@ def test_repeated_bytes_brute_force(spark, docs):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), gone.sum(), spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_repeated_bytes_hot_minimizer(monkeypatch):
+    """A passage between texts of their own gives each document a segment of its own at both ends; no index takes
+    all of them, and the result is that of the definition. The steps run here without Spark, on three blocks."""
+    ri, part, n = repeat_index, 60, 600
+    monkeypatch.setattr(ri, "PART", part)
+    rnd = np.random.default_rng(5)
+    passage = bytes(rnd.integers(97, 123, 90, dtype=np.uint8))
+    ids = rnd.permutation(n)
+    rows = {int(k): bytes(rnd.integers(97, 123, 60, dtype=np.uint8)) + passage + bytes(rnd.integers(97, 123, 60, dtype=np.uint8)) for k in ids}
+    rows[int(ids[-1])] = b"a" * 400
+    blocks = []
+    for k in range(3):
+        own = [int(i) for i in ids[k::3]]
+        offsets = np.cumsum([0, *[len(rows[i]) for i in own]])
+        blocks.append((k, np.array(own, np.int64).tobytes(), offsets.astype(np.int64).tobytes(), ri._zip(b"".join(rows[i] for i in own))))
+    taken, build = [], ri.RunIndex
+
+    def index(texts, lengths, doc):
+        taken.append(len(texts))
+        return build(texts, lengths, doc)
+
+    monkeypatch.setattr(ri, "RunIndex", index)
+
+    def batches(extra):
+        lists = [list(c) for c in zip(*[(*b, *extra(b[0])) for b in blocks], strict=True)]
+        return iter([pa.RecordBatch.from_arrays([pa.array(c) for c in lists], names=[str(i) for i in range(len(lists))])])
+
+    def by_bucket(parts, step):
+        table = pa.Table.from_batches(list(parts))
+        keys = table.column("bucket").to_pylist()
+        return [r for b in sorted(set(keys)) for r in step(table.filter(pa.array([x == b for x in keys]))).to_pylist()]
+
+    told = by_bucket(ri._send_minimizers(8)(batches(lambda k: ())), ri._shared)
+    sent = list(ri._send_segments(8)(batches(lambda k: ([r for r in told if r["block"] == k],))))
+    answers = by_bucket(sent, ri._match)
+    got = [r for b in ri._cut(8)(batches(lambda k: ([r for r in answers if r["block"] == k],))) for r in b.to_pylist()]
+    first = {}
+    for k in sorted(rows):
+        for i in range(len(rows[k]) - 49):
+            first.setdefault(rows[k][i:i + 50], k)
+    assert sorted(r["doc_id"] for r in got) == sorted(rows)
+    for r in got:
+        b = rows[r["doc_id"]]
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 49):
+            if first[b[i:i + 50]] < r["doc_id"]:
+                gone[i:i + 50] = True
+        assert (r["n_removed"], r["kept_sha256"]) == (gone.sum(), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
+    assert max(taken, default=0) < 2 * part
+    # a window is one entry per block at most, however many documents hold it
+    assert all(len(set(c)) == len(c) for b in sent for r in b.to_pylist() if r["bucket"] < 0
+               for c in [np.frombuffer(ri._unzip(r["payload"]), np.uint64, r["n"]).tolist()])
+    assert any(r["bucket"] < 0 for b in sent for r in b.to_pylist())
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     d, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
