@@ -5,7 +5,7 @@ distributed MLlib jobs (histogram splits per partition, tree levels per job).
 Inputs are median-imputed from training rows (exact median per column would
 need a sort, so the sketch is used; an all-empty column is dropped first
 because imputation has nothing to learn from it). Defaults are the published
-sizes; ``SHORT`` is a smaller one that a caller passes itself.
+sizes, which the registered queries use; ``SHORT`` is a smaller one that a caller passes itself.
 """
 
 from __future__ import annotations
@@ -45,8 +45,10 @@ class GbtConfig:
     reproduce_leak: bool = False
 
 
-#: A short fit for tests and registered queries: the same models with far fewer trees.
+#: A short fit for tests: the same models with far fewer trees.
 SHORT = GbtConfig(point_trees=20, daily_trees=20, point_step=0.1, daily_step=0.1, max_depth=5)
+#: The sizes that registered queries fit; tests put ``SHORT`` here.
+REGISTERED = GbtConfig()
 
 
 def non_empty(df: DataFrame, cols: list[str]) -> list[str]:

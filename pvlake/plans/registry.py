@@ -221,16 +221,17 @@ _EXPERIMENTS: dict = {}
 
 
 def experiment(spark: SparkSession, sf: str, predictors: str = "standin", **kw):
+    from pvlake.models import gbt
     from pvlake.models.standin import StandInPredictors
     from pvlake.plans.experiment import Experiment
 
-    key = (spark.sparkContext.applicationId, sf, predictors, tuple(sorted(kw.items())))
+    sizes = None if predictors == "standin" else gbt.REGISTERED
+    key = (spark.sparkContext.applicationId, sf, predictors, sizes, tuple(sorted(kw.items())))
     if key not in _EXPERIMENTS:
         if predictors == "standin":
             model = StandInPredictors()
         else:
-            from pvlake.models.gbt import SHORT, GbtPredictors
-            model = GbtPredictors(SHORT)
+            model = gbt.GbtPredictors(sizes)
         _EXPERIMENTS[key] = Experiment(ctx(spark, sf, **kw), model)
     return _EXPERIMENTS[key]
 
@@ -615,6 +616,7 @@ def _m10(spark, sf):
 
 
 def _boosted(spark, sf, loss):
+    from pvlake.models import gbt
     from pvlake.models.boosting import boost
     from pvlake.models.gbt import impute, non_empty, train_medians
     from pvlake.plans.features import point_feature_columns
@@ -622,9 +624,9 @@ def _boosted(spark, sf, loss):
     train = feat.filter(train_mask())
     cols = non_empty(train, point_feature_columns(feat))
     every, icols = impute(feat, cols, train_medians(train, cols))
-    # a short fit: 20 rounds instead of the default 700
+    sizes = gbt.REGISTERED
     return boost(every.filter(train_mask()), every, icols, "pvGenTotal", f"pred_{loss}_point", loss=loss,
-                 rounds=20, learning_rate=0.1, depth=5)
+                 rounds=sizes.point_trees, learning_rate=sizes.point_step, depth=sizes.max_depth)
 
 
 @register("huber_point_predictions", "row_id:l, pred_huber_point:d", None, "M11 Huber-loss boosting (rows-only)")
