@@ -6,8 +6,9 @@ forms ("name at host dot com", "192[.]168[.]0[.]1"), digit groups in other layou
 regression trees score a candidate by its format and by the words around it. They are trained on
 candidates from a bounded sample of documents: those that overlap a base span of their kind, and
 base spans rewritten into the looser forms, are positive; the rest, and plain words rewritten so, are negative. The threshold of each
-kind is the lowest one that keeps precision on the half not trained on; spans that pass it and
-touch no base span are added, best first.
+kind is the lowest one that keeps precision on the half not trained on (every second candidate of
+each kind and label, by document and place); spans that pass it and touch no base span are added,
+best first.
 
 Defined results: null and empty texts have no spans; rows that repeat a doc_id are read one by one;
 without a base span in the sample nothing is added; an empty table gives no rows; other columns are
@@ -225,7 +226,7 @@ def boost(x: np.ndarray, y: np.ndarray) -> tuple[float, list]:
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(features, label) of each candidate and of loosened base spans."""
     for batch in batches:
-        xs, ys = [], []
+        xs, ys, ends = [], [], []
         for turn, text in enumerate(batch.column(1)):
             text = text.as_py() or ""
             base = base_spans(text)
@@ -241,7 +242,22 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 t, span = loosened(text, b, turn)
                 xs.append(features(t, span))
                 ys.append(1)
-        yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float64())), pa.array(ys, pa.int64())], names=["x", "y"])
+            ends.append(len(ys))
+        n = np.diff([0, *ends])
+        ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
+        place = np.arange(len(ys)) - np.repeat(np.array(ends, int) - n, n)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(place, pa.int64()), pa.array(xs, pa.list_(pa.float64())), pa.array(ys, pa.int64())],
+                                         names=["doc_id", "place", "x", "y"])
+
+
+def halves(kind: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """True for every second row of each kind and label, in the order given."""
+    order = np.lexsort((y, kind))
+    new = np.append(True, (kind[order][1:] != kind[order][:-1]) | (y[order][1:] != y[order][:-1]))
+    first = np.flatnonzero(new)
+    out = np.empty(len(y), bool)
+    out[order] = (np.arange(len(y)) - np.repeat(first, np.diff(np.append(first, len(y))))) % 2 == 0
+    return out
 
 
 def fit(docs: DataFrame) -> Model | None:
@@ -249,14 +265,15 @@ def fit(docs: DataFrame) -> Model | None:
     n = docs.count()
     share = min(1.0, SAMPLE_DOCS / max(n, 1))
     near = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))) & (F.char_length("text") <= SAMPLE_CHARS)
-    got = rows.where(near).mapInArrow(_examples, "x array<double>, y long").orderBy(F.xxhash64("x"), "y").limit(SAMPLE_CANDIDATES).collect()
+    got = rows.where(near).mapInArrow(_examples, "doc_id long, place long, x array<double>, y long").orderBy(
+        F.xxhash64("doc_id"), "doc_id", "place", "x", "y").limit(SAMPLE_CANDIDATES).select("x", "y").collect()
     if not any(r["y"] for r in got):
         return None
     x, y = np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float)
-    trained = np.arange(len(y)) % 2 == 0
-    first, trees = boost(x[trained][:6000], y[trained][:6000])
+    trained = halves(x[:, 0], y)
+    first, trees = boost(x[trained], y[trained])
     model = Model(first, trees, [2.0] * len(KINDS))
-    rest = np.flatnonzero(~trained)[:10_000]
+    rest = np.flatnonzero(~trained)
     scores = np.array([model.score(r) for r in x[rest].tolist()])
     for kind in range(len(KINDS)):
         own = x[rest, 0] == kind

@@ -275,6 +275,20 @@ def test_personal_data_added(spark):
     assert pii.redact("x a@b.cd y", pii.base_spans("x a@b.cd y")) == "x <EMAIL> y"
 
 
+def test_personal_data_whole_sample(spark, monkeypatch):
+    """Every sampled candidate is trained on or calibrates; each kind and label is in both halves."""
+    n, seen, scored = 13_000, [], []
+    monkeypatch.setattr(pii, "boost", lambda x, y: seen.append((x, y)) or (0.0, []))
+    monkeypatch.setattr(pii.Model, "score", lambda self, x: scored.append(x) or 0.5)
+    d = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("write to some"), "id", F.lit("@example.com please")).alias("text"))
+    pii.fit(d.union(spark.createDataFrame([(n, "ping 10.20.30.40 now"), (n + 1, "ping 10.20.30.41 now")], "doc_id long, text string")))
+    x, y = seen[0]
+    assert len(x) + len(scored) == 2 * n + 6  # an address and plain words; each IP text is also a candidate as it stands
+    for half, label in ((x, y), (np.array(scored), None)):
+        assert {0.0, 1.0} == set(half[:, 0].tolist()) and len(half) >= n
+    assert 0.49 < y.mean() < 0.51
+
+
 def test_edit_tree():
     import random
 
