@@ -89,7 +89,9 @@ def base_spans(text: str) -> list[Span]:
 _AT = r"(?:\s?[\[({]\s?at\s?[\])}]\s?|\sat\s|\s?@\s?)"
 _DOT = r"(?:\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?|\sdot\s|\.)"
 #: What makes a loose e-mail rare; the pattern itself is tried only around such places.
-_HINT = re.compile(r"[\[({]\s?(?:at|dot|\.)\s?[\])}]|\sdot\s|\s@|@\s", re.I)
+_HINT = re.compile(r"[\[({]\s?(?:at|dot|\.)\s?[\])}]|\sdot\s|\s@|@\s|\sat\s(?=[A-Za-z0-9-]+\.[A-Za-z0-9-])", re.I)
+#: No loose e-mail has more characters.
+_LOOSE_LENGTH = 500
 _LOOSE_EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,5}}", re.I)
 _LOOSE_IP = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,3}(?:\s?[\[(]?[.][\])]?\s?[0-9]{1,3}){3}(?![0-9A-Za-z])")
 _LONG_NUMBER = re.compile(r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])")
@@ -111,7 +113,9 @@ def candidates(text: str) -> list[Span]:
     out: list[Span] = []
     last = -1
     for hint in _HINT.finditer(text):
-        for m in _LOOSE_EMAIL.finditer(text, max(0, hint.start() - 140), min(len(text), hint.end() + 200)):
+        for m in _LOOSE_EMAIL.finditer(text, max(0, hint.start() - _LOOSE_LENGTH), hint.end() + 2 * _LOOSE_LENGTH):
+            if m.start() > hint.end() + 200:  # what starts later has a hint of its own, or none
+                break
             if m.start() > last:
                 out.append((m.start(), 0, m.end()))
                 last = m.start()
@@ -156,7 +160,7 @@ def loosened(text: str, span: Span, turn: int) -> tuple[str, Span] | None:
         if turn % 2:  # most addresses of a corpus may hold digits; the forms must not depend on them
             local, host = _DIGIT.sub("", local) or "a", _DIGIT.sub("", host)
         forms = (f"{local} at {host.replace('.', ' dot ')}", f"{local} [at] {host.replace('.', ' [dot] ')}",
-                 f"{local}(at){host}", f"{local} @ {host}")
+                 f"{local}(at){host}", f"{local} @ {host}", f"{local} at {host}")
     elif kind == 1:
         forms = (s.replace(".", "[.]"), s.replace(".", " . "), s.replace(".", "(.)"))
     elif kind == 2:

@@ -289,6 +289,15 @@ def test_personal_data_whole_sample(spark, monkeypatch):
     assert 0.49 < y.mean() < 0.51
 
 
+def test_personal_data_proposed():
+    """Spaced addresses with a plain dot, and long ones to their end, are proposed."""
+    for x in ("jane.doe at example.com", "j" * 60 + " [at] " + "h" * 60 + " [dot] " + ".".join(["k" * 60] * 4)):
+        assert (5, 0, 5 + len(x)) in pii.candidates("mail " + x + " now")
+        assert (905, 0, 905 + len(x)) in pii.candidates("word " * 180 + "mail " + x + " now, " + "word " * 300)
+    assert pii.candidates("we meet at noon. Then we go on") == []
+    assert (0, 0, 23) in [(s[0], s[1], s[2]) for s in [pii.loosened("jane.doe@example.com", (0, 0, 20), 8)[1]]]
+
+
 def test_edit_tree():
     import random
 
