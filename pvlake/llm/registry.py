@@ -3,7 +3,21 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from pvlake.llm import bpe_transducer, edit_counts, exact_dedup, line_dedup, minhash_dedup, packing, pii, quality_rules, repeat_index, toxicity
+from pvlake.llm import (
+    bpe_transducer,
+    conversation_trie,
+    edit_counts,
+    exact_dedup,
+    line_dedup,
+    minhash_dedup,
+    packing,
+    pii,
+    quality_rules,
+    repeat_index,
+    source_mix,
+    toxicity,
+    whitening,
+)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -16,6 +30,9 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_personal_data": pii.query,
     "op10_line_dedup": line_dedup.query,
+    "op11_conversation_trie": conversation_trie.query,
+    "op12_source_mix": source_mix.query,
+    "op13_whitening": whitening.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -23,6 +40,8 @@ SQL = {
     "op1_quality_rules": quality_rules.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op10_line_dedup": line_dedup.SQL,
+    "op11_conversation_trie": conversation_trie.SQL,
+    "op12_source_mix": source_mix.SQL,
 }
 
 
