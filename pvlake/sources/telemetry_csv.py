@@ -3,27 +3,28 @@
 Layout ``root/{train,test1,test2}/<deviceSn>/<YYYY-MM-DD>.csv``: split, device
 and date come from the path (``_metadata.file_path``), not from Hive-style
 ``key=value`` folders, so there is no partition discovery. Files may carry
-different column sets (header drift): Spark's CSV reader maps a given schema
-by position, so each file's first line is held as a (path, header) table, lines
-are tagged with it by a join on the path and written once per distinct header,
-and every header parses its own lines. Only the distinct headers reach the
-driver. The date in a file's name always wins over a ``date`` column; a file
-without ``us_timestamp`` keeps its rows with a missing timestamp. All values are
-read as text and coerced (bad numbers / timestamps -> NULL).
+different column sets (header drift): the reader binds every record to its own file's header in the
+scan itself (one variant value a record, keyed by column name), so quoted commas,
+quoted line breaks and byte-order marks are the CSV parser's business and no line is
+moved, joined or written again. Only the distinct column lists reach the driver.
+A file is a device-day and is read by one task. The date is the file's name, whatever a
+``date`` column says; a file without ``us_timestamp`` keeps its rows with a missing timestamp.
+Values are coerced (bad numbers / timestamps -> NULL). The reader recognises numbers and
+timestamps, so a device name that is a number loses leading zeros, as in the published loader;
+timestamps are read and kept in the session's time zone.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pvlake import config as C
 from pvlake.functions.columns import to_number
-from pvlake.session import materialize
 
 TEXT_COLUMNS = {"deviceSn", "date_H", "split", "date"}
+RECORD_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "singleVariantColumn": "record"}
+
 
 def _fs_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -42,18 +43,21 @@ def list_csv_globs(spark: SparkSession, root: str) -> list[str]:
     return out
 
 
-def text_lines(reader, paths) -> DataFrame:
-    """Lines of text files with their file and a number that grows within it."""
-    return reader.load(paths).select(
-        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+def records(reader, paths) -> DataFrame:
+    """(record, path) of every data record; works for a batch and a stream reader."""
+    return reader.format("csv").options(**RECORD_OPTIONS).load(paths).select("record", F.col("_metadata.file_path").alias("path"))
+
 
+def column_names(rows: DataFrame) -> list[str]:
+    """Every column name of the records: one pass that sends a row per distinct column list and task."""
+    lists = rows.select(F.expr("json_object_keys(to_json(record))").alias("names")).distinct()
+    return sorted({n for r in lists.collect() for n in r["names"] or []})
 
-def tag_headers(lines: DataFrame) -> DataFrame:
-    """(header, path, value) of every data line; a file's header is its first line."""
-    lines = lines.withColumn("at", F.monotonically_increasing_id())
-    heads = materialize(lines.where("start = 0").groupBy("path").agg(F.min_by("value", "at").alias("header")), "csv-heads")
-    tagged = lines.join(heads, "path").where((F.col("value") != F.col("header")) & (F.trim("value") != ""))
-    return materialize(tagged.select("header", "path", "value", F.xxhash64("header").alias("header_key")), "csv-lines", ["header_key"])
+
+def field(name: str) -> Column:
+    """A record's value as text; NULL where its file has no such column."""
+    quote = "'" if '"' in name else '"'
+    return F.try_variant_get("record", f"$[{quote}{name}{quote}]", "string")
 
 
 def _coerce(df: DataFrame) -> DataFrame:
@@ -66,46 +70,33 @@ def _coerce(df: DataFrame) -> DataFrame:
     return df.withColumns(cols)
 
 
-def parse_group(tagged: DataFrame, header: str, key: int) -> DataFrame:
-    """Lines of the files sharing one header; split, date and (when absent) deviceSn come from the path."""
-    names = [h.strip().strip('"') for h in header.split(",")]
+def parse_records(rows: DataFrame, names: list[str] | None = None) -> DataFrame | None:
+    """Records as columns; split, date and (in files without it) deviceSn come from the path. None without a record.
+
+    ``names``: the columns to read, which saves the pass that finds them.
+    """
+    names = column_names(rows) if names is None else list(names)
+    if not names:
+        return None
     parts = F.split(F.col("path"), "/")
     stem = F.regexp_replace(F.element_at(parts, -1), r"\.csv$", "")
-    df = tagged.where((F.col("header_key") == key) & (F.col("header") == header)).select(
-        F.from_csv("value", _ddl(names)).alias("_row"), "path")
-    day = F.expr("try_to_date(_stem)")
-    if "date" in names:  # only where the file's name is no date
-        day = F.coalesce(day, F.expr("try_to_date(_row.`date`)"))
-    extra = {
+    folder = F.regexp_replace(F.element_at(parts, -2), "^deviceSn=", "")
+    from_path = {
         "split": F.regexp_replace(F.element_at(parts, -3), "^split=", ""),
-        "date": F.date_format(day, "yyyy-MM-dd"),
+        "date": F.date_format(F.try_to_date(stem), "yyyy-MM-dd"),
+        "deviceSn": F.when(F.expr("array_contains(json_object_keys(to_json(record)), 'deviceSn')"), field("deviceSn")).otherwise(folder)
+        if "deviceSn" in names else folder,
     }
-    if "deviceSn" not in names:
-        extra["deviceSn"] = F.regexp_replace(F.element_at(parts, -2), "^deviceSn=", "")
-    keep = [F.col("_row")[n].alias(n) for n in names if n not in extra]
-    return _coerce(df.withColumn("_stem", stem).select(*keep, *[c.alias(n) for n, c in extra.items()]))
-
-
-def _ddl(names: list[str]) -> str:
-    return ", ".join(f"`{n}` STRING" for n in names)
-
-
-def parse_lines(lines: DataFrame) -> DataFrame | None:
-    """Every header's lines, unioned by name; None without a data line."""
-    tagged = tag_headers(lines)
-    heads = sorted(tuple(r) for r in tagged.select("header", "header_key").distinct().collect())
-    if not heads:
-        return None
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [parse_group(tagged, h, k) for h, k in heads])
-    if "us_timestamp" not in rows.columns:
-        rows = rows.withColumn("us_timestamp", F.lit(None).cast("timestamp_ntz"))
-    return rows
+    own = [field(n).alias(n) for n in names if n not in from_path]
+    if "us_timestamp" not in names:
+        own.append(F.lit(None).cast("string").alias("us_timestamp"))
+    return _coerce(rows.select(*own, *[c.alias(n) for n, c in from_path.items()]))
 
 
 def load_point_data(spark: SparkSession, root: str) -> DataFrame:
     """S3: every CSV of the existing splits, unioned by name; error when there is none."""
     globs = list_csv_globs(spark, root)
-    rows = parse_lines(text_lines(spark.read.format("text"), globs)) if globs else None
+    rows = parse_records(records(spark.read, globs)) if globs else None
     if rows is None:
         raise FileNotFoundError(f"No csv files found under {root}")
     return rows
@@ -114,7 +105,8 @@ def load_point_data(spark: SparkSession, root: str) -> DataFrame:
 def sample_device_days(points: DataFrame, fraction: float, seed: int = 42,
                        keys: tuple[str, ...] = ("split", "deviceSn", "date")) -> DataFrame:
     """Keep whole device-days with probability ``fraction`` (deterministic hash, no shuffle)."""
-    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(1_000_000))
+    name = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.lit(str(seed)))
+    bucket = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long") % 1_000_000
     return points.filter(bucket < F.lit(int(round(fraction * 1_000_000))))
 
 

@@ -116,12 +116,34 @@ def test_published_layout_keeps_every_file(spark, tmp_path):
 
 
 def test_ingest_replay_replaces_its_batch(spark, tmp_path):
-    from pvlake.sources.telemetry_csv import text_lines
+    from pvlake.sources.telemetry_csv import records
     from pvlake.streaming.ingest import _write_batch
 
     (tmp_path / "in/train/EP1").mkdir(parents=True)
     (tmp_path / "in/train/EP1/2024-01-02.csv").write_text("us_timestamp,pvGenTotal\n2024-01-02 00:00:00,1\n2024-01-02 00:15:00,2\n")
-    lines = text_lines(spark.read.format("text"), f"{tmp_path}/in/*/*/*.csv")
+    lines = records(spark.read, f"{tmp_path}/in/*/*/*.csv")
     for _ in range(2):
         _write_batch(f"{tmp_path}/out")(lines, 3)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_header_binding_is_the_parsers(spark, tmp_path):
+    """Quoted commas and line breaks, doubled quotes, byte-order marks, a data line equal to the header, odd names."""
+    files = {
+        "train/EP1/2024-01-02.csv": "\ufeffus_timestamp,\"note, x\",pvGenTotal\n2024-01-02 00:00:00,\"a,b\",1.5\n2024-01-02 00:15:00,\"two\nlines \"\"q\"\"\",2.5\n",
+        "train/EP2/2024-01-03.csv": "pvGenTotal,us_timestamp,it's\npvGenTotal,us_timestamp,it's\n0.5,2024-01-03 01:00:00,x\n",
+        "test1/EP3/notes.csv": "pvGenTotal,date\n9,2024-01-09\n",
+        "test2/EP4/2024-01-04.csv": "pvGenTotal,us_timestamp\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    df = load_point_data(spark, str(tmp_path))
+    assert {"us_timestamp", "note, x", "it's", "pvGenTotal"} <= set(df.columns)
+    rows = [tuple(r) for r in df.select("split", "deviceSn", "date", F.col("us_timestamp").cast("string"), "pvGenTotal").collect()]
+    assert sorted(rows, key=str) == sorted([
+        ("train", "EP1", "2024-01-02", "2024-01-02 00:00:00", 1.5), ("train", "EP1", "2024-01-02", "2024-01-02 00:15:00", 2.5),
+        ("train", "EP2", "2024-01-03", None, None), ("train", "EP2", "2024-01-03", "2024-01-03 01:00:00", 0.5),
+        ("test1", "EP3", None, None, 9.0)], key=str)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
