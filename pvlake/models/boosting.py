@@ -1,22 +1,26 @@
 """Gradient boosting with losses MLlib's GBT lacks (M11 Huber, M12 Fair).
 
-Each round computes the negative gradient of the loss as a column, fits an
-MLlib regression tree to it on the training rows, and adds the shrunken tree
-output to the running score of every row. The scored tables are checkpointed
-into the shared checkpoint folder every few rounds so lineage stays short.
+The assembled rows are written once. Each round puts the negative gradient of the
+loss beside them, grows one MLlib regression tree on a seeded share of rows and
+columns, and adds the shrunken tree to the running score of these rows alone. The
+trees end up in one ensemble model, which scores every row of the feature table in a
+single pass at the end. The running score is checkpointed every few rounds, so
+lineage stays short; then the mean loss of the validation splits is taken, and
+boosting ends when it has not improved for ``patience`` rounds. The published
+number of rounds is the maximum.
 """
 
 from __future__ import annotations
 
-import random
+from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler, VectorSlicer
-from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pvlake.models.gbt import assembled, predict
 from pvlake.operators.quantiles import exact_quantiles
+from pvlake.operators.splits import validation_mask
 from pvlake.session import cut_lineage
 
 
@@ -30,30 +34,78 @@ def negative_gradient(loss: str, r: Column, delta: float = 0.9, c: float = 1.0)
     raise ValueError(loss)
 
 
-def boost(train: DataFrame, every: DataFrame, cols: list[str], label: str, out: str, loss: str = "huber",
+def loss_value(loss: str, r: Column, delta: float = 0.9, c: float = 1.0) -> Column:
+    if loss == "huber":
+        return F.when(F.abs(r) <= delta, r * r / 2).otherwise(delta * (F.abs(r) - delta / 2))
+    if loss == "fair":
+        return c * c * (F.abs(r) / c - F.log1p(F.abs(r) / c))
+    if loss == "squared":
+        return r * r / 2
+    raise ValueError(loss)
+
+
+@dataclass
+class Boosted:
+    """Trees with equal weight on top of ``init``; ``history`` has (round, training loss, validation loss)."""
+
+    init: float
+    rate: float
+    trees: list
+    history: list[tuple] = field(default_factory=list)
+
+    def model(self, out: str) -> GBTRegressionModel | None:
+        """The trees as one MLlib ensemble (without ``init``)."""
+        if not self.trees:
+            return None
+        sc = SparkSession.active().sparkContext
+        pkg = sc._jvm.org.apache.spark.ml.regression
+        trees = sc._gateway.new_array(pkg.DecisionTreeRegressionModel, len(self.trees))
+        weights = sc._gateway.new_array(sc._jvm.double, len(self.trees))
+        for i, t in enumerate(self.trees):
+            trees[i], weights[i] = t._java_obj, self.rate
+        return GBTRegressionModel(pkg.GBTRegressionModel(f"boosted_{id(self):x}", trees, weights)).setFeaturesCol("features").setPredictionCol(out)
+
+    def predict(self, rows: DataFrame, cols: list[str], out: str) -> DataFrame:
+        """One pass over ``rows`` for all trees."""
+        model = self.model(out)
+        if model is None:
+            return rows.withColumn(out, F.lit(self.init))
+        return predict(model, rows, cols).withColumn(out, F.col(out) + self.init)
+
+
+def boost(every: DataFrame, train_rows: Column, cols: list[str], label: str, loss: str = "huber",
           rounds: int = 700, learning_rate: float = 0.035, depth: int = 6, delta: float = 0.9, c: float = 1.0,
           min_instances: int = 30, row_share: float = 0.85, column_share: float = 0.85, seed: int = 42,
-          checkpoint_every: int = 5) -> DataFrame:
-    """Returns ``every`` with the boosted prediction in ``out``. Defaults are the published sizes; each
-    round's tree sees a seeded sample of rows and columns."""
-    assembler = VectorAssembler(inputCols=cols, outputCol="_x", handleInvalid="keep")
-    tr = assembler.transform(train.filter(F.col(label).isNotNull()))
-    ev = assembler.transform(every)
-    median = exact_quantiles(tr, [], label, {"q": 0.5}) if loss == "huber" else tr.agg(F.avg(label))
-    init = median.first()[0] or 0.0
-    rnd = random.Random(seed)
-    tr = tr.withColumn("_score", F.lit(float(init)))
-    ev = ev.withColumn("_score", F.lit(float(init)))
+          checkpoint_every: int = 5, patience: int = 10, tol: float = 1e-4) -> Boosted:
+    """Fitted on ``train_rows`` of ``every``; defaults are the published sizes."""
+    rows = every.filter(F.col(label).isNotNull() & (train_rows | validation_mask())).withColumn("_held", ~train_rows)
+    table = assembled(rows, cols, [label, "_held"], "boost_rows")
+    own = table.filter(~F.col("_held"))
+    median = exact_quantiles(own, [], label, {"q": 0.5}) if loss == "huber" else own.agg(F.avg(label))
+    out = Boosted(float(median.first()[0] or 0.0), learning_rate, [])
+    residual = F.col(label) - F.col("_score")
+    grower = RandomForestRegressor(
+        featuresCol="features", labelCol="_g", predictionCol="_step", numTrees=1, bootstrap=False, subsamplingRate=row_share,
+        featureSubsetStrategy=str(column_share), maxDepth=depth, minInstancesPerNode=min_instances)
+    scored = table.withColumn("_score", F.lit(out.init))
+    best, best_at = None, 0
     for m in range(rounds):
-        grad = tr.withColumn("_g", negative_gradient(loss, F.col(label) - F.col("_score"), delta, c))
-        some = sorted(rnd.sample(range(len(cols)), max(1, round(column_share * len(cols)))))
-        tree = Pipeline(stages=[
-            VectorSlicer(inputCol="_x", outputCol="_some", indices=some),
-            DecisionTreeRegressor(featuresCol="_some", labelCol="_g", predictionCol="_step", maxDepth=depth,
-                                  minInstancesPerNode=min_instances, seed=seed + m),
-        ]).fit(grad.sample(row_share, seed + m) if row_share < 1 else grad)
-        score = F.col("_score") + learning_rate * F.col("_step")
-        tr, ev = (tree.transform(x).withColumn("_score", score).drop("_step", "_some") for x in (tr, ev))
-        if (m + 1) % checkpoint_every == 0:
-            tr, ev = cut_lineage(tr), cut_lineage(ev)
-    return ev.withColumnRenamed("_score", out).drop("_x")
+        grad = scored.filter(~F.col("_held")).withColumn("_g", negative_gradient(loss, residual, delta, c))
+        tree = grower.setSeed(seed + m).fit(grad.select("features", "_g")).trees[0].setFeaturesCol("features").setPredictionCol("_step")
+        out.trees.append(tree)
+        scored = tree.transform(scored).withColumn("_score", F.col("_score") + learning_rate * F.col("_step")).drop("_step")
+        if (m + 1) % checkpoint_every:
+            continue
+        scored = cut_lineage(scored)
+        value = loss_value(loss, residual, delta, c)
+        fit_loss, held_loss = scored.agg(F.avg(F.when(~F.col("_held"), value)), F.avg(F.when(F.col("_held"), value))).first()
+        out.history.append((m + 1, fit_loss, held_loss))
+        if held_loss is None:
+            continue
+        if best is None or best - held_loss > tol * max(held_loss, 0.01):
+            best, best_at = held_loss, m + 1
+        elif m + 1 - best_at >= patience:
+            break
+    if best is not None:
+        out.trees = out.trees[:best_at]
+    return out

@@ -1,18 +1,22 @@
 """MLlib regressors for the point and daily models.
 
 Gradient-boosted trees stand in for the published boosting library; fits are
-distributed MLlib jobs (histogram splits per partition, tree levels per job).
-Inputs are median-imputed from training rows (exact median per column would
-need a sort, so the sketch is used; an all-empty column is dropped first
-because imputation has nothing to learn from it). Defaults are the published
-sizes, which the registered queries use; ``SHORT`` is a smaller one that a caller passes itself.
+distributed MLlib jobs. A depth-6 tree is about seven jobs, so jobs and not rows
+set the time of a fit on few rows: the assembled training rows are written once
+into as few partitions as their count needs (``ROWS_PER_TASK``), and each model
+is fitted when it is first asked for. All training rows are fitted, as published;
+the rows of the two validation splits only end a fit (``validation_tol``) when
+another tree no longer improves them, and the published tree counts are the
+maximum. Test splits are never looked at. Inputs are imputed with exact medians of
+the training rows; an all-empty column is dropped first because imputation has nothing to learn
+from it.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -20,16 +24,22 @@ from pyspark.sql import functions as F
 
 from pvlake import config as C
 from pvlake.functions.columns import sanitize
-from pvlake.operators.quantiles import exact_quantile_scalar
-from pvlake.operators.splits import train_mask
+from pvlake.operators.quantiles import exact_quantile_scalar, exact_quantiles
+from pvlake.operators.splits import train_mask, validation_mask
 from pvlake.plans.features import daily_feature_columns, point_feature_columns
+from pvlake.session import materialize
 
 SD = ["split", "deviceSn", "date"]
 
 
+#: Assembled rows a task holds during a fit: fewer partitions mean fewer and cheaper tasks a job.
+ROWS_PER_TASK = 100_000
+
+
 @dataclass(frozen=True)
 class GbtConfig:
-    """The published sizes and rates; 48 leaves are nearest to depth 6."""
+    """The published sizes and rates; 48 leaves are nearest to depth 6. Tree counts are the maximum;
+    ``validation_tol`` None grows all of them."""
 
     point_trees: int = 700
     daily_trees: int = 500
@@ -41,13 +51,12 @@ class GbtConfig:
     min_instances: int = 30
     daily_min_instances: int = 15
     seed: int = 42
-    checkpoint_interval: int = 10
+    checkpoint_interval: int = 25
+    validation_tol: float | None = 0.0
     reproduce_leak: bool = False
 
 
-#: A short fit for tests: the same models with far fewer trees.
-SHORT = GbtConfig(point_trees=20, daily_trees=20, point_step=0.1, daily_step=0.1, max_depth=5)
-#: The sizes that registered queries fit; tests put ``SHORT`` here.
+#: The sizes that registered queries fit, in tests too.
 REGISTERED = GbtConfig()
 
 
@@ -59,10 +68,13 @@ def non_empty(df: DataFrame, cols: list[str]) -> list[str]:
     return [c for c in cols if counts[c] > 0]
 
 
-def train_medians(train: DataFrame, cols: list[str], accuracy: int = 10_000) -> dict[str, float]:
-    """Median per feature column over training rows (one aggregate row, fetched to the driver)."""
-    row = train.agg(*[F.percentile_approx(c, 0.5, accuracy).alias(c) for c in cols]).first().asDict()
-    return {c: float(v) for c, v in row.items() if v is not None}
+def train_medians(train: DataFrame, cols: list[str]) -> dict[str, float]:
+    """Exact median of each feature column over training rows (one row a column)."""
+    if not cols:
+        return {}
+    long = train.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "name", "value")
+    rows = exact_quantiles(long.filter(F.col("value").isNotNull() & ~F.isnan("value")), ["name"], "value", {"m": 0.5}).collect()
+    return {r["name"]: float(r["m"]) for r in rows if r["m"] is not None}
 
 
 def impute(df: DataFrame, cols: list[str], medians: dict[str, float]) -> tuple[DataFrame, list[str]]:
@@ -82,18 +94,42 @@ def gbt(cfg: GbtConfig, label: str, pred: str, daily: bool = False, weight: str
     kw = dict(featuresCol="features", labelCol=label, predictionCol=pred, maxIter=trees,
               maxDepth=cfg.max_depth, stepSize=step, subsamplingRate=cfg.subsampling_rate,
               featureSubsetStrategy=cfg.feature_subset, minInstancesPerNode=leaf, seed=cfg.seed,
-              checkpointInterval=cfg.checkpoint_interval, cacheNodeIds=True)
+              checkpointInterval=cfg.checkpoint_interval)
+    if cfg.validation_tol is not None:
+        kw |= dict(validationIndicatorCol="_held", validationTol=cfg.validation_tol)
     if weight:
         kw["weightCol"] = weight
     return GBTRegressor(**kw)
 
 
+def assembled(rows: DataFrame, cols: list[str], keep: list[str], name: str) -> DataFrame:
+    """``keep`` and the feature vector, written in as many partitions as the rows need and at most as they come in."""
+    out = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(rows).select("features", *keep)
+    parts = max(1, -(-rows.count() // ROWS_PER_TASK))
+    return materialize(out.coalesce(parts), name).coalesce(parts)
+
+
+def fit(every: DataFrame, train_rows, cols: list[str], label: str, estimator, keep: tuple = ()):
+    """The model fitted on ``train_rows`` of ``every``; rows of the validation splits may end the fit."""
+    rows = every.filter(F.col(label).isNotNull() & (train_rows | validation_mask())).withColumn("_held", ~train_rows)
+    if not estimator.hasParam("validationIndicatorCol") or not estimator.isDefined("validationIndicatorCol"):
+        rows = rows.filter(train_rows)
+    elif not rows.filter("_held").limit(1).count():  # nothing to stop on: all trees
+        estimator = estimator.copy()
+        estimator.clear(estimator.validationIndicatorCol)
+    return estimator.fit(assembled(rows, cols, [label, "_held", *keep], "fit_rows"))
+
+
+def predict(model, rows: DataFrame, cols: list[str]) -> DataFrame:
+    assembler = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
+    return model.transform(assembler.transform(rows)).drop("features")
+
+
 def fit_predict(train: DataFrame, every: DataFrame, cols: list[str], label: str, pred: str,
                 estimator) -> tuple[object, DataFrame]:
     """M3: fit on ``train``, predict every row of ``every``."""
-    assembler = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
-    model = Pipeline(stages=[assembler, estimator]).fit(train.filter(F.col(label).isNotNull()))
-    return model, model.transform(every).drop("features")
+    model = estimator.fit(assembled(train.filter(F.col(label).isNotNull()), cols, [label], "fit_rows"))
+    return model, predict(model, every, cols)
 
 
 def calibration_weights(daily: DataFrame, low_output_weight: float = 3.0) -> DataFrame:
@@ -103,7 +139,7 @@ def calibration_weights(daily: DataFrame, low_output_weight: float = 3.0) -> Dat
 
 
 class GbtPredictors:
-    """Point and daily model predictions for the experiment plan."""
+    """Point and daily model predictions for the experiment plan. A model is fitted when it is first asked for."""
 
     name = "gbt"
 
@@ -111,70 +147,88 @@ class GbtPredictors:
         self.cfg = cfg
         self.models: dict[str, object] = {}
         self.point_columns: list[str] = []
-
-    def point(self, feat: DataFrame) -> DataFrame:
-        cfg = self.cfg
-        train = feat.filter(train_mask())
-        cols = non_empty(train, point_feature_columns(feat))
-        self.point_columns = cols
-        med = train_medians(train, cols)
-        every, icols = impute(feat, cols, med)
-        fit_rows = every.filter(train_mask())
-        # M5: raw target
-        self.models["raw"], every = fit_predict(
-            fit_rows, every, icols, "pvGenTotal", "_raw", gbt(cfg, "pvGenTotal", "_raw"))
-        # M6: normalised target on rows with sun, prediction scaled back by solar_proxy
-        norm_rows = fit_rows.filter(F.col("solar_proxy") > C.NORM_TRAIN_CUT)
-        self.models["norm"], every = fit_predict(
-            norm_rows, every, icols, "y_norm_clipped", "_norm",
-            gbt(cfg, "y_norm_clipped", "_norm"))
+        self._point: tuple[DataFrame, list[str]] | None = None
+
+    def point_inputs(self, feat: DataFrame) -> tuple[DataFrame, list[str]]:
+        if self._point is None:
+            train = feat.filter(train_mask())
+            cols = non_empty(train, point_feature_columns(feat))
+            self.point_columns = cols
+            self._medians = train_medians(train, cols)
+            self._point = impute(feat, cols, self._medians)
+        return self._point
+
+    def point_model(self, feat: DataFrame, name: str):
+        """M5 ``raw``: the label. M6 ``norm``: the normalised label on rows with sun."""
+        if name not in self.models:
+            every, cols = self.point_inputs(feat)
+            label, rows = ("pvGenTotal", train_mask()) if name == "raw" else (
+                "y_norm_clipped", train_mask() & (F.col("solar_proxy") > C.NORM_TRAIN_CUT))
+            source = every if name == "raw" else every.filter(F.col("solar_proxy") > C.NORM_TRAIN_CUT)
+            self.models[name] = fit(source, rows, cols, label, gbt(self.cfg, label, f"_{name}"))
+        return self.models[name]
+
+    def point(self, points: DataFrame, feat: DataFrame) -> DataFrame:
+        """Both point predictions of ``points``, from models fitted on the written feature table ``feat``."""
+        fits = self.point_inputs(feat)[1]
+        with ThreadPoolExecutor(2) as pool:  # independent fits: their short jobs overlap
+            raw, norm = pool.map(lambda m: self.point_model(feat, m), ("raw", "norm"))
+        every, _ = impute(points, self.point_columns, self._medians)
+        every = predict(norm, predict(raw, every, fits), fits)
         return every.withColumns({
             "pred_raw_point": sanitize(F.col("_raw")),
             "pred_norm_point": sanitize(F.col("_norm") * F.col("solar_proxy")),
-        }).drop("_raw", "_norm", *icols)
+        }).drop("_raw", "_norm", *fits)
+
+    def norm_day_sums(self, feat: DataFrame) -> DataFrame:
+        """Device-day sums of the normalised point model alone, as ``s_norm``."""
+        model, (every, cols) = self.point_model(feat, "norm"), self.point_inputs(feat)
+        pred = sanitize(F.col("_norm") * F.col("solar_proxy"))
+        return predict(model, every.dropna(subset=SD), cols).groupBy(*SD).agg(F.sum(pred).alias("s_norm"))
 
     def _daily_inputs(self, daily: DataFrame, sd: DataFrame) -> tuple[DataFrame, list[str]]:
         cols = daily_feature_columns(daily, self.cfg.reproduce_leak)
         joined = daily.join(sd.select(*SD, F.col("s_norm").alias("pred_norm_point_sum")), SD, "left")
+        joined = materialize(joined, "daily_inputs")
         train = joined.filter(F.col("eval_split") == "train")
         cols = non_empty(train, cols)
         med = train_medians(train, cols + ["pred_norm_point_sum"])
         every, icols = impute(joined, cols + ["pred_norm_point_sum"], med)
-        return every, icols
+        return every.withColumn("_log_target", F.log1p("daily_target")), icols
 
     def daily(self, daily: DataFrame, sd: DataFrame) -> DataFrame:
         """M7 and M9: the daily model on log1p target, and the calibrator with the day's raw point sum as an extra input."""
         every, cols = self._daily_inputs(daily, sd)
-        every = every.withColumn("_log_target", F.log1p("daily_target"))
-        for name, inputs, out in (("daily", cols[:-1], "_daily"), ("calibrator", cols, "_cal")):
-            train = every.filter(F.col("eval_split") == "train")
-            self.models[name], every = fit_predict(train, every, inputs, "_log_target", out,
-                                                   gbt(self.cfg, "_log_target", out, daily=True))
+        train = F.col("eval_split") == "train"
+        inputs = {"daily": cols[:-1], "calibrator": cols}
+        todo = [k for k in inputs if k not in self.models]
+        with ThreadPoolExecutor(2) as pool:
+            fits = pool.map(lambda k: fit(every, train, inputs[k], "_log_target", gbt(self.cfg, "_log_target", f"_{k}", daily=True)), todo)
+            self.models |= dict(zip(todo, fits, strict=True))
+        for k, some in inputs.items():
+            every = predict(self.models[k], every, some)
         return every.select(
             *SD,
             F.greatest(F.expm1("_daily"), F.lit(0.0)).alias("pred_daily_model"),
-            F.greatest(F.expm1("_cal"), F.lit(0.0)).alias("pred_day_calibrated"),
+            F.greatest(F.expm1("_calibrator"), F.lit(0.0)).alias("pred_day_calibrated"),
         )
 
     def weighted_calibration(self, daily: DataFrame, sd: DataFrame) -> DataFrame:
         """The calibrator with three times the weight on low-output training days. Fits its own model only."""
         every, cols = self._daily_inputs(daily, sd)
-        every = calibration_weights(every).withColumn("_log_target", F.log1p("daily_target"))
-        train = every.filter(F.col("eval_split") == "train")
-        self.models["weighted_calibrator"], every = fit_predict(
-            train, every, cols, "_log_target", "_cal", gbt(self.cfg, "_log_target", "_cal", daily=True, weight="weight"))
-        return every.select(*SD, "weight", F.greatest(F.expm1("_cal"), F.lit(0.0)).alias("pred_day_calibrated"))
+        every = calibration_weights(every)
+        model = fit(every, F.col("eval_split") == "train", cols, "_log_target",
+                    gbt(self.cfg, "_log_target", "_cal", daily=True, weight="weight"), keep=("weight",))
+        self.models["weighted_calibrator"] = model
+        return predict(model, every, cols).select(*SD, "weight", F.greatest(F.expm1("_cal"), F.lit(0.0)).alias("pred_day_calibrated"))
 
-    def importances(self, top: int = 25) -> DataFrame | None:
+    def importances(self, feat: DataFrame, top: int = 25) -> DataFrame:
         """Top feature importances of the normalised point model."""
-        model = self.models.get("norm")
-        if model is None:
-            return None
         from pyspark.sql import SparkSession
 
-        imp = model.stages[-1].featureImportances.toArray().tolist()
+        imp = self.point_model(feat, "norm").featureImportances.toArray().tolist()
         spark = SparkSession.active()
-        rows = sorted(zip(self.point_columns, imp), key=lambda r: -r[1])[:top]
+        rows = sorted(zip(self.point_columns, imp, strict=True), key=lambda r: (-r[1], r[0]))[:top]
         return spark.createDataFrame([(f, float(v)) for f, v in rows], "feature string, importance double")
 
 

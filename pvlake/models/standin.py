@@ -19,9 +19,9 @@ SD = ["split", "deviceSn", "date"]
 class StandInPredictors:
     name = "standin"
 
-    def point(self, feat: DataFrame) -> DataFrame:
+    def point(self, points: DataFrame, feat: DataFrame) -> DataFrame:
         """raw point model := global slot mean; normalised model := device slot mean (both sanitized)."""
-        return feat.withColumns({
+        return points.withColumns({
             "pred_raw_point": sanitize(F.col("global_slot_mean")),
             "pred_norm_point": sanitize(F.col("device_slot_mean")),
         })
@@ -33,6 +33,3 @@ class StandInPredictors:
             F.greatest(F.coalesce(F.col("device_daily_mean"), F.lit(0.0)), F.lit(0.0)).alias("pred_daily_model"),
             F.greatest(F.coalesce(F.col("device_daily_p90"), F.lit(0.0)), F.lit(0.0)).alias("pred_day_calibrated"),
         )
-
-    def importances(self) -> DataFrame | None:
-        return None

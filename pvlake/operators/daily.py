@@ -3,7 +3,8 @@
 One ``groupBy(split, deviceSn, date)`` with every aggregate in the same pass
 (map-side partial aggregation, one shuffle of partial rows). ``eval_split``
 is functionally determined by the key, so it is carried with ``first`` in the
-same aggregate instead of a join back.
+same aggregate instead of a join back. Columns that are constant within a day are
+carried, not ranked (``carried``): percentiles run only for days where a value varies.
 """
 
 from __future__ import annotations
@@ -13,54 +14,26 @@ from pyspark.sql import functions as F
 
 from pvlake import config as C
 from pvlake.functions.columns import quantile
+from pvlake.operators.carried import extents, settle
 from pvlake.operators.quantiles import exact_quantiles
+from pvlake.session import materialize
 
 SD = ["split", "deviceSn", "date"]
 
-# (output, input, aggregate) in output order
-DAILY_AGGS = (
-    ("daily_target", "pvGenTotal", "sum"),
-    ("rows_in_day", "pvGenTotal", "size"),
-    ("solar_proxy_sum", "solar_proxy", "sum"),
-    ("solar_proxy_max", "solar_proxy", "max"),
-    ("radiation_proxy_sum", "radiation_proxy", "sum"),
-    ("radiation_proxy_max", "radiation_proxy", "max"),
-    ("elevation_weight_sum", "elevation_weight", "sum"),
-    ("elevation_weight_max", "elevation_weight", "max"),
-    ("is_solar_available_mean", "is_solar_available", "mean"),
-    ("latitude", "latitude", "median"),
-    ("longitude", "longitude", "median"),
-    ("region_lat_5", "region_lat_5", "median"),
-    ("region_lon_5", "region_lon_5", "median"),
-    ("region_lat_10", "region_lat_10", "median"),
-    ("region_lon_10", "region_lon_10", "median"),
-    ("device_family_code", "device_family_code", "median"),
-    ("device_daily_mean", "device_daily_mean", "median"),
-    ("device_daily_p90", "device_daily_p90", "median"),
-    ("device_history_days", "device_history_days", "median"),
-    ("nn_3_daily_mean", "nn_3_daily_mean", "median"),
-    ("nn_3_daily_p90", "nn_3_daily_p90", "median"),
-    ("nn_5_daily_mean", "nn_5_daily_mean", "median"),
-    ("nn_1_distance_km", "nn_1_distance_km", "median"),
-)
-
-
-def _agg(kind: str, col: str, approx: bool):
+def _agg(kind: str, col: str):
     c = F.col(col)
     if kind == "sum":
         return F.coalesce(F.sum(c), F.lit(0.0))
     if kind == "size":
         return F.count(F.lit(1))
-    if kind == "max":
-        return F.max(c)
-    if kind == "mean":
-        return F.avg(c)
-    return quantile(c, 0.5, approx)
+    return F.max(c) if kind == "max" else F.avg(c)
 
 
-def daily_aggregates(point_df: DataFrame, approx: bool = False) -> list:
+def daily_aggregates(point_df: DataFrame) -> tuple[list, dict[str, str]]:
+    """(aggregates of a day, its columns by median: output to input)."""
     cols = set(point_df.columns)
-    exprs = [_agg(kind, src, approx).alias(out) for out, src, kind in DAILY_AGGS if src in cols]
+    medians = {out: src for out, src, kind in C.DAILY_AGGS if src in cols and kind == "median"}
+    exprs = [_agg(kind, src).alias(out) for out, src, kind in C.DAILY_AGGS if src in cols and kind != "median"]
     for col in C.OPTIONAL_WEATHER:
         if col in cols:
             exprs.append(F.avg(col).alias(f"{col}_mean"))
@@ -69,11 +42,16 @@ def daily_aggregates(point_df: DataFrame, approx: bool = False) -> list:
                 exprs.append(F.coalesce(F.sum(col), F.lit(0.0)).alias(f"{col}_sum"))
     if "eval_split" in cols:
         exprs.append(F.first("eval_split", ignorenulls=True).alias("eval_split"))
-    return exprs
+    return exprs, medians
 
 
 def make_daily_frame(point_df: DataFrame, approx: bool = False) -> DataFrame:
-    daily = point_df.dropna(subset=SD).groupBy(*SD).agg(*daily_aggregates(point_df, approx))
+    rows = point_df.dropna(subset=SD)
+    exprs, medians = daily_aggregates(point_df)
+    days = materialize(rows.groupBy(*SD).agg(*exprs, *extents(list(medians.values()))), "day_grain")
+    daily = settle(days, rows, SD, medians, approx)
+    order = [out for out, src, _ in C.DAILY_AGGS if src in point_df.columns]
+    daily = daily.select(*SD, *order, *[c for c in daily.columns if c not in {*SD, *order}])
     daily = daily.withColumn("rows_in_day", F.col("rows_in_day").cast("bigint"))
     return daily.withColumns({
         "daily_target_log1p": F.log1p("daily_target"),

@@ -9,18 +9,6 @@ from pvlake import config as C
 from pvlake.functions.columns import quantile
 from pvlake.operators.quantiles import exact_quantiles
 
-DRIFT_METRICS = (
-    "daily_target_mean",
-    "daily_target_median",
-    "daily_target_p10",
-    "daily_target_p90",
-    "low_load_share_lt_0_05",
-    "low_load_share_lt_0_10",
-    "solar_proxy_sum_median",
-    "radiation_proxy_sum_median",
-    "nonzero_row_ratio",
-    "train_device_overlap_ratio",
-)
 COMPARED_SPLITS = ("valid_seen", "valid_unseen", "test1", "test2")
 
 
@@ -74,8 +62,8 @@ def drift_table(summary: DataFrame) -> DataFrame:
     """One row per metric; train value, each split's value and its ratio to train."""
     long = summary.select(
         "eval_split",
-        *[F.col(m).cast("double").alias(m) for m in DRIFT_METRICS],
-    ).unpivot("eval_split", list(DRIFT_METRICS), "metric", "value")
+        *[F.col(m).cast("double").alias(m) for m in C.DRIFT_METRICS],
+    ).unpivot("eval_split", list(C.DRIFT_METRICS), "metric", "value")
     wide = long.groupBy("metric").pivot("eval_split", ["train", *COMPARED_SPLITS]).agg(F.first("value"))
     train = F.col("train")
     ratios = {

@@ -59,15 +59,18 @@ def global_slot_history(train_rows: DataFrame, approx: bool = False, group_bound
 
 
 def pair_history(points: DataFrame, train_rows: DataFrame, nn_stats: DataFrame,
-                 approx: bool = False, group_bound: int | None = None) -> DataFrame:
+                 approx: bool = False, group_bound: int | None = None,
+                 own: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """J1 + J2 for each (device, slot) pair of the points, with its number of points as ``_rows``.
 
     A pair without training rows keeps its device, slot and neighbour values; a missing slot is a pair too.
+    ``own``: the device and (device, slot) statistics of ``train_rows`` where they exist already.
     """
+    by_device, by_slot = own or (device_history(train_rows, approx), device_slot_history(train_rows, approx, group_bound))
     pairs = materialize(
         points.groupBy("deviceSn", "slot_id").agg(F.count(F.lit(1)).alias("_rows"))
-        .join(device_history(train_rows, approx), "deviceSn", "left")
-        .join(device_slot_history(train_rows, approx, group_bound), ["deviceSn", "slot_id"], "left")
+        .join(by_device, "deviceSn", "left")
+        .join(by_slot, ["deviceSn", "slot_id"], "left")
         .join(F.broadcast(global_slot_history(train_rows, approx, group_bound)), "slot_id", "left")
         .join(nn_stats, "deviceSn", "left"), "pair_history")
     # row-weighted medians of the unfilled columns, all six in one pass: the columns are
@@ -84,9 +87,9 @@ def pair_history(points: DataFrame, train_rows: DataFrame, nn_stats: DataFrame,
 
 
 def enrich(points: DataFrame, train_rows: DataFrame, nn_stats: DataFrame,
-           approx: bool = False, group_bound: int | None = None) -> DataFrame:
+           approx: bool = False, group_bound: int | None = None, own: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Points with their pair's history: one join. ``group_bound``: rows of the point table (see exact_quantiles)."""
-    pairs = pair_history(points, train_rows, nn_stats, approx, group_bound).drop("_rows")
+    pairs = pair_history(points, train_rows, nn_stats, approx, group_bound, own).drop("_rows")
     pairs = pairs.withColumnsRenamed({"deviceSn": "_device", "slot_id": "_slot"})
     return points.join(pairs, points["deviceSn"].eqNullSafe(pairs["_device"])
                        & points["slot_id"].eqNullSafe(pairs["_slot"]), "left").drop("_device", "_slot")

@@ -102,7 +102,7 @@ def _start_width(box: tuple, n_train: int) -> float:
     return float(min(max(math.sqrt(area * K_MAX / max(n_train, 1)), 0.01), 120.0))
 
 
-def _summarise(ranked: DataFrame) -> DataFrame:
+def summarise(ranked: DataFrame) -> DataFrame:
     r = F.col("_rank")
     return ranked.groupBy("deviceSn").agg(
         F.min("distance").alias("nn_1_distance_km"),
@@ -123,13 +123,20 @@ def candidates(located: DataFrame) -> DataFrame:
 
 
 def nearest_neighbour_stats(train_rows: DataFrame, points: DataFrame, approx: bool = False) -> DataFrame:
+    return summarise(neighbour_pairs(train_device_table(train_rows, approx), device_locations(points, approx)))
+
+
+def neighbour_pairs(train_devices: DataFrame, locations: DataFrame) -> DataFrame:
+    """(deviceSn, _rank, distance, t_dev, t_mean, t_p90): the ``K_MAX`` nearest training devices of each device.
+
+    ``train_devices`` as from ``train_device_table``, ``locations`` as from ``device_locations``."""
     # device dimensions (one row per device) are reused by every level: written once;
     # the per-level state below is checkpointed so lineage does not grow with the levels
-    train = materialize(train_device_table(train_rows, approx), "knn_train")
+    train = materialize(train_devices, "knn_train")
     has_loc = F.col("t_lat").isNotNull() & F.col("t_lon").isNotNull()
     located = materialize(candidates(train.filter(has_loc)), "knn_candidates")
     is_candidate = located.select(F.col("t_dev").alias("deviceSn"), F.lit(1).alias("_is_candidate"))
-    queries = materialize(device_locations(points, approx).join(is_candidate, "deviceSn", "left").fillna(
+    queries = materialize(locations.join(is_candidate, "deviceSn", "left").fillna(
         {"_is_candidate": 0}), "knn_queries")
 
     stats = located.agg(  # one small aggregate: count and bounding box of the candidates
@@ -225,14 +232,12 @@ def nearest_neighbour_stats(train_rows: DataFrame, points: DataFrame, approx: bo
         tails.append(tail.select("deviceSn", "_rank", F.lit(None).cast("double").alias("distance"),
                                  "t_dev", "t_mean", "t_p90"))
     near = near.unionByName(tails[0]).unionByName(tails[1]).filter(F.col("_rank") <= K_MAX)
-    result = _summarise(near)
     # the only training device has no other candidate: it falls back to itself
     if n_train == 1:
-        self_stats = queries.join(result, "deviceSn", "left_anti").join(
+        alone = queries.join(near.select("deviceSn").distinct(), "deviceSn", "left_anti").join(
             train.withColumnRenamed("t_dev", "deviceSn"), "deviceSn", "inner").select(
-            "deviceSn",
-            F.when(F.col("t_lat").isNotNull() & F.col("t_lon").isNotNull(), F.lit(0.0)).alias("nn_1_distance_km"),
-            F.col("t_mean").alias("nn_3_daily_mean"), F.col("t_p90").alias("nn_3_daily_p90"),
-            F.col("t_mean").alias("nn_5_daily_mean"), F.col("t_p90").alias("nn_5_daily_p90"))
-        result = result.unionByName(self_stats)
-    return result
+            "deviceSn", F.lit(1).alias("_rank"),
+            F.when(F.col("t_lat").isNotNull() & F.col("t_lon").isNotNull(), F.lit(0.0)).alias("distance"),
+            F.col("deviceSn").alias("t_dev"), "t_mean", "t_p90")
+        near = near.unionByName(alone)
+    return near

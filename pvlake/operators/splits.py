@@ -90,6 +90,35 @@ def assign_eval_split(points: DataFrame, holdout_days: int = C.HOLDOUT_DAYS,
     return labelled.withColumn("eval_split", label).drop("_holdout", "_unseen")
 
 
+def label_once(points: DataFrame, holdout_days: int = C.HOLDOUT_DAYS) -> DataFrame:
+    """What every labelling of ``points`` needs, in one pass: ``eval_split`` as if no device were unseen, and each
+    unseen candidate's place in name order (``_place``) and among the lowest capacities (``_low``, only the few that can be taken)."""
+    cands = unseen_candidates(points)
+    place = ordinal_position(cands, [F.col("deviceSn")], "_place")
+    train_rows = points.filter(F.col("split") == "train").join(cands, "deviceSn", "left_semi")
+    capacity = daily_sums(train_rows, ["deviceSn", "date"]).groupBy("deviceSn").agg(F.avg("daily_sum").alias("capacity"))
+    low = first_n(capacity, [F.col("capacity").asc_nulls_last(), F.col("deviceSn")], C.UNSEEN_MAX, "_low").select("deviceSn", "_low")
+    label = (
+        F.when(F.col("split").isin("test1", "test2"), F.col("split"))
+        .when((F.col("split") == "train") & F.col("_holdout").isNotNull(), "valid_seen")
+        .otherwise("train")
+    )
+    labelled = points.join(seen_holdout_days(points, holdout_days), ["deviceSn", "date"], "left")
+    labelled = labelled.join(place.join(F.broadcast(low), "deviceSn", "left"), "deviceSn", "left")  # low: at most 8 rows
+    return labelled.withColumn("eval_split", label).drop("_holdout")
+
+
+def unseen_in(s, n_candidates: Column) -> Column:
+    """Whether a row of ``label_once`` belongs to an unseen device under the settings ``s``."""
+    if s.unseen_strategy == "low_capacity":
+        hit = F.col("_low") < unseen_count(n_candidates)
+    elif s.n_unseen_folds and s.n_unseen_folds > 1:
+        hit = F.pmod(F.col("_place"), F.lit(int(s.n_unseen_folds))) == int(s.unseen_fold or 0) % int(s.n_unseen_folds)
+    else:
+        hit = F.col("_place") < unseen_count(n_candidates)
+    return F.coalesce(hit, F.lit(False))
+
+
 def train_mask() -> Column:
     """P9."""
     return (F.col("split") == "train") & (F.col("eval_split") == "train")

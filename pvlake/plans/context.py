@@ -13,12 +13,13 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pvlake.config import Settings
 from pvlake.operators.daily import make_daily_frame
-from pvlake.operators.history import enrich
-from pvlake.operators.neighbours import nearest_neighbour_stats
-from pvlake.operators.splits import train_mask
+from pvlake.operators.history import device_history, device_slot_history, enrich
+from pvlake.operators.neighbours import device_locations, neighbour_pairs, summarise, train_device_table
+from pvlake.operators.splits import label_once, train_mask, unseen_in
 from pvlake.plans.features import label, scalar_features, target_features
 from pvlake.session import materialize
 from pvlake.sources.fixture import pv_points, supplier_points
@@ -69,22 +70,135 @@ class RunContext:
     def train_rows(self) -> DataFrame:
         return self.scalar.filter(train_mask())
 
+    @cached_property
+    def neighbour_pairs(self) -> DataFrame:
+        approx = self.settings.approx_quantiles
+        return materialize(neighbour_pairs(train_device_table(self.train_rows, approx), device_locations(self.scalar, approx)),
+                           "neighbour_pairs")
+
     @cached_property
     def neighbours(self) -> DataFrame:
-        return materialize(nearest_neighbour_stats(self.train_rows, self.scalar, self.settings.approx_quantiles),
-                           "neighbours")
+        return materialize(summarise(self.neighbour_pairs), "neighbours")
+
+    @property
+    def own_history(self) -> tuple[DataFrame, DataFrame] | None:
+        """Device and (device, slot) statistics that exist already."""
+        return None
 
     @cached_property
     def features(self) -> DataFrame:
         s = self.settings
-        enriched = enrich(self.scalar, self.train_rows, self.neighbours, s.approx_quantiles, self.row_bound)
+        enriched = enrich(self.scalar, self.train_rows, self.neighbours, s.approx_quantiles, self.row_bound, self.own_history)
         return materialize(target_features(enriched, s, self.row_bound, self.scalar), "features", ["split"])
 
     @cached_property
     def daily(self) -> DataFrame:
         return materialize(make_daily_frame(self.features, self.settings.approx_quantiles), "daily")
 
-    def release(self) -> None:
-        _CACHE.pop((self.spark.sparkContext.applicationId, self.sf_dir, self.settings, self.source), None)
 
+class SharedBase:
+    """What all labellings of one input have in common, each written once.
+
+    A labelling only moves devices to ``valid_unseen``. Row-local features don't depend on it, and a
+    device that stays has the same training rows in every labelling, so its history, location and
+    slot statistics are the same too; a labelling just leaves the unseen devices out.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, settings: Settings, source: str):
+        self.spark, self.sf_dir, self.settings, self.source = spark, sf_dir, settings, source
+
+    @cached_property
+    def points(self) -> DataFrame:
+        return SOURCES[self.source](self.spark, self.sf_dir)
+
+    @cached_property
+    def table(self) -> DataFrame:
+        s = self.settings
+        return materialize(scalar_features(label_once(self.points, s.holdout_days), s, self.points), "shared_base", ["split"])
+
+    @cached_property
+    def row_bound(self) -> int:
+        return self.table.count()
+
+    @cached_property
+    def _train(self) -> DataFrame:
+        return self.table.filter(train_mask())
+
+    @cached_property
+    def devices(self) -> DataFrame:
+        return materialize(self.table.groupBy("deviceSn").agg(F.max("_place").alias("_place"), F.max("_low").alias("_low")), "shared_devices")
+
+    @cached_property
+    def n_candidates(self) -> int:
+        return self.devices.filter(F.col("_place").isNotNull()).count()
+
+    @cached_property
+    def device_stats(self) -> DataFrame:
+        return materialize(device_history(self._train, self.settings.approx_quantiles), "shared_history")
+
+    @cached_property
+    def slot_stats(self) -> DataFrame:
+        return materialize(device_slot_history(self._train, self.settings.approx_quantiles, self.row_bound), "shared_slots")
+
+    @cached_property
+    def train_devices(self) -> DataFrame:
+        return materialize(train_device_table(self._train, self.settings.approx_quantiles), "shared_train_devices")
+
+    @cached_property
+    def locations(self) -> DataFrame:
+        return materialize(device_locations(self.table, self.settings.approx_quantiles), "shared_locations")
+
+
+_BASES: dict[tuple, SharedBase] = {}
+
+
+class LabelContext(RunContext):
+    """One labelling (fold, stress or default) of a ``SharedBase``: labels are a projection of the written base."""
+
+    def __init__(self, base: SharedBase, settings: Settings):
+        super().__init__(base.spark, base.sf_dir, settings, base.source)
+        self.base = base
+
+    @classmethod
+    def get(cls, spark: SparkSession, sf_dir: str, settings: Settings = Settings(), source: str = "events") -> "LabelContext":
+        shared = Settings(holdout_days=settings.holdout_days, approx_quantiles=settings.approx_quantiles)
+        key = (spark.sparkContext.applicationId, sf_dir, shared, source)
+        if key not in _BASES:
+            _BASES[key] = SharedBase(spark, sf_dir, shared, source)
+        mine = (*key, settings)
+        if mine not in _CACHE:
+            _CACHE[mine] = cls(_BASES[key], settings)
+        return _CACHE[mine]
+
+    @cached_property
+    def points(self) -> DataFrame:
+        return self.base.points
+
+    @cached_property
+    def _unseen(self):
+        return unseen_in(self.settings, F.lit(self.base.n_candidates))
+
+    @cached_property
+    def scalar(self) -> DataFrame:
+        moved = (F.col("split") == "train") & self._unseen
+        return self.base.table.withColumn("eval_split", F.when(moved, "valid_unseen").otherwise(F.col("eval_split"))).drop("_place", "_low")
+
+    @cached_property
+    def labelled(self) -> DataFrame:
+        return self.scalar.select(*self.points.columns, "eval_split")
+
+    @cached_property
+    def row_bound(self) -> int:
+        return self.base.row_bound
+
+    def _of_seen(self, table: DataFrame, key: str = "deviceSn") -> DataFrame:
+        gone = self.base.devices.filter(self._unseen).select(F.col("deviceSn").alias(key))
+        return table.join(gone, key, "left_anti")
+
+    @cached_property
+    def neighbour_pairs(self) -> DataFrame:
+        return materialize(neighbour_pairs(self._of_seen(self.base.train_devices, "t_dev"), self.base.locations), "neighbour_pairs")
 
+    @property
+    def own_history(self) -> tuple[DataFrame, DataFrame]:
+        return self._of_seen(self.base.device_stats), self._of_seen(self.base.slot_stats)

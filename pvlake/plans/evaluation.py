@@ -1,9 +1,10 @@
 """Cross-validation over unseen-device folds (R7-R9), the low-capacity stress
 run (R10) and the flat model-comparison table (R11).
 
-Folds run in one Spark application: each fold only changes the labels, so it
-is one more experiment plan over the same input; results stay long
-(fold, candidate, metric, value) and the summaries are plain aggregates.
+Folds run in one Spark application over one written base: a fold only changes
+labels, which are a projection of that base, and each device's history is computed once for all
+folds (``context.SharedBase``). Results stay long (fold, candidate, metric,
+value) and the summaries are plain aggregates.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pvlake.config import FOLD_METRICS, STRESS_CANDIDATES, Settings
-from pvlake.plans.context import RunContext
+from pvlake.plans.context import LabelContext
 from pvlake.plans.experiment import Experiment
 
 
@@ -42,13 +43,14 @@ def fold_rows(e: Experiment, fold: int) -> DataFrame:
 
 def unseen_cv(spark: SparkSession, sf_dir: str, folds: int = 3, predictors=None,
               base: Settings = Settings()) -> DataFrame:
+    """R7. ``predictors``: makes the predictors of one fold (fitted ones hold models); stand-ins by default."""
     from pvlake.models.standin import StandInPredictors
 
     parts = []
     for i in range(folds):
         s = Settings(**{**base.__dict__, "unseen_fold": i, "n_unseen_folds": folds})
-        ctx = RunContext.get(spark, sf_dir, s)
-        parts.append(fold_rows(Experiment(ctx, predictors or StandInPredictors()), i))
+        ctx = LabelContext.get(spark, sf_dir, s)
+        parts.append(fold_rows(Experiment(ctx, (predictors or StandInPredictors)()), i))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -25,20 +25,6 @@ from pvlake.session import materialize
 EXPERIMENT = dict(C.CANDIDATES)
 SD = ["split", "deviceSn", "date"]
 SED = ["split", "eval_split", "deviceSn", "date"]
-DAILY_SINK = (
-    ("final_pred_daily", "final_prediction"),
-    ("baseline_daily", "pred_irradiance_baseline"),
-    ("raw_point_daily", "pred_raw_point"),
-    ("norm_point_daily", "pred_norm_point"),
-    ("calibrated_daily", "pred_norm_calibrated"),
-    ("validated_blend_daily", "pred_validated_blend"),
-    ("history_fallback_daily", "pred_history_fallback"),
-    ("low_output_guard_daily", "pred_low_output_guard"),
-    ("precision_low_output_guard_daily", "pred_precision_low_output_guard"),
-    ("piecewise_low_output_guard_daily", "pred_piecewise_low_output_guard"),
-    ("seen_new_branch_daily", "pred_seen_new_branch"),
-    ("deployment_daily", "deployment_prediction"),
-)
 
 
 @dataclass
@@ -50,7 +36,7 @@ class Experiment:
     def base_points(self) -> DataFrame:
         """Features + baseline + sanitized raw/normalised point predictions (persisted)."""
         pts = irradiance_baseline(self.ctx.features, approx=self.ctx.settings.approx_quantiles)
-        return materialize(self.predictors.point(pts), "base_points")
+        return materialize(self.predictors.point(pts, self.ctx.features), "base_points")
 
     @cached_property
     def seen_devices(self) -> DataFrame:
@@ -148,7 +134,7 @@ class Experiment:
         final_sum = P.choose(self.best_candidate, [P.day_sum(c) for c in P.CANDIDATE_NAMES])
         cols = {"actual_daily": F.col("y_true_day"), "final_pred_daily": final_sum,
                 "deployment_daily": P.day_sum(C.DEPLOYMENT_CANDIDATE)}
-        for out, cand in DAILY_SINK:
+        for out, cand in C.DAILY_SINK:
             if out not in cols:
                 cols[out] = P.day_sum(cand)
         return sd.select(*SED, *[v.alias(k) for k, v in cols.items()])

@@ -604,29 +604,24 @@ def _m7(spark, sf):
 @register("feature_importance", "feature:s, importance:d", None, "M25 top-25 importances (rows-only)")
 def _m25(spark, sf):
     e = experiment(spark, sf, predictors="gbt")
-    e.base_points  # fits the models
-    return e.predictors.importances()
+    return e.predictors.importances(e.ctx.features)
 
 
 @register("weighted_calibration", "split:s, deviceSn:s, date:s, weight:d, pred_day_calibrated:d", None,
           "M10 calibrator with 3x weight on low-output training days (rows-only)")
 def _m10(spark, sf):
     e = experiment(spark, sf, predictors="gbt")
-    return e.predictors.weighted_calibration(e.ctx.daily, e.device_days)
+    return e.predictors.weighted_calibration(e.ctx.daily, e.predictors.norm_day_sums(e.ctx.features))
 
 
 def _boosted(spark, sf, loss):
-    from pvlake.models import gbt
     from pvlake.models.boosting import boost
-    from pvlake.models.gbt import impute, non_empty, train_medians
-    from pvlake.plans.features import point_feature_columns
-    feat = ctx(spark, sf).features
-    train = feat.filter(train_mask())
-    cols = non_empty(train, point_feature_columns(feat))
-    every, icols = impute(feat, cols, train_medians(train, cols))
-    sizes = gbt.REGISTERED
-    return boost(every.filter(train_mask()), every, icols, "pvGenTotal", f"pred_{loss}_point", loss=loss,
-                 rounds=sizes.point_trees, learning_rate=sizes.point_step, depth=sizes.max_depth)
+    e = experiment(spark, sf, predictors="gbt")
+    every, cols = e.predictors.point_inputs(e.ctx.features)
+    sizes = e.predictors.cfg
+    fitted = boost(every, train_mask(), cols, "pvGenTotal", loss=loss, rounds=sizes.point_trees,
+                   learning_rate=sizes.point_step, depth=sizes.max_depth, min_instances=sizes.min_instances)
+    return fitted.predict(every, cols, f"pred_{loss}_point")
 
 
 @register("huber_point_predictions", "row_id:l, pred_huber_point:d", None, "M11 Huber-loss boosting (rows-only)")
@@ -639,17 +634,12 @@ def _m12(spark, sf):
     return _boosted(spark, sf, "fair")
 
 
-STACK_COLS = ("baseline_daily", "raw_point_daily", "norm_point_daily", "calibrated_daily", "validated_blend_daily",
-              "history_fallback_daily", "low_output_guard_daily", "precision_low_output_guard_daily",
-              "piecewise_low_output_guard_daily", "seen_new_branch_daily")
-
-
 @register("stacked_daily", "split:s, eval_split:s, deviceSn:s, date:s, actual_daily:d, stacked_daily_pred:d", None,
           "M14 non-negative ridge stacking on training days (rows-only)")
 def _m14(spark, sf):
     from pvlake.models.stacking import fit_stacking
     dp = experiment(spark, sf).daily_predictions
-    return fit_stacking(dp, list(STACK_COLS), "actual_daily", F.col("eval_split") == "train")[1]
+    return fit_stacking(dp, list(C.STACK_COLS), "actual_daily", F.col("eval_split") == "train")[1]
 
 
 @register("validation_stacked_daily", "split:s, eval_split:s, deviceSn:s, date:s, actual_daily:d, "
@@ -657,7 +647,7 @@ def _m14(spark, sf):
 def _b5(spark, sf):
     from pvlake.models.stacking import fit_stacking
     dp = experiment(spark, sf).daily_predictions
-    return fit_stacking(dp, list(STACK_COLS), "actual_daily",
+    return fit_stacking(dp, list(C.STACK_COLS), "actual_daily",
                         F.col("eval_split").isin("valid_seen", "valid_unseen"))[1]
 
 

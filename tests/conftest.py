@@ -7,16 +7,6 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-@pytest.fixture(scope="session", autouse=True)
-def registered_sizes():
-    """Registered model queries run with the short fit in tests; the sizes they are registered with are returned."""
-    from pvlake.models import gbt
-
-    sizes, gbt.REGISTERED = gbt.REGISTERED, gbt.SHORT
-    yield sizes
-    gbt.REGISTERED = sizes
-
-
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession

@@ -219,18 +219,17 @@ def test_models_default_to_published_sizes(spark):
     assert (default["rounds"], default["learning_rate"], default["row_share"], default["column_share"]) == (700, 0.035, 0.85, 0.85)
 
 
-def test_registered_fits_have_published_sizes(spark, registered_sizes, monkeypatch):
-    from pvlake.models import boosting, gbt
+def test_registered_fits_have_published_sizes(spark, monkeypatch):
+    from pvlake.models import boosting
     from pvlake.plans import registry
 
     sf, asked = "/root/testdata/sf0.001", []
-    monkeypatch.setattr(gbt, "REGISTERED", registered_sizes)
     cfg = registry.experiment(spark, sf, predictors="gbt").predictors.cfg
     assert (cfg.point_trees, cfg.daily_trees, cfg.point_step, cfg.daily_step, cfg.max_depth) == (700, 500, 0.035, 0.04, 6)
 
-    def boost(train, every, cols, label, out, **kw):
+    def boost(every, train_rows, cols, label, **kw):
         asked.append((kw["loss"], kw["rounds"], kw["learning_rate"], kw["depth"]))
-        return every.withColumn(out, F.lit(0.0))
+        return boosting.Boosted(0.5, 0.1, [])
 
     monkeypatch.setattr(boosting, "boost", boost)
     for name in ("huber_point_predictions", "fair_point_predictions"):
