@@ -9,7 +9,7 @@ Fractional literals are written as doubles (``1e-6``, ``60e0``).
 
 from __future__ import annotations
 
-from pvlake.config import FOLD_METRICS
+from pvlake.config import FOLD_METRICS, STACK_COLS
 
 PV_POINTS = r"""
 pv_points AS (
@@ -664,3 +664,91 @@ pv_points AS (
 
 def supplier_chain(*extra: str) -> str:
     return chain(SUPPLIER_POINTS, labels_sql(), SCALAR_FEATURES, HISTORY, DAILY, *extra)
+
+
+CAPACITY = """
+own AS (SELECT deviceSn, avg(daily_sum) AS m FROM tr_daily GROUP BY deviceSn),
+idw AS (
+  SELECT deviceSn, sum(t_mean / greatest(distance, 0.1e0)) / sum(1e0 / greatest(distance, 0.1e0)) AS neighbour_daily_mean
+  FROM nn_ranked WHERE r <= 5 AND distance IS NOT NULL AND t_mean IS NOT NULL GROUP BY deviceSn),
+capacities AS (
+  SELECT c.*, i.neighbour_daily_mean, coalesce(o.m, i.neighbour_daily_mean, c.region_daily_mean, (SELECT avg(m) FROM own)) AS capacity,
+    CASE WHEN o.m IS NOT NULL THEN 'own' WHEN i.neighbour_daily_mean IS NOT NULL THEN 'neighbours'
+         WHEN c.region_daily_mean IS NOT NULL THEN 'region' ELSE 'all' END AS capacity_source
+  FROM region_cap c LEFT JOIN own o ON c.deviceSn = o.deviceSn LEFT JOIN idw i ON c.deviceSn = i.deviceSn)"""
+
+_LEVELS = ("region", "family", "capacity", "risk")
+
+CALIBRATION = f"""
+edges AS (SELECT quantile_cont(nn_3_daily_mean, 0.25) AS q1, quantile_cont(nn_3_daily_mean, 0.5) AS q2, quantile_cont(nn_3_daily_mean, 0.75) AS q3 FROM nn),
+lv_days AS (
+  SELECT b.eval_split, b.y, b.p,
+    CAST(CAST(d.region_lat_5 AS BIGINT) AS VARCHAR) || '|' || CAST(CAST(d.region_lon_5 AS BIGINT) AS VARCHAR) AS region,
+    coalesce(CAST(CAST(d.device_family_code AS BIGINT) AS VARCHAR), 'none') AS family,
+    CASE WHEN d.nn_3_daily_mean IS NULL THEN 'none' WHEN d.nn_3_daily_mean > q3 THEN 'q4' WHEN d.nn_3_daily_mean > q2 THEN 'q3'
+         WHEN d.nn_3_daily_mean > q1 THEN 'q2' ELSE 'q1' END AS capacity,
+    CASE WHEN b.p < 0.05 THEN 'very low' WHEN b.p < 0.1 THEN 'low' ELSE 'normal' END AS risk
+  FROM b4_days b LEFT JOIN daily d ON b.split = d.split AND b.deviceSn = d.deviceSn AND b.date = d.date, edges),
+lv_val AS (SELECT * FROM lv_days WHERE eval_split IN ('valid_seen', 'valid_unseen')),
+lv_sums AS (
+  {" UNION ALL ".join(f"SELECT '{c}' AS level, {c} AS key, count(*) AS days, sum(y) AS y, sum(p) AS p FROM lv_val GROUP BY {c}" for c in _LEVELS)}
+  UNION ALL SELECT 'all', '', count(*), sum(y), sum(p) FROM lv_val),
+lv_ratio AS (SELECT level, key, days, CASE WHEN p > 0 THEN y / p END AS ratio FROM lv_sums),
+lv_all AS (SELECT coalesce(max(ratio), 1e0) AS f FROM lv_ratio WHERE level = 'all'),
+cal_groups AS (
+  SELECT level, key, days, ratio, CASE WHEN level = 'all' THEN f ELSE coalesce((days * ratio + 10e0 * f) / (days + 10e0), f) END AS factor
+  FROM lv_ratio, lv_all),
+lv_used AS (
+  SELECT d.*, coalesce({", ".join(f"g_{c}.factor" for c in _LEVELS)}, f) AS factor,
+    CASE {" ".join(f"WHEN g_{c}.factor IS NOT NULL THEN '{c}'" for c in _LEVELS)} ELSE 'all' END AS used
+  FROM lv_days d {" ".join(f"LEFT JOIN (SELECT * FROM cal_groups WHERE level = '{c}' AND days >= 10 AND ratio IS NOT NULL) g_{c} ON d.{c} = g_{c}.key" for c in _LEVELS)}, lv_all),
+multi_cal AS (
+  SELECT eval_split, avg(abs(y - p) / greatest(abs(y), 1e-9)) AS daily_mape_before,
+    avg(abs(y - p * factor) / greatest(abs(y), 1e-9)) AS daily_mape_after,
+    {", ".join(f"count(*) FILTER (WHERE used = '{c}') AS days_by_{c}" for c in (*_LEVELS, "all"))}
+  FROM lv_used GROUP BY eval_split)"""
+
+
+def stacking_sql(rows: str) -> str:
+    """Gram matrix and X'y of the median-filled, standardised daily predictions over the days ``rows``."""
+    cols = ", ".join(STACK_COLS)
+    return f"""
+st_rows AS (SELECT row_number() OVER () AS id, actual_daily, {cols} FROM daily_sink WHERE {rows}),
+st_long AS (SELECT * FROM st_rows UNPIVOT INCLUDE NULLS (v FOR name IN ({cols}))),
+st_med AS (SELECT name, coalesce(median(v), 0e0) AS m FROM st_long GROUP BY name),
+st_fill AS (SELECT l.id, l.actual_daily, l.name, coalesce(l.v, s.m) AS v FROM st_long l JOIN st_med s ON l.name = s.name),
+st_stat AS (SELECT name, avg(v) AS mu, stddev_pop(v) AS sd FROM st_fill GROUP BY name),
+st_z AS (
+  SELECT f.id, f.actual_daily - (SELECT avg(actual_daily) FROM st_rows) AS y, f.name,
+    (f.v - s.mu) / CASE WHEN coalesce(s.sd, 0e0) = 0 THEN 1e0 ELSE s.sd END AS z
+  FROM st_fill f JOIN st_stat s ON f.name = s.name),
+st_out AS (
+  SELECT a.name AS a, b.name AS b, sum(a.z * b.z) AS value, NULL AS optimal FROM st_z a JOIN st_z b ON a.id = b.id AND a.name <= b.name GROUP BY a.name, b.name
+  UNION ALL SELECT name, 'target', sum(z * y), 'true' FROM st_z GROUP BY name)"""
+
+
+POINT_FEATURES = """latitude longitude altitude zenith_angle azimuth is_day global_tilted_irradiance_instant shortwave_radiation
+  cloud_cover_H temperature_2m rain empty_weather hour minute slot_id day_of_year month weekday is_weekend sin_hour cos_hour
+  sin_slot cos_slot sin_doy cos_doy altitude_pos elevation_weight zenith_cos azimuth_sin azimuth_cos radiation_proxy solar_proxy
+  radiation_cloud_adjusted radiation_x_elevation is_solar_available lat_round_1 lon_round_1 region_lat_5 region_lon_5
+  region_lat_10 region_lon_10 device_family_code device_daily_mean device_daily_median device_daily_p90 device_daily_max
+  device_history_days device_slot_mean device_slot_p90 global_slot_mean global_slot_p90 nn_1_distance_km nn_3_daily_mean
+  nn_3_daily_p90 nn_5_daily_mean nn_5_daily_p90""".split()
+DAILY_FEATURES = """rows_in_day solar_proxy_sum solar_proxy_max radiation_proxy_sum radiation_proxy_max elevation_weight_sum
+  elevation_weight_max is_solar_available_mean latitude longitude region_lat_5 region_lon_5 region_lat_10 region_lon_10
+  device_family_code device_daily_mean device_daily_p90 device_history_days nn_3_daily_mean nn_3_daily_p90 nn_5_daily_mean
+  nn_1_distance_km temperature_2m_mean temperature_2m_max rain_mean rain_max rain_sum cloud_cover_H_mean cloud_cover_H_max""".split()
+
+
+def feature_list_sql() -> str:
+    parts = [f"SELECT '{grain}' AS grain, '{c}' AS feature, count({c}) AS train_values, count({c}) > 0 AS used FROM {table} WHERE {rows}"
+             for grain, table, rows, cols in (("point", "points", "split = 'train' AND eval_split = 'train'", POINT_FEATURES),
+                                              ("daily", "daily", "eval_split = 'train'", DAILY_FEATURES)) for c in cols]
+    return "feature_list AS (" + " UNION ALL ".join(parts) + ")"
+
+
+DRIFT_LOOKUP = """
+drift_rows AS (
+  SELECT n.position, s.eval_split, s.devices, s.train_device_overlap_ratio, s.daily_target_mean, s.low_load_share_lt_0_05, s.low_load_share_lt_0_10
+  FROM summary s JOIN (VALUES ('train', 1), ('valid_seen', 2), ('valid_unseen', 3), ('test1', 4), ('test2', 5)) n(eval_split, position)
+  ON s.eval_split = n.eval_split)"""

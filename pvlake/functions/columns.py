@@ -27,10 +27,6 @@ def to_number(c: Column) -> Column:
     return nan_to_null(c.try_cast("double"))
 
 
-def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
-
-
 def sanitize(pred: Column, is_solar_available: Column | None = None,
              solar_proxy: Column | None = None) -> Column:
     """Missing -> 0, clip at 0, zero when the sun is off."""
@@ -40,11 +36,6 @@ def sanitize(pred: Column, is_solar_available: Column | None = None,
     return F.when(off, F.lit(0.0)).otherwise(F.greatest(F.coalesce(pred, F.lit(0.0)), F.lit(0.0)))
 
 
-def solar_off(df_cols: tuple[Column, Column] | None = None) -> Column:
-    avail, proxy = df_cols or (F.col("is_solar_available"), F.col("solar_proxy"))
-    return F.coalesce((avail <= 0) | (proxy <= C.SOLAR_OFF_CUT), F.lit(False))
-
-
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance; argument of asin clamped to 1 against rounding."""
     phi1, phi2 = F.radians(lat1), F.radians(lat2)

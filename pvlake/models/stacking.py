@@ -62,5 +62,20 @@ def fit_stacking(days: DataFrame, pred_cols: list[str], target: str, train_rows:
     score = F.lit(float(stats["y_mean"]))
     for c, wc in zip(pred_cols, w):
         score = score + float(wc) * z[c]
-    model = {"coef": dict(zip(pred_cols, w.tolist())), "intercept": stats["y_mean"], "alpha": alpha}
+    model = {"coef": dict(zip(pred_cols, w.tolist())), "intercept": stats["y_mean"], "alpha": alpha,
+             "names": list(pred_cols), "weights": w, "gram": gram, "xty": xty}
     return model, days.withColumn(out, F.greatest(score, F.lit(0.0)))
+
+
+def fit_conditions(spark, model: dict, tol: float = 1e-6) -> DataFrame:
+    """The normal equations of a fit and whether its weights solve them: (a, b, value, optimal).
+
+    Rows (a, b) hold the Gram matrix (a <= b) and rows (a, 'target') X'y. A non-negative ridge fit is optimal exactly when
+    the gradient (G + alpha I) w - X'y is zero for each positive weight and not negative for each zero weight."""
+    names, w, gram, xty = model["names"], model["weights"], model["gram"], model["xty"]
+    gradient = gram @ w + model["alpha"] * w - xty
+    slack = tol * max(1.0, float(np.abs(xty).max()))
+    optimal = np.where(w > 0, np.abs(gradient) <= slack, gradient >= -slack)
+    rows = [(*sorted((a, b)), float(gram[i, j]), None) for i, a in enumerate(names) for j, b in enumerate(names) if j >= i]
+    rows += [(a, "target", float(xty[i]), bool(optimal[i])) for i, a in enumerate(names)]
+    return spark.createDataFrame(rows, "a string, b string, value double, optimal boolean")

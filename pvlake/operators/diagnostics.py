@@ -14,9 +14,14 @@ from pvlake import config as C
 from pvlake.functions.columns import quantile
 from pvlake.operators.metrics import ape
 from pvlake.operators.quantiles import exact_quantile_scalar, exact_quantiles
+from pvlake.session import materialize
 
 ADAPTIVE_QUANTILE = 0.15
 ADAPTIVE_MULTIPLIER = 0.7  # not published; the broad guard's multiplier is used
+SD = ["split", "deviceSn", "date"]
+#: Most specific first: 5-degree cell, device family, quarter of the neighbours' output, predicted output.
+CALIBRATION_LEVELS = ("region", "family", "capacity", "risk")
+MIN_DAYS, PRIOR_DAYS = 10, 10.0  # not published
 
 
 def adaptive_guard(policy_days: DataFrame, daily: DataFrame, approx: bool = False) -> DataFrame:
@@ -53,6 +58,61 @@ def grouped_calibration(policy_days: DataFrame, features: DataFrame, candidate_f
         F.avg(ape(F.col("y_true_day"), F.col("p_cal"))).alias("daily_mape_after"))
 
 
+def calibration_days(policy_days: DataFrame, daily: DataFrame, neighbours: DataFrame, candidate_factor: str = "k_blend") -> DataFrame:
+    """Device-days with prediction ``p`` and their group on every calibration level (``CALIBRATION_LEVELS``)."""
+    edges = exact_quantiles(neighbours, [], "nn_3_daily_mean", {"q1": 0.25, "q2": 0.5, "q3": 0.75}).select(F.struct("q1", "q2", "q3").alias("q")).scalar()
+    keys = daily.select(*SD, "region_lat_5", "region_lon_5", "device_family_code", "nn_3_daily_mean")
+    days = policy_days.select(*SD, "eval_split", "y_true_day", (F.col("s_norm") * F.col(candidate_factor)).alias("p")).join(keys, SD, "left")
+    whole = lambda c: F.col(c).cast("long").cast("string")
+    near = F.col("nn_3_daily_mean")
+    very_low, low = C.LOW_LOAD_CUTS
+    return days.withColumns({
+        "region": F.concat_ws("|", whole("region_lat_5"), whole("region_lon_5")),
+        "family": F.coalesce(whole("device_family_code"), F.lit("none")),
+        "capacity": F.when(near.isNull(), "none").otherwise(F.concat(F.lit("q"), sum(
+            (F.when(near > edges.getField(q), 1).otherwise(0) for q in ("q1", "q2", "q3")), F.lit(1)).cast("string"))),
+        "risk": F.when(F.col("p") < very_low, "very low").when(F.col("p") < low, "low").otherwise("normal"),
+    })
+
+
+def calibration_groups(days: DataFrame) -> DataFrame:
+    """(level, key, days, ratio, factor) of every group on every level, from validation days in one aggregate.
+
+    ``ratio`` is sum(actual) / sum(prediction); ``factor`` is drawn towards the ratio of all days by ``PRIOR_DAYS``."""
+    val = days.filter(F.col("eval_split").isin("valid_seen", "valid_unseen"))
+    levels = list(CALIBRATION_LEVELS)
+    sets = val.groupingSets([*[[F.col(c)] for c in levels], []], *levels).agg(
+        F.grouping_id().alias("_id"), F.count(F.lit(1)).alias("days"), F.sum("y_true_day").alias("_y"), F.sum("p").alias("_p"))
+    # a level's grouping id has every bit but its own
+    every = (1 << len(levels)) - 1
+    level, key = F.lit("all"), F.lit("")
+    for i, c in enumerate(levels):
+        own = F.col("_id") == every - (1 << (len(levels) - 1 - i))
+        level, key = F.when(own, c).otherwise(level), F.when(own, F.col(c)).otherwise(key)
+    groups = sets.select(level.alias("level"), key.alias("key"), "days", F.when(F.col("_p") > 0, F.col("_y") / F.col("_p")).alias("ratio"))
+    groups = materialize(groups, "calibration_groups")
+    overall = F.coalesce(groups.filter("level = 'all'").agg(F.max("ratio")).scalar(), F.lit(1.0))
+    drawn = (F.col("days") * F.col("ratio") + PRIOR_DAYS * overall) / (F.col("days") + PRIOR_DAYS)
+    return groups.withColumn("factor", F.when(F.col("level") == "all", overall).otherwise(F.coalesce(drawn, overall)))
+
+
+def multi_level_calibration(days: DataFrame, groups: DataFrame) -> DataFrame:
+    """B4 applied: each day takes the factor of the first level whose group has ``MIN_DAYS`` validation days, else that of
+    all days. Daily MAPE by split before and after, and the days that each level decided."""
+    out, chosen, used = days, F.lit(None).cast("double"), F.lit(None).cast("string")
+    for c in CALIBRATION_LEVELS:
+        own = groups.filter((F.col("level") == c) & (F.col("days") >= MIN_DAYS) & F.col("ratio").isNotNull()).select(
+            F.col("key").alias(c), F.col("factor").alias(f"_f_{c}"))
+        out = out.join(own, c, "left")
+        chosen, used = F.coalesce(chosen, F.col(f"_f_{c}")), F.coalesce(used, F.when(F.col(f"_f_{c}").isNotNull(), c))
+    overall = groups.filter("level = 'all'").agg(F.max("factor")).scalar()
+    out = out.withColumns({"used": F.coalesce(used, F.lit("all")), "p_cal": F.col("p") * F.coalesce(chosen, overall, F.lit(1.0))})
+    return out.groupBy("eval_split").agg(
+        F.avg(ape(F.col("y_true_day"), F.col("p"))).alias("daily_mape_before"),
+        F.avg(ape(F.col("y_true_day"), F.col("p_cal"))).alias("daily_mape_after"),
+        *[F.count(F.when(F.col("used") == c, 1)).alias(f"days_by_{c}") for c in (*CALIBRATION_LEVELS, "all")])
+
+
 def residual_intervals(points: DataFrame, pred: str = "final_prediction", lo: float = 0.1, hi: float = 0.9,
                        approx: bool = False) -> DataFrame:
     """Per-slot residual quantiles from validation rows give an interval around

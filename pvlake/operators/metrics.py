@@ -19,56 +19,3 @@ METRICS = ("mae", "rmse", "mape", "daily_mae", "daily_rmse", "daily_mape")
 
 def ape(y: Column, p: Column) -> Column:
     return F.abs(y - p) / F.greatest(F.abs(y), F.lit(C.METRIC_EPS))
-
-
-def point_metric_aggs(pred: str, y: str = "pvGenTotal", prefix: str = "") -> list[Column]:
-    """E1, E2 on points."""
-    d = F.col(y) - F.col(pred)
-    return [
-        F.avg(F.abs(d)).alias(f"{prefix}mae"),
-        F.sqrt(F.avg(d * d)).alias(f"{prefix}rmse"),
-        F.avg(ape(F.col(y), F.col(pred))).alias(f"{prefix}mape"),
-    ]
-
-
-def daily_metric_aggs(pred_day: str, y_day: str = "y_true_day", prefix: str = "") -> list[Column]:
-    d = F.col(y_day) - F.col(pred_day)
-    return [
-        F.avg(F.abs(d)).alias(f"{prefix}daily_mae"),
-        F.sqrt(F.avg(d * d)).alias(f"{prefix}daily_rmse"),
-        F.avg(ape(F.col(y_day), F.col(pred_day))).alias(f"{prefix}daily_mape"),
-    ]
-
-
-def daily_frame(points: DataFrame, pred: str, y: str = "pvGenTotal",
-                keys: list[str] | None = None) -> DataFrame:
-    """Per-day sums of label and prediction, absolute error and APE."""
-    keys = keys or D
-    day = points.dropna(subset=keys).groupBy(*keys).agg(
-        F.coalesce(F.sum(y), F.lit(0.0)).alias("y_true_day"),
-        F.coalesce(F.sum(pred), F.lit(0.0)).alias("y_pred_day"),
-    )
-    return day.withColumns({
-        "abs_error": F.abs(F.col("y_true_day") - F.col("y_pred_day")),
-        "ape": ape(F.col("y_true_day"), F.col("y_pred_day")),
-    })
-
-
-def metrics_by_split(points: DataFrame, pred: str, y: str = "pvGenTotal") -> DataFrame:
-    """Six metrics and distinct device-days per eval_split."""
-    pt = points.groupBy("eval_split").agg(*point_metric_aggs(pred, y))
-    day = daily_frame(points, pred, y, ["eval_split", *D]).groupBy("eval_split").agg(
-        *daily_metric_aggs("y_pred_day"), F.count(F.lit(1)).alias("n_days"))
-    return pt.join(day, "eval_split", "left")
-
-
-def with_combined(metrics: DataFrame, keys: list[str]) -> DataFrame:
-    """E5: add eval_split='combined_validation' = mean of the two validation daily MAPEs
-    (only where both exist; other metrics NULL)."""
-    seen = F.first(F.when(F.col("eval_split") == "valid_seen", F.col("daily_mape")), ignorenulls=True)
-    unseen = F.first(F.when(F.col("eval_split") == "valid_unseen", F.col("daily_mape")), ignorenulls=True)
-    comb = metrics.groupBy(*keys).agg((0.5 * seen + 0.5 * unseen).alias("daily_mape")).filter(
-        F.col("daily_mape").isNotNull())
-    nulls = {m: F.lit(None).cast("double") for m in METRICS if m != "daily_mape"}
-    comb = comb.withColumns({"eval_split": F.lit("combined_validation"), **nulls})
-    return metrics.unionByName(comb, allowMissingColumns=True)

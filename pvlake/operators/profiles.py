@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pvlake import config as C
 from pvlake.session import materialize
 
+IDW_FLOOR_KM = 0.1  # unpublished
+
 
 def radiation_profile(points: DataFrame) -> DataFrame:
     """Per (device, slot) mean solar_proxy divided by the device maximum + 1e-9 (long form)."""
@@ -26,13 +28,6 @@ def radiation_profile(points: DataFrame) -> DataFrame:
     return slot_mean.select("deviceSn", "slot_id", (F.col("slot_mean") / (dev_max + 1e-9)).alias("profile"))
 
 
-def profile_arrays(profile: DataFrame) -> DataFrame:
-    """A12 list form: the profile in slot order as an array column (96 values at most per device)."""
-    return profile.groupBy("deviceSn").agg(
-        F.array_sort(F.collect_list(F.struct("slot_id", "profile"))).alias("_p")).select(
-        "deviceSn", F.transform("_p", lambda s: s["profile"]).alias("radiation_profile"))
-
-
 def radiation_similarity(points: DataFrame) -> DataFrame:
     """Mean cosine similarity of each device profile to all other devices."""
     prof = radiation_profile(points)
@@ -53,7 +48,7 @@ def add_radiation_similarity(points: DataFrame) -> DataFrame:
     distinct = points.select("solar_proxy").distinct().limit(2).count()
     if distinct <= 1:
         return points
-    return points.join(radiation_similarity(points), "deviceSn", "left").fillna(
+    return points.join(materialize(radiation_similarity(points), "similarity"), "deviceSn", "left").fillna(
         {"radiation_similarity_mean": 0.0})
 
 
@@ -76,18 +71,32 @@ def add_weather_bins(points: DataFrame) -> DataFrame:
     return points.join(bins, ["deviceSn", "date"], "left").fillna({"weather_bin": 0})
 
 
-def region_capacity(features: DataFrame, neighbours_idw: DataFrame | None = None) -> DataFrame:
-    """Mean training daily output of the devices in each 5-degree cell, per device."""
+def neighbour_capacity(pairs: DataFrame, floor_km: float = IDW_FLOOR_KM) -> DataFrame:
+    """Mean training daily output of a device's nearest training devices, weighted by inverse distance.
+
+    ``pairs`` as from ``neighbour_pairs``; closer than ``floor_km`` counts as that far."""
+    known = pairs.filter(F.col("distance").isNotNull() & F.col("t_mean").isNotNull())
+    w = 1 / F.greatest(F.col("distance"), F.lit(floor_km))
+    return known.groupBy("deviceSn").agg((F.sum(w * F.col("t_mean")) / F.sum(w)).alias("neighbour_daily_mean"))
+
+
+def region_capacity(features: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Capacity proxies of each device: mean training daily output of the devices in its 5-degree cell, of its
+    neighbours by distance, and the first of own history, neighbours, cell and all devices that is known."""
     from pvlake.operators.splits import daily_sums, train_mask
 
     train = features.filter(train_mask())
-    dev_mean = daily_sums(train, ["deviceSn", "date"]).groupBy("deviceSn").agg(F.avg("daily_sum").alias("m"))
-    cells = features.groupBy("deviceSn").agg(
+    own = materialize(daily_sums(train, ["deviceSn", "date"]).groupBy("deviceSn").agg(F.avg("daily_sum").alias("m")), "own_means")
+    cells = materialize(features.groupBy("deviceSn").agg(
         (F.floor(F.median("latitude") / 5) * 5).cast("double").alias("region_lat_5"),
-        (F.floor(F.median("longitude") / 5) * 5).cast("double").alias("region_lon_5"))
-    cell_cap = cells.join(dev_mean, "deviceSn").groupBy("region_lat_5", "region_lon_5").agg(
+        (F.floor(F.median("longitude") / 5) * 5).cast("double").alias("region_lon_5")), "device_cells")
+    cell_cap = cells.join(own, "deviceSn").groupBy("region_lat_5", "region_lon_5").agg(
         F.avg("m").alias("region_daily_mean"), F.count(F.lit(1)).alias("region_train_devices"))
-    out = cells.join(cell_cap, ["region_lat_5", "region_lon_5"], "left")
-    if neighbours_idw is not None:
-        out = out.join(neighbours_idw, "deviceSn", "left")
-    return out
+    overall = own.agg(F.avg("m")).scalar()
+    out = cells.join(cell_cap, ["region_lat_5", "region_lon_5"], "left").join(own, "deviceSn", "left").join(
+        neighbour_capacity(pairs), "deviceSn", "left")
+    chain = (("own", F.col("m")), ("neighbours", F.col("neighbour_daily_mean")), ("region", F.col("region_daily_mean")), ("all", overall))
+    return out.withColumns({
+        "capacity": F.coalesce(*[c for _, c in chain]),
+        "capacity_source": F.coalesce(*[F.when(c.isNotNull(), name) for name, c in chain]),
+    }).drop("m")

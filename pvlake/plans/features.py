@@ -63,3 +63,10 @@ def daily_feature_columns(daily: DataFrame, reproduce_leak: bool = False) -> lis
     if not reproduce_leak:
         skip |= set(C.LABEL_DERIVED_DAILY)
     return [f.name for f in daily.schema.fields if f.name not in skip and isinstance(f.dataType, NumericType)]
+
+
+def feature_table(train: DataFrame, cols: list[str], grain: str) -> DataFrame:
+    """F18 + B1: each model input of a grain with its number of training values; without any it is not used."""
+    counts = train.agg(*[F.count(F.col(c)).alias(c) for c in cols])
+    return counts.unpivot([], cols, "feature", "train_values").select(
+        F.lit(grain).alias("grain"), "feature", "train_values", (F.col("train_values") > 0).alias("used"))

@@ -491,11 +491,22 @@ def _a14b(spark, sf):
     return add_weather_bins(ctx(spark, sf).features)
 
 
-@register("region_capacity", "deviceSn:s, region_lat_5:d, region_lon_5:d, region_daily_mean:d, region_train_devices:d",
-          Q.experiment_chain(Q.REPORTS) + "\nSELECT * FROM region_cap", "B3 region capacity proxy")
+@register("region_capacity", "deviceSn:s, region_lat_5:d, region_lon_5:d, region_daily_mean:d, region_train_devices:d, "
+          "neighbour_daily_mean:d, capacity:d, capacity_source:s",
+          Q.experiment_chain(Q.REPORTS, Q.CAPACITY) + "\nSELECT * FROM capacities",
+          "B3 region and distance-weighted neighbour capacity, fallback chain")
 def _b3(spark, sf):
     from pvlake.operators.profiles import region_capacity
-    return region_capacity(ctx(spark, sf).features)
+    c = ctx(spark, sf)
+    return region_capacity(c.features, c.neighbour_pairs)
+
+
+@register("similarity_rows", "row_id:l, radiation_similarity_mean:d", Q.experiment_chain(Q.REPORTS) + """
+SELECT p.row_id, coalesce(s.radiation_similarity_mean, 0e0) AS radiation_similarity_mean
+FROM points p LEFT JOIN similarity s ON p.deviceSn = s.deviceSn""", "A13 joined to the points")
+def _a13_rows(spark, sf):
+    from pvlake.operators.profiles import add_radiation_similarity
+    return add_radiation_similarity(ctx(spark, sf).features)
 
 
 # ----------------------------------------------------- evaluation & diagnostics
@@ -509,8 +520,7 @@ SELECT * FROM cand_table WHERE candidate IN ('pred_norm_calibrated', 'pred_valid
   'pred_low_output_guard', 'pred_precision_low_output_guard', 'pred_piecewise_low_output_guard',
   'pred_daily_model_rescaled', 'pred_seen_new_branch')""", "R10 low-capacity stress run")
 def _r10(spark, sf):
-    from pvlake.plans.evaluation import cold_start_stress
-    return cold_start_stress(experiment(spark, sf, unseen_strategy="low_capacity"))
+    return stress_table(spark, sf)
 
 
 @register("model_comparison", "experiment:s, eval_split:s, " + doubles(*SIX),
@@ -523,16 +533,35 @@ def _r11(spark, sf):
 _FOLDS: dict = {}
 
 
-def fold_table(spark: SparkSession, sf: str, folds: int = 3) -> DataFrame:
+def _predictors(kind: str):
+    """Makes the predictors of one labelling."""
+    from pvlake.models import gbt
+    from pvlake.models.standin import StandInPredictors
+    return StandInPredictors if kind == "standin" else (lambda: gbt.GbtPredictors(gbt.REGISTERED))
+
+
+def fold_table(spark: SparkSession, sf: str, folds: int = 3, predictors: str = "standin") -> DataFrame:
     """R7 fold rows, written once per input and reused by R8 / R9."""
     from pvlake.plans.evaluation import unseen_cv
     from pvlake.session import materialize
-    key = (spark.sparkContext.applicationId, sf, folds)
+    key = (spark.sparkContext.applicationId, sf, folds, predictors)
     if key not in _FOLDS:
-        _FOLDS[key] = materialize(unseen_cv(spark, sf, folds), "unseen_cv")
+        _FOLDS[key] = materialize(unseen_cv(spark, sf, folds, _predictors(predictors)), "unseen_cv")
     return _FOLDS[key]
 
 
+def stress_table(spark: SparkSession, sf: str, predictors: str = "standin") -> DataFrame:
+    """R10 over the base that the folds share."""
+    from pvlake.plans.context import LabelContext
+    from pvlake.plans.evaluation import cold_start_stress
+    from pvlake.plans.experiment import Experiment
+    key = (spark.sparkContext.applicationId, sf, "stress", predictors)
+    if key not in _EXPERIMENTS:
+        labels = LabelContext.get(spark, sf, Settings(unseen_strategy="low_capacity"))
+        _EXPERIMENTS[key] = Experiment(labels, _predictors(predictors)())
+    return cold_start_stress(_EXPERIMENTS[key])
+
+
 @register("unseen_cv_folds", "fold:l, candidate:s, metric:s, value:d, best_prediction_column:s, best_blend_alpha:d",
           Q.folds_chain(3) + "\nSELECT * FROM folds", "R7 three unseen-device folds in one application")
 def _r7(spark, sf):
@@ -573,6 +602,29 @@ def _b4(spark, sf):
     return grouped_calibration(e.policy_days, e.ctx.features)
 
 
+@register("calibration_groups", "level:s, key:s, days:l, ratio:d, factor:d",
+          Q.experiment_chain(Q.DIAGNOSTICS, Q.CALIBRATION) + "\nSELECT * FROM cal_groups",
+          "B4 validation ratios by region, family, neighbour capacity and low-output risk")
+def _b4_groups(spark, sf):
+    from pvlake.operators.diagnostics import calibration_groups
+    return calibration_groups(_calibration_days(spark, sf))
+
+
+@register("multi_level_calibration", "eval_split:s, daily_mape_before:d, daily_mape_after:d, days_by_region:l, days_by_family:l, "
+          "days_by_capacity:l, days_by_risk:l, days_by_all:l",
+          Q.experiment_chain(Q.DIAGNOSTICS, Q.CALIBRATION) + "\nSELECT * FROM multi_cal", "B4 applied, level chosen per day")
+def _b4_levels(spark, sf):
+    from pvlake.operators.diagnostics import calibration_groups, multi_level_calibration
+    days = _calibration_days(spark, sf)
+    return multi_level_calibration(days, calibration_groups(days))
+
+
+def _calibration_days(spark, sf):
+    from pvlake.operators.diagnostics import calibration_days
+    e = experiment(spark, sf)
+    return calibration_days(e.policy_days, e.ctx.daily, e.ctx.neighbours)
+
+
 @register("prediction_intervals", "eval_split:s, coverage:d, mean_width:d",
           Q.experiment_chain(Q.DIAGNOSTICS) + "\nSELECT * FROM intervals", "B6 residual-quantile intervals")
 def _b6(spark, sf):
@@ -651,6 +703,105 @@ def _b5(spark, sf):
                         F.col("eval_split").isin("valid_seen", "valid_unseen"))[1]
 
 
+@register("stacking_conditions", "a:s, b:s, value:d, optimal:s",
+          Q.experiment_chain(Q.DAILY_SINK, Q.stacking_sql("eval_split = 'train'")) + "\nSELECT * FROM st_out",
+          "M14 normal equations of the stacking fit and the optimality of its weights")
+def _m14_conditions(spark, sf):
+    return _stacking_conditions(spark, sf, F.col("eval_split") == "train")
+
+
+@register("validation_stacking_conditions", "a:s, b:s, value:d, optimal:s",
+          Q.experiment_chain(Q.DAILY_SINK, Q.stacking_sql("eval_split IN ('valid_seen', 'valid_unseen')")) + "\nSELECT * FROM st_out",
+          "B5 the same for the fit on validation days")
+def _b5_conditions(spark, sf):
+    return _stacking_conditions(spark, sf, validation_mask())
+
+
+def _stacking_conditions(spark, sf, rows):
+    from pvlake.models.stacking import fit_conditions, fit_stacking
+    dp = experiment(spark, sf).daily_predictions
+    return fit_conditions(spark, fit_stacking(dp, list(C.STACK_COLS), "actual_daily", rows)[0])
+
+
+@register("unseen_cv_fitted", "fold:l, candidate:s, metric:s, value:d, best_prediction_column:s, best_blend_alpha:d", None,
+          "R7 with models fitted in every fold (rows-only)")
+def _r7_fitted(spark, sf):
+    return fold_table(spark, sf, predictors="gbt")
+
+
+@register("cold_start_stress_fitted", CAND_TABLE_SPEC, None, "R10 with models fitted under the stress labels (rows-only)")
+def _r10_fitted(spark, sf):
+    return stress_table(spark, sf, predictors="gbt")
+
+
+@register("feature_columns", "grain:s, feature:s, train_values:l, used:s",
+          Q.chain(*Q.features_chain(), Q.DAILY, Q.feature_list_sql()) + "\nSELECT * FROM feature_list",
+          "F18 model inputs of both grains, B1 the ones without training values")
+def _f18(spark, sf):
+    from pvlake.plans.features import daily_feature_columns, feature_table, point_feature_columns
+    c = ctx(spark, sf)
+    points = feature_table(c.features.filter(train_mask()), point_feature_columns(c.features), "point")
+    days = feature_table(c.daily.filter(F.col("eval_split") == "train"), daily_feature_columns(c.daily), "daily")
+    return points.union(days)
+
+
+# ------------------------------------------------------------ stored reports
+_STORES: dict = {}
+
+
+def report_store(spark: SparkSession, sf: str):
+    """A store with one run of the drift, cross-validation and stress reports."""
+    from pvlake.plans.evaluation import cv_aggregate, cv_candidate_summary
+    from pvlake.sources import report_store as S
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORES:
+        store, c = S.ReportStore(spark, _scratch(spark, "reports")), ctx(spark, sf)
+        store.write(S.DRIFT, split_summary(c.features, c.daily, group_bound=c.row_bound), "run-1")
+        folds = fold_table(spark, sf)
+        store.write(S.CV_FOLDS, folds, "run-1")
+        store.write(S.CV_AGGREGATE, cv_aggregate(folds), "run-1")
+        store.write(S.CV_CANDIDATES, cv_candidate_summary(folds), "run-1")
+        store.write(S.STRESS, stress_table(spark, sf), "run-1")
+        _STORES[key] = store
+    return _STORES[key]
+
+
+@register("stored_drift", "position:l, eval_split:s, devices:l, " + doubles(
+    "train_device_overlap_ratio", "daily_target_mean", "low_load_share_lt_0_05", "low_load_share_lt_0_10"),
+    Q.chain(*Q.features_chain(), Q.DAILY, Q.SPLIT_SUMMARY, Q.DRIFT_LOOKUP) + "\nSELECT * FROM drift_rows", "R19 drift lookup")
+def _r19_drift(spark, sf):
+    from pvlake.sources.report_store import drift_lookup
+    return drift_lookup(report_store(spark, sf))
+
+
+@register("stored_cv", "position:l, metric:s, mean:d, std:d, min:d, max:d", Q.folds_chain(3) + f"""
+SELECT n.position, f.metric, avg(f.value) AS mean, stddev_samp(f.value) AS std, min(f.value) AS min, max(f.value) AS max
+FROM folds f JOIN (VALUES {", ".join(f"('{m}', {i})" for i, m in enumerate(C.FOLD_METRICS, 1))}) n(metric, position) ON f.metric = n.metric
+WHERE f.candidate = 'selected' GROUP BY n.position, f.metric""", "R19 cross-validation lookup")
+def _r19_cv(spark, sf):
+    from pvlake.sources.report_store import cv_lookup
+    return cv_lookup(report_store(spark, sf))
+
+
+@register("stored_cv_top", "position:l, candidate:s, mean:d, std:d", Q.folds_chain(3) + f"""
+SELECT row_number() OVER (ORDER BY round(avg(value), 9), candidate) AS position, candidate, avg(value) AS mean, stddev_samp(value) AS std
+FROM folds WHERE candidate <> 'selected' AND value IS NOT NULL AND metric = '{C.FOLD_METRICS[0]}'
+GROUP BY candidate QUALIFY position <= 5""", "R19 top five candidates over folds")
+def _r19_top(spark, sf):
+    from pvlake.sources.report_store import cv_top_candidates
+    return cv_top_candidates(report_store(spark, sf))
+
+
+@register("stored_stress", "position:l, candidate:s, combined_validation_daily_mape:d, valid_unseen_daily_mape:d, test2_daily_mape:d, chosen:s",
+          Q.experiment_chain(Q.CANDIDATE_TABLE, strategy="low_capacity") + f"""
+SELECT *, position = 1 AS chosen FROM (
+  SELECT *, row_number() OVER (ORDER BY round(combined_validation_daily_mape, 9), candidate) AS position
+  FROM cand_table WHERE candidate IN ({", ".join(f"'{c}'" for c in C.STRESS_CANDIDATES)}))""", "R19 stress lookup")
+def _r19_stress(spark, sf):
+    from pvlake.sources.report_store import stress_lookup
+    return stress_lookup(report_store(spark, sf))
+
+
 @register("random_forest_predictions", "row_id:l, pred_random_forest:d", None,
           "M26 random forest with the published 200 trees, depth 18, min leaf 5 (rows-only)")
 def _m26(spark, sf):
@@ -696,8 +847,10 @@ def _csv_roundtrip(spark, sf):
     return load_point_data(spark, root)
 
 
-@register("sampled_device_days", "split:s, deviceSn:s, date:s, rows:l", None,
-          "S5 hash sampling of whole device-days, fraction 0.5 (rows-only: the hash is Spark's)")
+@register("sampled_device_days", "split:s, deviceSn:s, date:s, rows:l", Q.chain(Q.PV_POINTS) + """
+SELECT split, deviceSn, date, count(*) AS rows FROM pv_points
+WHERE CAST('0x' || substr(md5(concat_ws('|', split, deviceSn, date, '42')), 1, 8) AS BIGINT) % 1000000 < 500000 GROUP BY split, deviceSn, date""",
+          "S5 hash sampling of whole device-days, fraction 0.5")
 def _sample(spark, sf):
     from pvlake.sources.telemetry_csv import sample_device_days
     return sample_device_days(ctx(spark, sf).points, 0.5).groupBy("split", "deviceSn", "date").agg(
@@ -722,6 +875,14 @@ def _k3(spark, sf):
     return metrics_document(experiment(spark, sf).metrics_long)
 
 
+@register("metrics_document_rows", "experiment:s, eval_split:s, " + doubles(*SIX),
+          Q.experiment_chain(Q.METRICS_OUT) + "\nSELECT * FROM metrics_out", "K3 JSON document written, read back and parsed")
+def _k3_rows(spark, sf):
+    from pvlake.sources.sinks import read_metrics_json, write_metrics_json
+    path = _scratch(spark, "metrics_json")
+    write_metrics_json(experiment(spark, sf), path)
+    return read_metrics_json(spark, path)
+
 
 # ------------------------------------------- second, larger shape: lineitem
 def sctx(spark: SparkSession, sf: str) -> RunContext:

@@ -4,7 +4,7 @@ partitioned by evaluation split; the metrics document is a handful of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pvlake.operators.metrics import METRICS
@@ -32,9 +32,18 @@ def metrics_document(metrics_long: DataFrame) -> DataFrame:
 
 
 def write_metrics_json(experiment, path: str) -> None:
+    """K3: a JSON line per experiment (a dozen)."""
     metrics_document(experiment.metrics_long).coalesce(1).write.mode("overwrite").json(path)
 
 
+def read_metrics_json(spark: SparkSession, path: str) -> DataFrame:
+    """K3 read back: (experiment, eval_split, metrics)."""
+    values = ", ".join(f"{m}: DOUBLE" for m in METRICS)
+    docs = spark.read.schema("experiment STRING, metrics_json STRING").json(path)
+    splits = F.from_json("metrics_json", f"MAP<STRING, STRUCT<{values}>>")
+    return docs.select("experiment", F.explode(splits).alias("eval_split", "m")).select("experiment", "eval_split", "m.*")
+
+
 def write_split_metrics(df: DataFrame, path: str) -> None:
     """K4: one row per eval_split as CSV."""
     df.orderBy("eval_split").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
