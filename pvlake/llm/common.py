@@ -37,6 +37,16 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct, so no name of theirs can clash with an operator's own."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
+def unpacked(rows: DataFrame, names: list[str], row: str = "row", **replaced: Column) -> DataFrame:
+    """The columns ``names`` of the struct ``row``, some of them replaced."""
+    return rows.select(*[replaced.get(c, F.col(row).getField(c)).alias(c) for c in names])
+
+
 def whole_text() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pvlake.llm.common import documents, id_and_text, mix, sliced, store, text_buffers, whole_text
+from pvlake.llm.common import documents, id_and_text, mix, sliced, store, text_buffers, unpacked, whole_row, whole_text
 from pvlake.llm.components import components
 from pvlake.llm.shingles import minhashes, shingle_sets
 from pvlake.session import materialize
@@ -46,7 +46,6 @@ COUNT = 2 * HALVES * PER_HALF
 LEAST_COMMON = 53
 BLOCK = 1024
 #: A column of this name, where ``docs`` has it, numbers the rows.
-RID = "__llm_rid"
 #: First rounds, and the holders that a class is compared with in each.
 ROUNDS, HOLDERS = 1, 6
 LEAST_HALVES = 4
@@ -167,12 +166,12 @@ def _blocks(percent: int):
 class NearDuplicates:
     """One run over ``docs``; each step's table is written once."""
 
-    def __init__(self, docs: DataFrame, size: int, percent: int):
+    def __init__(self, docs: DataFrame, size: int, percent: int, rid=None):
         self.percent, self.size = percent, size
         self.docs = id_and_text(docs)
-        rid = docs[RID].alias("rid") if RID in docs.columns else F.monotonically_increasing_id().alias("rid")
+        rid = F.monotonically_increasing_id() if rid is None else rid
         self.rows = materialize(docs.select(
-            rid, docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).select(
+            rid.alias("rid"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).select(
             "rid", "doc_id", whole_text().alias("text")).mapInArrow(_signatures(size), _SIGNATURES), "llm-near")
         place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
         # the class id keeps document order, so the smallest class of a component holds its first document
@@ -298,18 +297,20 @@ class NearDuplicates:
             F.coalesce(F.col("rid") == F.col("top.rid"), F.lit(True)).alias("first"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """rid, doc_id, n_shingles, component_id and whether the row is its component's first."""
-    return NearDuplicates(docs, size, percent).run()
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rid=None) -> DataFrame:
+    """rid, doc_id, n_shingles, component_id and whether the row is its component's first. ``rid``: a column that
+    numbers the rows for good (by default they are numbered here)."""
+    return NearDuplicates(docs, size, percent, rid).run()
 
 
 def near_duplicate_stage(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Pipeline form: the rows of ``docs`` but for all but the first of each component."""
-    held = store(docs.withColumn(RID, F.monotonically_increasing_id()), "llm-near-docs")
-    gone = materialize(near_duplicates(held, size, percent).where(~F.col("first")).select(F.col("rid").alias(RID)), "llm-near-gone")
+    held = store(docs.select(whole_row(docs).alias("row"), F.monotonically_increasing_id().alias("rid")), "llm-near-docs")
+    texts = held.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
+    gone = materialize(near_duplicates(texts, size, percent, F.col("rid")).where(~F.col("first")).select("rid"), "llm-near-gone")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return held.join(gone, RID, "left_anti").select(*docs.columns)
+    return unpacked(held.join(gone, "rid", "left_anti"), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

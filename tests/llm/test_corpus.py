@@ -329,3 +329,64 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, SF).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     assert {r.doc_id: r.n for r in packed} == {k: edit_counts.count(t) + 1 for k, t in texts.items()}
     assert not any(pii.base_spans(t) for t in texts.values())
+
+
+def brute_lines(texts: dict[int, str], min_lines: int = 3, min_words: int = 20) -> dict[int, list[int]]:
+    """Deleted line numbers of each document: for each position the longest run that an earlier position holds and that
+    doesn't overlap it, deleted if it has enough lines or words. All lengths are tried."""
+    lines = [(d, i, x.strip(" ")) for d, t in sorted(texts.items()) for i, x in enumerate(t.split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)]
+    gone: dict[int, set[int]] = {d: set() for d in texts}
+    for at, (d, _, _) in enumerate(lines):
+        best = 0
+        for e in range(at):
+            n = 0
+            while at + n < len(lines) and lines[at + n][0] == d and lines[e + n][0] == lines[e][0] and lines[e + n][2] == lines[at + n][2] and (
+                    lines[e][0] != d or e + n < at):
+                n += 1
+            best = max(best, n)
+        words = sum(len(lines[at + k][2].split()) for k in range(best))
+        if best >= min_lines or words >= min_words:
+            gone[d] |= {lines[at + k][1] for k in range(best)}
+    return {d: sorted(g) for d, g in gone.items()}
+
+
+def check_lines(spark, texts: dict[int, str]) -> None:
+    want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in brute_lines(texts)[d]) for d, t in texts.items()}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(frame).collect()} == want
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    sql = {r[0]: r[1] for r in con.execute(f"SELECT doc_id, text_sha256 FROM ({line_dedup.SQL})").fetchall()}
+    assert sql == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in want.items()}
+
+
+def test_line_runs_of_two_lines_and_overlaps(spark):
+    long = [" ".join(f"w{k}{i}" for i in range(19)) for k in range(2)]
+    check_lines(spark, {1: "\n".join(long), 2: "a\n" + "\n".join(long) + "\nb", 3: long[0],  # two lines of 19 words, and one alone
+                        4: "\n".join(["go on"] * 5), 5: "\n".join(["to and fro", "again"] * 5)})
+
+
+def test_line_runs_brute_force(spark):
+    rng = np.random.default_rng(11)
+    pool = [" ".join(["w"] * n) + f" {i}" for i, n in enumerate([1, 1, 2, 5, 9, 12, 19, 25])] + ["", "  "]
+    texts = {d: "\n".join(rng.choice(pool, size=rng.integers(1, 14))) for d in range(60)}
+    texts |= {100 + d: texts[d] + "\n" + texts[d + 1] for d in range(10)}
+    check_lines(spark, texts)
+
+
+CLASHING = ("rid", "seq", "line", "lines", "gone", "seqs", "row", "a", "b", "first", "later", "own", "n", "n_removed", "__rid", "__gone", "__seq", "__lines",
+            "__n_removed", "__llm_rid", "at", "words", "key", "kept", "select")
+
+
+def test_stages_leave_clashing_columns_alone(spark):
+    """Values of columns with any name stay as they are, in every stage."""
+    texts = ["the quick brown fox and the lazy dog of the house that is by the sea with no end of rain " * 3 + str(i) for i in range(6)]
+    rows = [(i, t, "en", "s", len(t), *[i * 100 + k for k in range(len(CLASHING))]) for i, t in enumerate([*texts, texts[0], ""])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` long" for c in CLASHING)
+    docs = spark.createDataFrame(rows, schema).repartition(2)
+    held = {r[0]: r[5:] for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(tuple(r[5:]) == held[r[0]] for r in got), name
