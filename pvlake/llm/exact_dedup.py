@@ -46,8 +46,9 @@ def exact_dedup(docs: DataFrame, hash_bits: int = 128) -> DataFrame:
     # bytes are compared here; hash equality alone never drops a row
     collided = members.where("rid != first_rid").join(first, "key").where("norm != first_norm").select(
         "rid", F.concat(F.lit("="), "norm").alias("other"))
-    judged = rows.drop("norm").join(collided, "rid", "left").withColumn("other", F.coalesce("other", F.lit("")))
-    final = judged.groupBy("key", "other").agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
+    judged = materialize(rows.drop("norm").join(collided, "rid", "left").withColumn("other", F.coalesce("other", F.lit(""))), "llm-exact-judged")
+    # both sides of the join below are written, so a group with a third of all rows can be split
+    final = materialize(judged.groupBy("key", "other").agg(F.min(order).alias("first"), F.count("*").alias("group_size")), "llm-exact-final")
     return judged.join(final, ["key", "other"]).select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
         (F.col("rid") == F.col("first.rid")).alias("kept"), "text_sha256")
