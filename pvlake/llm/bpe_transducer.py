@@ -10,9 +10,10 @@ stable: it is emitted, its symbols are forgotten, and memory stays constant what
 length. Pre-tokens are independent, so most words are complete at once and their ids are remembered
 in a bounded table.
 
-Decoding joins the tokens' strings by one blank, as the library does for a vocabulary without a
-decoder. ``TextDecoder`` is the incremental machine from ids to text: bytes of the tokens go through
-a UTF-8 state machine, and the end-of-word suffix becomes a blank.
+Decoding reads the ids only. ``JoinedDecoder`` is the incremental machine of the library's form for a
+vocabulary without a decoder: token strings with one blank between, its state being whether a token
+came before. ``TextDecoder`` gives the text itself: bytes of the tokens go through a UTF-8 state
+machine, and the end-of-word suffix becomes a blank. Both hold a constant amount whatever was fed.
 
 Defined results: null and empty texts have no ids and decode to the empty text; rows that repeat a
 doc_id are encoded one by one; an empty table gives no rows; other columns are never read.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -84,7 +86,8 @@ class Transducer:
         self.symbols = byte_symbols()
         self.bytes = {s: bytes([b]) for b, s in enumerate(self.symbols)}
         self.words: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, str, str]] = {}
+        self.chunks: dict[str, tuple[int, str]] = {}
+        self.decoded: dict[str, str] = {}
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Lowest rank first, each rank from left to right."""
@@ -100,20 +103,26 @@ class Transducer:
                 if i < len(ranks):
                     ranks[i] = rank((symbols[i], symbols[i + 1]), none)
             return symbols
-        while len(symbols) > 1:
-            best = min([rank(p, none) for p in zip(symbols, symbols[1:])])
-            if best == none:
-                break
-            out, i, n = [], 0, len(symbols)
-            while i < n:
-                if i + 1 < n and rank((symbols[i], symbols[i + 1])) == best:
-                    out.append(symbols[i] + symbols[i + 1])
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
-        return symbols
+        # a heap of ranked pairs over a linked list; an entry whose pair has changed since is passed over
+        symbols, n = list(symbols), len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, r in enumerate(rank(p, none) for p in zip(symbols, symbols[1:])) if r < none]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if not symbols[i] or j >= n or rank((symbols[i], symbols[j])) != r:
+                continue
+            symbols[i] += symbols[j]
+            symbols[j] = ""
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank((symbols[i], symbols[k]), none)) < none:
+                    heapq.heappush(heap, (r, i))
+            if (k := before[i]) >= 0 and (r := rank((symbols[k], symbols[i]), none)) < none:
+                heapq.heappush(heap, (r, k))
+        return [s for s in symbols if s]
 
     def stream(self, symbols: Iterable[str], window: int | None = None) -> Iterator[str]:
         """Tokens of one pre-token, emitted once stable; holds ``window`` plus the lookahead in symbols."""
@@ -155,23 +164,22 @@ class Transducer:
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
         return chunk.lower()
 
-    def chunk(self, chunk: str) -> tuple[int, str, str]:
-        """(number of ids, ids joined by a blank, token strings joined by a blank) of a text without white space."""
+    def chunk(self, chunk: str) -> tuple[int, str]:
+        """(number of ids, ids joined by a blank) of a text without white space."""
         ids = [i for p in self.pre_tokens(self.normal(chunk)) for i in self.word(p)]
-        strings = self.strings
-        value = len(ids), " ".join(map(str, ids)), " ".join([strings[i] for i in ids])
+        value = len(ids), " ".join(map(str, ids))
         if len(chunk) <= LONGEST:
             if len(self.chunks) >= REMEMBERED_CHUNKS:
                 self.chunks.clear()
             self.chunks[chunk] = value
         return value
 
-    def encode_chunks(self, text: str) -> Iterator[list[tuple[int, str, str]]]:
+    def encode_chunks(self, text: str) -> Iterator[list[tuple[int, str]]]:
         """The text's chunks slice by slice; special strings are one id each."""
         known = self.chunks.get
         for part in self.split_special.split(text) if "<|" in text else [text]:
             if part in self.special:
-                yield [(1, str(self.special[part]), part)]
+                yield [(1, str(self.special[part]))]
                 continue
             for piece in _space_slices(part):
                 words = self.pre_spaces(piece)
@@ -184,10 +192,37 @@ class Transducer:
         return text.split()
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for chunks in self.encode_chunks(text) for _, ids, _ in chunks if ids for i in ids.split(" ")]
+        return [int(i) for chunks in self.encode_chunks(text) for _, ids in chunks if ids for i in ids.split(" ")]
 
     def decode(self, ids: Iterable[int]) -> str:
-        return " ".join(self.strings[i] for i in ids)
+        return JoinedDecoder(self).feed([str(i) for i in ids])
+
+
+class JoinedDecoder:
+    """Incremental ids to the library's form: feed runs of ids (decimal, joined by a blank), get what follows."""
+
+    def __init__(self, transducer: Transducer):
+        self.t = transducer
+        self.started = False
+
+    def feed(self, runs: list[str]) -> str:
+        if not runs:
+            return ""
+        known = self.t.decoded.get
+        text = " ".join([known(r) or self._text(r) for r in runs])
+        if self.started:
+            return " " + text
+        self.started = True
+        return text
+
+    def _text(self, run: str) -> str:
+        strings = self.t.strings
+        text = " ".join([strings[int(i)] for i in run.split(" ")])
+        if len(run) <= 4 * LONGEST:
+            if len(self.t.decoded) >= REMEMBERED_CHUNKS:
+                self.t.decoded.clear()
+            self.t.decoded[run] = text
+        return text
 
 
 class TextDecoder:
@@ -239,14 +274,13 @@ def _digests(vocabulary: str):
         for batch in batches:
             counts, ids, texts = [], [], []
             for text in batch.column(1):
-                n, a, b, first = 0, hashlib.sha256(), hashlib.sha256(), True
+                n, a, b, decoder = 0, hashlib.sha256(), hashlib.sha256(), JoinedDecoder(t)
                 for chunks in t.encode_chunks(text.as_py() or ""):
-                    chunks = [c for c in chunks if c[0]]
-                    if chunks:
+                    runs = [c[1] for c in chunks if c[0]]
+                    if runs:
+                        a.update((" " * decoder.started + " ".join(runs)).encode())
+                        b.update(decoder.feed(runs).encode())
                         n += sum([c[0] for c in chunks])
-                        a.update((" " * (not first) + " ".join([c[1] for c in chunks])).encode())
-                        b.update((" " * (not first) + " ".join([c[2] for c in chunks])).encode())
-                        first = False
                 counts.append(n)
                 ids.append(a.hexdigest())
                 texts.append(b.hexdigest())
