@@ -227,6 +227,14 @@ def boost(x: np.ndarray, y: np.ndarray) -> tuple[float, list]:
     return first, trees
 
 
+def places(found: list[Span], size: int) -> bytearray:
+    """One byte a character, set inside the spans: whether a span touches one is a look at its own characters."""
+    held = bytearray(size)
+    for a, _, b in found:
+        held[a:b] = b"\1" * (b - a)
+    return held
+
+
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(features, label) of each candidate and of loosened base spans."""
     for batch in batches:
@@ -234,9 +242,10 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for turn, text in enumerate(batch.column(1)):
             text = text.as_py() or ""
             base = base_spans(text)
+            held = [places([b for b in base if b[1] == k], len(text)) for k in range(len(KINDS))]
             for c in candidates(text):
                 xs.append(features(text, c))
-                ys.append(int(any(b[1] == c[1] and b[0] < c[2] and c[0] < b[2] for b in base)))
+                ys.append(int(held[c[1]].find(1, c[0], c[2]) >= 0))
             words = _BEFORE.findall(text[:200])[:3]
             if len(words) == 3:  # plain words in the form of a loose address
                 t = f"{words[0]} at {words[1]} dot {words[2]}"
@@ -295,13 +304,15 @@ def fit(docs: DataFrame) -> Model | None:
 def spans(text: str, model: Model | None) -> tuple[list[Span], list[Span]]:
     """(base spans, base and added spans), both by start and kind."""
     base = base_spans(text)
-    if model is None:
+    proposed = candidates(text) if model else []
+    if not proposed:
         return base, base
-    taken = list(base)
-    scored = [(model.score(features(text, c)), c) for c in candidates(text) if not any(b[0] < c[2] and c[0] < b[2] for b in base)]
+    taken, held = list(base), places(base, len(text))
+    scored = [(model.score(features(text, c)), c) for c in proposed if held.find(1, c[0], c[2]) < 0]
     for score, c in sorted(scored, key=lambda x: (-x[0], x[1])):
-        if score >= model.thresholds[c[1]] and not any(t[0] < c[2] and c[0] < t[2] for t in taken):
+        if score >= model.thresholds[c[1]] and held.find(1, c[0], c[2]) < 0:
             taken.append(c)
+            held[c[0]:c[2]] = b"\1" * (c[2] - c[0])
     return base, sorted(taken)
 
 

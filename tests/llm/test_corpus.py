@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -227,12 +229,42 @@ def test_bpe_matches_library(spark, docs):
         assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     for x in ("Σίσυφος ΟΔΟΣ", "<|startoftext|>Hi<|endoftext|> x", "don't I'LL １２3 ½", "a\x1cb \x85c", "th" * 3000, "é" * 2000):
         assert own.encode(x) == t.encode(x, add_special_tokens=False).ids
+    letters = random.Random(5)
+    for size in (97, 500, 4400, 9000):  # one space-free word: streamed, merged from a heap
+        x = "".join(letters.choice("abcdeing") for _ in range(size))
+        ids = t.encode(x, add_special_tokens=False).ids
+        assert own.encode(x) == ids and own.decode(ids) == t.decode(ids, skip_special_tokens=False)
     symbols = [own.symbols[b] for b in ("inthan" * 700).encode()]
     assert list(own.stream(symbols, window=3)) == own.merge(list(symbols))
     machine = bpe_transducer.TextDecoder(own)
     assert "".join(map(machine.feed, own.encode("Hello wörld 日本"))) + machine.close() == "hello wörld 日本 "
 
 
+def test_bpe_long_words_in_time():
+    """A megabyte of letters is one pre-token; its time grows with its length."""
+    import public_tokenizers
+
+    own, letters = bpe_transducer.transducer(public_tokenizers.path(bpe_transducer.VOCABULARY)), random.Random(1)
+    x = "".join(letters.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    started = time.monotonic()
+    ids = own.encode(x)
+    assert time.monotonic() - started < 120
+    assert "".join(own.strings[i] for i in ids) == x + bpe_transducer.SUFFIX
+
+
+def test_joined_decoder_by_runs():
+    """The state machine gives the same text whatever runs the ids come in."""
+    import public_tokenizers
+
+    own = bpe_transducer.transducer(public_tokenizers.path(bpe_transducer.VOCABULARY))
+    ids = [str(i) for i in own.encode("Hello wörld, don't <|endoftext|> stop 日本 " * 20)]
+    want = " ".join(own.strings[int(i)] for i in ids)
+    for size in (1, 2, 7, len(ids)):
+        machine = bpe_transducer.JoinedDecoder(own)
+        got = [machine.feed([" ".join(ids[i:i + size])]) for i in range(0, len(ids), size)]
+        assert "".join(got) == want and machine.feed([]) == ""
+
+
 def test_packing_round_trip(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -266,6 +298,33 @@ def test_personal_data_base(docs):
         assert pii.base_spans(x) == sorted(want)
 
 
+def test_personal_data_query_columns(docs):
+    """Counts, digest and spans as the query returns them, with overlaps decided pair by pair."""
+    model = pii.fit(docs)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = pii.find_personal_data(docs, model).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        x = texts[r.doc_id]
+        base = pii.base_spans(x)
+        taken = list(base)
+        apart = lambda c: not any(b[0] < c[2] and c[0] < b[2] for b in taken)
+        for score, c in sorted(((model.score(pii.features(x, c)), c) for c in pii.candidates(x)), key=lambda v: (-v[0], v[1])):
+            if score >= model.thresholds[c[1]] and apart(c):
+                taken.append(c)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(b[1] == k for b in base) for k in range(4))
+        written = [",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(v)) for v in (base, taken)]
+        assert r.base_sha256 == hashlib.sha256(written[0].encode()).hexdigest() and r.spans == written[1]
+
+
+def test_personal_data_many_spans_in_time(docs):
+    model = pii.fit(docs)
+    x = " ".join(f"u{i}@host{i}.com" for i in range(100_000)) + " 10 . 2 . 3 . 4" * 2_000
+    started = time.monotonic()
+    base, every = pii.spans(x, model)
+    assert time.monotonic() - started < 60 and len(base) == 100_000 and every[:100_000] == base
+
+
 def test_personal_data_added(spark):
     model = pii.fit(documents(spark, "/root/testdata/sf0.1"))
     for x, kind in (("call (617) 555-1234 now", 3), ("mail john.doe at example dot com please", 0), ("10[.]0[.]0[.]12 host", 1)):
