@@ -67,6 +67,21 @@ def sufficient_lookahead(merges: list[tuple[str, str]]) -> int:
     return longest + 1
 
 
+class Remembered(dict):
+    """Values of a function, kept for keys of at most ``longest`` characters; a full table is emptied."""
+
+    def __init__(self, function, size: int, longest: int):
+        self.function, self.size, self.longest = function, size, longest
+
+    def __missing__(self, key):
+        value = self.function(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.size:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Transducer:
     """Encoder of one vocabulary file (a BPE model with an end-of-word suffix)."""
 
@@ -81,13 +96,15 @@ class Transducer:
         self.lookahead = sufficient_lookahead(merges)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
+        self.numbers = {s: str(i) for s, i in self.vocab.items()}
+        self.named = {str(i): s for i, s in self.strings.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.pre_tokens = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.symbols = byte_symbols()
         self.bytes = {s: bytes([b]) for b, s in enumerate(self.symbols)}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, str]] = {}
-        self.decoded: dict[str, str] = {}
+        self.words = Remembered(self.word, REMEMBERED_WORDS, LONGEST)
+        self.chunks = Remembered(self.chunk, REMEMBERED_CHUNKS, LONGEST)
+        self.decoded = Remembered(self.joined, REMEMBERED_CHUNKS, 4 * LONGEST)
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Lowest rank first, each rank from left to right."""
@@ -145,18 +162,12 @@ class Transducer:
         """Symbols in a token; the suffix belongs to the last symbol."""
         return len(token) - (len(SUFFIX) if token.endswith(SUFFIX) and len(token) > len(SUFFIX) else 0)
 
-    def word(self, pre_token: str) -> tuple[int, ...]:
-        ids = self.words.get(pre_token)
-        if ids is None:
-            symbols = [self.symbols[b] for b in pre_token.encode()]
-            symbols[-1] += SUFFIX
-            tokens = self.merge(symbols) if len(symbols) <= 2 * LONGEST else self.stream(symbols)
-            ids = tuple(self.vocab[t] for t in tokens if t in self.vocab)
-            if len(pre_token) <= LONGEST:
-                if len(self.words) >= REMEMBERED_WORDS:
-                    self.words.clear()
-                self.words[pre_token] = ids
-        return ids
+    def word(self, pre_token: str) -> str:
+        """Decimal ids of one pre-token, joined by a blank."""
+        symbols = [self.symbols[b] for b in pre_token.encode()]
+        symbols[-1] += SUFFIX
+        tokens = self.merge(symbols) if len(symbols) <= 2 * LONGEST else self.stream(symbols)
+        return " ".join([self.numbers[t] for t in tokens if t in self.numbers])
 
     def normal(self, chunk: str) -> str:
         if not chunk.isascii():
@@ -164,26 +175,27 @@ class Transducer:
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
         return chunk.lower()
 
-    def chunk(self, chunk: str) -> tuple[int, str]:
-        """(number of ids, ids joined by a blank) of a text without white space."""
-        ids = [i for p in self.pre_tokens(self.normal(chunk)) for i in self.word(p)]
-        value = len(ids), " ".join(map(str, ids))
-        if len(chunk) <= LONGEST:
-            if len(self.chunks) >= REMEMBERED_CHUNKS:
-                self.chunks.clear()
-            self.chunks[chunk] = value
-        return value
+    def chunk(self, chunk: str) -> str:
+        """Decimal ids, joined by a blank, of a text without white space."""
+        if chunk.isascii() and chunk.isalpha():  # one pre-token
+            return self.words[chunk.lower()]
+        return " ".join(filter(None, map(self.words.__getitem__, self.pre_tokens(self.normal(chunk)))))
 
-    def encode_chunks(self, text: str) -> Iterator[list[tuple[int, str]]]:
-        """The text's chunks slice by slice; special strings are one id each."""
-        known = self.chunks.get
+    def joined(self, run: str) -> str:
+        """Token strings, joined by a blank, of such ids."""
+        return " ".join(map(self.named.__getitem__, run.split(" ")))
+
+    def encode_chunks(self, text: str) -> Iterator[list[str]]:
+        """The ids of the text's chunks, slice by slice; special strings are one id each."""
+        known = self.chunks.__getitem__
         for part in self.split_special.split(text) if "<|" in text else [text]:
             if part in self.special:
-                yield [(1, str(self.special[part]))]
+                yield [str(self.special[part])]
                 continue
             for piece in _space_slices(part):
-                words = self.pre_spaces(piece)
-                yield [known(w) or self.chunk(w) for w in words]
+                # a chunk may hold nothing that the vocabulary's pattern takes
+                if runs := list(filter(None, map(known, self.pre_spaces(piece)))):
+                    yield runs
 
     @staticmethod
     def pre_spaces(text: str) -> list[str]:
@@ -192,7 +204,7 @@ class Transducer:
         return text.split()
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for chunks in self.encode_chunks(text) for _, ids in chunks if ids for i in ids.split(" ")]
+        return [int(i) for runs in self.encode_chunks(text) for run in runs for i in run.split(" ")]
 
     def decode(self, ids: Iterable[int]) -> str:
         return JoinedDecoder(self).feed([str(i) for i in ids])
@@ -208,22 +220,12 @@ class JoinedDecoder:
     def feed(self, runs: list[str]) -> str:
         if not runs:
             return ""
-        known = self.t.decoded.get
-        text = " ".join([known(r) or self._text(r) for r in runs])
+        text = " ".join(map(self.t.decoded.__getitem__, runs))
         if self.started:
             return " " + text
         self.started = True
         return text
 
-    def _text(self, run: str) -> str:
-        strings = self.t.strings
-        text = " ".join([strings[int(i)] for i in run.split(" ")])
-        if len(run) <= 4 * LONGEST:
-            if len(self.t.decoded) >= REMEMBERED_CHUNKS:
-                self.t.decoded.clear()
-            self.t.decoded[run] = text
-        return text
-
 
 class TextDecoder:
     """Incremental ids to text: feed ids, get the text that is certain so far."""
@@ -275,12 +277,11 @@ def _digests(vocabulary: str):
             counts, ids, texts = [], [], []
             for text in batch.column(1):
                 n, a, b, decoder = 0, hashlib.sha256(), hashlib.sha256(), JoinedDecoder(t)
-                for chunks in t.encode_chunks(text.as_py() or ""):
-                    runs = [c[1] for c in chunks if c[0]]
-                    if runs:
-                        a.update((" " * decoder.started + " ".join(runs)).encode())
-                        b.update(decoder.feed(runs).encode())
-                        n += sum([c[0] for c in chunks])
+                for runs in t.encode_chunks(text.as_py() or ""):
+                    written = " ".join(runs)
+                    a.update(((" " if decoder.started else "") + written).encode())
+                    b.update(decoder.feed(runs).encode())
+                    n += written.count(" ") + 1
                 counts.append(n)
                 ids.append(a.hexdigest())
                 texts.append(b.hexdigest())
