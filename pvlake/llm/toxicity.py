@@ -1,18 +1,24 @@
 """Operator 5, toxicity by compression distance with two zstandard dictionaries.
 
-Training takes a bounded sample of labelled rows (``SAMPLE``). The ordinary dictionary holds the
-words of ordinary texts, most frequent last; the toxic one puts before them the words and word
-beginnings that toxic texts hold significantly more often, so offsets to shared content are the
-same in both. A window is a word with its two neighbours; its distance is the length under the
-ordinary dictionary less the length under the toxic one. A window without a 4-byte string that only
-the toxic dictionary holds compresses alike under both, so it counts as zero without compressing.
-Counts of windows per distance threshold are calibrated on the other half of the sample by a
-logistic function, weighted by how many labelled rows of each class there are.
-
-Defined results: null and empty texts have no windows and get the calibrated score of that; rows
-that repeat a doc_id are scored one by one; repeated labels of a doc_id count as toxic if one does;
-without toxic or without ordinary labels every score is 0; an empty table gives no rows; other
-columns, labels, lang, source and doc_id are never inputs of a score.
+Training takes a bounded sample of labelled rows (``SAMPLE``), halved by a hash of doc_id. One half
+trains two dictionaries with zstandard: the ordinary one on windows of ordinary texts, the toxic one
+on windows of toxic texts around words, or word beginnings, that more toxic than ordinary texts hold
+(``MIN_Z``); most of a toxic text is ordinary prose, and a dictionary of all its windows would be
+too. The ordinary dictionary is the tail of both, so shared content has the same offsets. A window
+is three words, the last one also the first of the next; every window of a text is compressed under
+both, and its distance is the ordinary length less the toxic one. Counts of windows per distance
+threshold are calibrated on the other half of the sample by a logistic function, weighted by how
+many labelled rows of each class there are.
+
+Counting pieces, cutting windows and measuring the calibration half are tasks over the written
+sample; the driver gets at most ``WINDOWS`` windows a class and one row of numbers a sampled text.
+
+Defined results: null and empty texts have no windows and get the calibrated score of that; words
+over ``WORD`` letters are cut there; rows that repeat a doc_id are scored one by one, and train once,
+with the smallest text; repeated labels of a doc_id count as toxic if one does; windows too few for
+zstandard to train on are the dictionary themselves; without a toxic or an ordinary text in one of
+the halves every score is 0; an empty table gives no rows; other columns, labels, lang, source and
+doc_id are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -28,26 +34,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pvlake.llm.common import documents, id_and_text, whole_text
+from pvlake.llm.common import documents, id_and_text, store, whole_text
 
-#: Labelled rows per class that training reads; longer texts than ``SAMPLE_CHARS`` are not sampled.
+#: Labelled rows per class that training reads, and windows per class that a dictionary trains on.
 SAMPLE = {1: 3000, 0: 6000}
-SAMPLE_CHARS = 100_000
+WINDOWS = 200_000
 THRESHOLD = 0.3
-LEVEL = 16
-#: Least z value of a segment's document share, and most segments.
-MIN_Z, SEGMENTS, SHARED_WORDS = 5.0, 400, 600
+#: Compression level, and longest run of letters taken as one word.
+LEVEL, WORD = 13, 64
+#: Least z value of a piece's document share, and least toxic texts with it.
+MIN_Z, MIN_DOCS = 5.0, 3
+#: Size of each dictionary, and zstandard's segment and fragment lengths in training it.
+ORDINARY, TOXIC = (16384, 32, 6), (4096, 16, 8)
 DISTANCES = (1, 2, 3, 4, 5, 6, 8)
-_WORD = re.compile(r"[^\W\d_]+")
-_OTHER = re.compile(r"[\W\d_]+")
-_HASH, _SHIFT, _SLOTS = np.uint32(2654435761), np.uint32(14), 1 << 18
+KNOWN = 1 << 16
+_WORD = re.compile(r"[^\W\d_]{1,%d}" % WORD)
 
 
 @dataclass
 class Model:
     ordinary: bytes
     toxic: bytes
-    grams: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
@@ -57,94 +64,81 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def pieces(text: str) -> set[str]:
-    """Words, and beginnings of longer words, each after the blank before it."""
-    out = set()
-    for w in set(_WORD.findall(text.lower())):
-        out.add(f" {w} ")
-        out.update(f" {w[:n]}" for n in (4, 5, 6, 7) if len(w) > n)
-    return out
-
-
-def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """(ordinary dictionary, toxic dictionary)."""
-    a, b = Counter(), Counter()
-    for x in toxic:
-        a.update(pieces(x))
-    for x in ordinary:
-        b.update(pieces(x))
-    na, nb = len(toxic), len(ordinary)
-
-    def z(k: str) -> float:
-        p = (a[k] + b[k]) / (na + nb)
-        return (a[k] / na - b[k] / nb) / math.sqrt(p * (1 - p) * (1 / na + 1 / nb) + 1e-12)
-
-    value = {k: z(k) for k, n in a.items() if n >= 5}
-    ranked = sorted((k for k in value if value[k] >= MIN_Z), key=lambda k: (-value[k], k))
-    chosen: list[str] = []
-    for k in ranked:
-        # a beginning adds nothing to a longer piece that occurs as often
-        if k.endswith(" ") or not any(len(o) > len(k) and o.startswith(k) and a[o] == a[k] for o in ranked):
-            chosen.append(k)
-        if len(chosen) == SEGMENTS:
-            break
-    words = sorted((k for k in b if k.endswith(" ")), key=lambda k: (-b[k], k))[:SHARED_WORDS]
-    shared = "".join(reversed(words)).encode()
-    return shared, "".join(reversed(chosen)).encode() + shared
+def words(text: str) -> Iterator[str]:
+    return map(re.Match.group, _WORD.finditer(text.lower()))
+
+
+def windows(text: str) -> Iterator[str]:
+    """Three words each, the last one also the first of the next window."""
+    rest = words(text)
+    first = next(rest, None)
+    if first is None:
+        return
+    second = next(rest, None)
+    if second is None:
+        yield f" {first} "
+    while second is not None:
+        third = next(rest, None)
+        if third is None:
+            yield f" {first} {second} "
+            return
+        yield f" {first} {second} {third} "
+        first, second = third, next(rest, None)
+
+
+def pieces(word: str) -> list[str]:
+    """The word and its beginnings, each after the blank before it."""
+    return [f" {word} ", *(f" {word[:n]}" for n in (4, 5, 6, 7) if len(word) > n)]
 
 
-def _codes(raw: np.ndarray) -> np.ndarray:
-    c = raw[:-3].astype(np.uint32)
-    for k in (1, 2, 3):
-        c |= raw[k:len(raw) - 3 + k].astype(np.uint32) << np.uint32(8 * k)
-    return (c * _HASH) >> _SHIFT
+def around(text: str, wanted: set[str]) -> Iterator[str]:
+    """Words with a wanted piece, each between its neighbours."""
+    before, word = None, None
+    for after in (*words(text), None):
+        if word is not None and not wanted.isdisjoint(pieces(word)):
+            yield f" {' '.join(w for w in (before, word, after) if w is not None)} "
+        before, word = word, after
 
 
-def _gram_table(ordinary: bytes, toxic: bytes) -> np.ndarray:
-    table = np.zeros(_SLOTS, bool)
-    extra = toxic[:len(toxic) - len(ordinary)]
-    known = {ordinary[i:i + 4] for i in range(len(ordinary) - 3)}
-    # beginnings of segments count, strings across two segments do not
-    only = {s[i:i + 4] for s in re.findall(rb" [^ ]+ ?", extra) for i in range(len(s) - 3)} - known
-    if only:
-        table[_codes(np.frombuffer(b"".join(only), np.uint8))[::4]] = True
-    return table
+def trained(samples: list[str], size: int, segment: int, fragment: int) -> bytes:
+    import zstandard as zs
+
+    raw = [s.encode() for s in samples]
+    try:
+        return zs.train_dictionary(size, raw, k=segment, d=fragment, level=LEVEL).as_bytes()
+    except zs.ZstdError:  # too little to train on
+        return b"".join(dict.fromkeys(raw))[:size]
 
 
 class Distances:
     """Window distances of texts under a pair of dictionaries."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, grams: np.ndarray):
+    def __init__(self, ordinary: bytes, toxic: bytes):
         import zstandard as zs
 
         def compressor(content: bytes):
             return zs.ZstdCompressor(level=LEVEL, write_content_size=False, write_dict_id=False,
                                      dict_data=zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT))
 
-        self.ordinary, self.toxic, self.grams = compressor(ordinary), compressor(toxic), grams
-
-    def of(self, text: str) -> tuple[list[int], int]:
-        """(distances of the windows that can differ, bytes of the text's words)."""
-        x = (" " + _OTHER.sub(" ", text.lower()).strip() + " ").encode()
-        if len(x) < 4:
-            return [], 0
-        out, last = [], -1
-        for p in np.flatnonzero(self.grams[_codes(np.frombuffer(x, np.uint8))]).tolist():
-            if p < last:
-                continue
-            end = x.find(b" ", p + 1)
-            begin = x.rfind(b" ", 0, p + 1)
-            before = x.rfind(b" ", 0, begin) if begin > 0 else begin
-            after = x.find(b" ", end + 1)
-            window = x[max(before, 0):(after if after > 0 else end) + 1]
-            out.append(len(self.ordinary.compress(window)) - len(self.toxic.compress(window)))
-            last = end
-        return out, len(x)
+        self.ordinary, self.toxic = compressor(ordinary).compress, compressor(toxic).compress
 
     def features(self, text: str) -> list[float]:
-        distances, size = self.of(text)
-        counts = [sum(d >= t for d in distances) for t in DISTANCES]
-        return [*map(math.log1p, counts), max([0, *distances]), math.log1p(size)]
+        """Windows at or over each distance threshold, the largest distance and the bytes of all windows."""
+        counts, size, most = [0] * (DISTANCES[-1] + 1), 0, 0
+        known: dict[str, tuple[int, int]] = {}
+        for window in windows(text):
+            found = known.get(window)
+            if found is None:
+                if len(known) == KNOWN:
+                    known.clear()
+                raw = window.encode()
+                found = known[window] = len(self.ordinary(raw)) - len(self.toxic(raw)), len(raw)
+            distance, length = found
+            size += length
+            if distance > 0:
+                counts[min(distance, DISTANCES[-1])] += 1
+                most = max(most, distance)
+        return [*(math.log1p(sum(counts[t:])) for t in DISTANCES), float(most), math.log1p(size)]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,43 +155,88 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.n
     return mean, scale, w
 
 
+def _piece_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of each class with a piece, summed over the task."""
+    held: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
+    for batch in batches:
+        for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist()):
+            held[toxic].update({p for w in set(words(text.as_py())) for p in pieces(w)})
+    for toxic, counter in held.items():
+        yield pa.RecordBatch.from_pydict({"piece": pa.array(list(counter), pa.string()),
+                                          "toxic": pa.array([toxic] * len(counter), pa.int32()),
+                                          "n": pa.array(list(counter.values()), pa.int64())})
+
+
+def telling_pieces(half: DataFrame, n_toxic: int, n_ordinary: int) -> set[str]:
+    """Pieces in significantly more toxic than ordinary texts of the sample."""
+    held = half.mapInArrow(_piece_counts, "piece string, toxic int, n long").groupBy("piece").agg(
+        F.sum(F.col("n") * F.col("toxic")).alias("a"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("b"))
+    share = (F.col("a") + F.col("b")) / (n_toxic + n_ordinary)
+    deviation = F.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_ordinary) + F.lit(1e-12))
+    z = (F.col("a") / n_toxic - F.col("b") / n_ordinary) / deviation
+    return {r["piece"] for r in held.where((F.col("a") >= MIN_DOCS) & (z >= MIN_Z)).select("piece").collect()}
+
+
+def sample_windows(half: DataFrame, wanted: set[str] | None) -> list[str]:
+    """At most ``WINDOWS`` windows of the texts, the first by a hash of their place."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                out = list(windows(text.as_py()) if wanted is None else around(text.as_py(), wanted))
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id] * len(out), pa.int64()),
+                                                  "place": pa.array(range(len(out)), pa.int64()),
+                                                  "window": pa.array(out, pa.string())})
+
+    found = half.mapInArrow(cut, "doc_id long, place long, window string")
+    return [r["window"] for r in found.orderBy(F.xxhash64("doc_id", "place"), "doc_id", "place").limit(WINDOWS).collect()]
+
+
+def _measured(ordinary: bytes, toxic: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distances = Distances(ordinary, toxic)
+        for batch in batches:
+            rows = [distances.features(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"),
+                                              "features": pa.array(rows, pa.list_(pa.float64()))})
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Dictionaries and calibration from a bounded sample of labelled rows outside the held-out part."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
-        "doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(
+        "doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(
             ~held_out(F.col("doc_id")))
     size = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not size.get(1) or not size.get(0):
         return None
     order = F.xxhash64("doc_id")
-    sample = known.where("toxic = 1").orderBy(order, "doc_id").limit(SAMPLE[1]).union(
+    chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(SAMPLE[1]).union(
         known.where("toxic = 0").orderBy(order, "doc_id").limit(SAMPLE[0]))
-    rows = id_and_text(docs).where(F.char_length("text") <= SAMPLE_CHARS).join(
-        F.broadcast(sample), "doc_id").orderBy(order, "doc_id", "text").limit(sum(SAMPLE.values())).collect()
-    half = {c: [r["text"] for r in rows if r["toxic"] == c] for c in (0, 1)}
-    if len(half[0]) < 2 or len(half[1]) < 2:
+    sample = store(id_and_text(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(
+        F.min(whole_text()).alias("text")).withColumn("calibrates", F.xxhash64("doc_id").bitwiseAND(F.lit(1)) == 1),
+        "toxicity_sample")
+    n = {(r["calibrates"], r["toxic"]): r["count"] for r in sample.groupBy("calibrates", "toxic").count().collect()}
+    if len(n) < 4:
         return None
-    shared, toxic = dictionaries(half[1][::2], half[0][::2])
-    grams = _gram_table(shared, toxic)
-    distances = Distances(shared, toxic, grams)
-    x, y, weight = [], [], []
-    for c in (0, 1):
-        rest = half[c][1::2]
-        x += [distances.features(t) for t in rest]
-        y += [c] * len(rest)
-        weight += [size[c] / len(rest)] * len(rest)
-    weight = np.array(weight) / np.mean(weight)
-    return Model(shared, toxic, grams, *fit_logistic(np.array(x), np.array(y, float), weight))
+    half = sample.where("not calibrates").select("doc_id", "text", "toxic")
+    wanted = telling_pieces(half, n[False, 1], n[False, 0])
+    ordinary = trained(sample_windows(half.where("toxic = 0"), None), *ORDINARY) or b" "
+    toxic = trained(sample_windows(half.where("toxic = 1"), wanted), *TOXIC) + ordinary
+    rows = sample.where("calibrates").select("doc_id", "text", "toxic").mapInArrow(
+        _measured(ordinary, toxic), "doc_id long, toxic int, features array<double>").orderBy("doc_id").collect()
+    y = np.array([float(r["toxic"]) for r in rows])
+    weight = np.array([size[r["toxic"]] / n[True, r["toxic"]] for r in rows])
+    return Model(ordinary, toxic, *fit_logistic(np.array([r["features"] for r in rows]), y, weight / weight.mean()))
 
 
 def _scored(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distances = model and Distances(model.ordinary, model.toxic, model.grams)
+        distances = model and Distances(model.ordinary, model.toxic)
         for batch in batches:
             if model is None:
                 score = np.zeros(batch.num_rows)
             else:
-                x = np.array([distances.features(t.as_py() or "") for t in batch.column(1)]).reshape(batch.num_rows, -1)
+                x = np.array([distances.features(t.as_py()) for t in batch.column(1)]).reshape(-1, len(model.mean))
                 z = np.c_[np.ones(len(x)), (x - model.mean) / model.scale] @ model.weights
                 score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -216,6 +217,72 @@ def test_toxicity_held_out(spark):
     assert got[got.toxic == 1].predicted.mean() > 0.6 and got[got.toxic == 0].predicted.mean() < 0.06
 
 
+@pytest.fixture(scope="module")
+def toxicity_model(spark):
+    sf = "/root/testdata/sf0.01"
+    return toxicity.fit(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+def naive_features(model, text):
+    import zstandard as zs
+
+    def lengths(content):
+        c = zs.ZstdCompressor(level=toxicity.LEVEL, write_content_size=False, write_dict_id=False,
+                              dict_data=zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT))
+        return [len(c.compress(x)) for x in cut]
+
+    found = re.findall(r"[^\W\d_]{1,64}", text.lower())
+    cut = [f" {' '.join(found[i:i + 3])} ".encode() for i in range(0, max(len(found) - 1, min(len(found), 1)), 2)]
+    gaps = [a - b for a, b in zip(lengths(model.ordinary), lengths(model.toxic))]
+    return [*(math.log1p(sum(g >= t for g in gaps)) for t in toxicity.DISTANCES), max([0, *gaps]), math.log1p(sum(map(len, cut)))]
+
+
+def test_toxicity_scores_every_window(spark, toxicity_model):
+    """Scores of the query's columns against a plain reading of the definition, window by window."""
+    texts = {r.doc_id: r.text or "" for r in documents(spark, SF).collect()}
+    got = toxicity.toxicity(documents(spark, SF), toxicity_model).collect()
+    assert {r.doc_id for r in got} == set(texts) and len(got) == len(texts)
+    m = toxicity_model
+    for r in got:
+        z = np.r_[1.0, (np.array(naive_features(m, texts[r.doc_id])) - m.mean) / m.scale] @ m.weights
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9 and r.predicted == int(r.score >= 0.3)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_toxicity_windows():
+    for n in range(12):
+        found = [chr(97 + k) * 3 for k in range(n)]
+        got = [w.split() for w in toxicity.windows("1 ".join(found) + " .")]
+        assert {w for x in got for w in x} == set(found) and all(len(x) <= 3 for x in got)
+        assert all(a[-1] == b[0] for a, b in zip(got, got[1:])) and len(got) == (n // 2 if n > 1 else n)
+    assert [len(w) for w in toxicity.words("x" * 150)] == [64, 64, 22]
+    assert list(toxicity.around("a stupid one", {" stup"})) == [" a stupid one "]
+    assert list(toxicity.around("stupid", {" stup"})) == [" stupid "] and not list(toxicity.around("", {" stup"}))
+
+
+def test_toxicity_edges(odd, empty, toxicity_model):
+    """A fitted model on nulls, empty, very long and repeated texts."""
+    rows = toxicity.toxicity(odd, toxicity_model).collect()
+    score = {r.doc_id: r.score for r in rows}
+    assert len(rows) == odd.count() and all(0 <= r.score <= 1 and r.held_out in (True, False) for r in rows)
+    assert score[0] == score[1] == score[2]  # null, empty and blank: no windows
+    assert score[4] == score[5] == score[6] and len([r for r in rows if r.doc_id == 4]) == 2
+    assert toxicity.toxicity(empty, toxicity_model).collect() == []
+
+
+def test_toxicity_fit_edges(spark, odd, empty):
+    schema = "doc_id long, toxic int, quality int"
+    labels = [(i, i % 2, None) for i in range(120)] + [(1, None, 0), (None, 1, 0), (2, 0, 1), (2, 0, 1)]
+    few = spark.createDataFrame([(i, "dumb clown " * 9 if i % 2 else "fine day today " * 9) for i in range(120)] + [(4, None), (None, "x")],
+                                "doc_id long, text string")
+    model = toxicity.fit(few, spark.createDataFrame(labels, schema))
+    got = {r.doc_id: r.score for r in toxicity.toxicity(few, model).collect() if r.doc_id not in (4, None)}
+    assert min(got[i] for i in got if i % 2) > max(got[i] for i in got if i % 2 == 0)  # rows held out among them
+    assert toxicity.fit(few, spark.createDataFrame([r for r in labels if r[1] == 0], schema)) is None
+    assert toxicity.fit(empty, spark.createDataFrame(labels, schema)) is None
+    assert toxicity.fit(odd, spark.createDataFrame([], schema)) is None
+
+
 def test_bpe_matches_library(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
