@@ -28,6 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +48,10 @@ MIN_Z, MIN_DOCS = 5.0, 3
 #: Size of each dictionary, and zstandard's segment and fragment lengths in training it.
 ORDINARY, TOXIC = (16384, 32, 6), (4096, 16, 8)
 DISTANCES = (1, 2, 3, 4, 5, 6, 8)
-KNOWN = 1 << 16
+#: Letters read at once (to the end of a word), and distances that a task remembers.
+BLOCK, KNOWN = 1 << 18, 1 << 17
 _WORD = re.compile(r"[^\W\d_]{1,%d}" % WORD)
+_GAP = re.compile(r"[\W\d_]")
 
 
 @dataclass
@@ -68,22 +71,22 @@ def words(text: str) -> Iterator[str]:
     return map(re.Match.group, _WORD.finditer(text.lower()))
 
 
+def window_blocks(text: str) -> Iterator[list[str]]:
+    """Windows of three words, the last one also the first of the next window; lists of a block's windows."""
+    text, start, rest, some = text.lower(), 0, [], False
+    while start < len(text):
+        gap = _GAP.search(text, start + BLOCK)
+        stop = gap.end() if gap else len(text)
+        found = rest + _WORD.findall(text[start:stop])
+        out = [f" {x} {y} {z} " for x, y, z in zip(found[0::2], found[1::2], found[2::2])]
+        start, rest, some = stop, found[2 * len(out):], some or bool(out)
+        yield out
+    if len(rest) == 2 or rest and not some:
+        yield [f" {' '.join(rest)} "]
+
+
 def windows(text: str) -> Iterator[str]:
-    """Three words each, the last one also the first of the next window."""
-    rest = words(text)
-    first = next(rest, None)
-    if first is None:
-        return
-    second = next(rest, None)
-    if second is None:
-        yield f" {first} "
-    while second is not None:
-        third = next(rest, None)
-        if third is None:
-            yield f" {first} {second} "
-            return
-        yield f" {first} {second} {third} "
-        first, second = third, next(rest, None)
+    return chain.from_iterable(window_blocks(text))
 
 
 def pieces(word: str) -> list[str]:
@@ -121,23 +124,28 @@ class Distances:
                                      dict_data=zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT))
 
         self.ordinary, self.toxic = compressor(ordinary).compress, compressor(toxic).compress
+        self.known: dict[str, int] = {}
+
+    def of(self, window: str) -> int:
+        raw = window.encode()
+        distance = len(self.ordinary(raw)) - len(self.toxic(raw))
+        if len(self.known) >= KNOWN:
+            self.known.clear()
+        self.known[window] = distance
+        return distance
 
     def features(self, text: str) -> list[float]:
         """Windows at or over each distance threshold, the largest distance and the bytes of all windows."""
-        counts, size, most = [0] * (DISTANCES[-1] + 1), 0, 0
-        known: dict[str, tuple[int, int]] = {}
-        for window in windows(text):
-            found = known.get(window)
-            if found is None:
-                if len(known) == KNOWN:
-                    known.clear()
-                raw = window.encode()
-                found = known[window] = len(self.ordinary(raw)) - len(self.toxic(raw)), len(raw)
-            distance, length = found
-            size += length
-            if distance > 0:
-                counts[min(distance, DISTANCES[-1])] += 1
-                most = max(most, distance)
+        counts, size, most, known = [0] * (DISTANCES[-1] + 1), 0, 0, self.known
+        for block in window_blocks(text):
+            size += len("".join(block).encode())
+            for window, n in Counter(block).items():
+                distance = known.get(window)
+                if distance is None:
+                    distance = self.of(window)
+                if distance > 0:
+                    counts[min(distance, DISTANCES[-1])] += n
+                    most = max(most, distance)
         return [*(math.log1p(sum(counts[t:])) for t in DISTANCES), float(most), math.log1p(size)]
 
 
