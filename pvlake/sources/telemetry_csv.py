@@ -8,7 +8,7 @@ scan itself (one variant value a record, keyed by column name), so quoted commas
 quoted line breaks and byte-order marks are the CSV parser's business and no line is
 moved, joined or written again. Only the distinct column lists reach the driver.
 A file is a device-day and is read by one task. The date is the file's name, whatever a
-``date`` column says (but for ``split=`` folders written by Spark, whose files carry it); a file without ``us_timestamp`` keeps its rows with a missing timestamp.
+``date`` column says (but for ``split=`` folders written by Spark, whose ``date=`` folders or files carry it); a file without ``us_timestamp`` keeps its rows with a missing timestamp.
 Values are coerced (bad numbers / timestamps -> NULL). The reader recognises numbers and
 timestamps, so a device name that is a number loses leading zeros, as in the published loader;
 timestamps are read and kept in the session's time zone.
@@ -37,7 +37,7 @@ def list_csv_globs(spark: SparkSession, root: str) -> list[str]:
     root = root.rstrip("/")
     out = []
     for s in C.SOURCE_SPLITS:
-        for folder in (s, f"split={s}"):  # published folders, or those that partitionBy("split", "deviceSn") writes
+        for folder in (s, f"split={s}"):  # published folders, or those that partitionBy writes from split and a second column
             if path_exists(spark, f"{root}/{folder}"):
                 out.append(f"{root}/{folder}/*/*.csv")
     return out
@@ -84,7 +84,7 @@ def parse_records(rows: DataFrame, names: list[str] | None = None) -> DataFrame
     folder = F.coalesce(named("deviceSn"), F.element_at(parts, -2))
     # files that Spark wrote have no date in their name; in the published layout only the name counts
     written = F.when(named("split").isNotNull(), F.try_to_date(field("date")))
-    own_date = written if "date" in names else F.lit(None).cast("date")
+    own_date = written if "date" in names else F.try_to_date(named("date"))
     from_path = {
         "split": F.coalesce(named("split"), F.element_at(parts, -3)),
         "date": F.date_format(F.coalesce(F.try_to_date(stem), own_date), "yyyy-MM-dd"),
