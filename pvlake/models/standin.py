@@ -18,6 +18,10 @@ SD = ["split", "deviceSn", "date"]
 
 class StandInPredictors:
     name = "standin"
+    #: Features that these predictions, the baseline and the policies read.
+    columns = ("row_id", "split", "eval_split", "deviceSn", "date", "us_timestamp", "pvGenTotal", "slot_id", "solar_proxy", "elevation_weight",
+               "is_solar_available", "region_lat_5", "region_lon_5", "cloud_cover_H", "device_daily_mean", "device_daily_p90",
+               "device_history_days", "device_slot_mean", "global_slot_mean", "nn_3_daily_mean")
 
     def point(self, points: DataFrame, feat: DataFrame) -> DataFrame:
         """raw point model := global slot mean; normalised model := device slot mean (both sanitized)."""

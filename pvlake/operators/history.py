@@ -58,32 +58,48 @@ def global_slot_history(train_rows: DataFrame, approx: bool = False, group_bound
     return _mean_and_p90(train_rows, ["slot_id"], "global_slot_mean", "global_slot_p90", approx, group_bound)
 
 
+def own_pairs(points: DataFrame, by_device: DataFrame, by_slot: DataFrame) -> DataFrame:
+    """Each (device, slot) pair of the points with its number of points as ``_rows`` and its own statistics.
+
+    A pair without training rows keeps its device's; a missing slot is a pair too."""
+    return (points.groupBy("deviceSn", "slot_id").agg(F.count(F.lit(1)).alias("_rows"))
+            .join(by_device, "deviceSn", "left").join(by_slot, ["deviceSn", "slot_id"], "left"))
+
+
+def filled(df: DataFrame, medians) -> DataFrame:
+    """The cascade for missing statistics; ``medians`` is a struct of the unfilled columns' medians."""
+    med = {c: medians.getField(c) for c in DEVICE_FILLED + SLOT_FILLED}
+    fills = {c: F.coalesce(F.col(c), F.col("nn_3_daily_mean"), med[c]) for c in DEVICE_FILLED}
+    fills.update({c: F.coalesce(F.col(c), F.col("global_slot_mean"), med[c]) for c in SLOT_FILLED})
+    fills["device_history_days"] = F.coalesce(F.col("device_history_days"), F.lit(0.0))
+    return df.withColumns(fills)
+
+
+def weighted_medians(long: DataFrame, group_bound: int):
+    """Row-weighted medians of stacked (``_rows``, name, value) as a struct; each name is one (hot) group."""
+    cols = DEVICE_FILLED + SLOT_FILLED
+    per_name = exact_quantiles(long, ["name"], "value", {"m": 0.5}, group_bound=group_bound, weight="_rows")
+    return per_name.groupBy().pivot("name", list(cols)).agg(F.first("m")).select(F.struct(*cols).alias("m")).scalar()
+
+
+def stacked(rows: DataFrame, cols: tuple[str, ...]) -> DataFrame:
+    return rows.select("_rows", *cols).unpivot(["_rows"], list(cols), "name", "value")
+
+
 def pair_history(points: DataFrame, train_rows: DataFrame, nn_stats: DataFrame,
                  approx: bool = False, group_bound: int | None = None,
                  own: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """J1 + J2 for each (device, slot) pair of the points, with its number of points as ``_rows``.
 
-    A pair without training rows keeps its device, slot and neighbour values; a missing slot is a pair too.
     ``own``: the device and (device, slot) statistics of ``train_rows`` where they exist already.
     """
     by_device, by_slot = own or (device_history(train_rows, approx), device_slot_history(train_rows, approx, group_bound))
     pairs = materialize(
-        points.groupBy("deviceSn", "slot_id").agg(F.count(F.lit(1)).alias("_rows"))
-        .join(by_device, "deviceSn", "left")
-        .join(by_slot, ["deviceSn", "slot_id"], "left")
+        own_pairs(points, by_device, by_slot)
         .join(F.broadcast(global_slot_history(train_rows, approx, group_bound)), "slot_id", "left")
         .join(nn_stats, "deviceSn", "left"), "pair_history")
-    # row-weighted medians of the unfilled columns, all six in one pass: the columns are
-    # stacked long (name, value) and each name is one (hot) group of the exact quantile
-    cols = DEVICE_FILLED + SLOT_FILLED
-    long = pairs.select("_rows", *cols).unpivot(["_rows"], list(cols), "name", "value")
-    per_name = exact_quantiles(long, ["name"], "value", {"m": 0.5}, group_bound=pairs.count(), weight="_rows")
-    medians = per_name.groupBy().pivot("name", list(cols)).agg(F.first("m")).select(F.struct(*cols).alias("m")).scalar()
-    med = {c: medians.getField(c) for c in cols}
-    fills = {c: F.coalesce(F.col(c), F.col("nn_3_daily_mean"), med[c]) for c in DEVICE_FILLED}
-    fills.update({c: F.coalesce(F.col(c), F.col("global_slot_mean"), med[c]) for c in SLOT_FILLED})
-    fills["device_history_days"] = F.coalesce(F.col("device_history_days"), F.lit(0.0))
-    return pairs.withColumns(fills)
+    # row-weighted medians of the unfilled columns, all six in one pass
+    return filled(pairs, weighted_medians(stacked(pairs, DEVICE_FILLED + SLOT_FILLED), pairs.count()))
 
 
 def enrich(points: DataFrame, train_rows: DataFrame, nn_stats: DataFrame,

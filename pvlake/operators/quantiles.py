@@ -25,6 +25,7 @@ The result equals Spark's / pandas' linear interpolation:
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,13 +80,14 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column | str, probs:
              for n, p in probs.items()]
     if group_bound is not None and group_bound <= small:
         return _finish(v.groupBy(*keys).agg(*exact), global_, names)
-    sizes = cut_lineage(v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.sum("_t").alias("_n"),
-                                             F.min("_v").alias("_min"), F.max("_v").alias("_max")))
-    hot = sizes.filter(F.col("_rows") > small)
-    if hot.isEmpty():  # the common case: one plain aggregate
+    sizes = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.sum("_t").alias("_n"),
+                                 F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    named = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    hot = cut_lineage(sizes.filter((F.col("_rows") > small) & named))  # never more than rows / small
+    hot_groups = hot.count()
+    if not hot_groups:  # the common case: one plain aggregate
         return _finish(v.groupBy(*keys).agg(*exact), global_, names)
-    cold = sizes.filter(F.col("_rows") <= small).select(*keys)
-    small_part = v.join(_bounded(cold, cold.count()), keys, "left_semi").groupBy(*keys).agg(*exact)
+    small_part = v.join(_bounded(hot.select(*keys), hot_groups), keys, "left_anti").groupBy(*keys).agg(*exact)
 
     # one target per (group, quantile, lower/upper order statistic)
     tgt = hot.select(*keys, "_n", "_min", "_max", F.explode(F.array(*[
@@ -105,13 +107,15 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column | str, probs:
         open_ = state.filter(F.col("_q_answer").isNull())
         if open_.isEmpty():
             break
-        rows = v.join(_bounded(open_.select(*tkeys, "_q_rank", "_q_lo_v", "_q_hi_v", "_q_below"), targets), keys).filter(
+        # targets of one group mostly share their range: a value is counted once for each range
+        span = [*keys, "_q_lo_v", "_q_hi_v"]
+        rows = v.join(_bounded(open_.select(*span).distinct(), targets), keys).filter(
             F.col("_v").between(F.col("_q_lo_v"), F.col("_q_hi_v")))
         b = _bucket(F.col("_v"), F.col("_q_lo_v"), F.col("_q_hi_v"), buckets)
-        hist = rows.groupBy(*tkeys, b.alias("_q_b")).agg(
+        hist = rows.groupBy(*span, b.alias("_q_b")).agg(
             F.sum("_t").alias("_q_c"), F.count(F.lit(1)).alias("_q_rows"),
-            F.min("_v").alias("_q_bmin"), F.max("_v").alias("_q_bmax"),
-            F.first("_q_rank").alias("_q_rank"), F.first("_q_below").alias("_q_below"))
+            F.min("_v").alias("_q_bmin"), F.max("_v").alias("_q_bmax"))
+        hist = hist.join(_bounded(open_.select(*tkeys, "_q_rank", "_q_lo_v", "_q_hi_v", "_q_below"), targets), span)
         w = Window.partitionBy(*tkeys).orderBy("_q_b").rowsBetween(Window.unboundedPreceding, -1)
         hist = hist.withColumn("_q_before", F.coalesce(F.sum("_q_c").over(w), F.lit(0)))
         local = F.col("_q_rank") - F.col("_q_below")

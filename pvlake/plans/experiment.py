@@ -32,21 +32,32 @@ class Experiment:
     ctx: RunContext
     predictors: object
 
+    @property
+    def tables(self) -> tuple[DataFrame, DataFrame]:
+        """The feature and the device-day table, with the columns that the predictors need."""
+        return self.ctx.tables_for(getattr(self.predictors, "columns", None))
+
     @cached_property
     def base_points(self) -> DataFrame:
-        """Features + baseline + sanitized raw/normalised point predictions (persisted)."""
-        pts = irradiance_baseline(self.ctx.features, approx=self.ctx.settings.approx_quantiles)
-        return materialize(self.predictors.point(pts, self.ctx.features), "base_points")
+        """Points with baseline and sanitized raw/normalised point predictions (persisted).
+
+        Of the features only those go along that policies, sinks and reports read: the rest stays in the feature
+        table, so the joins of points with their days move narrow rows."""
+        features = self.tables[0]
+        pts = self.predictors.point(features, features)
+        pts = pts.select(*[c for c in pts.columns if c in C.BASE_POINT_COLUMNS + C.BASELINE_INPUTS])
+        pts = irradiance_baseline(pts, approx=self.ctx.settings.approx_quantiles)
+        return materialize(pts.select(*[c for c in pts.columns if c in C.BASE_POINT_COLUMNS]), "base_points")
 
     @cached_property
     def seen_devices(self) -> DataFrame:
-        return self.ctx.features.filter(train_mask()).select("deviceSn").distinct()
+        return self.tables[0].filter(train_mask()).select("deviceSn").distinct()
 
     @cached_property
     def device_days(self) -> DataFrame:
         """Device-day table with base factors (before the blend choice)."""
         sd = P.device_day_table(self.base_points, self.seen_devices)
-        dp = self.predictors.daily(self.ctx.daily, sd)
+        dp = self.predictors.daily(self.tables[1], sd)
         return materialize(P.with_base_factors(sd.join(dp, SD, "left")), "device_days")
 
     @cached_property
@@ -91,7 +102,8 @@ class Experiment:
             d = y - F.col(cand)
             aggs += [F.avg(F.abs(d)).alias(f"c{i}_mae"), F.sqrt(F.avg(d * d)).alias(f"c{i}_rmse"),
                      F.avg(ape(y, F.col(cand))).alias(f"c{i}_mape")]
-        wide = self.points.groupBy("eval_split").agg(*aggs)
+        scored = P.attach_candidates(self.base_points, self.policy_days)  # not the written points: nobody may ask for them
+        wide = scored.groupBy("eval_split").agg(*aggs)
         stack = F.explode(F.array(*[
             F.struct(F.lit(cand).alias("candidate"), F.col(f"c{i}_mae").alias("mae"),
                      F.col(f"c{i}_rmse").alias("rmse"), F.col(f"c{i}_mape").alias("mape"))
