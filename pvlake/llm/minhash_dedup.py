@@ -12,8 +12,10 @@ groups together with few comparisons. What can still have a partner is narrowed
 formed. A pair at 0.8 shares under ``LEAST_HALVES`` single halves with probability 7e-6, so classes
 with fewer halves in common with other components go. Of the rest, the full sets tell how many shingles of a class any other class holds; a
 pair needs that many on both sides, which excludes the far edges of large groups without comparing
-them one by one. The last round forms keys of the halves left; classes that share keys, directly or
-through others, are one candidate group. A group is compared in blocks of ``BLOCK`` classes, a pair
+them one by one. The last round groups what is left by its halves: classes that share a half of the
+first collection, directly or through others, and among these again by the halves of the second. So
+every pair that shares a key is in one candidate group, and the work grows with the halves and not with their
+products. A group is compared in blocks of ``BLOCK`` classes, a pair
 of blocks a task: classes that are still apart, whose sizes, shared shingles and common minhashes
 allow 0.8, are confirmed on full sets until they are joined. Only links leave a task.
 
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pvlake.llm.common import documents, id_and_text, mix, sliced, store, text_buffers, unpacked, whole_row, whole_text
@@ -163,6 +165,12 @@ def _blocks(percent: int):
     return run
 
 
+def led(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(a, b): each class and the least one of its key, for keys whose holders are not all joined."""
+    least = rows.groupBy(*keys).agg(F.min("cid").alias("b"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+    return rows.join(least.select(*keys, "b"), keys).select(F.col("cid").alias("a"), "b").distinct()
+
+
 class NearDuplicates:
     """One run over ``docs``; each step's table is written once."""
 
@@ -199,13 +207,12 @@ class NearDuplicates:
         return rooted.join(materialize(apart, "llm-near-mixed"), "h")
 
     @staticmethod
-    def keys(mixed: DataFrame) -> DataFrame:
-        """(key, cid, root): tensor product of the halves that classes still apart hold."""
-        mine = mixed.groupBy("cid", "root").agg(
-            F.collect_list(F.when(F.col("i") < HALVES, F.col("h"))).alias("u"),
-            F.collect_list(F.when(F.col("i") >= HALVES, F.col("h"))).alias("v"))
-        product = mine.withColumn("x", F.explode("u")).withColumn("y", F.explode("v"))
-        return materialize(product.select(F.xxhash64("x", "y").alias("key"), "cid", "root"), "llm-near-keys")
+    def groups(mixed: DataFrame) -> DataFrame:
+        """(node, root) of candidate groups: classes that share a half of the first collection, directly or through others,
+        and within such a group a half of the second. A pair that shares a key shares both, so it is in one group."""
+        first = components(led(mixed.where(F.col("i") < HALVES), ["h"]), "llm-near-u")
+        second = mixed.where(F.col("i") >= HALVES).join(first.select(F.col("node").alias("cid"), F.col("root").alias("u")), "cid")
+        return components(led(second, ["u", "h"]), "llm-near-g")
 
     def with_marks(self, pairs: DataFrame) -> DataFrame:
         """(a, b, common) of pairs that their sizes and minhashes allow."""
@@ -258,10 +265,8 @@ class NearDuplicates:
         """Links between classes that the first rounds left apart."""
         able, sets = self.able(self.mixed(halves, roots, ROUNDS))
         mixed = self.mixed(halves.join(able.select("cid"), "cid"), roots, ROUNDS)
-        keys = self.keys(mixed)
-        bucket = Window.partitionBy("key")
-        led = keys.select("cid", F.min("cid").over(bucket).alias("b"), F.min("root").over(bucket).alias("lo"), F.max("root").over(bucket).alias("hi"))
-        groups = components(led.where("lo != hi").select(F.col("cid").alias("a"), "b").distinct(), "llm-near-g")
+        mixed = materialize(mixed.select("cid", "root", "i", "h"), "llm-near-left")
+        groups = self.groups(mixed)
         size = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
         roots = mixed.select("cid", F.col("root").alias("own")).distinct()
         rows = materialize(groups.withColumnRenamed("root", "g").join(size.withColumnRenamed("root", "g"), "g").select(

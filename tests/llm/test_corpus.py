@@ -128,6 +128,18 @@ def test_near_duplicates_brute_force(spark, docs):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), top(r.doc_id), top(r.doc_id) == r.doc_id)
 
 
+def test_near_duplicates_groups(spark):
+    """Candidate groups: both a half of the first and one of the second collection in common; no row for each product."""
+    near = minhash_dedup.NearDuplicates
+    u, v = range(minhash_dedup.HALVES), range(minhash_dedup.HALVES, 2 * minhash_dedup.HALVES)
+    held = {1: (10, 20), 2: (10, 20), 3: (10, 21), 4: (11, 21), 5: (12, 22), 6: (12, 22)}
+    rows = [(c, 5 if c == 6 else c, i, h) for c, (a, b) in held.items() for half, h in ((u, a), (v, b)) for i in half]
+    mixed = spark.createDataFrame(rows, "cid long, root long, i int, h long")
+    assert {(r.node, r.root) for r in near.groups(mixed).collect()} == {(1, 1), (2, 1)}
+    plan = minhash_dedup.led(mixed, ["h"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and minhash_dedup.led(mixed, ["h"]).count() == 5
+
+
 def test_components_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
