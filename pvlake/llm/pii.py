@@ -4,14 +4,16 @@ Base spans (e-mail, IP address, payment card, phone) are found by fixed patterns
 High-recall generators propose further, overlapping spans of the same kinds: spaced or bracketed
 forms ("name at host dot com", "192[.]168[.]0[.]1"), digit groups in other layouts. Boosted
 regression trees score a candidate by its format and by the words around it. They are trained on
-candidates from a bounded sample of documents: those that overlap a base span of their kind, and
+the candidates of all documents: those that overlap a base span of their kind, and
 base spans rewritten into the looser forms, are positive; the rest, and plain words rewritten so, are negative. The threshold of each
 kind is the lowest one that keeps precision on the half not trained on (every second candidate of
 each kind and label, by document and place); spans that pass it and touch no base span are added,
-best first.
+best first. Up to ``IN_MEMORY`` candidates are fitted on the driver. More are counted by distinct features,
+and a level of a tree is one aggregate over these: each task sums its rows' gradients by node, feature and
+value, in fixed point, so the order of addition doesn't matter. Only the sums reach the driver.
 
 Defined results: null and empty texts have no spans; rows that repeat a doc_id are read one by one;
-without a base span in the sample nothing is added; an empty table gives no rows; other columns are
+without a base span nothing is added; an empty table gives no rows; other columns are
 never read.
 """
 
@@ -24,18 +26,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pvlake.llm.common import documents, id_and_text, on_workers
+from pvlake.operators.ranking import ordinal_position
+from pvlake.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-#: Expected number of documents that training reads, their longest text, and the most candidates of them it keeps.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_CANDIDATES = 20_000, 100_000, 40_000
+#: Up to this number of candidates is fitted on the driver, and this number of distinct ones in a task beyond.
+IN_MEMORY, ROWS_PER_TASK = 40_000, 100_000
 PRECISION = 0.99
 #: No threshold lies under this score.
 LEAST_SCORE = 0.8
 ROUNDS, DEPTH, RATE = 30, 3, 0.3
+#: A split is tried after each of a feature's least values, up to this number.
+CUTS = 64
+#: Gradients are added as multiples of this.
+_UNIT = 2.0 ** -32
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -198,7 +206,7 @@ def boost(x: np.ndarray, y: np.ndarray) -> tuple[float, list]:
     share = min(max(y.mean(), 1e-3), 1 - 1e-3)
     first = float(np.log(share / (1 - share)))
     total, trees = np.full(len(y), first), []
-    values = [np.unique(x[:, j])[:-1][:64] for j in range(x.shape[1])]
+    values = [np.unique(x[:, j])[:-1][:CUTS] for j in range(x.shape[1])]
     for _ in range(ROUNDS):
         p = 1 / (1 + np.exp(-total))
         g, h = y - p, p * (1 - p)
@@ -273,15 +281,141 @@ def halves(kind: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def totals(x: np.ndarray, first: float, trees: list) -> np.ndarray:
+    """Sums of first value and leaves for many rows, as ``Model.score`` adds them."""
+    out, row = np.full(len(x), first), np.arange(len(x))
+    for feature, cut, leaf in trees:
+        node = np.zeros(len(x), int)
+        for _ in range(DEPTH):
+            node = 2 * node + 1 + (x[row, np.array(feature)[node]] > np.array(cut)[node])
+        out += np.array(leaf)[node - len(feature)]
+    return out
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+
+
+def _least_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each feature's least values in a batch, one more than cuts are tried."""
+    for batch in batches:
+        if batch.num_rows:
+            least = [np.unique(c)[:CUTS + 1] for c in _matrix(batch).T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(least)), [*map(len, least)]), pa.int64()),
+                                              pa.array(np.concatenate(least), pa.float64())], names=["j", "v"])
+
+
+def _sums(first: float, trees: list, feature: list[int], cut: list[float], level: int, cuts: list[np.ndarray]):
+    """Gradient sums of a level's nodes by feature and place of the value among its cuts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width, nodes = CUTS + 1, 2 ** level
+        sums = np.zeros((2, nodes * len(cuts) * width), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y, n = _matrix(batch), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            p = 1 / (1 + np.exp(-totals(x, first, trees)))
+            gh = [np.rint(v / _UNIT).astype(np.int64) * n for v in (y - p, p * (1 - p))]
+            node, row = np.zeros(len(x), int), np.arange(len(x))
+            for _ in range(level):
+                node = 2 * node + 1 + (x[row, np.array(feature)[node]] > np.array(cut)[node])
+            for j, c in enumerate(cuts):
+                at = ((node - (nodes - 1)) * len(cuts) + j) * width + np.searchsorted(c, x[:, j])
+                for total, v in zip(sums, gh, strict=True):
+                    np.add.at(total, at, v)
+        held = np.flatnonzero(sums.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), *[pa.array(t[held], pa.int64()) for t in sums]], names=["at", "g", "h"])
+    return run
+
+
+def boost_counted(rows: DataFrame) -> tuple[float, list]:
+    """``boost`` over (x, y, n) rows, n counting equal ones: a level of a tree is one aggregate."""
+    n, right = rows.agg(F.sum("n"), F.sum(F.col("y") * F.col("n"))).first()
+    share = min(max(right / n, 1e-3), 1 - 1e-3)
+    first = float(np.log(share / (1 - share)))
+    least = rows.mapInArrow(_least_values, "j long, v double").distinct().withColumn(
+        "r", F.row_number().over(Window.partitionBy("j").orderBy("v"))).where(F.col("r") <= CUTS + 1).orderBy("j", "v").collect()
+    values: list[list[float]] = [[] for _ in range(1 + max(r["j"] for r in least))]
+    for r in least:
+        values[r["j"]].append(r["v"])
+    cuts = [np.array(v[:-1][:CUTS]) for v in values]
+    trees: list = []
+    for _ in range(ROUNDS):
+        feature, cut, leaf = [0] * (2 ** DEPTH - 1), [np.inf] * (2 ** DEPTH - 1), [0.0] * 2 ** DEPTH
+        for level in range(DEPTH):
+            found = rows.mapInArrow(_sums(first, trees, feature, cut, level, cuts), "at long, g long, h long").groupBy("at").agg(
+                F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
+            sums = np.zeros((2, 2 ** level * len(cuts) * (CUTS + 1)), np.int64)
+            for r in found:
+                sums[:, r["at"]] = r["g"], r["h"]
+            upto = np.cumsum(sums.reshape(2, 2 ** level, len(cuts), CUTS + 1), axis=-1) * _UNIT
+            for i in range(2 ** level):
+                G, H = upto[:, i, 0, -1]
+                k, best, sides = 2 ** level - 1 + i, 1e-6, ((G, H), (0.0, 0.0))
+                for j, c in enumerate(cuts):
+                    for b in range(len(c)):
+                        gl, hl = upto[:, i, j, b]
+                        gain = gl * gl / (hl + 1) + (G - gl) ** 2 / (H - hl + 1) - G * G / (H + 1)
+                        if gain > best:
+                            best, feature[k], cut[k], sides = gain, j, float(c[b]), ((gl, hl), (G - gl, H - hl))
+                if level == DEPTH - 1:
+                    leaf[2 * i:2 * i + 2] = [float(RATE * g / (h + 1)) for g, h in sides]
+        trees.append((feature, cut, leaf))
+    return first, trees
+
+
+def _scored(first: float, trees: list):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, n = _matrix(batch), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([
+                pa.array(x[:, 0].astype(np.int64), pa.int64()), pa.array(1 / (1 + np.exp(-totals(x, first, trees))), pa.float64()),
+                pa.array(n, pa.int64()), pa.array(y * n, pa.int64())], names=["kind", "s", "n", "good"])
+    return run
+
+
+def thresholds_counted(rows: DataFrame, first: float, trees: list) -> list[float]:
+    """Each kind's threshold from all of ``rows`` (x, y, n): counts from the best score down, by score within ten thousand ranges."""
+    scored = materialize(rows.mapInArrow(_scored(first, trees), "kind long, s double, n long, good long").groupBy("kind", "s").agg(
+        F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("b", F.floor(F.col("s") * 10_000)), "pii-scores")
+    down = Window.partitionBy("kind").orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
+    before = scored.groupBy("kind", "b").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).select(
+        "kind", "b", *[F.coalesce(F.sum(c).over(down), F.lit(0)).alias(f"{c}_before") for c in ("n", "good")])  # <= 10,001 rows a kind
+    inside = Window.partitionBy("kind", "b").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    share = (F.col("good_before") + F.sum("good").over(inside)) / (F.col("n_before") + F.sum("n").over(inside))
+    last = scored.join(F.broadcast(before), ["kind", "b"]).withColumn("share", share).where(
+        (F.col("share") >= PRECISION) & (F.col("s") >= 0.5)).groupBy("kind").agg(F.min("s").alias("last"))
+    out = [2.0] * len(KINDS)
+    for r in scored.join(F.broadcast(last), "kind").groupBy("kind", "last").agg(
+            F.max(F.when(F.col("s") < F.col("last"), F.col("s"))).alias("next")).collect():
+        out[r["kind"]] = max(LEAST_SCORE, (r["last"] + r["next"]) / 2 if r["next"] is not None else 0.0)
+    return out
+
+
+def fit_counted(examples: DataFrame) -> Model:
+    """``fit`` on any number of examples: the same halves, trees and thresholds from counts of distinct features."""
+    group = ["kind", "y"]
+    placed = ordinal_position(examples.withColumns({"kind": F.col("x")[0], "hash": F.xxhash64("doc_id")}),
+                              [F.col(c) for c in (*group, "hash", "doc_id", "place", "x")])
+    firsts = placed.groupBy(*group).agg(F.min("pos").alias("first"))  # at most 8 rows
+    counted = materialize(placed.join(F.broadcast(firsts), group).groupBy(
+        "x", "y", ((F.col("pos") - F.col("first")) % 2 == 0).alias("trained")).agg(F.count("*").alias("n")), "pii-counted")
+    parts = max(1, -(-counted.count() // ROWS_PER_TASK))
+    trained, rest = (counted.where(c).select("x", "y", "n").coalesce(parts) for c in ("trained", "not trained"))
+    first, trees = boost_counted(trained)
+    return Model(first, trees, thresholds_counted(rest, first, trees))
+
+
 def fit(docs: DataFrame) -> Model | None:
-    rows = id_and_text(docs)
-    n = docs.count()
-    share = min(1.0, SAMPLE_DOCS / max(n, 1))
-    near = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))) & (F.char_length("text") <= SAMPLE_CHARS)
-    got = rows.where(near).mapInArrow(_examples, "doc_id long, place long, x array<double>, y long").orderBy(
-        F.xxhash64("doc_id"), "doc_id", "place", "x", "y").limit(SAMPLE_CANDIDATES).select("x", "y").collect()
-    if not any(r["y"] for r in got):
+    """The model of all candidates of ``docs``."""
+    rows = id_and_text(docs).where("text IS NOT NULL")
+    examples = materialize(rows.mapInArrow(_examples, "doc_id long, place long, x array<double>, y long"), "pii-examples")
+    n, right = examples.agg(F.count("*"), F.sum("y")).first()
+    if not right:
         return None
+    if n > IN_MEMORY:
+        return fit_counted(examples)
+    got = examples.orderBy(F.xxhash64("doc_id"), "doc_id", "place", "x", "y").select("x", "y").collect()
     x, y = np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float)
     trained = halves(x[:, 0], y)
     first, trees = boost(x[trained], y[trained])

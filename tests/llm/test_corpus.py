@@ -427,6 +427,24 @@ def test_personal_data_whole_sample(spark, monkeypatch):
     assert 0.49 < y.mean() < 0.51
 
 
+def test_personal_data_all_candidates(spark, monkeypatch):
+    """Every document trains, long texts too; counted by distinct features the model is that of the rows one by one."""
+    texts = [f"write to some{i}@ex{i % 7}ample.com please" if i % 3 else f"ping 10.20.{i}.40 now or call {i} 555 123 4567 99" for i in range(200)]
+    texts += ["word " * 25_000 + "mail a.b@c.example.org", "meet at noon dot com maybe", None, "", "we saw 10. 20. 30. 40 of them"]
+    d = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3, "doc_id")
+    read, boost = [], pii.boost
+    monkeypatch.setattr(pii, "boost", lambda x, y: read.append(len(y)) or boost(x, y))
+    small = pii.fit(d)
+    rows = [r for b in pii._examples(iter([pa.RecordBatch.from_pydict({"doc_id": [*range(len(texts))], "text": texts})])) for r in b.to_pylist()]
+    assert len(rows) - 1 <= 2 * read[0] <= len(rows) + 8
+    monkeypatch.setattr(pii, "IN_MEMORY", 0)
+    monkeypatch.setattr(pii, "ROWS_PER_TASK", 50)
+    large = pii.fit(d)
+    assert len(read) == 1 and len(large.trees) == pii.ROUNDS
+    assert np.allclose([small.score(r["x"]) for r in rows], [large.score(r["x"]) for r in rows], atol=1e-6)
+    assert np.allclose(small.thresholds, large.thresholds, atol=1e-6) and min(large.thresholds) < 2
+
+
 def test_personal_data_proposed():
     """Spaced addresses with a plain dot, and long ones to their end, are proposed."""
     for x in ("jane.doe at example.com", "j" * 60 + " [at] " + "h" * 60 + " [dot] " + ".".join(["k" * 60] * 4)):
