@@ -17,14 +17,15 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pvlake import config as C
 from pvlake.functions.columns import sanitize
-from pvlake.operators.quantiles import exact_quantile_scalar, exact_quantiles
+from pvlake.operators.quantiles import column_quantiles, exact_quantile_scalar
 from pvlake.operators.splits import train_mask, validation_mask
 from pvlake.plans.features import daily_feature_columns, point_feature_columns
 from pvlake.session import materialize
@@ -69,18 +70,22 @@ def non_empty(df: DataFrame, cols: list[str]) -> list[str]:
 
 
 def train_medians(train: DataFrame, cols: list[str]) -> dict[str, float]:
-    """Exact median of each feature column over training rows (one row a column)."""
-    if not cols:
-        return {}
-    long = train.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "name", "value")
-    rows = exact_quantiles(long.filter(F.col("value").isNotNull() & ~F.isnan("value")), ["name"], "value", {"m": 0.5}).collect()
-    return {r["name"]: float(r["m"]) for r in rows if r["m"] is not None}
+    """Exact median of each feature column over training rows (one number a column)."""
+    return column_quantiles(train, cols, 0.5)
+
+
+def impute(df: DataFrame, cols: list[str], medians: dict[str, float], out: str = "_inputs") -> tuple[DataFrame, list[str]]:
+    """Median-filled feature columns as one vector column (originals stay untouched): a filled copy of every
+    column beside the table's own makes projections of over a hundred columns."""
+    filled = [F.coalesce(nan_safe(F.col(c).cast("double")), F.lit(medians.get(c, 0.0))) for c in cols]
+    return df.withColumn(out, array_to_vector(F.array(*filled))), [out]
 
 
-def impute(df: DataFrame, cols: list[str], medians: dict[str, float]) -> tuple[DataFrame, list[str]]:
-    """Median-filled copies of the feature columns (originals stay untouched)."""
-    out = {f"_i_{c}": F.coalesce(nan_safe(F.col(c).cast("double")), F.lit(medians.get(c, 0.0))) for c in cols}
-    return df.withColumns(out), list(out)
+def vector(df: DataFrame, cols: list[str]) -> Column:
+    """The feature vector: one vector column as from ``impute``, or plain columns with NULL as NaN."""
+    if len(cols) == 1 and isinstance(df.schema[cols[0]].dataType, VectorUDT):
+        return F.col(cols[0])
+    return array_to_vector(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in cols]))
 
 
 def nan_safe(c):
@@ -104,7 +109,7 @@ def gbt(cfg: GbtConfig, label: str, pred: str, daily: bool = False, weight: str
 
 def assembled(rows: DataFrame, cols: list[str], keep: list[str], name: str) -> DataFrame:
     """``keep`` and the feature vector, written in as many partitions as the rows need and at most as they come in."""
-    out = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(rows).select("features", *keep)
+    out = rows.select(vector(rows, cols).alias("features"), *keep)
     parts = max(1, -(-rows.count() // ROWS_PER_TASK))
     return materialize(out.coalesce(parts), name).coalesce(parts)
 
@@ -121,8 +126,7 @@ def fit(every: DataFrame, train_rows, cols: list[str], label: str, estimator, ke
 
 
 def predict(model, rows: DataFrame, cols: list[str]) -> DataFrame:
-    assembler = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
-    return model.transform(assembler.transform(rows)).drop("features")
+    return model.transform(rows.withColumn("features", vector(rows, cols))).drop("features")
 
 
 def fit_predict(train: DataFrame, every: DataFrame, cols: list[str], label: str, pred: str,
@@ -186,21 +190,22 @@ class GbtPredictors:
         pred = sanitize(F.col("_norm") * F.col("solar_proxy"))
         return predict(model, every.dropna(subset=SD), cols).groupBy(*SD).agg(F.sum(pred).alias("s_norm"))
 
-    def _daily_inputs(self, daily: DataFrame, sd: DataFrame) -> tuple[DataFrame, list[str]]:
+    def _daily_inputs(self, daily: DataFrame, sd: DataFrame) -> tuple[DataFrame, dict[str, list[str]]]:
+        """Device-days with both models' inputs; the calibrator's hold the day's raw point sum too."""
         cols = daily_feature_columns(daily, self.cfg.reproduce_leak)
         joined = daily.join(sd.select(*SD, F.col("s_norm").alias("pred_norm_point_sum")), SD, "left")
         joined = materialize(joined, "daily_inputs")
         train = joined.filter(F.col("eval_split") == "train")
         cols = non_empty(train, cols)
         med = train_medians(train, cols + ["pred_norm_point_sum"])
-        every, icols = impute(joined, cols + ["pred_norm_point_sum"], med)
-        return every.withColumn("_log_target", F.log1p("daily_target")), icols
+        every, plain = impute(joined, cols, med, "_daily_inputs")
+        every, more = impute(every, cols + ["pred_norm_point_sum"], med, "_calibrator_inputs")
+        return every.withColumn("_log_target", F.log1p("daily_target")), {"daily": plain, "calibrator": more}
 
     def daily(self, daily: DataFrame, sd: DataFrame) -> DataFrame:
         """M7 and M9: the daily model on log1p target, and the calibrator with the day's raw point sum as an extra input."""
-        every, cols = self._daily_inputs(daily, sd)
+        every, inputs = self._daily_inputs(daily, sd)
         train = F.col("eval_split") == "train"
-        inputs = {"daily": cols[:-1], "calibrator": cols}
         todo = [k for k in inputs if k not in self.models]
         with ThreadPoolExecutor(2) as pool:
             fits = pool.map(lambda k: fit(every, train, inputs[k], "_log_target", gbt(self.cfg, "_log_target", f"_{k}", daily=True)), todo)
@@ -215,7 +220,8 @@ class GbtPredictors:
 
     def weighted_calibration(self, daily: DataFrame, sd: DataFrame) -> DataFrame:
         """The calibrator with three times the weight on low-output training days. Fits its own model only."""
-        every, cols = self._daily_inputs(daily, sd)
+        every, inputs = self._daily_inputs(daily, sd)
+        cols = inputs["calibrator"]
         every = calibration_weights(every)
         model = fit(every, F.col("eval_split") == "train", cols, "_log_target",
                     gbt(self.cfg, "_log_target", "_cal", daily=True, weight="weight"), keep=("weight",))

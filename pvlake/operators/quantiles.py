@@ -152,6 +152,65 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column | str, probs:
     return _finish(small_part.unionByName(hot_part), global_, names)
 
 
+# rows that propose the ranges of column_quantiles: this many, or a hundredth of all if that is more
+GUIDE_ROWS = 50_000
+
+
+def column_quantiles(df: DataFrame, cols: list[str], p: float, small: int | None = None) -> dict[str, float]:
+    """Exact quantile of each of many columns, as one number a column (columns without values are absent).
+
+    A seeded share of the rows only proposes a narrow range for each column. All rows then count what lies below
+    and within it, in one pass without a shuffle of values: where the wanted order statistics lie within, a range of one
+    value is the answer and the few values of a wider one are counted by value. A column whose range missed,
+    and tables of at most ``small`` rows, go through ``exact_quantiles``."""
+    small = HOT_GROUP_ROWS if small is None else small
+    values = df.select(*[F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"c{i}") for i, c in enumerate(cols)])
+
+    def stacked_quantiles(rows: DataFrame, some: list[int], probs: dict[str, float]) -> dict[int, tuple]:
+        if not some:
+            return {}
+        long = rows.select(*[f"c{i}" for i in some]).unpivot([], [f"c{i}" for i in some], "name", "value")
+        found = exact_quantiles(long.filter(F.col("value").isNotNull()), ["name"], "value", probs).collect()
+        return {int(r["name"][1:]): tuple(r[n] for n in probs) for r in found}
+
+    every = list(range(len(cols)))
+    n_rows = df.count() if cols else 0
+    if n_rows <= small:
+        return {cols[i]: q for i, (q,) in stacked_quantiles(values, every, {"q": p}).items()}
+    share = max(0.01, GUIDE_ROWS / n_rows)
+    reach = 2.5 / math.sqrt(share * n_rows)  # five standard deviations of a sampled median's place
+    ends = stacked_quantiles(values.sample(min(share, 1.0), seed=7), every,
+                             {"lo": max(p - reach, 0.0), "hi": min(p + reach, 1.0)})
+    counts = [x for i, (lo, hi) in ends.items() for x in (
+        F.count(f"c{i}").alias(f"n{i}"), F.count(F.when(F.col(f"c{i}") < lo, 1)).alias(f"b{i}"),
+        F.count(F.when(F.col(f"c{i}") <= hi, 1)).alias(f"u{i}"))]
+    got = values.agg(*counts).first() if counts else {}
+    out, inside, missed = {}, {}, [i for i in every if i not in ends]
+    for i, (lo, hi) in ends.items():
+        at = (got[f"n{i}"] - 1) * p
+        if not got[f"b{i}"] <= math.floor(at) <= math.ceil(at) < got[f"u{i}"]:
+            missed.append(i)
+        elif lo == hi:
+            out[i] = lo
+        else:
+            inside[i] = at
+    if inside:
+        places = F.create_map(*[F.lit(x) for i, at in inside.items() for x in (i, at - got[f"b{i}"])])
+        cells = F.array_compact(F.array(*[
+            F.when(F.col(f"c{i}").between(*ends[i]), F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("v"))) for i in inside]))
+        by_value = values.select(F.inline(cells)).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+        ranked = by_value.withColumn("upto", upto).withColumn("at", F.element_at(places, F.col("i")))
+        holds = lambda rank: (rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n"))
+        found = ranked.groupBy("i").agg(F.max(F.when(holds(F.floor("at")), F.col("v"))).alias("lo"),
+                                        F.max(F.when(holds(F.ceil("at")), F.col("v"))).alias("hi")).collect()
+        for r in found:
+            at, lo, hi = inside[r["i"]], r["lo"], r["hi"]
+            out[r["i"]] = lo if lo == hi else (math.ceil(at) - at) * lo + (at - math.floor(at)) * hi
+    out |= {i: q for i, (q,) in stacked_quantiles(values, missed, {"q": p}).items()}
+    return {cols[i]: float(q) for i, q in out.items()}
+
+
 def _finish(out: DataFrame, global_: bool, names: list[str]) -> DataFrame:
     return out.select(*names) if global_ else out
 

@@ -22,7 +22,7 @@ from pvlake.operators.history import (DEVICE_FILLED, SLOT_FILLED, device_history
 from pvlake.operators.neighbours import device_locations, neighbour_pairs, summarise, train_device_table
 from pvlake.operators.splits import label_once, train_mask, unseen_in
 from pvlake.plans.features import label, scalar_features, target_cap, target_features
-from pvlake.session import materialize
+from pvlake.session import compiled_stages, materialize
 from pvlake.sources.fixture import pv_points, supplier_points
 
 _CACHE: dict[tuple, "RunContext"] = {}
@@ -35,6 +35,7 @@ SOURCES = {"events": pv_points, "lineitem": supplier_points}
 class RunContext:
     def __init__(self, spark: SparkSession, sf_dir: str, settings: Settings = Settings(),
                  source: str = "events", points: DataFrame | None = None):
+        compiled_stages(spark)
         self.spark = spark
         self.sf_dir = sf_dir
         self.settings = settings
@@ -113,6 +114,7 @@ class SharedBase:
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, settings: Settings, source: str):
+        compiled_stages(spark)
         self.spark, self.sf_dir, self.settings, self.source = spark, sf_dir, settings, source
 
     @cached_property

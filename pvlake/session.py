@@ -54,6 +54,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+#: Bytecodes of a method that the JVM still compiles; Spark's own limit is the largest method it can load.
+COMPILED_METHOD = 8000
+
+
+def compiled_stages(spark: SparkSession) -> None:
+    """Let stages whose generated method the JVM would only interpret (tables of many columns) run as
+    separate, compiled projections instead. A limit that somebody set is left alone."""
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit", "65535") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(COMPILED_METHOD))
+
+
 def drop_materialized(spark: SparkSession) -> None:
     """Delete the tables this application wrote under the checkpoint folder (call when done)."""
     base = spark.sparkContext.getCheckpointDir()

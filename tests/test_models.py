@@ -69,3 +69,34 @@ def test_boosting_stops_without_progress(spark, signal):
 def test_medians_are_exact(spark):
     rows = spark.createDataFrame([(float(i), None if i % 2 else 2.0 * i, float("nan")) for i in range(101)], "a double, b double, c double")
     assert gbt.train_medians(rows, ["a", "b", "c"]) == {"a": 50.0, "b": 100.0}
+
+
+def test_imputed_inputs_are_one_vector(spark):
+    """Filled copies of 60 columns beside the table's own made stages that the JVM only interpreted."""
+    rows = spark.createDataFrame([(*[float(i) for i in range(59)], None), (*[None] * 59, 7), (float("nan"), *[-1.0] * 58, 8)],
+                                 ", ".join([*[f"c{i} double" for i in range(59)], "c59 int"]))
+    cols = rows.columns
+    out, inputs = gbt.impute(rows, cols, {c: 100.0 for c in cols[:-1]})
+    assert set(out.columns) - set(cols) == set(inputs) and len(inputs) == 1
+    got = [r[0].toArray().tolist() for r in gbt.assembled(out, inputs, [], "test_inputs").collect()]
+    assert sorted(got) == sorted([[*[float(i) for i in range(59)], 0.0], [100.0] * 59 + [7.0], [100.0, *[-1.0] * 58, 8.0]])
+    plain = gbt.assembled(rows, ["c1", "c59"], [], "test_plain").collect()
+    assert sorted(str(r[0].toArray().tolist()) for r in plain) == ["[-1.0, 8.0]", "[1.0, nan]", "[nan, 7.0]"]
+
+
+def test_medians_of_many_rows_read_values_once(spark, monkeypatch):
+    """Above ``small`` rows only a share of the rows is stacked, and the medians stay exact."""
+    from pvlake.operators import quantiles
+
+    stacked = []
+    real = quantiles.exact_quantiles
+    monkeypatch.setattr(quantiles, "exact_quantiles", lambda df, *a, **kw: stacked.append(df.count()) or real(df, *a, **kw))
+    monkeypatch.setattr(quantiles, "GUIDE_ROWS", 500)
+    monkeypatch.setattr(quantiles, "HOT_GROUP_ROWS", 1000)
+    rows = spark.range(20000).select(
+        (F.col("id") * 7919 % 20000).cast("double").alias("a"), (F.col("id") % 3).alias("b"), F.lit(None).cast("double").alias("none"),
+        F.when(F.col("id") % 7 == 0, float("nan")).when(F.col("id") % 5 == 0, None).otherwise(F.sqrt("id")).alias("c"),
+        F.when(F.col("id") % 4000 == 0, F.col("id").cast("double")).alias("rare"))
+    want = {c: rows.filter(~F.isnan(F.col(c).cast("double"))).agg(F.percentile(F.col(c), F.lit(0.5))).first()[0] for c in rows.columns}
+    assert gbt.train_medians(rows, rows.columns) == {c: v for c, v in want.items() if v is not None}
+    assert max(stacked) < 20000, stacked  # before: 5 values of each of the 20,000 rows

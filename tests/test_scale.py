@@ -30,3 +30,18 @@ def test_csv_files_do_not_grow_with_devices(spark, tmp_path, monkeypatch):
         counts[n] = len(list(Path(root).rglob("*.csv")))
     assert counts[20] == counts[400], counts
     assert got.filter((F.col("row_id") % 2 == 0) & F.col("temperature_2m").isNotNull()).count() == 0
+
+
+def test_wide_stages_are_compiled(spark, tmp_path):
+    """A context asks Spark not to run generated methods that the JVM refuses to compile; a limit that is set stays."""
+    from pvlake.plans.context import LabelContext, RunContext
+
+    name = "spark.sql.codegen.hugeMethodLimit"
+    for make in (lambda p: RunContext(spark, p), lambda p: LabelContext.get(spark, p)):
+        spark.conf.unset(name)
+        make(str(tmp_path / "none"))
+        assert int(spark.conf.get(name)) <= 8000
+        spark.conf.set(name, "5000")
+        make(str(tmp_path / "other"))
+        assert spark.conf.get(name) == "5000"
+    spark.conf.unset(name)
