@@ -15,6 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pvlake import config as C
 from pvlake.config import Settings
 from pvlake.operators.daily import make_daily_frame
 from pvlake.operators.history import (DEVICE_FILLED, SLOT_FILLED, device_history, device_slot_history, enrich, filled,
@@ -29,28 +30,35 @@ _CACHE: dict[tuple, "RunContext"] = {}
 #: A device's and its slots' own statistics, in the order of the feature table.
 OWN_STATS = ("device_daily_mean", "device_daily_median", "device_daily_p90", "device_daily_max", "device_history_days",
              "device_slot_mean", "device_slot_p90")
+#: What labels, history, device-days and their summaries read of a point.
+DAY_COLUMNS = {"split", "eval_split", "deviceSn", "date", "slot_id", "pvGenTotal", *[src for _, src, _ in C.DAILY_AGGS], *C.OPTIONAL_WEATHER}
 SOURCES = {"events": pv_points, "lineitem": supplier_points}
 
 
 class RunContext:
     def __init__(self, spark: SparkSession, sf_dir: str, settings: Settings = Settings(),
-                 source: str = "events", points: DataFrame | None = None):
+                 source: str = "events", points: DataFrame | None = None, days_only: bool = False):
         compiled_stages(spark)
         self.spark = spark
         self.sf_dir = sf_dir
         self.settings = settings
         self.source = source
         self._points = points
+        self.days_only = days_only
 
     @classmethod
     def get(cls, spark: SparkSession, sf_dir: str, settings: Settings = Settings(),
-            source: str = "events") -> "RunContext":
-        key = (spark.sparkContext.applicationId, sf_dir, settings, source)
+            source: str = "events", days_only: bool = False) -> "RunContext":
+        """``days_only``: for readers of device-days and history; of a point only what these read is written and moved."""
+        key = (spark.sparkContext.applicationId, sf_dir, settings, source, days_only)
         ctx = _CACHE.get(key)
         if ctx is None:
-            ctx = _CACHE[key] = cls(spark, sf_dir, settings, source)
+            ctx = _CACHE[key] = cls(spark, sf_dir, settings, source, days_only=days_only)
         return ctx
 
+    def _kept(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*[c for c in rows.columns if c in DAY_COLUMNS]) if self.days_only else rows
+
     @cached_property
     def points(self) -> DataFrame:
         if self._points is not None:
@@ -64,7 +72,7 @@ class RunContext:
     @cached_property
     def scalar(self) -> DataFrame:
         """Labels + row-local features: the base every later step reads."""
-        return materialize(scalar_features(self.labelled, self.settings, self.points), "points", ["split"])
+        return materialize(self._kept(scalar_features(self.labelled, self.settings, self.points)), "points", ["split"])
 
     @cached_property
     def row_bound(self) -> int:
@@ -94,7 +102,7 @@ class RunContext:
     def features(self) -> DataFrame:
         s = self.settings
         enriched = enrich(self.scalar, self.train_rows, self.neighbours, s.approx_quantiles, self.row_bound, self.own_history)
-        return materialize(target_features(enriched, s, self.row_bound, self.scalar), "features", ["split"])
+        return materialize(self._kept(target_features(enriched, s, self.row_bound, self.scalar)), "features", ["split"])
 
     @cached_property
     def daily(self) -> DataFrame:

@@ -56,3 +56,15 @@ def test_settled_medians(spark):
     out = settle(grouped, calm, ["k"], {"mx": "x", "my": "y"})
     assert "percentile" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert {r["k"]: (r["mx"], r["my"]) for r in out.collect()} == {"a": (1.0, 5.0), "c": (None, 1.0)}
+
+
+def test_day_readers_move_narrow_points(spark, fresh):
+    """The supplier queries write only what device-days read, and the days are those of the whole feature table."""
+    from pvlake.plans import registry
+
+    whole, ctx = RunContext(spark, SF, source="lineitem"), registry.sctx(spark, SF)
+    assert len(ctx.features.columns) < 0.7 * len(whole.features.columns) and ctx.scalar.count() == whole.scalar.count()
+    assert ctx.daily.columns == whole.daily.columns
+    rounded = [F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in whole.daily.dtypes]
+    got, want = ctx.daily.select(rounded), whole.daily.select(rounded)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
