@@ -49,8 +49,12 @@ class RunContext:
     @classmethod
     def get(cls, spark: SparkSession, sf_dir: str, settings: Settings = Settings(),
             source: str = "events", days_only: bool = False) -> "RunContext":
-        """``days_only``: for readers of device-days and history; of a point only what these read is written and moved."""
+        """``days_only``: for readers of device-days and history; of a point only what these read is written and moved,
+        unless the whole feature table is there already."""
         key = (spark.sparkContext.applicationId, sf_dir, settings, source, days_only)
+        whole = _CACHE.get((*key[:-1], False))
+        if days_only and whole is not None and "features" in whole.__dict__:
+            return whole
         ctx = _CACHE.get(key)
         if ctx is None:
             ctx = _CACHE[key] = cls(spark, sf_dir, settings, source, days_only=days_only)

@@ -68,3 +68,14 @@ def test_day_readers_move_narrow_points(spark, fresh):
     rounded = [F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in whole.daily.dtypes]
     got, want = ctx.daily.select(rounded), whole.daily.select(rounded)
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_summary_takes_narrow_points_or_the_whole_table_there_is(spark, fresh):
+    from pvlake.plans import registry
+
+    want = sorted(map(str, registry.REGISTRY["split_summary"].build(spark, SF).collect()))
+    narrow = RunContext.get(spark, SF, days_only=True)
+    assert "slot_id" in narrow.features.columns and "sin_hour" not in narrow.features.columns
+    whole = RunContext.get(spark, SF)
+    assert "sin_hour" in whole.features.columns and RunContext.get(spark, SF, days_only=True) is whole
+    assert sorted(map(str, registry.REGISTRY["split_summary"].build(spark, SF).collect())) == want
