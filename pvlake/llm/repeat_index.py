@@ -53,19 +53,29 @@ PART = 8_000
 LAST = np.iinfo(np.int64).max
 _P = 0x9E3779B97F4A7C15
 _VALUE = mix(np.arange(256, dtype=np.uint64), 41)
-_powers: dict[int, np.ndarray] = {}
 _CHUNK = 1 << 15
 _WHOLE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BLOCKS = "block long, ids binary, offsets binary, data binary"
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, BLOCK + 1), base, np.uint64)
-        have[0] = 1
-        have = _powers[base] = np.multiply.accumulate(have)
-    return have[:n]
+def _power(k: int) -> np.uint64:
+    return np.uint64(pow(_P, k, 1 << 64))
+
+
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in the order of ``key``, where in it each key's rows begin, and how many they are."""
+    order = np.argsort(key)
+    ranked = key[order]
+    begin = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])[:len(ranked)])
+    return order, begin, np.diff(np.append(begin, len(ranked)))
+
+
+def _held(key: np.ndarray, ranked: np.ndarray) -> np.ndarray:
+    """Which of the ascending ``ranked`` occur in ``key``."""
+    key = np.sort(key)
+    if not len(key):
+        return np.zeros(len(ranked), bool)
+    return key[np.minimum(np.searchsorted(key, ranked), len(key) - 1)] == ranked
 
 
 def _zip(raw: bytes) -> bytes:
@@ -101,36 +111,35 @@ class Segments:
         self.ids = np.frombuffer(ids, np.int64)
         self.offsets = np.frombuffer(offsets, np.int64)
         self.raw = np.frombuffer(_unzip(data), np.uint8)
-        n = len(self.raw)
-        sizes = np.diff(self.offsets)
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        valid = np.zeros(n, bool)
-        if n >= LENGTH:
-            valid[:n - LENGTH + 1] = row[:n - LENGTH + 1] == row[LENGTH - 1:]
+        long = np.flatnonzero(np.diff(self.offsets) >= LENGTH)
         self.start = self.windows = np.zeros(0, np.int64)
         self.minimizer = self.content = self.grams = np.zeros(0, np.uint64)
-        if not valid.any():
+        if not len(long):
             self.row = self.doc = self.start
             return
         grams = self.grams = self._grams()
         least = self._least(grams)
-        at = np.flatnonzero(valid[:len(least)])
-        value = least[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (value[1:] != value[:-1]) | (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]])
-        first = np.flatnonzero(new)
-        length = np.diff(np.append(first, len(at)))
+        # a segment begins where the minimizer changes or a text does, and ends there or after a text's last window
+        new = np.ones(len(least) + 1, bool)
+        np.not_equal(least[1:], least[:-1], out=new[1:-1])
+        new[self.offsets[long]] = new[self.offsets[long + 1] - LENGTH + 1] = True
+        mark = np.flatnonzero(new)
+        row = np.searchsorted(self.offsets, mark[:-1], side="right") - 1
+        within = np.flatnonzero(mark[:-1] + LENGTH <= self.offsets[row + 1])
+        first, length, row = mark[within], np.diff(mark)[within], row[within]
+        value = least[first]
         while (length > MOST).any():  # long runs of one minimizer, as in a repeated letter
             pieces = -(-length // MOST)
             k = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             first, length = np.repeat(first, pieces) + MOST * k, np.minimum(MOST, np.repeat(length, pieces) - MOST * k)
-        self.start, self.windows, self.minimizer = at[first], length, value[first]
+            value, row = np.repeat(value, pieces), np.repeat(row, pieces)
+        self.start, self.windows, self.minimizer = first, length, value
         # a segment's bytes are named by enough of its strings to cover them
         end = self.start + self.windows + LENGTH - 1 - GRAM
         self.content = self.windows.astype(np.uint64)
         for k in range(-(-(MOST + LENGTH - 1) // GRAM)):
             self.content = mix(self.content * np.uint64(_P) + grams[np.minimum(self.start + k * GRAM, end)], 7)
-        self.row = row[self.start]
+        self.row = row
         self.doc = self.ids[self.row]
 
     def names(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,13 +160,19 @@ class Segments:
         """Hash of the GRAM bytes from each place, in chunks that fit a processor's cache."""
         n = len(self.raw) - GRAM + 1
         out = np.empty(n, np.uint64)
-        power, back = _power(_P, _CHUNK + GRAM), _power(pow(_P, -1, 1 << 64), _CHUNK)
         for c in range(0, n, _CHUNK):
-            part = self.raw[c:c + _CHUNK + GRAM - 1]
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(_VALUE[part] * power[:len(part)], out=sums[1:])
-            x = sums[GRAM:] - sums[:-GRAM]
-            x *= back[:len(x)]
+            h = _VALUE.take(self.raw[c:c + _CHUNK + GRAM - 1])
+            width, have, x = 1, 0, np.zeros(len(h) + 1, np.uint64)
+            while True:  # ``h`` hashes ``width`` bytes, ``x`` the last ``have`` of a string
+                if GRAM & width:
+                    y = h[:len(x) - width] * _power(have)
+                    y += x[width:]
+                    x, have = y, have + width
+                if have == GRAM:
+                    break
+                y = h[:-width] * _power(width)
+                y += h[width:]
+                h, width = y, 2 * width
             x ^= x >> np.uint64(32)
             x *= np.uint64(0xBF58476D1CE4E5B9)
             x ^= x >> np.uint64(29)
@@ -203,16 +218,12 @@ def _send_minimizers(buckets: int):
         for batch in batches:
             for block, ids, offsets, data in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 s = Segments(ids, offsets, data)
-                order = np.lexsort((s.content, s.minimizer))
-                m, c = s.minimizer[order], s.content[order]
-                distinct = np.append(True, (m[1:] != m[:-1]) | (c[1:] != c[:-1]))[:len(m)]
-                held, count = np.unique(m[distinct], return_counts=True)
-                bucket = held % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                bucket = bucket[order]
+                order, begin, _ = _groups(s.content)  # equal content has one minimizer
+                name = np.sort(s.names(buckets)[1][order[begin]])
+                at = np.flatnonzero(np.append(True, name[1:] != name[:-1])[:len(name)])
+                bucket, short = name[at] >> 32, name[at].astype(np.uint32)
+                count = np.diff(np.append(at, len(name))).astype(np.uint32)
                 cuts = [*np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[:len(bucket)]).tolist(), len(bucket)]
-                short = (held >> np.uint64(32)).astype(np.uint32)[order]
-                count = count[order].astype(np.uint32)
                 pieces = list(zip(cuts[:-1], cuts[1:], strict=True))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array([block] * (len(cuts) - 1), pa.int64()),
@@ -227,8 +238,8 @@ def _shared(table: pa.Table) -> pa.Table:
     held = [np.frombuffer(x, np.uint32) for x in table.column("held").to_pylist()]
     count = np.concatenate([_counts(len(h), m) for h, m in zip(held, table.column("more").to_pylist(), strict=True)])
     every = np.concatenate(held)
-    order = np.argsort(every, kind="stable")
-    ranked = every[order]
+    ranked = np.sort((every.astype(np.uint64) << np.uint64(32)) | np.arange(len(every), dtype=np.uint64))
+    order, ranked = ranked.astype(np.uint32), ranked >> np.uint64(32)
     begin = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
     size = np.diff(np.append(begin, len(ranked)))
     hot, told = np.zeros(len(every), bool), np.zeros(len(every), bool)
@@ -269,26 +280,33 @@ def _send_segments(buckets: int):
             for block, ids, offsets, data, got in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
                 s = Segments(ids, offsets, data)
                 bucket, name = s.names(buckets)
-                wanted = np.isin(name, _told(got, "held"))
-                # and minimizers of two documents of this block
-                order = np.lexsort((s.doc, name))
-                a, b = order[:-1], order[1:]
-                wanted |= np.isin(name, name[a][(name[a] == name[b]) & (s.doc[a] != s.doc[b])])
+                order, begin, size = _groups(name)
+                ranked = name[order[begin]]
                 hot = _told(got, "hot")
-                windowed = np.isin(name, hot)
+                hot_name = _held(hot, ranked)
+                # minimizers that another block holds, or two documents of this block
+                wanted_name = _held(_told(got, "held"), ranked)
+                if len(order):
+                    doc = s.doc[order]
+                    wanted_name |= np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin)
+                windowed, wanted = np.empty(len(name), bool), np.empty(len(name), bool)
+                windowed[order], wanted[order] = np.repeat(hot_name, size), np.repeat(wanted_name, size)
                 rows = _send_windows(s, np.flatnonzero(windowed), hot, buckets, block) if windowed.any() else []
                 pick = np.flatnonzero(wanted & ~windowed)
-                pick = pick[np.lexsort((s.doc[pick], s.content[pick], bucket[pick]))]
                 if not len(pick) and not rows:
                     continue
-                same = (s.content[pick][1:] == s.content[pick][:-1]) & (bucket[pick][1:] == bucket[pick][:-1])
-                pick = pick[np.append(True, ~same)[:len(pick)]]  # the smallest document of each distinct segment
-                cuts = np.flatnonzero(np.append(True, np.diff(bucket[pick]) != 0)[:len(pick)])
-                for k, c in zip(cuts.tolist(), [*cuts[1:].tolist(), len(pick)], strict=True):
+                # each distinct segment with its smallest document, by bucket
+                order, begin, _ = _groups(s.content[pick])
+                least = np.minimum.reduceat(s.doc[pick[order]], begin) if len(pick) else pick
+                pick = pick[order[begin]]
+                by = np.sort((bucket[pick] << 32) | np.arange(len(pick))) & 0xFFFFFFFF
+                pick, least = pick[by], least[by]
+                cuts = [*np.flatnonzero(np.append(True, np.diff(bucket[pick]) != 0)[:len(pick)]).tolist(), len(pick)]
+                for k, c in zip(cuts[:-1], cuts[1:], strict=True):
                     p = pick[k:c]
                     size = s.windows[p] + LENGTH - 1
                     text = s.raw[np.repeat(s.start[p] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-                    payload = _zip(b"".join([(s.minimizer[p] >> np.uint64(32)).astype(np.uint32).tobytes(), s.content[p].tobytes(), s.doc[p].tobytes(),
+                    payload = _zip(b"".join([(s.minimizer[p] >> np.uint64(32)).astype(np.uint32).tobytes(), s.content[p].tobytes(), least[k:c].tobytes(),
                                              s.windows[p].astype(np.uint8).tobytes(), text.tobytes()]))
                     rows.append((int(bucket[p[0]]), block, c - k, payload))
                 yield pa.RecordBatch.from_arrays([
@@ -302,70 +320,82 @@ class RunIndex:
 
     def __init__(self, texts: np.ndarray, lengths: np.ndarray, doc: np.ndarray):
         """``texts``: one row per text, byte + 1, zero after its end (the terminator and what follows)."""
-        n, width = texts.shape
-        symbols = texts.astype(np.int64)
-        inside = np.arange(width)[None, :] <= lengths[:, None]  # the terminator is a suffix of its own
+        n = len(texts)
+        size = lengths + 1  # the terminator is a suffix of its own
+        symbols = texts[np.arange(texts.shape[1])[None, :] < size[:, None]]
+        total = len(symbols)
+        end = np.cumsum(size)
+        rest = np.repeat(end, size) - np.arange(total)
 
         def ahead(x: np.ndarray, k: int) -> np.ndarray:
-            out = np.zeros_like(x)
-            out[:, :width - k] = x[:, k:]
+            """``x`` of the suffix ``k`` symbols on, plus one; zero after a text's end."""
+            out = np.zeros(total, np.int64)
+            out[:total - k] = x[k:] + 1
+            out[rest <= k] = 0
             return out
 
-        key = np.zeros_like(symbols)
-        for k in range(7):
-            key = (key << 9) | ahead(symbols, k)
-        step = 7
+        # a place and two ranks, or as many symbols as have room there, are sorted as one number
+        bits = total.bit_length()
+        if 3 * bits > 63:
+            raise ValueError(f"{total} suffixes are too many for one index")
+        places, mask = np.arange(total), (1 << bits) - 1
+        used = np.bincount(symbols, minlength=257) > 0
+        code = (np.cumsum(used) - 1)[symbols]
+        per = int(used.sum()).bit_length()
+        width = min((63 - bits) // per, LENGTH)
+        key = code + 1
+        for k in range(1, width):
+            key = (key << per) | ahead(code, k)
+        found, step = 0, width
         while True:
-            rank = np.zeros_like(key)
-            rank[inside] = np.unique(key[inside], return_inverse=True)[1]
-            if step >= width:
+            key <<= bits
+            key |= places
+            key.sort()
+            suffix = key & mask  # equal suffixes in text order, as terminators are ordered by text
+            key >>= bits
+            new = np.append(True, key[1:] != key[:-1])
+            rank = np.empty(total, np.int64)
+            rank[suffix] = np.cumsum(new) - 1
+            if step <= LENGTH:
+                lead = (rank << bits) | ahead(rank, LENGTH - step)
+            if step >= int(size.max()) or found == int(new.sum()):  # the same ranks again: longer prefixes tell no more apart
                 break
-            key = rank * (n * width + 1) + ahead(np.where(inside, rank + 1, 0), step)
+            found = int(new.sum())
+            key = (rank << bits) | ahead(rank, step)
             step *= 2
-        # equal suffixes in text order, as terminators are ordered by text
-        owner = np.broadcast_to(np.arange(n)[:, None], (n, width))[inside]
-        place = np.broadcast_to(np.arange(width)[None, :], (n, width))[inside]
-        suffix = np.lexsort((owner, rank[inside]))
-        owner, place = owner[suffix], place[suffix]
-        before = np.where(place > 0, symbols[owner, np.maximum(place - 1, 0)], 0)
-        # runs of the transform: begin, symbol, and where its first row goes by LF
-        begin = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
-        head = before[begin]
-        size = np.diff(np.append(begin, len(before)))
-        by_symbol = np.lexsort((begin, head))
+        before = np.append(symbols[-1:], symbols[:-1])[suffix]
+        # runs of the transform: begin, symbol, and where its first row goes by LF; the directory gives each row's run
+        mark = np.append(True, before[1:] != before[:-1])
+        begin = np.flatnonzero(mark)
+        run = np.diff(np.append(begin, total))
+        by_symbol = np.argsort(before[begin], kind="stable")
         base = np.empty(len(begin), np.int64)
-        base[by_symbol] = np.cumsum(size[by_symbol]) - size[by_symbol]
-        # rows of symbol 0 (whole texts) go to no row that is used; suffixes that begin with 0 are the first n rows
-        self.begin, self.base = begin, base - (before == 0).sum() + n
-        # borders of intervals with LENGTH common bytes, each with its smallest document
-        lead = np.zeros((n, width), np.int64)
-        lead[inside] = np.unique(self._prefix(symbols, inside, ahead), return_inverse=True)[1]
-        lead = lead[owner, place]
-        self.border = np.flatnonzero(np.append(True, lead[1:] != lead[:-1]))
-        self.least = np.minimum.reduceat(doc[owner], self.border)
-
-    @staticmethod
-    def _prefix(symbols: np.ndarray, inside: np.ndarray, ahead) -> np.ndarray:
-        """A number for each suffix's first LENGTH symbols."""
-        total = np.zeros(symbols.shape, np.uint64)
-        x = mix(symbols.astype(np.uint64), 51)
-        for k in range(LENGTH):
-            total = total * np.uint64(_P) + ahead(x, k)
-        return mix(total, 52)[inside]
+        base[by_symbol] = np.cumsum(run[by_symbol]) - run[by_symbol]
+        # rows of symbol 0 (whole texts) go to no row that is used; they are as many as the suffixes that begin with 0
+        self.jump = (base - begin).astype(np.int32)
+        self.run = np.cumsum(mark, dtype=np.int32) - 1
+        # borders of intervals with LENGTH common symbols, each with its smallest document
+        lead = lead[suffix]
+        mark = np.append(True, lead[1:] != lead[:-1])
+        self.interval = np.cumsum(mark, dtype=np.int32) - 1
+        self.least = np.minimum.reduceat(np.repeat(doc, size)[suffix], np.flatnonzero(mark))
 
     def covered(self, lengths: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Bit w of a text's number: its window w also stands in a text of a smaller document."""
-        row = np.arange(len(lengths))  # terminators are the smallest suffixes, in text order
-        out = np.zeros(len(lengths), np.uint64)
-        for back in range(1, int(lengths.max()) + 1):
-            live = np.flatnonzero(lengths >= back)
-            run = np.searchsorted(self.begin, row[live], side="right") - 1
-            row[live] = self.base[run] + row[live] - self.begin[run]
-            window = lengths[live] - back
+        longest = np.argsort(-lengths)
+        row = longest.astype(np.int32)  # terminators are the smallest suffixes, in text order
+        lengths, doc = lengths[longest], doc[longest]
+        found = np.zeros(len(lengths), np.uint64)
+        alive = np.cumsum(np.bincount(lengths)[::-1])[::-1]
+        for back in range(1, len(alive)):
+            live = int(alive[back])
+            row = row[:live]
+            row = row + self.jump[self.run[row]]
             if back >= LENGTH:
-                interval = np.searchsorted(self.border, row[live], side="right") - 1
-                hit = self.least[interval] < doc[live]
-                out[live[hit]] |= np.uint64(1) << window[hit].astype(np.uint64)
+                hit = self.least[self.interval[row]] < doc[:live]
+                found[:live] |= hit.astype(np.uint64) << (lengths[:live] - back).astype(np.uint64)
+        out = np.empty_like(found)
+        out[longest] = found
         return out
 
 
@@ -395,11 +425,10 @@ def _match_windows(table: pa.Table) -> pa.Table:
 
 def _least_by(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """The smallest document of each key's rows, at every row."""
-    order = np.lexsort((doc, key))
-    ranked = key[order]
-    new = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(order) else order
+    order, begin, size = _groups(key)
     least = np.empty(len(order), np.int64)
-    least[order] = np.repeat(doc[order][new], np.diff(np.append(new, len(order))))
+    if len(order):
+        least[order] = np.repeat(np.minimum.reduceat(doc[order], begin), size)
     return least
 
 
@@ -419,11 +448,10 @@ def _index_bucket(table: pa.Table) -> pa.Table:
     raw = np.concatenate([p[4] for p in parts])
     size = windows + LENGTH - 1
     start = np.cumsum(size) - size
-    order = np.lexsort((doc, content))
-    new = np.append(True, content[order][1:] != content[order][:-1])
-    one = order[new]  # each distinct segment with its first document
+    order, begin, same = _groups(content)
+    one, least = order[begin], np.minimum.reduceat(doc[order], begin)  # each distinct segment with its first document
     which = np.empty(len(content), np.int64)
-    which[order] = np.cumsum(new) - 1
+    which[order] = np.repeat(np.arange(len(one)), same)
     mask = np.zeros(len(one), np.uint64)
     # minimizers with two distinct segments or more
     by = np.argsort(minimizer[one], kind="stable")
@@ -444,10 +472,10 @@ def _index_bucket(table: pa.Table) -> pa.Table:
             inside = np.arange(width)[None, :] < lengths[:, None]
             rows = np.zeros((len(chosen), width), np.int16)
             rows[inside] = raw[np.repeat(start[one[chosen]] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())].astype(np.int16) + 1
-            docs = doc[one[chosen]]
+            docs = least[chosen]
             mask[chosen] = RunIndex(rows, lengths, docs).covered(lengths, docs)
     # a block hears of segments that an earlier document holds whole, or in part
-    answer = np.where(doc[one[which]] < doc, _WHOLE, mask[which])
+    answer = np.where(least[which] < doc, _WHOLE, mask[which])
     out, kept, at = [], [], 0
     for n in counts:
         some = at + np.flatnonzero(answer[at:at + n])
@@ -491,16 +519,21 @@ def _cut_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
                     content, told = (np.concatenate([p[k] for p in parts]) for k in range(2))
                     order = np.argsort(content)
                     content, told = content[order], told[order]
-                    at = np.minimum(np.searchsorted(content, s.content), len(content) - 1)
-                    mask |= np.where(content[at] == s.content, told[at], np.uint64(0))
+                    order, begin, size = _groups(s.content)
+                    mine = s.content[order[begin]]
+                    at = np.minimum(np.searchsorted(content, mine), len(content) - 1)
+                    mask[order] |= np.repeat(np.where(content[at] == mine, told[at], np.uint64(0)), size)
             whole = mask == _WHOLE
             np.add.at(step, s.start[whole], 1)
             np.add.at(step, s.start[whole] + s.windows[whole] + LENGTH - 1, -1)
             some = np.flatnonzero(~whole & (mask != 0))
-            for w in range(MOST):
-                hit = some[((mask[some] >> np.uint64(w)) & np.uint64(1)).astype(bool)]
-                np.add.at(step, s.start[hit] + w, 1)
-                np.add.at(step, s.start[hit] + w + LENGTH, -1)
+            for c in range(0, len(some), _CHUNK):
+                part = some[c:c + _CHUNK]
+                bits = np.unpackbits(mask[part].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                hit, w = np.nonzero(bits)
+                at = s.start[part[hit]] + w
+                np.add.at(step, at, 1)
+                np.add.at(step, at + LENGTH, -1)
             gone = np.cumsum(step[:-1]) > 0
             rows = []
             for k, (a, b) in enumerate(zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist(), strict=True)):

@@ -221,6 +221,49 @@ def test_repeated_bytes_hot_minimizer(monkeypatch):
     assert any(r["bucket"] < 0 for b in sent for r in b.to_pylist())
 
 
+def test_repeated_bytes_only_hot_minimizers():
+    """A block all of whose segments have hot minimizers sends windows only."""
+    ri = repeat_index
+    text = bytes(np.random.default_rng(6).integers(97, 123, 200, dtype=np.uint8))
+    block = (np.array([1, 2], np.int64).tobytes(), np.array([0, 200, 400], np.int64).tobytes(), ri._zip(text + text))
+    bucket, name = ri.Segments(*block).names(8)
+    got = [{"bucket": b, "held": short.tobytes(), "hot": short.tobytes()}
+           for b in sorted(set(bucket.tolist())) for short in [np.unique(name[bucket == b]).astype(np.uint32)]]
+    batch = pa.RecordBatch.from_arrays([pa.array([c]) for c in (0, *block, got)], names=list("abcde"))
+    sent = [r for b in ri._send_segments(8)(iter([batch])) for r in b.to_pylist()]
+    assert sum(r["n"] for r in sent) == 200 - ri.LENGTH + 1 and all(r["bucket"] < 0 for r in sent)
+
+
+def test_repeat_index_cost():
+    """An index takes the time of a few sorts of its suffixes, and finds the windows that brute force finds."""
+    ri, rnd = repeat_index, np.random.default_rng(8)
+    pool = [bytes(rnd.integers(97, 123, 180, dtype=np.uint8)) for _ in range(150)] + [b"ab" * 90, b"\xff" * 180, bytes(range(180))]
+    texts = []
+    for k in range(6000):
+        p, a, n = pool[k % len(pool)], int(rnd.integers(0, 70)), int(rnd.integers(ri.LENGTH, ri.LENGTH + ri.MOST))
+        texts.append(p[a:a + n])
+    lengths, doc = np.array([len(x) for x in texts]), rnd.integers(0, 2000, len(texts))
+    rows = np.zeros((len(texts), lengths.max() + 1), np.int16)
+    for r, x in zip(rows, texts, strict=True):
+        r[:len(x)] = np.frombuffer(x, np.uint8).astype(np.int16) + 1
+
+    def cost(f):
+        begin = time.process_time()
+        out = f()
+        return time.process_time() - begin, out
+
+    numbers = rnd.integers(0, 1 << 62, int(lengths.sum()))
+    sort = min(cost(lambda: np.sort(numbers, kind="stable"))[0] for _ in range(3))
+    runs = [cost(lambda: ri.RunIndex(rows, lengths, doc).covered(lengths, doc)) for _ in range(3)]
+    first = {}
+    for x, d in zip(texts, doc.tolist(), strict=True):
+        for w in range(len(x) - ri.LENGTH + 1):
+            first[x[w:w + ri.LENGTH]] = min(d, first.get(x[w:w + ri.LENGTH], d))
+    for x, d, got in zip(texts, doc.tolist(), runs[0][1].tolist(), strict=True):
+        assert got == sum(1 << w for w in range(len(x) - ri.LENGTH + 1) if first[x[w:w + ri.LENGTH]] < d)
+    assert min(r[0] for r in runs) < 8 * sort
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     d, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
