@@ -31,6 +31,7 @@ no rows; other columns are never read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,8 @@ BLOCK = 3 << 20
 MOST = 62
 #: Text bytes per bucket; the number of buckets grows with the corpus.
 BUCKET = 2 << 20
+#: Beyond so many buckets, their number and their size grow alike, as a block sends a row to each.
+MANY = 512
 #: Texts that one run index takes: minimizers are put together up to it, and one with more is hot.
 PART = 8_000
 LAST = np.iinfo(np.int64).max
@@ -197,7 +200,8 @@ class Segments:
 
 
 def _buckets(total: int) -> int:
-    return int(max(total // BUCKET, 8))
+    n = max(total // BUCKET, 8)
+    return int(n if n <= MANY else math.sqrt(MANY * n))
 
 
 def _more(count: np.ndarray) -> bytes:

@@ -234,6 +234,13 @@ def test_repeated_bytes_only_hot_minimizers():
     assert sum(r["n"] for r in sent) == 200 - ri.LENGTH + 1 and all(r["bucket"] < 0 for r in sent)
 
 
+def test_repeat_buckets_growth():
+    """Each block sends a row to each bucket: buckets grow with the corpus, but not in proportion once they are many."""
+    few, many = repeat_index._buckets(1 << 29), repeat_index._buckets(52 << 30)
+    assert few == 256 and repeat_index._buckets(1 << 30) == 512 and 512 < many < 52 << 8
+    assert repeat_index._buckets(208 << 30) == pytest.approx(2 * many, abs=2)
+
+
 def test_repeat_index_cost():
     """An index takes the time of a few sorts of its suffixes, and finds the windows that brute force finds."""
     ri, rnd = repeat_index, np.random.default_rng(8)
