@@ -84,7 +84,7 @@ def _held(key: np.ndarray, ranked: np.ndarray) -> np.ndarray:
 def _zip(raw: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(raw)
+    return zstandard.ZstdCompressor(level=9).compress(raw)
 
 
 def _unzip(raw: bytes) -> bytes:
