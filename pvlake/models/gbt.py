@@ -14,17 +14,20 @@ from it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import VectorUDT
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pvlake import config as C
 from pvlake.functions.columns import sanitize
+from pvlake.models.trees import Forest, fit_forest, task_rows
 from pvlake.operators.quantiles import column_quantiles, exact_quantile_scalar
 from pvlake.operators.splits import train_mask, validation_mask
 from pvlake.plans.features import daily_feature_columns, point_feature_columns
@@ -107,10 +110,11 @@ def gbt(cfg: GbtConfig, label: str, pred: str, daily: bool = False, weight: str
     return GBTRegressor(**kw)
 
 
-def assembled(rows: DataFrame, cols: list[str], keep: list[str], name: str) -> DataFrame:
-    """``keep`` and the feature vector, written in as many partitions as the rows need and at most as they come in."""
-    out = rows.select(vector(rows, cols).alias("features"), *keep)
-    parts = max(1, -(-rows.count() // ROWS_PER_TASK))
+def assembled(rows: DataFrame, cols: list[str], keep: list[str], name: str, per_task: Callable[[int], int] = lambda n: ROWS_PER_TASK) -> DataFrame:
+    """``keep`` and the feature vector, written in as many partitions as the rows need and at most as they come in.
+    ``per_task``: rows of a partition by the number of all rows."""
+    out, n = rows.select(vector(rows, cols).alias("features"), *keep), rows.count()
+    parts = max(1, -(-n // per_task(n)))
     return materialize(out.coalesce(parts), name).coalesce(parts)
 
 
@@ -130,10 +134,11 @@ def predict(model, rows: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def fit_predict(train: DataFrame, every: DataFrame, cols: list[str], label: str, pred: str,
-                estimator) -> tuple[object, DataFrame]:
+                estimator: Callable[[DataFrame, str], Forest]) -> tuple[Forest, DataFrame]:
     """M3: fit on ``train``, predict every row of ``every``."""
-    model = estimator.fit(assembled(train.filter(F.col(label).isNotNull()), cols, [label], "fit_rows"))
-    return model, predict(model, every, cols)
+    rows = train.filter(F.col(label).isNotNull())
+    model = estimator(assembled(rows, cols, [label], "fit_rows", partial(task_rows, rows.sparkSession)), label)
+    return model, model.predict(every, vector(every, cols), pred)
 
 
 def calibration_weights(daily: DataFrame, low_output_weight: float = 3.0) -> DataFrame:
@@ -238,11 +243,6 @@ class GbtPredictors:
         return spark.createDataFrame([(f, float(v)) for f, v in rows], "feature string, importance double")
 
 
-def random_forest(cfg_trees: int = 200, depth: int = 18, min_leaf: int = 5, seed: int = 42,
-                  label: str = "pvGenTotal", pred: str = "prediction") -> RandomForestRegressor:
+def random_forest(table: DataFrame, label: str, trees: int = 200, depth: int = 18, min_leaf: int = 5, seed: int = 42) -> Forest:
     """The published random-forest comparison settings."""
-    # execution knobs only: more nodes split per data pass, node ids cached between
-    # levels (checkpointed every 10 iterations) - the model settings are the published ones
-    return RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol=pred, numTrees=cfg_trees,
-                                 maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed, subsamplingRate=1.0,
-                                 maxMemoryInMB=2048, cacheNodeIds=True, checkpointInterval=10)
+    return fit_forest(table, label, trees, depth, min_leaf, seed)
