@@ -182,6 +182,10 @@ class Binned:
     def width(self) -> int:
         return len(self.cuts)
 
+    def written(self, blocks: DataFrame, name: str) -> Binned:
+        """``blocks`` in as many partitions, written in place of these."""
+        return Binned(materialize(blocks, name).coalesce(self.blocks.rdd.getNumPartitions()), self.cuts, self.rows)
+
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)

@@ -48,7 +48,7 @@ def test_same_trees_shuffled_or_shared(table, monkeypatch):
     want = T.fit_forest(table, "y", 5, 8, 5, 42)
     pairs = predicted(want, table)
     for local, model in ((700, 1 << 30), (10**6, 1 << 30), (300, 5000)):  # upper levels by passes; whole trees gathered; several batches of trees
-        for name, value in (("SHARED_BYTES", 0), ("LOCAL_ROWS", local), ("BATCH_TREES", 3), ("BLOCK_ROWS", T.BLOCK_ROWS), ("MODEL_BYTES", model)):
+        for name, value in (("SHARED_BYTES", 0), ("LOCAL_ROWS", local), ("BATCH_TREES", 3), ("MODEL_BYTES", model)):
             monkeypatch.setattr(T, name, value)
         got = T.fit_forest(table, "y", 5, 8, 5, 42)
         assert (len(got.batches()) > 1) == (model < 1 << 30)
@@ -75,3 +75,30 @@ def test_cuts_lie_between_few_values(table):
     assert all(20 < len(c) < T.BINS for c in cuts[:4])
     codes = T.coded(np.array([[0.0, 0.0, 0.0, np.nan, 7.0, 1.5]]), cuts)
     assert codes[0, 3] == len(cuts[3]) and codes[0, 5] == 1
+
+
+def test_passes_over_blocks_grow_the_tree_of_one_task(table):
+    data = T.bin_rows(table, ["y"], "test_blocks")
+    rows = data.blocks.collect()
+    assert len(rows) == 3 and sum(len(r["codes"]) for r in rows) == 4000 * 6
+    codes, y = (np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in (("codes", np.uint8), ("y", float)))
+    want = T.grow(codes.reshape(-1, 6), np.ones(4000), y, 4, 30, 5, 7, 3)
+    got = T.grow_over_blocks(data, lambda number, x, codes: [(np.ones(len(codes)), x["y"])], 4, 30, 5, 7, 3)
+    assert len(want.left) > 15 and all(np.allclose(a, b) for a, b in ((got.feature, want.feature), (got.cut, want.cut), (got.left, want.left), (got.value, want.value)))
+
+
+def test_boosting_passes_read_a_byte_a_value(table, monkeypatch):
+    """Before, each round decoded the vectors again and every few rounds wrote them anew."""
+    from pvlake import session
+    from pvlake.models import boosting
+
+    written = []
+    real = session.materialize
+    monkeypatch.setattr(T, "materialize", lambda df, name, *a: written.append((name, out := real(df, name, *a))) or out)
+    monkeypatch.setattr(session, "cut_lineage", lambda df: pytest.fail("vectors are written again"))
+    rows = table.withColumns({"split": F.lit("train"), "eval_split": F.when(F.abs("y") % 5 == 1, "valid_seen").otherwise("train")}).withColumn("inputs", F.col("features"))
+    fitted = boosting.boost(rows, F.col("eval_split") == "train", ["inputs"], "y", loss="squared", rounds=10, learning_rate=0.5, depth=3)
+    assert [name for name, _ in written] == ["boost_blocks"] * 3  # the start, then every five rounds
+    for _, blocks in written:
+        assert blocks.agg(F.sum(F.length("codes"))).first()[0] == 4000 * 6
+    assert len(fitted.trees) == 10 and r2(sorted((r["y"], r["p"]) for r in fitted.predict(rows, ["inputs"], "p").collect())) > 0.9
