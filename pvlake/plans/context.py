@@ -10,7 +10,10 @@ the same input share them.
 
 from __future__ import annotations
 
-from functools import cached_property
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property, partial
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,7 @@ from pvlake.plans.features import label, scalar_features, target_cap, target_fea
 from pvlake.session import compiled_stages, materialize
 from pvlake.sources.fixture import pv_points, supplier_points
 
+T = TypeVar("T")
 _CACHE: dict[tuple, "RunContext"] = {}
 #: A device's and its slots' own statistics, in the order of the feature table.
 OWN_STATS = ("device_daily_mean", "device_daily_median", "device_daily_p90", "device_daily_max", "device_history_days",
@@ -199,6 +203,22 @@ class SharedBase:
     def locations(self) -> DataFrame:
         return materialize(device_locations(self.table, self.settings.approx_quantiles), "shared_locations")
 
+    def prepare(self) -> SharedBase:
+        """Everything that labellings share, so several of them can run at the same time over it."""
+        for some in (("row_bound",), ("slot_stats", "device_stats", "devices", "cap", "train_devices", "locations"), ("pairs",), ("enriched", "device_rows", "n_pairs", "n_candidates")):
+            at_once(*[partial(getattr, self, name) for name in some])
+        return self
+
+
+#: Labellings that run at the same time: most of their jobs are too short or too uneven to keep all cores busy.
+AT_ONCE = 4
+
+
+def at_once(*jobs: Callable[[], T]) -> list[T]:
+    """The results of independent jobs, some of them running at the same time."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return [f.result() for f in [pool.submit(j) for j in jobs]]
+
 
 _BASES: dict[tuple, SharedBase] = {}
 

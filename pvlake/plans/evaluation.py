@@ -9,13 +9,13 @@ value) and the summaries are plain aggregates.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pvlake.config import FOLD_METRICS, STRESS_CANDIDATES, Settings
-from pvlake.plans.context import LabelContext
+from pvlake.plans.context import LabelContext, at_once
 from pvlake.plans.experiment import Experiment
 
 
@@ -43,15 +43,16 @@ def fold_rows(e: Experiment, fold: int) -> DataFrame:
 
 def unseen_cv(spark: SparkSession, sf_dir: str, folds: int = 3, predictors=None,
               base: Settings = Settings()) -> DataFrame:
-    """R7. ``predictors``: makes the predictors of one fold (fitted ones hold models); stand-ins by default."""
+    """R7. ``predictors``: makes the predictors of one fold (fitted ones hold models); stand-ins by default.
+    The folds run at the same time over their shared base."""
     from pvlake.models.standin import StandInPredictors
 
-    parts = []
-    for i in range(folds):
+    def fold(i: int) -> DataFrame:
         s = Settings(**{**base.__dict__, "unseen_fold": i, "n_unseen_folds": folds})
-        ctx = LabelContext.get(spark, sf_dir, s)
-        parts.append(fold_rows(Experiment(ctx, (predictors or StandInPredictors)()), i))
-    return reduce(DataFrame.unionByName, parts)
+        return fold_rows(Experiment(LabelContext.get(spark, sf_dir, s), (predictors or StandInPredictors)()), i)
+
+    LabelContext.get(spark, sf_dir, base).base.prepare()
+    return reduce(DataFrame.unionByName, at_once(*[partial(fold, i) for i in range(folds)]))
 
 
 def cv_aggregate(fold_table: DataFrame) -> DataFrame:
