@@ -16,7 +16,7 @@ from pvlake import config as C
 from pvlake.functions.columns import quantile
 from pvlake.operators.carried import extents, settle
 from pvlake.operators.quantiles import exact_quantiles
-from pvlake.session import materialize
+from pvlake.session import materialize, sent_if_small
 
 SD = ["split", "deviceSn", "date"]
 
@@ -45,12 +45,19 @@ def daily_aggregates(point_df: DataFrame) -> tuple[list, dict[str, str]]:
     return exprs, medians
 
 
-def make_daily_frame(point_df: DataFrame, approx: bool = False) -> DataFrame:
+def make_daily_frame(point_df: DataFrame, approx: bool = False, by_device: DataFrame | None = None) -> DataFrame:
+    """``by_device``: a written table of columns that all points of a device share. They are joined to its days then, where
+    ``point_df`` doesn't hold them."""
     rows = point_df.dropna(subset=SD)
     exprs, medians = daily_aggregates(point_df)
     days = materialize(rows.groupBy(*SD).agg(*exprs, *extents(list(medians.values()))), "day_grain")
     daily = settle(days, rows, SD, medians, approx)
-    order = [out for out, src, _ in C.DAILY_AGGS if src in point_df.columns]
+    columns = set(point_df.columns)
+    if by_device is not None:
+        shared = {out: src for out, src, kind in C.DAILY_AGGS if kind == "median" and src in by_device.columns and src not in columns}
+        columns |= set(shared.values())
+        daily = daily.join(sent_if_small(by_device.select("deviceSn", *[F.col(src).alias(out) for out, src in shared.items()])), "deviceSn", "left")
+    order = [out for out, src, _ in C.DAILY_AGGS if src in columns]
     daily = daily.select(*SD, *order, *[c for c in daily.columns if c not in {*SD, *order}])
     daily = daily.withColumn("rows_in_day", F.col("rows_in_day").cast("bigint"))
     return daily.withColumns({

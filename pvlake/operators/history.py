@@ -109,3 +109,11 @@ def enrich(points: DataFrame, train_rows: DataFrame, nn_stats: DataFrame,
     pairs = pairs.withColumnsRenamed({"deviceSn": "_device", "slot_id": "_slot"})
     return points.join(pairs, points["deviceSn"].eqNullSafe(pairs["_device"])
                        & points["slot_id"].eqNullSafe(pairs["_slot"]), "left").drop("_device", "_slot")
+
+
+def device_values(points: DataFrame, train_rows: DataFrame, nn_stats: DataFrame, approx: bool = False, group_bound: int | None = None,
+                  own: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """What ``enrich`` gives all points of a device alike, one row a device."""
+    pairs = pair_history(points, train_rows, nn_stats, approx, group_bound, own)
+    alike = [*DEVICE_FILLED, "device_history_days", *[c for c in nn_stats.columns if c != "deviceSn"]]
+    return pairs.groupBy("deviceSn").agg(*[F.max(c).alias(c) for c in alike])

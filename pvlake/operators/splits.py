@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pvlake import config as C
 from pvlake.operators.ranking import first_n, ordinal_position
+from pvlake.session import cut_lineage, sent_if_small
 
 
 def unseen_count(n_candidates: Column) -> Column:
@@ -69,22 +70,30 @@ def seen_holdout_days(points: DataFrame, holdout_days: int = C.HOLDOUT_DAYS) ->
         "deviceSn", "date", F.lit(True).alias("_holdout"))
 
 
+def with_holdout(points: DataFrame, holdout_days: int = C.HOLDOUT_DAYS) -> DataFrame:
+    """P2 as ``_holdout``, for rows of the training split. The held-out dates of a device are all from one date on, so one row
+    a device is joined, and points are not shuffled by day where these rows are few."""
+    since = cut_lineage(seen_holdout_days(points, holdout_days).groupBy("deviceSn").agg(F.min("date").alias("_since")))
+    keys = ["deviceSn", "date"]
+    return points.join(sent_if_small(since), "deviceSn", "left").select(
+        *keys, *[c for c in points.columns if c not in keys], F.coalesce(F.col("date") >= F.col("_since"), F.lit(False)).alias("_holdout"))
+
+
 def assign_eval_split(points: DataFrame, holdout_days: int = C.HOLDOUT_DAYS,
                       unseen_fold: int | None = None, n_unseen_folds: int | None = None,
                       unseen_strategy: str = "default") -> DataFrame:
-    holdout = seen_holdout_days(points, holdout_days)
     unseen = pick_unseen(points, unseen_fold, n_unseen_folds, unseen_strategy).select(
         "deviceSn", F.lit(True).alias("_unseen"))
     if unseen_strategy == "low_capacity" or not (n_unseen_folds and n_unseen_folds > 1):
         unseen = F.broadcast(unseen)  # at most 8 rows
-    labelled = points.join(holdout, ["deviceSn", "date"], "left").join(unseen, "deviceSn", "left")
+    labelled = with_holdout(points, holdout_days).join(unseen, "deviceSn", "left")
     split = F.col("split")
     is_train = split == "train"
     label = (
         F.when(split == "test1", "test1")
         .when(split == "test2", "test2")
         .when(is_train & F.col("_unseen").isNotNull(), "valid_unseen")
-        .when(is_train & F.col("_holdout").isNotNull(), "valid_seen")
+        .when(is_train & F.col("_holdout"), "valid_seen")
         .otherwise("train")
     )
     return labelled.withColumn("eval_split", label).drop("_holdout", "_unseen")
@@ -100,11 +109,10 @@ def label_once(points: DataFrame, holdout_days: int = C.HOLDOUT_DAYS) -> DataFra
     low = first_n(capacity, [F.col("capacity").asc_nulls_last(), F.col("deviceSn")], C.UNSEEN_MAX, "_low").select("deviceSn", "_low")
     label = (
         F.when(F.col("split").isin("test1", "test2"), F.col("split"))
-        .when((F.col("split") == "train") & F.col("_holdout").isNotNull(), "valid_seen")
+        .when((F.col("split") == "train") & F.col("_holdout"), "valid_seen")
         .otherwise("train")
     )
-    labelled = points.join(seen_holdout_days(points, holdout_days), ["deviceSn", "date"], "left")
-    labelled = labelled.join(place.join(F.broadcast(low), "deviceSn", "left"), "deviceSn", "left")  # low: at most 8 rows
+    labelled = with_holdout(points, holdout_days).join(place.join(F.broadcast(low), "deviceSn", "left"), "deviceSn", "left")  # low: at most 8 rows
     return labelled.withColumn("eval_split", label).drop("_holdout")
 
 

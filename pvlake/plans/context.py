@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from pvlake import config as C
 from pvlake.config import Settings
 from pvlake.operators.daily import make_daily_frame
-from pvlake.operators.history import (DEVICE_FILLED, SLOT_FILLED, device_history, device_slot_history, enrich, filled,
-                                      global_slot_history, own_pairs, stacked, weighted_medians)
+from pvlake.operators.history import (DEVICE_FILLED, SLOT_FILLED, device_history, device_slot_history, device_values, enrich,
+                                      filled, global_slot_history, own_pairs, stacked, weighted_medians)
 from pvlake.operators.neighbours import device_locations, neighbour_pairs, summarise, train_device_table
 from pvlake.operators.splits import label_once, train_mask, unseen_in
 from pvlake.plans.features import label, scalar_features, target_cap, target_features
@@ -112,9 +112,22 @@ class RunContext:
         enriched = enrich(self.scalar, self.train_rows, self.neighbours, s.approx_quantiles, self.row_bound, self.own_history)
         return materialize(self._kept(target_features(enriched, s, self.row_bound, self.scalar)), "features", ["split"])
 
+    @cached_property
+    def by_device(self) -> DataFrame:
+        s = self.settings
+        return materialize(device_values(self.scalar, self.train_rows, self.neighbours, s.approx_quantiles, self.row_bound, self.own_history), "device_values")
+
+    @cached_property
+    def days(self) -> DataFrame:
+        """Device-days, planned over their written aggregates: for one reader. Where only days are read, history meets
+        the days: all points of a device share what days take of it."""
+        if self.days_only:
+            return make_daily_frame(self.scalar, self.settings.approx_quantiles, self.by_device)
+        return make_daily_frame(self.features, self.settings.approx_quantiles)
+
     @cached_property
     def daily(self) -> DataFrame:
-        return materialize(make_daily_frame(self.features, self.settings.approx_quantiles), "daily")
+        return materialize(self.days, "daily")
 
     def tables_for(self, columns: tuple[str, ...] | None) -> tuple[DataFrame, DataFrame]:
         """Feature and device-day table for a reader of ``columns`` (None: of all). Reports share the whole ones here."""

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -100,3 +101,12 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     writer.parquet(path)
     out = spark.read.parquet(path)
     return out.select(*df.columns) if partition_by else out
+
+
+#: Rows of a written per-device table that go to every executor (some ten MB) rather than that points are shuffled.
+SENT_ROWS = 500_000
+
+
+def sent_if_small(table: DataFrame) -> DataFrame:
+    """``table`` (written, so counting is cheap) for a join: broadcast up to ``SENT_ROWS`` rows, else as the planner likes."""
+    return F.broadcast(table) if table.count() <= SENT_ROWS else table
