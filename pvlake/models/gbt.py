@@ -1,4 +1,4 @@
-"""MLlib regressors for the point and daily models.
+"""Regressors for the point and daily models (M1-M3, M5-M7, M9, M10, M25, B1 by MLlib; M26 on binned rows).
 
 Gradient-boosted trees stand in for the published boosting library; fits are
 distributed MLlib jobs. A depth-6 tree is about seven jobs, so jobs and not rows
